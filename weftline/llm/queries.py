@@ -1,11 +1,15 @@
 """Queries of the corpus operators and their SQL twins."""
 
-from . import decontaminate, mixing, quality_rules, secrets
+from . import decontaminate, language, mixing, quality_knn, quality_rules, secrets, token_counts
 
 QUERIES = {
     "op1_secret_scans": secrets.op1_secret_scans,
     "op3_benchmark_decontamination": decontaminate.op3_benchmark_decontamination,
+    "op5_quality_classifier": quality_knn.op5_quality_classifier,
+    "op6_token_counts": token_counts.op6_token_counts,
     "op7_mixing": mixing.op7_mixing,
+    "op8_language_id": language.op8_language_id,
+    "language_id_pages": language.language_id_pages,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
 ORACLE = {
