@@ -1,3 +1,56 @@
+"""The corpus pipeline: five stages from raw documents to a weighted mix, each over all that the one before kept."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from weftline.llm import decontaminate, language, mixing, near_duplicates, secrets
+from weftline.llm.common import settle
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language can be told stay."""
+    mark = F.xxhash64("text")
+    told = language.identify(language.from_documents(docs).withColumn("mark", mark))
+    rejected = settle(told.filter("not accepted").select(F.col("doc_id").alias("_doc"), F.col("mark").alias("_mark")).distinct(), "rejected")
+    return docs.join(rejected, docs["doc_id"].eqNullSafe(F.col("_doc")) & (mark == F.col("_mark")), "left_anti").select(*docs.columns)
+
+
+def near_duplicate_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays."""
+    return near_duplicates.keep_one(docs)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a window of a benchmark item go."""
+    return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are masked; n_chars follows."""
+    return secrets.mask_found(docs)
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """How often and with how many words the mix takes each document."""
+    return mixing.mix(docs)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("ngram_jaccard_join", near_duplicate_join),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("secret_scans", secret_scans),
+    ("source_mixing", source_mixing),
+]
+
+#: Language ID learns a model, which SQL can't express.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = settle(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -1,10 +1,12 @@
 """Queries of the corpus operators and their SQL twins."""
 
-from . import decontaminate, language, mixing, quality_knn, quality_rules, secrets, token_counts
+from . import decontaminate, language, mixing, near_duplicates, quality_knn, quality_rules, secrets, substrings, token_counts
 
 QUERIES = {
     "op1_secret_scans": secrets.op1_secret_scans,
+    "op2_substring_dedup": substrings.op2_substring_dedup,
     "op3_benchmark_decontamination": decontaminate.op3_benchmark_decontamination,
+    "op4_ngram_jaccard_join": near_duplicates.op4_ngram_jaccard_join,
     "op5_quality_classifier": quality_knn.op5_quality_classifier,
     "op6_token_counts": token_counts.op6_token_counts,
     "op7_mixing": mixing.op7_mixing,
@@ -15,5 +17,6 @@ QUERIES = {
 ORACLE = {
     "op1_secret_scans": secrets.OP1_SQL,
     "op3_benchmark_decontamination": decontaminate.OP3_SQL,
+    "op4_ngram_jaccard_join": near_duplicates.OP4_SQL,
     "op7_mixing": mixing.OP7_SQL,
 }

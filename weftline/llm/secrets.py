@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import settle, text_of
 
 
 @dataclass(frozen=True)
@@ -153,6 +153,17 @@ def redact(text: Column, rules: Sequence[Rule] = RULES, mask: str = "[REDACTED]"
     return text
 
 
+def mask_found(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
+    """docs, with its columns, whose texts with findings are masked and n_chars, if there, set anew."""
+    blobs = findings_by_path(docs.select("text"), rules).filter(F.size("spans") > 0).select(F.col("blob").alias("_blob")).distinct()
+    marked = docs.join(settle(blobs, "findings"), blob_of(F.col("text")) == F.col("_blob"), "left")
+    found = F.col("_blob").isNotNull()
+    marked = marked.withColumn("text", F.when(found, redact(F.col("text"), rules)).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        marked = marked.withColumn("n_chars", F.when(found, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return marked.select(*docs.columns)
+
+
 def op1_secret_scans(spark, sf_dir: str) -> DataFrame:
     """Counts and spans of secrets of each document. Null text is empty; copies of a row come back each."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
