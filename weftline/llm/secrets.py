@@ -162,7 +162,8 @@ def redact(text: Column, rules: Sequence[Rule] = RULES, mask: str = "[REDACTED]"
 
 def mask_found(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     """docs, with its columns, whose texts with findings are masked and n_chars, if there, set anew."""
-    blobs = findings_by_path(docs.select("text"), rules).filter(F.size("spans") > 0).select(F.col("blob").alias("_blob")).distinct()
+    todo = unseen_blobs(docs.select(blob_of(F.col("text")).alias("blob"), text_of().alias("text")), None, rules)
+    blobs = scan_blobs(todo, rules).select(F.col("blob").alias("_blob")).distinct()
     marked = docs.join(settle(blobs, "findings"), blob_of(F.col("text")) == F.col("_blob"), "left")
     found = F.col("_blob").isNotNull()
     marked = marked.withColumn("text", F.when(found, redact(F.col("text"), rules)).otherwise(F.col("text")))
