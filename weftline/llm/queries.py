@@ -1,6 +1,6 @@
 """Queries of the corpus operators and their SQL twins."""
 
-from . import decontaminate, language, mixing, near_duplicates, quality_knn, quality_rules, secrets, substrings, token_counts
+from . import decontaminate, language, lm_scoring, mixing, near_duplicates, quality_knn, quality_rules, secrets, substrings, token_counts
 
 QUERIES = {
     "op1_secret_scans": secrets.op1_secret_scans,
@@ -12,6 +12,7 @@ QUERIES = {
     "op7_mixing": mixing.op7_mixing,
     "op8_language_id": language.op8_language_id,
     "language_id_pages": language.language_id_pages,
+    "op9_lm_scoring": lm_scoring.op9_lm_scoring,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
 ORACLE = {
