@@ -1 +1,201 @@
-"""Queries to come."""
+"""Outfit queries: orders as outfits, customers with their parts as wardrobes."""
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from weftline.functions.exprs import largest_remainder, set_key
+from weftline.operators import outfits as op
+from weftline.plans.bind import ITEMS_SQL, WEARS_SQL, items, vectors, wears
+from weftline.plans.registry import query
+from weftline.session import table
+
+
+def _values(pairs: dict) -> str:
+    return "(VALUES " + ", ".join(f"('{min(k)}', '{max(k)}', {v}::DOUBLE)" for k, v in pairs.items()) + ")"
+
+
+RULES_SQL = f"""slots AS (SELECT * FROM (VALUES {", ".join(f"('{c}', '{s}', {op.MOST_ITEMS.get(c, 1)})" for c, s in op.SLOTS.items())}) t(category, slot, most)),
+groups AS (SELECT * FROM (VALUES {", ".join(f"('{c}', '{g}')" for c, g in op.GROUPS.items())}) t(colour, grp)),
+gp AS (SELECT * FROM {_values(op.GROUP_PAIRS)} t(a, b, s)), cp AS (SELECT * FROM {_values(op.COLOUR_PAIRS)} t(a, b, s)),
+pp AS (SELECT * FROM {_values(op.PATTERN_PAIRS)} t(a, b, s)), sp AS (SELECT * FROM {_values(op.SUB_PAIRS)} t(a, b, s))"""
+
+
+def parts_sql(members: str = "members") -> str:
+    """CTEs that end in parts (k, colour, pattern, structure) from a CTE of (k, item_id, category, sub_category, colour, pattern, pattern_conf)."""
+    return f"""{RULES_SQL},
+m AS (SELECT x.*, s.slot, s.most, g.grp FROM {members} x JOIN slots s USING (category) LEFT JOIN groups g USING (colour)),
+cpairs AS (SELECT a.k, CASE WHEN a.colour = b.colour THEN CASE WHEN a.grp = 'neutral' THEN 1.0 ELSE {op.SAME_COLOUR} END ELSE coalesce(cp.s, gp.s) END::DOUBLE AS s
+  FROM m a JOIN m b ON a.k = b.k AND a.item_id < b.item_id LEFT JOIN cp ON cp.a = least(a.colour, b.colour) AND cp.b = greatest(a.colour, b.colour)
+  LEFT JOIN gp ON gp.a = least(a.grp, b.grp) AND gp.b = greatest(a.grp, b.grp) WHERE a.colour IS NOT NULL AND b.colour IS NOT NULL),
+bold AS (SELECT k, count(DISTINCT colour) FILTER (grp NOT IN ('neutral', 'metal')) AS n FROM m GROUP BY k),
+colour AS (SELECT k, greatest(avg(s) - greatest(any_value(n) - {op.MOST_BOLD}, 0) * {op.BOLD_PENALTY}, 0) AS colour FROM cpairs JOIN bold USING (k) GROUP BY k),
+pat AS (SELECT k, item_id, pattern FROM m WHERE pattern IS NOT NULL AND slot IN ('upper', 'lower', 'full', 'layer') AND coalesce(pattern_conf, 1.0) >= {op.LEAST_PATTERN_CONF}),
+pattern AS (SELECT p.k, coalesce(min(pp.s), 1.0) AS pattern FROM pat p LEFT JOIN pat q ON p.k = q.k AND p.item_id < q.item_id LEFT JOIN pp ON pp.a = least(p.pattern, q.pattern) AND pp.b = greatest(p.pattern, q.pattern) AND q.pattern IS NOT NULL GROUP BY p.k),
+subs AS (SELECT a.k, min(sp.s) AS worst FROM m a JOIN m b ON a.k = b.k AND a.item_id < b.item_id JOIN sp ON sp.a = least(a.sub_category, b.sub_category) AND sp.b = greatest(a.sub_category, b.sub_category) GROUP BY a.k),
+cats AS (SELECT k, category, greatest(count(*) - any_value(most), 0) AS excess FROM m GROUP BY k, category), over AS (SELECT k, sum(excess) AS excess FROM cats GROUP BY k),
+st AS (SELECT k, bool_or(slot = 'full') AS fl, bool_or(slot = 'upper') AS up, bool_or(slot = 'lower') AS lo, bool_or(slot = 'feet') AS ft, bool_and(slot <> 'full' OR category = 'swimwear') AS sw FROM m GROUP BY k),
+structure AS (SELECT k, (CASE WHEN (fl OR up AND lo) AND (ft OR fl AND sw) THEN 1.0 WHEN fl OR up AND lo THEN {op.NO_SHOES} ELSE {op.INCOMPLETE} END * CASE WHEN fl AND lo THEN {op.OVER_LIMIT} ELSE 1.0 END)::DOUBLE
+  * pow({op.OVER_LIMIT}, excess) * coalesce(worst, 1.0) AS structure FROM st JOIN over USING (k) LEFT JOIN subs USING (k)),
+parts AS (SELECT k, colour, pattern, structure FROM structure LEFT JOIN colour USING (k) LEFT JOIN pattern USING (k))"""
+
+
+def score_sql(style: str = "NULL::DOUBLE") -> str:
+    w = op.WEIGHTS
+    terms = [(style, w["style"]), ("colour", w["colour"]), ("pattern", w["pattern"]), ("structure", w["structure"])]
+    weight = " + ".join(f"CASE WHEN {c} IS NOT NULL THEN {v} ELSE 0 END" for c, v in terms)
+    return f"round_even(round(100 * ({' + '.join(f'coalesce({c} * {v}, 0)' for c, v in terms)})::DOUBLE / ({weight})::DOUBLE, 9), 1)"
+
+
+_ORDER_SQL = "WITH " + WEARS_SQL + ", members AS (SELECT outfit_id AS k, * FROM wears), " + parts_sql()
+_OWN_SQL = "owned AS (SELECT DISTINCT o_custkey AS owner, l_partkey AS item_id FROM orders JOIN lineitem ON l_orderkey = o_orderkey), wardrobe AS (SELECT * FROM owned JOIN items USING (item_id))"
+
+
+def wardrobe(spark, d):
+    """Each customer with the parts that they ordered."""
+    orders, lines = table(spark, d, "orders"), table(spark, d, "lineitem")
+    owned = orders.join(lines, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("owner"), F.col("l_partkey").alias("item_id")).distinct()
+    return owned.join(items(spark, d), "item_id")
+
+
+@query(_ORDER_SQL + "SELECT k AS outfit_id, round(colour, 6) AS colour, round(pattern, 6) AS pattern, round(structure, 6) AS structure FROM parts")
+def outfit_parts(spark, d):
+    sets = op.as_sets(wears(spark, d), "outfit_id")
+    return sets.select("outfit_id", *[F.round(f(F.col("items")), 6).alias(n) for n, f in (("colour", op.colour_part), ("pattern", op.pattern_part), ("structure", op.structure_part))])
+
+
+_STYLE_SQL = """n AS (SELECT count(*) AS n, max(vec_id) + 1 AS top FROM embeddings), v AS (SELECT w.k, w.item_id, e.embedding FROM members w, n JOIN embeddings e ON e.vec_id = w.item_id % n.top),
+style AS (SELECT a.k, least(greatest((avg(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[])) - 0.2) / 0.6, 0), 1) AS style FROM v a JOIN v b ON a.k = b.k AND a.item_id < b.item_id GROUP BY a.k)"""
+
+
+def styled(spark, d):
+    """wears with the vector that an item's number deals it."""
+    vecs = vectors(spark, d)
+    top = vecs.agg((F.max("item_id") + 1).alias("top"))
+    looks = wears(spark, d).join(F.broadcast(top)).withColumn("vec", F.pmod("item_id", "top"))
+    return looks.join(vecs.select(F.col("item_id").alias("vec"), "embedding"), "vec", "left")
+
+
+@query("WITH " + WEARS_SQL + ", members AS (SELECT outfit_id AS k, * FROM wears), " + _STYLE_SQL + " SELECT k AS outfit_id, round(style, 6) AS style FROM style")
+def pair_style(spark, d):
+    return op.coherence(styled(spark, d), "outfit_id", "embedding", 64).filter("style is not null").select("outfit_id", F.round("style", 6).alias("style"))
+
+
+@query("WITH " + WEARS_SQL + ", members AS (SELECT outfit_id AS k, * FROM wears), " + parts_sql() + ", " + _STYLE_SQL + f" SELECT k AS outfit_id, {score_sql('style')} AS score FROM parts LEFT JOIN style USING (k)")
+def outfit_score(spark, d):
+    rows = styled(spark, d)
+    sets = op.as_sets(rows, "outfit_id").join(op.coherence(rows, "outfit_id", "embedding", 64), "outfit_id", "left")
+    return sets.select("outfit_id", op.set_score(F.col("items"), F.col("style")).alias("score"))
+
+
+@query("WITH " + WEARS_SQL + f""", {RULES_SQL}, r AS (SELECT outfit_id, sub_category AS why FROM wears WHERE sub_category IS NOT NULL GROUP BY ALL HAVING count(*) > 1
+UNION ALL SELECT outfit_id, category FROM wears JOIN slots USING (category) GROUP BY outfit_id, category HAVING count(*) > any_value(most))
+SELECT outfit_id, count(*) AS n_reasons, string_agg(why, '|' ORDER BY why) AS reasons FROM r GROUP BY 1""")
+def clashes(spark, d):
+    why = op.as_sets(wears(spark, d), "outfit_id").withColumn("why", F.array_sort(op.clash_reasons(F.col("items")))).filter(F.size("why") > 0)
+    return why.select("outfit_id", F.size("why").cast("long").alias("n_reasons"), F.array_join("why", "|").alias("reasons"))
+
+
+@query("WITH " + ITEMS_SQL + ", " + _OWN_SQL + f""", slot AS (SELECT w.*, CASE WHEN category = 'top' THEN 'upper' WHEN category = 'bottom' THEN 'lower' WHEN category IN ('dress', 'traditional') THEN 'full' END AS part FROM wardrobe w),
+cores AS (SELECT u.owner, u.item_id AS a, l.item_id AS b FROM slot u JOIN slot l ON u.owner = l.owner AND u.part = 'upper' AND l.part = 'lower' UNION ALL SELECT owner, item_id, NULL FROM slot WHERE part = 'full'),
+keyed AS (SELECT *, owner || ':' || a || ':' || coalesce(b, 0) AS k FROM cores),
+members AS (SELECT k, i.* FROM keyed JOIN items i ON i.item_id = a UNION ALL SELECT k, i.* FROM keyed JOIN items i ON i.item_id = b), {parts_sql()},
+scored AS (SELECT owner, array_to_string(list_sort([a::VARCHAR, b::VARCHAR]), '|') AS core, {score_sql()} AS score FROM keyed JOIN parts USING (k)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY owner ORDER BY score DESC, core) AS place FROM scored)
+SELECT owner, core, score, place FROM ranked WHERE place <= 60""")
+def core_pairs_top60(spark, d):
+    return op.top_cores(wardrobe(spark, d), "owner").select("owner", set_key(F.transform("items", lambda i: i["id"].cast("string"))).alias("core"), "score", "place")
+
+
+@query("WITH " + WEARS_SQL + ", " + _OWN_SQL + f""", sets AS (SELECT o_custkey AS owner, outfit_id, w.* EXCLUDE (outfit_id) FROM wears w JOIN orders ON o_orderkey = outfit_id),
+base AS (SELECT outfit_id::VARCHAR AS k, * FROM sets),
+tries AS (SELECT s.outfit_id || ':' || s.item_id || ':' || w.item_id AS k, s.outfit_id, s.item_id AS old, w.item_id AS new FROM sets s JOIN wardrobe w ON w.owner = s.owner AND w.category = s.category
+  WHERE NOT EXISTS (SELECT 1 FROM sets x WHERE x.outfit_id = s.outfit_id AND x.item_id = w.item_id)),
+trial AS (SELECT t.k, s.item_id, s.category, s.sub_category, s.colour, s.pattern, s.pattern_conf FROM tries t JOIN sets s ON s.outfit_id = t.outfit_id AND s.item_id <> t.old
+  UNION ALL SELECT t.k, i.item_id, i.category, i.sub_category, i.colour, i.pattern, i.pattern_conf FROM tries t JOIN items i ON i.item_id = t.new),
+members AS (SELECT k, item_id, category, sub_category, colour, pattern, pattern_conf FROM base UNION ALL SELECT * FROM trial), {parts_sql()},
+bad AS (SELECT k FROM m WHERE sub_category IS NOT NULL GROUP BY k, sub_category HAVING count(*) > 1 UNION SELECT k FROM m GROUP BY k, category HAVING count(*) > any_value(most)),
+scored AS (SELECT k, {score_sql()} AS score FROM parts),
+gains AS (SELECT t.outfit_id, t.old, t.new, round(s.score - b.score, 1) AS gain FROM tries t JOIN scored s USING (k) JOIN scored b ON b.k = t.outfit_id::VARCHAR WHERE t.k NOT IN (SELECT k FROM bad)),
+best AS (SELECT outfit_id, old, arg_min(new, (-gain, new)) AS best_swap, max(gain) AS gain FROM gains WHERE gain > 0 GROUP BY ALL)
+SELECT s.outfit_id, s.item_id, best_swap, coalesce(gain, 0)::DOUBLE AS gain FROM sets s LEFT JOIN best ON best.outfit_id = s.outfit_id AND best.old = s.item_id""")
+def swap_gain(spark, d):
+    owners = table(spark, d, "orders").select(F.col("o_orderkey").alias("outfit_id"), F.col("o_custkey").alias("owner"))
+    sets = op.as_sets(wears(spark, d).join(owners, "outfit_id"), "owner", "outfit_id")
+    return op.swaps(sets, wardrobe(spark, d), "outfit_id", "owner")
+
+
+@query()
+def complete_outfits(spark, d):
+    """Each customer's sixty best cores after the greedy additions; the fold isn't SQL, tests hold it against a plain one."""
+    owned = wardrobe(spark, d)
+    done = op.complete(op.top_cores(owned, "owner"), owned, "owner")
+    return done.select("owner", "place", set_key(F.transform("items", lambda i: i["id"].cast("string"))).alias("outfit_key"), "score")
+
+
+@query()
+def suggest_variety(spark, d):
+    owned = wardrobe(spark, d)
+    return op.suggest(op.complete(op.top_cores(owned, "owner"), owned, "owner"), "owner")
+
+
+@query("WITH " + WEARS_SQL + ", members AS (SELECT outfit_id AS k, * FROM wears), " + parts_sql() + f""", s AS (SELECT k, colour, pattern, structure, {score_sql()} AS score, CASE WHEN colour IS NULL THEN 0 ELSE 30 END + CASE WHEN pattern IS NULL THEN 0 ELSE 15 END + 20 AS w FROM parts),
+r AS (SELECT k, score, [round(coalesce(colour * 300000 / w, 0)::DOUBLE / 100, 6) , round(coalesce(pattern * 150000 / w, 0)::DOUBLE / 100, 6), round((structure * 200000 / w)::DOUBLE / 100, 6)] AS x FROM s),
+f AS (SELECT k, score, x, list_transform(x, lambda v: floor(v)::INTEGER) AS fl FROM r),
+g AS (SELECT k, fl, round(score * 10)::INTEGER - list_sum(fl) AS spare, list_transform(list_sort([{{'r': floor(x[1]) - x[1], 'i': 1}}, {{'r': floor(x[2]) - x[2], 'i': 2}}, {{'r': floor(x[3]) - x[3], 'i': 3}}]), lambda e: e.i) AS ord FROM f)
+SELECT k AS outfit_id, (fl[1] + CASE WHEN list_position(ord, 1) <= spare THEN 1 ELSE 0 END)::INTEGER AS colour, (fl[2] + CASE WHEN list_position(ord, 2) <= spare THEN 1 ELSE 0 END)::INTEGER AS pattern, (fl[3] + CASE WHEN list_position(ord, 3) <= spare THEN 1 ELSE 0 END)::INTEGER AS structure FROM g""")
+def contributions(spark, d):
+    """Tenths of points that each part gives, rounded so that they sum to the score."""
+    sets = op.as_sets(wears(spark, d), "outfit_id")
+    named = (("colour", op.colour_part), ("pattern", op.pattern_part), ("structure", op.structure_part))
+    out = sets.select("outfit_id", *[f(F.col("items")).alias(n) for n, f in named], op.set_score(F.col("items")).alias("score"))
+    weight = F.when(F.col("colour").isNull(), 0).otherwise(30) + F.when(F.col("pattern").isNull(), 0).otherwise(15) + 20
+    points = [F.round(F.coalesce(F.col(c) * w / weight, F.lit(0.0)) / 100, 6) for c, w in (("colour", 300000), ("pattern", 150000), ("structure", 200000))]
+    whole = largest_remainder(F.array(*points), F.round(F.col("score") * 10))
+    return out.withColumn("p", whole).select("outfit_id", *[F.col("p")[i].alias(n) for i, n in enumerate(("colour", "pattern", "structure"))])
+
+
+@query("WITH " + ITEMS_SQL + ", " + _OWN_SQL + """, w AS (SELECT *, CASE WHEN coverage < 2 THEN 'coverage' WHEN season <> 'summer' THEN 'season' WHEN season IS NULL AND
+  (CASE WHEN sub_category = 'shorts' THEN false WHEN sub_category IN ('jeans', 'track-pants', 'trousers') THEN true WHEN category = 'outerwear' THEN true ELSE false END) THEN 'soft' END AS why FROM wardrobe),
+l AS (SELECT *, count(*) FILTER (why IS NULL) OVER (PARTITION BY owner, category) AS fit FROM w),
+r AS (SELECT owner, item_id, CASE WHEN why = 'soft' AND category IN ('top', 'bottom', 'shoes') AND fit = 0 THEN NULL WHEN why = 'soft' THEN 'season default' ELSE why END AS reason FROM l)
+SELECT owner, item_id, reason, reason IS NULL AS kept FROM r""")
+def personal_filter(spark, d):
+    return op.personal_filter(wardrobe(spark, d), "owner", "summer", 2).select("owner", "item_id", "reason", "kept")
+
+
+@query(_ORDER_SQL + f""", s AS (SELECT o_custkey AS owner, k AS outfit_id, {score_sql()} AS score FROM parts JOIN orders ON o_orderkey = k)
+SELECT owner, outfit_id, CASE ntile(3) OVER (PARTITION BY owner ORDER BY score DESC, outfit_id) WHEN 1 THEN 'safe' WHEN 2 THEN 'bolder' ELSE 'experimental' END AS label FROM s""")
+def label_thirds(spark, d):
+    """An owner's outfits by score in three even bands."""
+    owners = table(spark, d, "orders").select(F.col("o_orderkey").alias("outfit_id"), F.col("o_custkey").alias("owner"))
+    scored = op.as_sets(wears(spark, d), "outfit_id").select("outfit_id", op.set_score(F.col("items")).alias("score")).join(owners, "outfit_id")
+    band = F.ntile(3).over(Window.partitionBy("owner").orderBy(F.desc("score"), "outfit_id"))
+    return scored.withColumn("band", band).select("owner", "outfit_id", F.when(F.col("band") == 1, "safe").when(F.col("band") == 2, "bolder").otherwise("experimental").alias("label"))
+
+
+@query(_ORDER_SQL + f""", key AS (SELECT k, array_to_string(list_sort(list(item_id::VARCHAR)), '|') AS outfit_key, count(*) FILTER (item_id % 7 = 0) AS worn FROM members GROUP BY k),
+s AS (SELECT outfit_key, max({score_sql()}) AS score, max(worn) AS worn FROM parts JOIN key USING (k) GROUP BY 1)
+SELECT outfit_key, score, row_number() OVER (ORDER BY score - 5 * worn DESC, outfit_key) AS place FROM s ORDER BY place LIMIT 50""")
+def wear_penalty_top(spark, d):
+    """Each set of items once at its best score; the fifty best when lately worn items cost five points each."""
+    sets = op.as_sets(wears(spark, d), "outfit_id")
+    keyed = sets.select(set_key(F.transform("items", lambda i: i["id"].cast("string"))).alias("outfit_key"), op.set_score(F.col("items")).alias("score"), F.size(F.filter("items", lambda i: i["id"] % 7 == 0)).alias("worn"))
+    best = keyed.groupBy("outfit_key").agg(F.max("score").alias("score"), F.max("worn").alias("worn"))
+    top = best.orderBy(F.desc(F.col("score") - 5 * F.col("worn")), "outfit_key").limit(50)
+    return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc(F.col("score") - 5 * F.col("worn")), "outfit_key"))).drop("worn")
+
+
+@query(_ORDER_SQL + """, t AS (SELECT a.k, a.item_id AS a, b.item_id AS b, CASE WHEN a.colour = b.colour THEN CASE WHEN a.grp = 'neutral' THEN 1.0 ELSE 0.9 END ELSE coalesce(cp.s, gp.s) END::DOUBLE AS colour,
+  pp.s AS pattern, sp.s AS types FROM m a JOIN m b ON a.k = b.k AND a.item_id < b.item_id LEFT JOIN cp ON cp.a = least(a.colour, b.colour) AND cp.b = greatest(a.colour, b.colour) AND a.colour IS NOT NULL AND b.colour IS NOT NULL
+  LEFT JOIN gp ON gp.a = least(a.grp, b.grp) AND gp.b = greatest(a.grp, b.grp) AND a.grp IS NOT NULL AND b.grp IS NOT NULL
+  LEFT JOIN pp ON pp.a = least(a.pattern, b.pattern) AND pp.b = greatest(a.pattern, b.pattern) AND a.pattern IS NOT NULL AND b.pattern IS NOT NULL
+  LEFT JOIN sp ON sp.a = least(a.sub_category, b.sub_category) AND sp.b = greatest(a.sub_category, b.sub_category) AND a.sub_category IS NOT NULL AND b.sub_category IS NOT NULL)
+SELECT k AS outfit_id, a, b, colour, pattern, types FROM t""")
+def pair_map(spark, d):
+    """How each two items of an outfit go together, by rule table."""
+    tables = (("k", op._COLOURS, op._colour_pair, "colour"), ("q", op._PATTERNS, lambda a, b: op._either(op.PATTERN_PAIRS, a, b), "pattern"), ("u", op._SUBS, lambda a, b: op._either(op.SUB_PAIRS, a, b, float("nan")), "types"))
+    scores = lambda x, y: [F.nanvl(F.get(op._matrix(names, of), x[c] * len(names) + y[c]), F.lit(None)).alias(n) if n == "types" else F.get(op._matrix(names, of), x[c] * len(names) + y[c]).alias(n) for c, names, of, n in tables]
+    coded = F.struct(F.col("item_id").alias("id"), op.code_of(F.col("colour"), op._COLOURS).alias("k"), op.code_of(F.col("pattern"), op._PATTERNS).alias("q"), op.code_of(F.col("sub_category"), op._SUBS).alias("u"))
+    sets = wears(spark, d).groupBy("outfit_id").agg(F.array_sort(F.collect_list(coded)).alias("items"))
+    pair = op.over_pairs(F.col("items"), lambda x, y: F.struct(x["id"].alias("a"), y["id"].alias("b"), *scores(x, y)))
+    return sets.select("outfit_id", F.explode(pair).alias("p")).select("outfit_id", "p.*")
