@@ -1 +1,102 @@
-"""Queries to come."""
+"""Vector queries over the embeddings table."""
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from weftline.functions.exprs import dot, norm
+from weftline.operators import vectors as op
+from weftline.plans.bind import vectors
+from weftline.plans.registry import query
+from weftline.session import table
+from weftline.session_dirs import ensure_checkpoint_dir
+
+CUT = 0.3
+_DOT = "list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
+#: The stated query set of a search: every item whose number is divisible by 50.
+_Q = "SELECT * FROM embeddings WHERE vec_id % 50 = 0"
+
+
+def queries_of(spark, d):
+    return vectors(spark, d).filter("item_id % 50 = 0").select(F.col("item_id").alias("query_id"), F.col("embedding").alias("q"), "category")
+
+
+@query(f"WITH s AS (SELECT a.vec_id AS query_id, b.vec_id AS item_id, round({_DOT}, 6) AS score FROM ({_Q}) a JOIN embeddings b ON a.vec_id <> b.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS place FROM s) SELECT * FROM r WHERE place <= 10")
+def knn_topk(spark, d):
+    every = lambda df: df.drop("category").withColumn("all", F.lit(1))
+    return op.top_k(every(queries_of(spark, d)), every(vectors(spark, d)), 10, ["all"]).select("query_id", "item_id", "score", "place")
+
+
+@query(f"WITH s AS (SELECT a.vec_id AS query_id, b.vec_id AS item_id, b.vec_id // 3 AS picture, round({_DOT}, 6) AS score FROM ({_Q}) a JOIN embeddings b ON a.vec_id <> b.vec_id AND a.label = b.label), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS p FROM s), o AS (SELECT *, row_number() OVER (PARTITION BY query_id, picture ORDER BY p) AS t FROM r WHERE p <= 25) SELECT query_id, item_id, score, row_number() OVER (PARTITION BY query_id ORDER BY p) AS place FROM o WHERE t = 1 QUALIFY place <= 5")
+def similar_capped(spark, d):
+    """Of the 25 best of the same category, one hit a picture, then five."""
+    items = vectors(spark, d).withColumn("picture", F.floor(F.col("item_id") / 3))
+    return op.one_per_picture(op.top_k(queries_of(spark, d), items, 25, ["category"]), "picture").filter("place <= 5").select("query_id", "item_id", "score", "place")
+
+
+@query(f"SELECT a.vec_id AS a, b.vec_id AS b, round({_DOT}, 6) AS similarity FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE round({_DOT}, 6) >= {CUT}")
+def near_twins(spark, d):
+    return op.twins(vectors(spark, d), "category", CUT)
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE round({_DOT}, 6) >= {CUT}),
+reach(n, m) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.n, e.b FROM reach r JOIN e ON r.m = e.a) SELECT n AS node, min(m) AS root FROM reach GROUP BY n""")
+def dup_components(spark, d):
+    ensure_checkpoint_dir(spark)
+    items = vectors(spark, d)
+    return op.linked_groups(op.twins(items, "category", CUT), items.select(F.col("item_id").alias("node")))
+
+
+@query("""WITH s AS (SELECT label AS owner, i, sum(embedding[i]::DOUBLE) / count(*) AS x FROM embeddings, range(1, 65) t(i) GROUP BY ALL), n AS (SELECT owner, sqrt(sum(x * x)) AS n FROM s GROUP BY owner)
+SELECT owner, list(round(x / n, 6) ORDER BY i) AS taste FROM s JOIN n USING (owner) GROUP BY owner""")
+def taste_vector(spark, d):
+    rows = op.taste(vectors(spark, d), "category", "embedding", 64)
+    return rows.select(F.col("category").alias("owner"), F.transform("taste", lambda x: F.round(x, 6)).alias("taste"))
+
+
+@query("""WITH f AS (SELECT label AS owner, embedding, CASE WHEN vec_id % 7 = 0 THEN 1 WHEN vec_id % 7 = 1 THEN -1 ELSE 0 END AS rating FROM embeddings),
+s AS (SELECT owner, i, sum(embedding[i]::DOUBLE) / count(*) + coalesce(sum(rating * embedding[i]::DOUBLE) FILTER (rating <> 0), 0) AS x FROM f, range(1, 65) t(i) GROUP BY ALL), n AS (SELECT owner, sqrt(sum(x * x)) AS n FROM s GROUP BY owner)
+SELECT owner, list(round(x / n, 6) ORDER BY i) AS taste FROM s JOIN n USING (owner) GROUP BY owner""")
+def taste_with_feedback(spark, d):
+    items = vectors(spark, d)
+    rating = F.when(F.col("item_id") % 7 == 0, 1).when(F.col("item_id") % 7 == 1, -1).otherwise(0)
+    rows = op.taste(items, "category", "embedding", 64, feedback=items.withColumn("rating", rating))
+    return rows.select(F.col("category").alias("owner"), F.transform("taste", lambda x: F.round(x, 6)).alias("taste"))
+
+
+@query(f"""WITH s AS (SELECT a.vec_id AS query_id, b.vec_id AS item_id, round({_DOT}, 6) AS score FROM ({_Q}) a JOIN embeddings b ON a.vec_id <> b.vec_id AND a.label = b.label),
+r AS (SELECT *, score >= {CUT} AS close, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS place FROM s), m AS (SELECT *, bool_or(close) OVER (PARTITION BY query_id) AS any_close FROM r WHERE place <= 8)
+SELECT query_id, item_id, score, place, close, NOT any_close AS nothing_close FROM m WHERE any_close OR place <= 3""")
+def owned_search(spark, d):
+    """The eight best of what one owns, each close or not; where none is close, the three nearest anyway."""
+    hits = op.top_k(queries_of(spark, d), vectors(spark, d), 8, ["category"]).withColumn("close", F.col("score") >= CUT)
+    told = hits.withColumn("nothing_close", ~F.bool_or("close").over(Window.partitionBy("query_id")))
+    return told.filter("not nothing_close or place <= 3").select("query_id", "item_id", "score", "place", "close", "nothing_close")
+
+
+@query("""WITH c AS (SELECT vec_id AS concept, embedding FROM embeddings WHERE vec_id < 8), s AS (SELECT a.vec_id AS item_id, concept, list_inner_product(a.embedding::DOUBLE[], c.embedding::DOUBLE[]) AS x FROM embeddings a, c),
+b AS (SELECT concept, avg(x) AS base FROM s GROUP BY 1), l AS (SELECT item_id, concept, round(x - base, 6) AS lift FROM s JOIN b USING (concept)), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY lift DESC, concept) AS place FROM l) SELECT * FROM r WHERE place <= 3""")
+def concept_top3(spark, d):
+    """Eight vectors stand for concepts; each item's three that it exceeds most."""
+    items = vectors(spark, d)
+    concepts = items.filter("item_id < 8").select(F.col("item_id").alias("concept"), F.col("embedding").alias("c"))
+    base = items.join(F.broadcast(concepts)).groupBy("concept").agg(F.avg(dot(F.col("embedding"), F.col("c"))).alias("base"))
+    return op.concept_ranks(items, concepts, base, 3).select("item_id", "concept", "lift", "place")
+
+
+@query("SELECT count(*) FILTER (embedding IS NULL OR len(embedding) <> 64) AS bad_size, count(*) FILTER (abs(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) - 1) > 0.01) AS not_unit, count(*) - count(DISTINCT vec_id) AS copies FROM embeddings")
+def vector_checks(spark, d):
+    return table(spark, d, "embeddings").agg(
+        F.count_if(F.col("embedding").isNull() | (F.size("embedding") != 64)).alias("bad_size"), F.count_if(F.abs(norm(F.col("embedding")) - 1) > 0.01).alias("not_unit"),
+        (F.count(F.lit(1)) - F.countDistinct("vec_id")).alias("copies"),
+    )
+
+
+@query(f"""WITH s AS (SELECT a.vec_id AS query_id, b.vec_id AS item_id, CASE WHEN b.vec_id % 3 = 0 THEN 'shop' WHEN b.vec_id % 3 = 1 THEN 'dataset' ELSE 'wardrobe' END AS catalogue, round({_DOT}, 6) AS score FROM ({_Q}) a JOIN embeddings b ON a.vec_id <> b.vec_id AND a.label = b.label),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id, catalogue ORDER BY score DESC, item_id) AS place FROM s WHERE catalogue <> 'dataset' OR score < 0.99) SELECT * FROM r WHERE place <= 2""")
+def similar_by_catalogue(spark, d):
+    """The two best of each catalogue, the data set's own picture aside."""
+    kind = F.when(F.col("item_id") % 3 == 0, "shop").when(F.col("item_id") % 3 == 1, "dataset").otherwise("wardrobe")
+    pairs = queries_of(spark, d).join(vectors(spark, d).withColumn("catalogue", kind), "category").filter("query_id <> item_id")
+    scored = pairs.withColumn("score", F.round(dot(F.col("q"), F.col("embedding")), 6)).filter("catalogue <> 'dataset' or score < 0.99")
+    place = F.row_number().over(Window.partitionBy("query_id", "catalogue").orderBy(F.desc("score"), "item_id"))
+    return scored.withColumn("place", place).filter("place <= 2").select("query_id", "item_id", "catalogue", "score", "place")
