@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Accented Latin letters and what they fold to, and two Arabic letters that are mixed up.
 ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
@@ -46,7 +47,7 @@ def fold(text: Column) -> Column:
     return F.regexp_replace(out, "[̀-ًͯ-ْـ]", "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def fold_all(texts: pd.Series) -> pd.Series:
     """The full fold by compatibility decomposition, for the scripts that a table can't list."""
     table = str.maketrans(dict(zip(ARABIC_FROM, ARABIC_TO, strict=True)) | {"ـ": None})
