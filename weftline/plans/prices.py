@@ -26,11 +26,15 @@ j AS (SELECT p.*, CASE WHEN o.n >= 8 THEN o.l ELSE e.l END AS l, CASE WHEN o.n >
 h AS (SELECT *, pct AS a, greatest(pct - 0.25, 0) AS b, least(pct + 0.25, 1) AS c FROM j)"""
 
 
-def _read_sql(x: str) -> str:
+def grid_sql(x: str) -> str:
     """Interpolation at x over the thousandths of the sorted list l, as the held quantiles give it."""
     at = lambda q: f"(l[floor(({q}) * (n - 1))::INTEGER + 1] + (l[least(floor(({q}) * (n - 1))::INTEGER + 2, n)] - l[floor(({q}) * (n - 1))::INTEGER + 1]) * (({q}) * (n - 1) - floor(({q}) * (n - 1))))"
     low, high = f"floor({x} * 1000) / 1000", f"least(floor({x} * 1000) + 1, 1000) / 1000"
-    return f"round_even(round({at(low)} + ({at(high)} - {at(low)}) * ({x} * 1000 - floor({x} * 1000)), 6), 0)"
+    return f"{at(low)} + ({at(high)} - {at(low)}) * ({x} * 1000 - floor({x} * 1000))"
+
+
+def _read_sql(x: str) -> str:
+    return f"round_even(round({grid_sql(x)}, 6), 0)"
 
 
 _BANDED_SQL = _BAND_SQL + f""", r AS (SELECT *, {_read_sql("a")} AS median, {_read_sql("b")} AS lo, {_read_sql("c")} AS hi FROM h),
