@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -93,11 +94,19 @@ def text_evidence(docs: DataFrame, languages: list[str], logp: np.ndarray) -> Da
     return docs.select(*kept, "text").mapInArrow(per_batch(make), shape)
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once: lambdas don't share what they repeat."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda a, b: a + b)
+
+
 def _normalised(logs: Column) -> Column:
     """Probabilities from an array of logs."""
-    top = F.array_max(logs)
-    weights = F.transform(logs, lambda x: F.exp(x - top))
-    return F.transform(weights, lambda w: w / F.aggregate(weights, F.lit(0.0), lambda a, b: a + b))
+    scaled = _bound(logs, lambda ls: _bound(F.array_max(ls), lambda top: F.transform(ls, lambda x: F.exp(x - top))))
+    return _bound(scaled, lambda ws: _bound(_total(ws), lambda t: F.transform(ws, lambda w: w / t)))
 
 
 def _sums(column: str, n: int) -> Column:
@@ -128,8 +137,7 @@ def identify(docs: DataFrame, least: float = 0.5) -> DataFrame:
     globe = (all_sums + 1.0) / (all_sums.sum() + n)
 
     def leaned(sums: str, onto: Column, weight: float) -> Column:
-        total = F.aggregate(sums, F.lit(0.0), lambda a, b: a + b)
-        return F.zip_with(sums, onto, lambda s, o: (s + weight * o) / (total + weight))
+        return _bound(_total(F.col(sums)), lambda t: F.zip_with(sums, onto, lambda s, o: (s + weight * o) / (t + weight)))
 
     whole = F.array(*[F.lit(float(x)) for x in globe])
     suffixes = by_suffix.select(F.col("suffix").alias("_suffix"), leaned("suffix_sums", whole, LEAN_SUFFIX).alias("suffix_prior"))
@@ -141,11 +149,13 @@ def identify(docs: DataFrame, least: float = 0.5) -> DataFrame:
     names = F.array(*[F.lit(x) for x in languages])
     told = tag(F.col("declared"))
     wrong = (1 - TRUST) / max(n - 1, 1)
-    said = F.transform(names, lambda x: F.log(F.when(told.isNull() | ~F.array_contains(names, told), 1.0 / n).when(told == x, TRUST).otherwise(wrong)))
+    unclear = told.isNull() | ~F.array_contains(names, told)
+    said = F.transform(names, lambda x: F.log(F.when(F.col("_unclear"), 1.0 / n).when(F.col("_told") == x, TRUST).otherwise(wrong)))
     fused = F.zip_with(F.zip_with("likelihood", said, lambda a, b: a + b), F.coalesce("_prior", whole), lambda a, b: a + F.log(b))
     best = F.array_max("_posterior")
     return (
         scored.join(hosts, scored["host"].eqNullSafe(hosts["_host"]) & scored["suffix"].eqNullSafe(hosts["_suffix"]), "left")
+        .withColumns({"_told": told, "_unclear": unclear})
         .withColumn("_posterior", _normalised(fused))
         .withColumns({"language": F.element_at(names, F.array_position("_posterior", best).cast("int")), "posterior": best})
         .withColumn("accepted", (F.col("n_grams") > 0) & (F.col("posterior") >= least))

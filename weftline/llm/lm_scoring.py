@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import Counter
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,8 @@ def _hashes(words: list[bytes]) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Layout:
+    """How many shards there are, and the hot contexts in the order of a block's words, BEGIN last."""
+
     shards: int
     hot: tuple[bytes, ...]
 
@@ -45,7 +48,7 @@ class Block:
     """What a set of documents asks of each shard, in an order that doesn't hang on the order of the documents."""
 
     def __init__(self, docs: list[list[bytes]], train: list[bool], layout: Layout):
-        flat = [w for doc in docs for w in doc]
+        flat = list(chain.from_iterable(docs))
         self.words = sorted({*flat, END})
         at = {w: i for i, w in enumerate(self.words)}
         n, end = len(self.words), at[END]
@@ -54,7 +57,7 @@ class Block:
         ids = np.full(int(lengths.sum()) + len(docs), end, dtype=np.int64)
         inner = np.ones(len(ids), dtype=bool)
         inner[stops] = False
-        ids[inner] = np.fromiter((at[w] for w in flat), dtype=np.int64, count=len(flat))
+        ids[inner] = np.fromiter(map(at.__getitem__, flat), dtype=np.int64, count=len(flat))
         before = np.empty_like(ids)
         before[1:] = ids[:-1]
         before[np.concatenate([[0], stops[:-1] + 1])] = n
@@ -62,7 +65,7 @@ class Block:
         learnt = np.repeat(np.array(train, dtype=bool), lengths + 1)
         self.word_counts = np.bincount(ids[learnt], minlength=n).astype(np.uint32)
         hashes = _hashes([*self.words, BEGIN])
-        pairs, self.pair_of, = np.unique(before * n + ids, return_inverse=True)
+        pairs, self.pair_of = np.unique(before * n + ids, return_inverse=True)
         counts = np.bincount(self.pair_of[learnt], minlength=len(pairs)).astype(np.uint32)
         first, second = pairs // n, pairs % n
         prints = hashes[second] >> _U64(64 - SUCCESSOR_BITS)
@@ -72,9 +75,11 @@ class Block:
         shard = np.where(hot[first] >= 0, sliced >> _U64(11), hashes[first]) % _U64(layout.shards)
         self.word_shard = (hashes[:n] % _U64(layout.shards)).astype(np.int64)
         self.word_order = np.argsort(self.word_shard, kind="stable")
-        context = np.where(hot[first] >= 0, n + 1 + hot[first], first)  # in a shard the words' own come first, then the hot
-        self.pair_order = np.lexsort((prints, context, shard))
-        self.pair_shard = shard.astype(np.int64)
+        # pairs stand by their words; in a shard those of its own contexts come first, then the hot, both as they stood
+        context = np.where(hot[first] >= 0, n + 1 + hot[first], first)
+        place = shard * _U64(2) + (hot[first] >= 0)
+        self.pair_order = np.argsort(place.astype(np.uint16 if layout.shards < 1 << 15 else np.int64), kind="stable")
+        self.pair_shard = shard[self.pair_order].astype(np.int64)
         self._parts = context, prints, counts
 
     def questions(self, layout: Layout):
@@ -83,7 +88,7 @@ class Block:
         n = len(self.words)
         shards = np.arange(layout.shards + 1)
         word_cut = np.searchsorted(self.word_shard[self.word_order], shards)
-        pair_cut = np.searchsorted(self.pair_shard[self.pair_order], shards)
+        pair_cut = np.searchsorted(self.pair_shard, shards)
         narrow = prints.view(np.uint8).reshape(-1, 8)[:, : SUCCESSOR_BITS // 8]
         for s in np.flatnonzero((np.diff(word_cut) > 0) | (np.diff(pair_cut) > 0)):
             own = self.word_order[word_cut[s] : word_cut[s + 1]]
@@ -124,9 +129,12 @@ def _answer(table: pa.Table, layout: Layout) -> pa.Table:
     new = np.ones(len(context), dtype=bool)
     new[1:] = (context[1:] != context[:-1]) | (prints[1:] != prints[:-1])
     sums = np.add.reduceat(counts, np.flatnonzero(new)) if len(counts) else counts
-    seen = sums > 0
-    trie = Trie(context[new][seen], prints[new][seen], sums[seen])
-    told = [(np.array([totals[w] for w in words], dtype=np.uint64).tobytes(), trie.codes_of(c, p).tobytes()) for words, c, p, _ in asked]
+    context, prints, seen = context[new], prints[new], sums > 0
+    trie = Trie(context[seen], prints[seen], sums[seen])
+    codes = np.empty(len(order), dtype=np.uint8)
+    codes[order] = trie.codes_of(context, prints)[np.cumsum(new) - 1]  # each pair is looked up once, however many blocks ask
+    ends = np.cumsum([len(a[3]) for a in asked])[:-1]
+    told = [(np.fromiter(map(totals.__getitem__, words), dtype=np.uint64, count=len(words)).tobytes(), own.tobytes()) for (words, *_), own in zip(asked, np.split(codes, ends), strict=True)]
     trie.close()
     distinct = [sum(c > 0 for c in totals.values())] + [0] * (len(rows) - 1)
     return pa.table(
@@ -168,7 +176,7 @@ def _measure(docs: DataFrame) -> tuple[int, int, tuple[bytes, ...]]:
     if whole is None:
         return 0, 0, ()
     hot = sums.filter((F.octet_length("word") > 0) & (F.col("n") >= HOT_SHARE / 2 * whole["total"])).orderBy("word").collect()
-    return whole["n"], whole["learnt"], tuple(sorted({BEGIN, END, *(bytes(r["word"]) for r in hot)}))
+    return whole["n"], whole["learnt"], (*sorted({END, *(bytes(r["word"]) for r in hot)}), BEGIN)
 
 
 def _read(table: pa.Table, layout: Layout) -> tuple[Block, pa.Table]:

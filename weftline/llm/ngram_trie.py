@@ -81,22 +81,24 @@ class EliasFano:
         start = np.where(top > 0, self._select0(np.maximum(top - 1, 0)) - np.maximum(top - 1, 0), 0)
         return start, end
 
-    def find(self, values: np.ndarray, chunk: int = 1 << 15) -> np.ndarray:
-        """The index of each value, or -1."""
+    def find(self, values: np.ndarray, chunk: int = 1 << 16) -> np.ndarray:
+        """The index of each value, or -1: the values of its high part are bounded by two selects and halved from there."""
         out = np.full(len(values), -1, dtype=np.int64)
         mask = _U64((1 << self.low_bits) - 1)
         for c in range(0, len(values) if self.size else 0, chunk):
             v = values[c : c + chunk].astype(np.uint64)
-            at, end = self.bounds((v >> _U64(self.low_bits)).astype(np.int64))
-            todo = np.flatnonzero(at < end)
+            low, high = self.bounds((v >> _U64(self.low_bits)).astype(np.int64))
+            want, end = v & mask, high.copy()
+            todo = np.flatnonzero(low < high)
             while len(todo):
-                low = self.lows(at[todo])
-                want = v[todo] & mask
-                hit = low == want
-                out[c + todo[hit]] = at[todo[hit]]
-                todo = todo[low < want]
-                at[todo] += 1
-                todo = todo[at[todo] < end[todo]]
+                middle = (low[todo] + high[todo]) >> 1
+                less = self.lows(middle) < want[todo]
+                low[todo[less]] = middle[less] + 1
+                high[todo[~less]] = middle[~less]
+                todo = todo[low[todo] < high[todo]]
+            found = np.flatnonzero(low < end)
+            found = found[self.lows(low[found]) == want[found]]
+            out[c + found] = low[found]
         return out
 
     def values(self) -> np.ndarray:
@@ -134,7 +136,7 @@ class Trie:
                 out.write(part.tobytes())
                 out.write(bytes(-out.tell() % 8))
         for name, part in parts.items():
-            own = np.memmap(self.path, dtype=part.dtype, mode="r", offset=places[name], shape=part.shape) if part.size else part
+            own = np.asarray(np.memmap(self.path, dtype=part.dtype, mode="r", offset=places[name], shape=part.shape)) if part.size else part
             level, _, field = name.partition(".")
             if field:
                 setattr(getattr(self, level), field, own)

@@ -15,7 +15,6 @@ from .common import as_bytes, per_batch, settle
 LEAST_WORDS = 20
 #: A sentence ends after . ! ? before white space, or with its line; one of more words is cut each so many.
 MOST_WORDS = 16
-SALTS = 16
 
 _WORDS = re.compile(rb"[^\x20\x09-\x0d]+")
 _LINES = re.compile(rb"[^\n]+")
@@ -63,45 +62,45 @@ def runs(parts: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
     return sorted(found)
 
 
+def hashed_runs(text: bytes, parts: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """(hash, first, last) of each run; the hash is 96 bits of the run's words, white space taken as one space."""
+    plain = [b" ".join(text[a:b].split()) for a, b, _ in parts]
+    return [(xxhash.xxh3_128_intdigest(b" ".join(plain[first : last + 1])) >> 32, first, last) for first, last in runs(parts)]
+
+
+def _signed(h: int) -> int:
+    return (h >> 32) - (1 << 63)
+
+
 def _runs_of(docs: DataFrame) -> DataFrame:
-    """(hi, lo, doc_id, row, first, last) of each run; the hash is 128 bits of the run's words, white space as one space."""
+    """(h, more, doc_id): each different run of each text once."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def make():
         def turn(batch: pa.RecordBatch) -> pa.RecordBatch:
-            his, los, at, firsts, lasts = [], [], [], [], []
+            hashes, rest, at = [], [], []
             for i, text in enumerate(as_bytes(batch.column("text"))):
-                parts = sentences(text)
-                plain = [b" ".join(text[a:b].split()) for a, b, _ in parts]
-                for first, last in runs(parts):
-                    h = xxhash.xxh3_128_intdigest(b" ".join(plain[first : last + 1]))
-                    his.append((h >> 64) - (1 << 63))
-                    los.append((h & 0xFFFFFFFFFFFFFFFF) - (1 << 63))
+                for h in {h for h, _, _ in hashed_runs(text, sentences(text))}:
+                    hashes.append(_signed(h))
+                    rest.append((h & 0xFFFFFFFF) - (1 << 31))
                     at.append(i)
-                    firsts.append(first)
-                    lasts.append(last)
-            where = pa.array(at, pa.int32())
-            columns = [pa.array(his, pa.int64()), pa.array(los, pa.int64()), batch.column("doc_id").take(where), batch.column("mark").take(where), pa.array(firsts, pa.int32()), pa.array(lasts, pa.int32())]
-            return pa.RecordBatch.from_arrays(columns, ["hi", "lo", "doc_id", "mark", "first", "last"])
+            columns = [pa.array(hashes, pa.int64()), pa.array(rest, pa.int32()), batch.column("doc_id").take(pa.array(at, pa.int32()))]
+            return pa.RecordBatch.from_arrays(columns, ["h", "more", "doc_id"])
 
         return turn
 
-    marked = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text")
-    return marked.mapInArrow(per_batch(make), f"hi long, lo long, doc_id {kind}, mark long, first int, last int")
+    return docs.select("doc_id", "text").mapInArrow(per_batch(make), f"h long, more int, doc_id {kind}")
 
 
 def repeated_runs(docs: DataFrame) -> DataFrame:
-    """(doc_id, mark, first, last) of each run that stands earlier too, by doc_id (null first), the text's hash, and place.
+    """(doc_id, h) of each run that a document of lesser doc_id has too.
 
-    Runs are counted first, with partial sums before the shuffle, and only those found twice meet their places again; that
-    join deals each hash to SALTS tasks, as boilerplate may stand in a third of all documents.
+    Runs are counted with partial sums before the shuffle. Those of two texts or more are written out, so that both sides of
+    the join back are plain shuffles, of which Spark splits a partition that boilerplate of very many documents swells.
     """
-    found = settle(_runs_of(docs), "runs")
-    place = F.struct("doc_id", "mark", "first")
-    twice = found.groupBy("hi", "lo").agg(F.min(place).alias("origin"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    dealt = twice.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = found.withColumn("salt", F.pmod(F.xxhash64("doc_id", "first"), F.lit(SALTS)).cast("int"))
-    return salted.join(dealt, ["hi", "lo", "salt"]).filter(~place.eqNullSafe(F.col("origin"))).select("doc_id", "mark", "first", "last")
+    counted = _runs_of(docs).groupBy("h", "more").agg(F.min("doc_id").alias("origin"), F.count(F.lit(1)).alias("n"))
+    twice = settle(counted.filter("n > 1").select("h", "more", "origin"), "repeats")
+    return _runs_of(docs).join(twice, ["h", "more"]).filter(~F.col("doc_id").eqNullSafe(F.col("origin"))).select("doc_id", "h")
 
 
 def cut_repeats(docs: DataFrame) -> DataFrame:
@@ -110,41 +109,24 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
 
     The first is that of the least doc_id, then within a text the earliest. White space doesn't tell runs apart, case and
     marks do. A text of under LEAST_WORDS words or two sentences has no run. Null text stays null, empty stays empty.
-    Rows that repeat an id and text share their places, so none of them counts as a repeat of the other. A text from
-    which all is cut is empty. Other columns aren't read.
+    Rows of one doc_id are versions of one document and not repeats of each other; without an id they come last. A text
+    from which all is cut is left with white space. Other columns aren't read.
     """
-    bad = repeated_runs(docs).groupBy("doc_id", "mark").agg(F.collect_set(F.struct("first", "last")).alias("bad"))
+    bad = repeated_runs(docs).groupBy("doc_id").agg(F.collect_set("h").alias("bad")).withColumnRenamed("doc_id", "_doc")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    marked = docs.select("doc_id", "text", F.xxhash64("text").alias("mark"))
-    bad = bad.select(F.col("doc_id").alias("_doc"), F.col("mark").alias("_mark"), "bad")
-    joined = marked.join(bad, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("mark") == F.col("_mark")), "left").select("doc_id", "text", F.col("bad.first").alias("firsts"), F.col("bad.last").alias("lasts"))
+    joined = docs.select("doc_id", "text").join(bad, F.col("doc_id").eqNullSafe(F.col("_doc")), "left").select("doc_id", "text", "bad")
 
     def make():
         def turn(batch: pa.RecordBatch) -> pa.RecordBatch:
             counts, gone, spans, clean = [], [], [], []
-            rows = zip(as_bytes(batch.column("text")), batch.column("text").is_valid().to_pylist(), batch.column("firsts").to_pylist(), batch.column("lasts").to_pylist(), strict=True)
-            for text, there, firsts, lasts in rows:
+            for text, there, bad in zip(as_bytes(batch.column("text")), batch.column("text").is_valid().to_pylist(), batch.column("bad").to_pylist(), strict=True):
                 parts = sentences(text)
-                cut = sorted({i for a, b in zip(firsts or (), lasts or (), strict=True) for i in range(a, b + 1)})
-                stretches: list[list[int]] = []
-                for i in cut:
-                    if stretches and stretches[-1][1] == i - 1:
-                        stretches[-1][1] = i
-                    else:
-                        stretches.append([i, i])
-                kept, at, chars, listed = [], 0, 0, []
-                for a, b in stretches:
-                    start, end = parts[a][0], parts[b][1]
-                    kept.append(text[at:start])
-                    chars += len(text[at:start].decode("utf-8", "replace"))
-                    size = len(text[start:end].decode("utf-8", "replace"))
-                    listed.append(f"{chars}:{chars + size}")
-                    chars, at = chars + size, end
-                kept.append(text[at:])
+                cut = _sentences_to_cut(hashed_runs(text, parts), set(bad or ()))
+                pieces, listed = _without(text, parts, cut)
                 counts.append(len(parts))
                 gone.append(len(cut))
-                spans.append(",".join(listed))
-                clean.append(b"".join(kept).decode("utf-8", "replace") if there else None)
+                spans.append(listed)
+                clean.append(pieces.decode("utf-8", "replace") if there else None)
             columns = [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.string()), pa.array(clean, pa.string())]
             return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_sentences", "n_removed", "removed", "clean_text"])
 
@@ -153,5 +135,34 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
     return joined.mapInArrow(per_batch(make), f"doc_id {kind}, n_sentences long, n_removed long, removed string, clean_text string")
 
 
+def _sentences_to_cut(found: list[tuple[int, int, int]], bad: set[int]) -> list[int]:
+    """Sentences of runs that are bad or stand earlier in the same text."""
+    seen, cut = set(), set()
+    for h, first, last in found:
+        if h in seen or _signed(h) in bad:
+            cut.update(range(first, last + 1))
+        seen.add(h)
+    return sorted(cut)
+
+
+def _without(text: bytes, parts: list[tuple[int, int, int]], cut: list[int]) -> tuple[bytes, str]:
+    """text without the sentences cut, and where they stood."""
+    stretches: list[list[int]] = []
+    for i in cut:
+        if stretches and stretches[-1][1] == i - 1:
+            stretches[-1][1] = i
+        else:
+            stretches.append([i, i])
+    kept, at, chars, listed = [], 0, 0, []
+    for a, b in stretches:
+        start, end = parts[a][0], parts[b][1]
+        kept.append(text[at:start])
+        chars += len(text[at:start].decode("utf-8", "replace"))
+        size = len(text[start:end].decode("utf-8", "replace"))
+        listed.append(f"{chars}:{chars + size}")
+        chars, at = chars + size, end
+    return b"".join([*kept, text[at:]]), ",".join(listed)
+
+
 def op2_substring_dedup(spark, sf_dir: str) -> DataFrame:
     return cut_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
