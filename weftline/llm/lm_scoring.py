@@ -16,7 +16,7 @@ from .common import as_bytes, id_crc, settle
 from .ngram_trie import SUCCESSOR_BITS, Trie, dequantise
 
 #: Bytes of text that a block of documents has about; as many shards hold the model.
-BLOCK_BYTES = 6_000_000
+BLOCK_BYTES = 9_000_000
 #: A word with this share of all tokens is a hot context, whose successors are dealt to SLICES shards. There are at most
 #: 1 / HOT_SHARE such words.
 HOT_SHARE, SLICES = 0.0005, 16
@@ -69,8 +69,11 @@ class Block:
         counts = np.bincount(self.pair_of[learnt], minlength=len(pairs)).astype(np.uint32)
         first, second = pairs // n, pairs % n
         prints = hashes[second] >> _U64(64 - SUCCESSOR_BITS)
-        hot_rank = {w: i for i, w in enumerate(layout.hot)}
-        hot = np.array([hot_rank.get(w, -1) for w in (*self.words, BEGIN)], dtype=np.int64)
+        at[BEGIN] = n
+        hot = np.full(n + 1, -1, dtype=np.int64)
+        for i, w in enumerate(layout.hot):
+            if w in at:
+                hot[at[w]] = i
         sliced = hashes[first] + (prints % _U64(SLICES) + _U64(1)) * _U64(0x9E3779B97F4A7C15)
         shard = np.where(hot[first] >= 0, sliced >> _U64(11), hashes[first]) % _U64(layout.shards)
         self.word_shard = (hashes[:n] % _U64(layout.shards)).astype(np.int64)
@@ -172,6 +175,7 @@ def _measure(docs: DataFrame) -> tuple[int, int, tuple[bytes, ...]]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.binary(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["word", "n", "learnt", "total"])
 
     sums = docs.mapInArrow(tally, "word binary, n long, learnt long, total long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("learnt").alias("learnt"), F.sum("total").alias("total"))
+    sums = settle(sums, "tally")  # read twice, counted once
     whole = sums.filter(F.octet_length("word") == 0).first()
     if whole is None:
         return 0, 0, ()
