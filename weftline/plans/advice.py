@@ -139,7 +139,7 @@ def served_median(spark, d):
     rows = table(spark, d, "part").select("p_partkey", F.col("p_brand").alias("channel"), F.lit("x").alias("category"), (F.col("p_partkey") * 31 % 97).alias("score"), F.col("p_retailprice").alias("price"))
     ref = references(rows, "channel", "category", "price").filter("category = '*'").select("channel", "prices", "n")
     ranked = average_ranks(rows, "score", ["channel"], "rk").join(ref, "channel")
-    return ranked.select("p_partkey", F.round(quantile_at(F.col("prices"), (F.col("rk") - 0.5) / F.col("n")), 4).alias("served"))
+    return ranked.select("p_partkey", F.round(F.round(quantile_at(F.col("prices"), (F.col("rk") - 0.5) / F.col("n")), 9), 4).alias("served"))
 
 
 @query("""WITH a AS (SELECT vec_id, label, embedding[1] AS x FROM embeddings), r AS (SELECT *, (rank() OVER (PARTITION BY label ORDER BY x) - 1)::DOUBLE / count(*) OVER (PARTITION BY label) AS pct FROM a) SELECT vec_id, round(pct, 6) AS pct, pct < 0.1 AS worn_hint FROM r""")
