@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import Counter
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, id_crc, settle
+from .common import id_crc, settle
 from .ngram_trie import SUCCESSOR_BITS, Trie, dequantise
 
 #: Bytes of text that a block of documents has about; as many shards hold the model.
@@ -28,8 +29,17 @@ END, BEGIN = b"\n", b"\r"
 _U64 = np.uint64
 
 
-def tokens_of(text: bytes) -> list[bytes]:
-    return text.lower().split()
+def _flat(parts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All words of an array of lists one after another, empty ones left out, and how many each list has."""
+    words = parts.flatten().cast(pa.binary())
+    full = pc.greater(pc.binary_length(words), 0)
+    owner = np.repeat(np.arange(len(parts)), parts.value_lengths().to_numpy(zero_copy_only=False))
+    return words.filter(full), np.bincount(owner[full.to_numpy(zero_copy_only=False)], minlength=len(parts))
+
+
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The white-space words of all texts, A-Z lower-cased, and how many each text has."""
+    return _flat(pc.ascii_split_whitespace(pc.ascii_lower(texts)))
 
 
 def _hashes(words: list[bytes]) -> np.ndarray:
@@ -47,33 +57,37 @@ class Layout:
 class Block:
     """What a set of documents asks of each shard, in an order that doesn't hang on the order of the documents."""
 
-    def __init__(self, docs: list[list[bytes]], train: list[bool], layout: Layout):
-        flat = list(chain.from_iterable(docs))
-        self.words = sorted({*flat, END})
-        at = {w: i for i, w in enumerate(self.words)}
-        n, end = len(self.words), at[END]
-        lengths = np.array([len(d) for d in docs], dtype=np.int64)
+    def __init__(self, texts: pa.Array, train: np.ndarray, layout: Layout):
+        flat, lengths = words_of(texts)
+        coded = flat.dictionary_encode()
+        found = pa.concat_arrays([coded.dictionary, pa.array([END])])
+        order = pc.array_sort_indices(found).to_numpy()
+        self.words = found.take(pa.array(order)).to_pylist()
+        n = len(self.words)
+        place_of = np.empty(n, dtype=np.int64)
+        place_of[order] = np.arange(n)
+        self.end = int(place_of[-1])
         stops = np.cumsum(lengths + 1) - 1
-        ids = np.full(int(lengths.sum()) + len(docs), end, dtype=np.int64)
+        ids = np.full(len(flat) + len(texts), self.end, dtype=np.int64)
         inner = np.ones(len(ids), dtype=bool)
         inner[stops] = False
-        ids[inner] = np.fromiter(map(at.__getitem__, flat), dtype=np.int64, count=len(flat))
+        ids[inner] = place_of[coded.indices.to_numpy()]
         before = np.empty_like(ids)
         before[1:] = ids[:-1]
         before[np.concatenate([[0], stops[:-1] + 1])] = n
         self.ids, self.before, self.starts = ids, before, np.concatenate([[0], stops[:-1] + 1])
-        learnt = np.repeat(np.array(train, dtype=bool), lengths + 1)
+        learnt = np.repeat(train, lengths + 1)
         self.word_counts = np.bincount(ids[learnt], minlength=n).astype(np.uint32)
         hashes = _hashes([*self.words, BEGIN])
         pairs, self.pair_of = np.unique(before * n + ids, return_inverse=True)
         counts = np.bincount(self.pair_of[learnt], minlength=len(pairs)).astype(np.uint32)
         first, second = pairs // n, pairs % n
         prints = hashes[second] >> _U64(64 - SUCCESSOR_BITS)
-        at[BEGIN] = n
         hot = np.full(n + 1, -1, dtype=np.int64)
         for i, w in enumerate(layout.hot):
-            if w in at:
-                hot[at[w]] = i
+            at = n if w == BEGIN else bisect_left(self.words, w)
+            if at == n or self.words[at] == w:
+                hot[at] = i
         sliced = hashes[first] + (prints % _U64(SLICES) + _U64(1)) * _U64(0x9E3779B97F4A7C15)
         shard = np.where(hot[first] >= 0, sliced >> _U64(11), hashes[first]) % _U64(layout.shards)
         self.word_shard = (hashes[:n] % _U64(layout.shards)).astype(np.int64)
@@ -113,20 +127,22 @@ _TOLD = "shard int, block int, word_counts binary, codes binary, distinct long"
 
 def _answer(table: pa.Table, layout: Layout) -> pa.Table:
     """One shard: sum what all blocks count, build the trie, and look up for each block the words and pairs that it named."""
-    rows = table.sort_by("block").to_pylist()
-    totals: Counter[bytes] = Counter()
-    hot_hashes = _hashes(list(layout.hot))
+    table = table.sort_by("block")
+    words, lengths = _flat(pc.split_pattern(table.column("words").combine_chunks(), " "))
+    coded = words.dictionary_encode()
+    word = coded.indices.to_numpy()
+    rows = table.drop_columns(["words"]).to_pylist()
+    named = np.frombuffer(b"".join(r["word_counts"] for r in rows), np.uint32)
+    totals = np.bincount(word, weights=named, minlength=len(coded.dictionary)).astype(np.uint64)
+    cuts = np.cumsum(lengths)[:-1]
+    hashes, hot_hashes = np.split(_hashes(coded.dictionary.to_pylist())[word], cuts), _hashes(list(layout.hot))
     asked = []
-    for r in rows:
-        words = r["words"].split(b" ") if r["words"] else []
-        named = np.frombuffer(r["word_counts"], np.uint32).tolist()
-        for w, c in zip(words, named, strict=True):
-            totals[w] += c
+    for r, own in zip(rows, hashes, strict=True):
         prints = np.zeros((len(r["counts"]) // 4, 8), dtype=np.uint8)
         prints[:, : SUCCESSOR_BITS // 8] = np.frombuffer(r["prints"], np.uint8).reshape(len(prints), -1)
-        context = np.concatenate([np.repeat(_hashes(words), np.frombuffer(r["runs"], np.uint32)), np.repeat(hot_hashes[np.frombuffer(r["hot"], np.uint16)], np.frombuffer(r["hot_runs"], np.uint32))])
-        asked.append((words, context, prints.view(np.uint64)[:, 0], np.frombuffer(r["counts"], np.uint32).astype(np.int64)))
-    context, prints, counts = (np.concatenate([a[k] for a in asked]) for k in (1, 2, 3))
+        context = np.concatenate([np.repeat(own, np.frombuffer(r["runs"], np.uint32)), np.repeat(hot_hashes[np.frombuffer(r["hot"], np.uint16)], np.frombuffer(r["hot_runs"], np.uint32))])
+        asked.append((context, prints.view(np.uint64)[:, 0], np.frombuffer(r["counts"], np.uint32).astype(np.int64)))
+    context, prints, counts = map(np.concatenate, zip(*asked, strict=True))
     order = np.lexsort((prints, context))
     context, prints, counts = context[order], prints[order], counts[order]
     new = np.ones(len(context), dtype=bool)
@@ -136,10 +152,10 @@ def _answer(table: pa.Table, layout: Layout) -> pa.Table:
     trie = Trie(context[seen], prints[seen], sums[seen])
     codes = np.empty(len(order), dtype=np.uint8)
     codes[order] = trie.codes_of(context, prints)[np.cumsum(new) - 1]  # each pair is looked up once, however many blocks ask
-    ends = np.cumsum([len(a[3]) for a in asked])[:-1]
-    told = [(np.fromiter(map(totals.__getitem__, words), dtype=np.uint64, count=len(words)).tobytes(), own.tobytes()) for (words, *_), own in zip(asked, np.split(codes, ends), strict=True)]
+    ends = np.cumsum([len(a[2]) for a in asked])[:-1]
+    told = [(w.tobytes(), own.tobytes()) for w, own in zip(np.split(totals[word], cuts), np.split(codes, ends), strict=True)]
     trie.close()
-    distinct = [sum(c > 0 for c in totals.values())] + [0] * (len(rows) - 1)
+    distinct = [int((totals > 0).sum())] + [0] * (len(rows) - 1)
     return pa.table(
         [pa.array([r["shard"] for r in rows], pa.int32()), pa.array([r["block"] for r in rows], pa.int32()), *(pa.array([t[k] for t in told], pa.binary()) for k in (0, 1)), pa.array(distinct, pa.int64())],
         ["shard", "block", "word_counts", "codes", "distinct"],
@@ -153,24 +169,30 @@ def _measure(docs: DataFrame) -> tuple[int, int, tuple[bytes, ...]]:
     """
 
     def tally(batches):
-        seen: Counter[bytes] = Counter()
+        seen: list[pa.Table] = []
+        found: Counter[bytes] = Counter()
         size = learnt = total = 0
 
+        def summed():
+            return pa.concat_tables(seen).group_by("word", use_threads=False).aggregate([("n", "sum")]).select(["word", "n_sum"]).rename_columns(["word", "n"])
+
         def named():
-            return [(w, c) for w, c in seen.items() if c >= HOT_SHARE * total]
+            often = summed().filter(pc.field("n") >= HOT_SHARE * total) if seen else None
+            found.update(dict(zip(*often.to_pydict().values(), strict=True)) if seen else {})
 
-        found: Counter[bytes] = Counter()
         for batch in batches:
-            for text, held in zip(as_bytes(batch.column("text")), batch.column("held_out").to_pylist(), strict=True):
-                words = tokens_of(text)
-                size += len(text)
-                total += len(words) + 1
-                learnt += 0 if held else len(words) + 1
-                seen.update(words)
-                if len(seen) > 1_000_000:
-                    found.update(dict(named()))
-                    seen.clear()
-        found.update(dict(named()))
+            words, lengths = words_of(batch.column("text"))
+            own = lengths + 1
+            size += pc.sum(pc.binary_length(batch.column("text"))).as_py() or 0
+            total += int(own.sum())
+            learnt += int(own[~batch.column("held_out").to_numpy(zero_copy_only=False)].sum())
+            seen.append(pa.table(words.value_counts().flatten(), ["word", "n"]))
+            if sum(t.num_rows for t in seen) > 2_000_000:
+                seen = [summed()]
+                if seen[0].num_rows > 1_000_000:
+                    named()
+                    seen = []
+        named()
         rows = [(b"", size, learnt, total), *((w, c, 0, 0) for w, c in found.items() if c >= HOT_SHARE / 2 * total)]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.binary(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["word", "n", "learnt", "total"])
 
@@ -183,9 +205,8 @@ def _measure(docs: DataFrame) -> tuple[int, int, tuple[bytes, ...]]:
     return whole["n"], whole["learnt"], (*sorted({END, *(bytes(r["word"]) for r in hot)}), BEGIN)
 
 
-def _read(table: pa.Table, layout: Layout) -> tuple[Block, pa.Table]:
-    docs = [tokens_of(t) for t in as_bytes(table.column("text").combine_chunks())]
-    return Block(docs, [not h for h in table.column("held_out").to_pylist()], layout), table
+def _read(table: pa.Table, layout: Layout) -> Block:
+    return Block(table.column("text").combine_chunks(), ~table.column("held_out").to_numpy(), layout)
 
 
 def score_texts(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -209,7 +230,7 @@ def score_texts(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(layout)
 
     def ask(table: pa.Table) -> pa.Table:
-        block, _ = _read(table, shared.value)
+        block = _read(table, shared.value)
         own = table.column("block")[0].as_py()
         rows = [(s, own, *rest) for s, *rest in block.questions(shared.value)]
         types = [pa.int32(), pa.int32(), *[pa.binary()] * 7]
@@ -223,7 +244,7 @@ def score_texts(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return pa.table([pa.array([], t) for t in (left.schema.field("doc_id").type, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())], names)
-        block, _ = _read(left, shared.value)
+        block = _read(left, shared.value)
         right = right.sort_by("shard")
         counts, codes = (np.concatenate([np.frombuffer(b, t) for b in right.column(c).to_pylist()]) for c, t in (("word_counts", np.uint64), ("codes", np.uint8)))
         known = np.empty(len(block.words), dtype=np.float64)
@@ -231,7 +252,7 @@ def score_texts(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
         pairs = np.empty(len(codes), dtype=np.float64)
         pairs[block.pair_order] = dequantise(codes)
         base = (known + 1) / whole
-        ends = known[block.words.index(END)]  # as many texts began
+        ends = known[block.end]  # as many texts began
         context = np.append(known, ends)[block.before]
         own = np.log10((pairs[block.pair_of] + PRIOR_WORDS * base[block.ids]) / (context + PRIOR_WORDS))
         by_doc = lambda x: np.add.reduceat(x, block.starts)

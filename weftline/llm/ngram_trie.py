@@ -71,9 +71,13 @@ class EliasFano:
     def _select0(self, k: np.ndarray) -> np.ndarray:
         """Places of the zeros with numbers k."""
         word = np.searchsorted(self.zeros, k, side="right") - 1
-        bits = np.unpackbits((~self.high[word]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        inner = np.argmax(np.cumsum(bits, axis=1, dtype=np.uint8) > (k - self.zeros[word])[:, None], axis=1)
-        return word * 64 + inner
+        bits, left, inner = ~self.high[word], k - self.zeros[word], np.zeros(len(k), dtype=np.uint64)
+        for half in (32, 16, 8, 4, 2, 1):
+            here = np.bitwise_count((bits >> inner) & _U64((1 << half) - 1))
+            past = here <= left
+            left = left - here * past
+            inner += past * _U64(half)
+        return word * 64 + inner.astype(np.int64)
 
     def bounds(self, top: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The indexes between which values with high part top stand."""
