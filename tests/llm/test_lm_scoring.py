@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -39,6 +40,15 @@ def test_trie_against_a_dictionary():
     trie.close()
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from("aBÉİ \t\n\x0b\x0c\r\x1c\x1f\x85\xa0\u2028\x00.")), max_size=20))
+def test_words_against_plain_split(texts):
+    words, lengths = L.words_of(pa.array(texts, pa.string()))
+    want = [t.encode().lower().split() for t in texts]
+    assert words.to_pylist() == [w for own in want for w in own]
+    assert lengths.tolist() == list(map(len, want))
+
+
 def brute(rows):
     learnt, pairs, heads = Counter(), Counter(), 0
     texts = {}
