@@ -1,4 +1,5 @@
 import random
+import zlib
 
 import pytest
 
@@ -86,3 +87,41 @@ def test_edges(spark):
 @pytest.mark.parametrize("text,count", [("A b c.\nD e! F g?", 3), (" ".join(["w"] * 33), 3), ("  \n ", 0)])
 def test_sentences(text, count):
     assert len(S.sentences(text.encode())) == count
+
+
+@pytest.mark.parametrize("glue,letters", [(" ", None), ("", [chr(0x4E00 + i) for i in range(3000)]), ("", [chr(0x0E01 + i) for i in range(40)])])
+def test_a_passage_without_marks_is_cut_alike_after_any_lead_in(spark, glue, letters):
+    rng = random.Random(11)
+    draw = (lambda n: words(rng, n).split()) if letters is None else (lambda n: rng.choices(letters, k=n))
+    for trial in range(3):
+        passage = draw(55)
+        rows = [(i, glue.join([*draw(3 + 2 * i), *passage, *draw(9 - i)])) for i in range(8)]
+        got = {r["doc_id"]: r["clean_text"] for r in S.cut_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert got[0] == rows[0][1]
+        for i in range(1, 8):
+            gone = len(rows[i][1].split(" ")) - len(got[i].split()) if glue else len(rows[i][1]) - len(got[i])
+            assert gone >= 55 - 2 * S.WINDOW - 1, (trial, i, gone)
+
+
+def test_sentences_of_other_scripts():
+    rng = random.Random(12)
+    for mark in "\u3002\uff01\uff1f\u061f\u06d4\u0964\u0589\u1362\u104b\u17d4\u0f0d":
+        assert len(S.sentences(f"ab cd{mark} ef gh{mark} ij".encode())) == 3
+    han = "".join(chr(rng.randint(0x4E00, 0x9FFF)) for _ in range(9))
+    assert [w for _, _, w in S.sentences(f"{han}\u3002ab cd {han}".encode())] == [10, 11]
+    text = ("yes no " * 24).encode()
+    assert len({text[a:b].split()[-1] for a, b, _ in S.sentences(text)[:-1]}) == 1
+
+
+def test_pieces_follow_the_least_of_every_window():
+    rng = random.Random(13)
+    for _ in range(100):
+        text = " ".join(rng.choices("abcdefghijklmnopqrstuvwxyz"[: rng.choice([2, 5, 26])], k=rng.randint(17, 120))).encode()
+        found = S.sentences(text)
+        assert b" ".join(text[a:b] for a, b, _ in found) == text and max(n for _, _, n in found) <= S.MOST_WORDS
+        ends, plain = {b for _, b, _ in found}, text.split()
+        hashes = [zlib.crc32(b, zlib.crc32(a)) for a, b in zip(plain, plain[1:], strict=False)]
+        for i in range(len(hashes) - S.WINDOW + 1):
+            near = hashes[i : i + S.WINDOW]
+            if near.count(min(near)) == 1:
+                assert 2 * (i + near.index(min(near))) + 3 in ends

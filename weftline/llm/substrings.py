@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import zlib
 
 import pyarrow as pa
 import xxhash
@@ -13,27 +14,77 @@ from .common import as_bytes, per_batch, settle
 
 #: A run is the shortest of at least two sentences with at least so many words, from each sentence on and up to each.
 LEAST_WORDS = 20
-#: A sentence ends after . ! ? before white space, or with its line; one of more words is cut each so many.
+#: A sentence ends after a full stop, exclamation or question mark of any script below, or with its line; one of more words
+#: is cut where the words themselves say (pieces()), so that a passage is cut alike wherever it stands.
 MOST_WORDS = 16
-
+#: Of each so many words in a row, the one that hashes least with the word before it ends a piece. Any passage of LEAST_WORDS
+#: + 2 * WINDOW + 1 = 49 words without a mark then has a run of its own, and all but WINDOW words at its ends goes.
+WINDOW = 14
+
+#: A character of a script without spaces (Thai, Lao, Tibetan, Burmese, Khmer, kana, Han and their marks) is a word of its own.
+_UNSPACED = re.compile(
+    rb"(?:\xe0[\xb8-\xbf]|\xe1(?:[\x80\x81\x9e\x9f]|\x82(?=[\x80-\x9f]))|\xe2[\xba-\xbf]|\xe3[\x80-\xbf]|[\xe4-\xe9][\x80-\xbf]|\xef[\xa4-\xab\xbc\xbd])[\x80-\xbf]"
+    rb"|\xf0[\xa0-\xb3][\x80-\xbf]{2}"
+)
+_HIGH = re.compile(rb"[\xe0\xe1\xe3-\xe9\xef\xf0]|\xe2[\xba-\xbf]")
 _WORDS = re.compile(rb"[^\x20\x09-\x0d]+")
-_LINES = re.compile(rb"[^\n]+")
+_MIXED = re.compile(rb"%b|(?:[^\x20\x09-\x0d\xe0-\xf0]|(?!%b)[\xe0-\xf0])+" % (_UNSPACED.pattern, _UNSPACED.pattern))
+#: Where a sentence or a line stops: a mark at the end of a word. Marks of other scripts: Armenian, Arabic, Urdu, Devanagari,
+#: Ethiopic; and of those without spaces, Han and full width, Burmese, Khmer, Tibetan.
+_STOPS_ASCII = re.compile(rb"[.!?\n](?:(?<=\n)|(?![^\x20\x09-\x0d]))")
+_STOPS = re.compile(
+    rb"\n|(?:[.!?]|\xd6\x89|\xd8\x9f|\xdb\x94|\xe0\xa5[\xa4\xa5]|\xe1\x8d[\xa2\xa7])(?:(?![^\x20\x09-\x0d])|(?=%b))"
+    rb"|\xe3\x80\x82|\xef\xbc[\x81\x8e\x9f]|\xef\xbd\xa1|\xe1\x81\x8b|\xe1\x9f[\x94\x95]|\xe0\xbc\x8d" % _UNSPACED.pattern
+)
 
 
 def sentences(text: bytes) -> list[tuple[int, int, int]]:
     """(start, end, words) of each sentence, in bytes, from its first word to its last."""
     out = []
-    for line in _LINES.finditer(text):
-        start, words, end = -1, 0, 0
-        for m in _WORDS.finditer(text, line.start(), line.end()):
-            if not words:
-                start = m.start()
-            words, end = words + 1, m.end()
-            if words == MOST_WORDS or text[end - 1] in b".!?":
-                out.append((start, end, words))
-                words = 0
-        if words:
-            out.append((start, end, words))
+    ascii_only = text.isascii()
+    spaced = ascii_only or not _HIGH.search(text) or not _UNSPACED.search(text)
+    at = 0
+    for stop in [*[m.end() for m in (_STOPS_ASCII if ascii_only else _STOPS).finditer(text)], len(text)]:
+        part = text[at:stop]
+        n = len(part.split()) if spaced else sum(1 for _ in _MIXED.finditer(part))
+        if n > MOST_WORDS:
+            out += pieces(text, [m.span() for m in (_WORDS if spaced else _MIXED).finditer(text, at, stop)])
+        elif n:
+            out.append((at + len(part) - len(part.lstrip()), at + len(part.rstrip()), n))
+        at = stop
+    return out
+
+
+def pieces(text: bytes, words: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """(start, end, words) of a sentence, or of its pieces if it has over MOST_WORDS words.
+
+    A cut follows each word that has the one least hash of some WINDOW words in a row, so it hangs on those words alone and
+    pieces have up to WINDOW words. Where words repeat so that none is least, the last least one of each MOST_WORDS ends a piece.
+    """
+    n = len(words)
+    if n <= MOST_WORDS:
+        return [(words[0][0], words[-1][1], n)]
+    plain = [text[a:b] for a, b in words]
+    hashes = [1 << 32, *map(zlib.crc32, plain[1:], map(zlib.crc32, plain))]
+    cuts, i = {n - 1}, 1
+    while i <= n - WINDOW:
+        near = hashes[i : i + WINDOW]
+        least = min(near)
+        if near.count(least) > 1:
+            i += 1
+            continue
+        at = i + near.index(least)
+        cuts.add(at)
+        # the next window to look at is the first with a hash as small, or that without this one
+        i = next((j - WINDOW + 1 for j in range(i + WINDOW, min(at + WINDOW, n)) if hashes[j] <= least), at + 1)
+    out, start = [], 0
+    for cut in sorted(cuts):
+        while cut - start >= MOST_WORDS:
+            at = min(range(start, start + MOST_WORDS), key=lambda i: (hashes[i], -i))
+            out.append((words[start][0], words[at][1], at - start + 1))
+            start = at + 1
+        out.append((words[start][0], words[cut][1], cut - start + 1))
+        start = cut + 1
     return out
 
 
