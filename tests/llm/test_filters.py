@@ -123,6 +123,22 @@ def test_masking_leaves_no_base_span(spark):
         assert out[i]["text"] == t or plain_spans(t)
 
 
+def test_masking_takes_whole_private_keys(spark):
+    rng = random.Random(4)
+    lines = ["".join(rng.choices("ABCDEFGHabcdefgh0123456789+/", k=64)) for _ in range(24)] + ["AKIA" + "A1" * 30, "0123456789abcdef" * 4, "Zm9vYmE="]
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    head = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,3F2A9C0011223344\n\n"
+    body = "\n".join(lines)
+    keys = [f"{begin}\n{body}\n{end}", f"{begin}\n{head}{body}\n{end}", f"{begin}\n{body}", f"{begin}\n{head}{body}", f'"{begin}\\n' + "\\n".join(lines) + f'\\n{end}"', f"{begin} {' '.join(lines)} {end}", f"{begin}\n    " + "\n    ".join(lines), f"{begin}\n" + "\n".join(lines[:24] * 4000)]
+    rows = [(i, f"kept before {k}\n\nkept after, in plain words.", 0) for i, k in enumerate(keys)] + [(90, f"Look for {begin} at the top of a file, kept.", 0)]
+    got = {r["doc_id"]: r for r in secrets.mask_found(spark.createDataFrame(rows, "doc_id long, text string, n_chars long")).collect()}
+    for i in range(len(keys)):
+        text = got[i]["text"]
+        assert not any(line in text for line in [*lines, "DEK-Info", "PRIVATE KEY"]), text[:300]
+        assert text.startswith("kept before ") and text.endswith("kept after, in plain words.") and got[i]["n_chars"] == len(text) < 120
+    assert got[90]["text"] == "Look for [REDACTED] at the top of a file, kept."
+
+
 def test_secret_edges(spark, odd):
     assert secrets.findings_by_path(odd.drop("blob", "spans")).count() == len(ODD)
     assert secrets.findings_by_path(odd.drop("blob", "spans").limit(0)).count() == 0

@@ -38,6 +38,15 @@ MORE_RULES = (
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
 )
 RULES = BASE_RULES + MORE_RULES
+#: What masking takes where a rule finds only the head of a secret. A private key goes to its END, or where that is missing to
+#: the end of its headers and base64 lines (quoted, indented or with breaks written as \n). These are masked before others,
+#: which would break up a body. Groups are possessive, as Java recurses into others once a repeat.
+_BREAK = r"""(?:[\s"',+>|*#]|\\[nrt])"""
+_NAMES = r"(?:Proc-Type|DEK-Info|Key-Info|Content-Domain|Version|Comment)"
+WHOLE = {
+    "pem": r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----(?:[^-]*+(?:-(?!----)[^-]*+)*+-----END (?:[A-Z]+ )*PRIVATE KEY-----"
+    rf"""|(?:{_BREAK}*+{_NAMES}: ?(?:[^\n\\]|\\(?!n))*+)*+(?:{_BREAK}*+[A-Za-z0-9+/=]{{16,}}+)*+(?:{_BREAK}++[A-Za-z0-9+/=]{{1,15}}+(?=[ \t]*+(?:\z|[\r\n"'\\])))?+)"""
+}
 
 
 #: Copies of one text may be a third of all paths: they are dealt so many ways where findings meet them.
@@ -151,11 +160,11 @@ def count_of(kind: str) -> Column:
 
 
 def redact(text: Column, rules: Sequence[Rule] = RULES, mask: str = "[REDACTED]") -> Column:
-    """text with what the rules hold as secret masked; of an assignment its value only."""
-    for rule in rules:
-        matches = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
-
-        pieces = F.zip_with(F.split(text, rule.pattern, -1), F.transform(matches, _masking(rule, mask)), lambda gap, m: F.concat(gap, F.coalesce(m, F.lit(""))))
+    """text with what the rules hold as secret masked; of an assignment its value only, of a private key the whole key."""
+    for rule in sorted(rules, key=lambda r: r.kind not in WHOLE):
+        pattern = WHOLE.get(rule.kind, rule.pattern)
+        matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+        pieces = F.zip_with(F.split(text, pattern, -1), F.transform(matches, _masking(rule, mask)), lambda gap, m: F.concat(gap, F.coalesce(m, F.lit(""))))
         text = F.when(text.rlike(rule.pattern), F.array_join(pieces, "")).otherwise(text)
     return text
 
