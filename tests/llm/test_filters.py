@@ -292,6 +292,22 @@ def test_languages_agree_and_evidence_counts(spark):
     assert np.mean([told[r["doc_id"]] == r["lang"] for r in long]) > 0.97
 
 
+@pytest.mark.parametrize("known", [("en", "fr", "es"), ("en",)])
+def test_texts_in_no_language_of_the_model_are_rejected(spark, known):
+    docs = documents(spark).filter("n_chars > 100").withColumn("lang", F.when(F.col("lang").isin(*known), F.col("lang")))
+    rows = language.identify(language.from_documents(docs)).collect()
+    assert np.mean([r["accepted"] for r in rows if r["declared"]]) > 0.99
+    assert np.mean([r["accepted"] for r in rows if not r["declared"]]) < 0.01
+
+
+def test_a_language_of_few_documents_is_kept_by_its_trigrams(spark):
+    texts = [r["text"] for r in documents(spark).filter("lang = 'de' and n_chars > 3000").orderBy("doc_id").limit(12).collect()]
+    rows = [(i, t, "de", "a") for i, t in enumerate(texts)] + [(100 + i, "the quick brown fox jumps over it", "en", "a") for i in range(13_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = language.identify(language.from_documents(docs)).filter("declared = 'de'").collect()
+    assert len(got) == 12 and all(r["accepted"] and r["language"] == "de" for r in got)
+
+
 def test_page_evidence(spark):
     got = language.from_pages(spark.createDataFrame([(1, "http://Shop.example.FR/x?y", '<html lang="fr-FR"><style>p{}</style><p>Bonjour <!-- no --></p>'), (2, None, None)], "page_id long, url string, html string")).collect()
     assert (got[0]["declared"], got[0]["host"], got[0]["suffix"], got[0]["text"].split()) == ("fr-FR", "shop.example.fr", "fr", ["Bonjour"])

@@ -17,8 +17,12 @@ BUCKETS = 1 << 15
 MOST_EVIDENCE = 200.0
 #: Chance that a declared language is right, and pseudo-counts by which a suffix leans on all and a host on its suffix.
 TRUST, LEAN_SUFFIX, LEAN_HOST = 0.9, 50.0, 20.0
-#: A declared tag is a language of the model from this share of all documents on, so there are 1 / share at most.
-LEAST_SHARE = 0.001
+#: A declared tag is a language of the model from so many trigrams of all its documents on, however few of all they are.
+LEAST_TRIGRAMS = 10_000
+#: What a text in no language of the model looks like: trigrams half from all languages pooled, half from anywhere; and its prior.
+EVEN_HALF, OTHER = 0.5, 0.01
+#: A task gives up its counts so far when it holds so many languages.
+MOST_HELD = 200
 
 
 def tag(declared: Column) -> Column:
@@ -38,34 +42,47 @@ def trigrams(text: bytes) -> np.ndarray:
 def learn_likelihoods(docs: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Languages, log P(trigram | language) and log P(language), from all documents (text, declared) by their declared tag.
 
-    Each task sums its own counts; tags and buckets are bounded, so what comes to the driver is too.
+    A last row beside those of the languages is log P(trigram | other). Each task sums its own counts; they are added up by
+    tag and bucket before those of tags with LEAST_TRIGRAMS come to the driver, BUCKETS numbers a language at most.
     """
-    tags = docs.select(tag(F.col("declared")).alias("tag")).groupBy("tag").count()
-    total = tags.agg(F.sum("count")).first()[0] or 0
-    found = tags.filter(F.col("tag").isNotNull() & (F.col("count") >= LEAST_SHARE * total)).orderBy("tag").collect()
-    languages = [r["tag"] for r in found]
-    if not languages:
-        return [], np.zeros((0, BUCKETS), np.float32), np.zeros(0)
-    at = {name: i for i, name in enumerate(languages)}
+
+    def given(sums: dict[str, np.ndarray]) -> pa.RecordBatch:
+        found = [(name, np.flatnonzero(n)) for name, n in sums.items()]
+        names = pa.array([name for name, at in found for _ in range(len(at))], pa.string())
+        buckets = np.concatenate([np.zeros(0, np.int64), *[at for _, at in found]])
+        counts = np.concatenate([np.zeros(0, np.int64), *[sums[name][at] for name, at in found]])
+        return pa.RecordBatch.from_arrays([names, pa.array(buckets, pa.int32()), pa.array(counts, pa.int64())], ["tag", "bucket", "n"])
 
     def count(batches):
-        sums = np.zeros((len(at), BUCKETS), dtype=np.int64)
+        sums = {}
         for batch in batches:
             for name, text in zip(batch.column("tag").to_pylist(), as_bytes(batch.column("text")), strict=True):
-                sums[at[name]] += np.bincount(trigrams(text), minlength=BUCKETS)
-        where, bucket = np.nonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(where, pa.int32()), pa.array(bucket, pa.int32()), pa.array(sums[where, bucket], pa.int64())], ["language", "bucket", "n"])
-
-    tagged = docs.select(tag(F.col("declared")).alias("tag"), "text").filter(F.col("tag").isin(languages))
-    got = tagged.mapInArrow(count, "language int, bucket int, n long").groupBy("language", "bucket").agg(F.sum("n").alias("n")).toPandas()
+                if name not in sums:
+                    if len(sums) >= MOST_HELD:
+                        yield given(sums)
+                        sums = {}
+                    sums[name] = np.zeros(BUCKETS, dtype=np.int64)
+                sums[name] += np.bincount(trigrams(text), minlength=BUCKETS)
+        yield given(sums)
+
+    tagged = docs.select(tag(F.col("declared")).alias("tag"), "text").filter("tag is not null")
+    counted = settle(tagged.mapInArrow(count, "tag string, bucket int, n long").groupBy("tag", "bucket").agg(F.sum("n").alias("n")), "trigrams")
+    languages = [r["tag"] for r in counted.groupBy("tag").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST_TRIGRAMS).orderBy("tag").collect()]
+    if not languages:
+        return [], np.zeros((0, BUCKETS), np.float32), np.zeros(0)
+    at = {name: i for i, name in enumerate(languages)}
+    got = counted.filter(F.col("tag").isin(languages)).toPandas()
     sums = np.full((len(languages), BUCKETS), 0.5)
-    sums[got["language"], got["bucket"]] += got["n"]
-    shares = np.array([r["count"] for r in found], dtype=float)
-    return languages, np.log(sums / sums.sum(axis=1, keepdims=True)).astype(np.float32), np.log(shares / shares.sum())
+    sums[got["tag"].map(at), got["bucket"]] += got["n"]
+    sizes = {r["tag"]: r["count"] for r in tagged.groupBy("tag").count().filter(F.col("tag").isin(languages)).collect()}
+    shares = np.array([sizes[x] for x in languages], dtype=float)
+    probs = sums / sums.sum(axis=1, keepdims=True)
+    other = EVEN_HALF / BUCKETS + (1 - EVEN_HALF) * probs.mean(axis=0, keepdims=True)
+    return languages, np.log(np.concatenate([probs, other])).astype(np.float32), np.log(shares / shares.sum())
 
 
 def text_evidence(docs: DataFrame, languages: list[str], logp: np.ndarray) -> DataFrame:
-    """docs without text, with n_grams and likelihood (an array beside languages, tempered to MOST_EVIDENCE trigrams)."""
+    """docs without text, with n_grams and likelihood (an array beside languages and other, tempered to MOST_EVIDENCE trigrams)."""
     model = docs.sparkSession.sparkContext.broadcast(np.ascontiguousarray(logp.T))
     kept = [c for c in docs.columns if c != "text"]
     shape = docs.select(*kept).withColumns({"n_grams": F.lit(None).cast("long"), "likelihood": F.lit(None).cast("array<double>")}).schema
@@ -118,7 +135,8 @@ def identify(docs: DataFrame, least: float = 0.5) -> DataFrame:
 
     The model learns from all of docs by declared tag, then each document's text posterior is summed by host, suffix and
     overall; a host's prior leans on its suffix's and that on the whole (null hosts and suffixes are groups of their own).
-    The result is text likelihood x P(declared | language) x host prior. A tie goes to the first language by name.
+    The result is text likelihood x P(declared | language) x host prior. A tie goes to the first language by name. Beside the
+    languages stands other, a text in none of them: it has a fixed prior, and takes its share of every posterior.
     Accepted: it has letters and its posterior reaches least. Null, empty and letterless texts are rejected, with what the
     other evidence says. Without any declared tag there are no languages: null, 0.0, rejected.
     """
@@ -128,7 +146,7 @@ def identify(docs: DataFrame, least: float = 0.5) -> DataFrame:
     if not n:
         return docs.select(*carried).withColumns({"language": F.lit(None).cast("string"), "posterior": F.lit(0.0), "accepted": F.lit(False)})
     scored = settle(text_evidence(docs, languages, logp), "evidence")
-    priors = F.array(*[F.lit(float(x)) for x in base])
+    priors = F.array(*[F.lit(float(x)) for x in [*(base + np.log(1 - OTHER)), np.log(OTHER)]])
     own = scored.filter("n_grams > 0").select("host", "suffix", _normalised(F.zip_with("likelihood", priors, lambda a, b: a + b)).alias("p"))
     by_host = own.groupBy("host", "suffix").agg(_sums("p", n).alias("host_sums"))
     by_suffix = by_host.groupBy("suffix").agg(_sums("host_sums", n).alias("suffix_sums"))
@@ -151,8 +169,11 @@ def identify(docs: DataFrame, least: float = 0.5) -> DataFrame:
     wrong = (1 - TRUST) / max(n - 1, 1)
     unclear = told.isNull() | ~F.array_contains(names, told)
     said = F.transform(names, lambda x: F.log(F.when(F.col("_unclear"), 1.0 / n).when(F.col("_told") == x, TRUST).otherwise(wrong)))
-    fused = F.zip_with(F.zip_with("likelihood", said, lambda a, b: a + b), F.coalesce("_prior", whole), lambda a, b: a + F.log(b))
-    best = F.array_max("_posterior")
+    known = F.zip_with(F.zip_with(F.slice("likelihood", 1, n), said, lambda a, b: a + b), F.coalesce("_prior", whole), lambda a, b: a + F.log(b * (1 - OTHER)))
+    # a declared language that is not in the model is what a text in another language has; a known one is then wrong
+    other = F.element_at("likelihood", n + 1) + F.log(F.when(F.col("_unclear"), 1.0 / n).otherwise((1 - TRUST) / n)) + float(np.log(OTHER))
+    fused = F.concat(known, F.array(other))
+    best = F.array_max(F.slice("_posterior", 1, n))
     return (
         scored.join(hosts, scored["host"].eqNullSafe(hosts["_host"]) & scored["suffix"].eqNullSafe(hosts["_suffix"]), "left")
         .withColumns({"_told": told, "_unclear": unclear})
