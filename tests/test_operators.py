@@ -1,4 +1,5 @@
 import datetime as dt
+import hashlib
 import random
 from itertools import combinations
 
@@ -6,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftline.functions import exprs, texts
-from weftline.operators import activity, listings, mapping, outfits, prices, splits, vectors
+from weftline.operators import activity, advice, listings, mapping, outfits, prices, splits, vectors
 from weftline.session_dirs import ensure_checkpoint_dir
 
 
@@ -224,3 +225,23 @@ def test_registered_queries_have_schemas(spark):
     for name in ("split_crosstab", "outfit_score", "price_band"):
         assert QUERIES[name](spark, "/root/testdata/sf0.001").columns
     assert dt.date.today()
+
+
+def test_swaps_close_the_ring_and_give_three_wrong_answers(spark):
+    rng = random.Random(21)
+    pool = [(i, f"c{i % 4}" if i < 60 else "few") for i in range(64)]
+    kind = dict(pool)
+    sets = {k: rng.sample(range(64), rng.randint(1, 9)) for k in range(150)} | {900: [i for i in range(60) if i % 4 == 1][:12], 901: [i for i in range(60) if i % 4 == 1][:13], 902: [60, 61]}
+    rows = [(k, i, kind[i]) for k, held in sets.items() for i in held]
+    got = {r["k"]: r for r in advice.swap_tests(spark.createDataFrame(rows, "k long, item_id long, category string"), "k", spark.createDataFrame(pool, "item_id long, category string"), "s").collect()}
+    digest = lambda *c: hashlib.md5(":".join(["s", *map(str, c)]).encode()).hexdigest()
+    want = {}
+    for k, held in sets.items():
+        true = min(held, key=lambda i: digest(k, i))
+        ring = sorted((i for i in kind if kind[i] == kind[true]), key=digest)
+        at = ring.index(true)
+        others = [i for i in ring[at:] + ring[:at] if i not in held]
+        if len(others) >= 3:
+            want[k] = (true, others[0], others[:3])
+    assert 900 in want and 901 not in want and 902 not in want
+    assert {k: (r["true_id"], r["fake_id"], r["wrong"]) for k, r in got.items()} == want

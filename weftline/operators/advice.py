@@ -140,19 +140,25 @@ def unique_owner(parts: DataFrame, wholes: DataFrame, image: str, least: float =
 
 
 def swap_tests(members: DataFrame, key: str, pool: DataFrame, seed: str) -> DataFrame:
-    """(key, true_id, fake_id): of each set the item that a hash picks, and an item of its category from outside the set.
+    """(key, true_id, fake_id, wrong): of each set the item that a hash picks, and three items of its category from outside the
+    set, of which the first is the fake. A set goes only if its category has under three others.
 
-    The fake is the next of its category in an order by hash, so no set meets the whole pool.
+    The wrong ones are the next of the category on a ring in order by hash. With k items of the set in the category, the
+    k + 3 places from the picked item on hold three others if there are three, so no set meets the whole pool.
     """
     digest = lambda *c: F.md5(F.concat_ws(":", F.lit(seed), *[F.col(x).cast("string") for x in c]).cast("binary"))
     chosen = members.withColumn("_t", F.row_number().over(Window.partitionBy(key).orderBy(digest(key, "item_id"), "item_id"))).filter("_t = 1")
     ring = Window.partitionBy("category").orderBy(digest("item_id"), "item_id")
-    after = pool.select("category", "item_id", *[F.lead("item_id", i).over(ring).alias(f"_n{i}") for i in range(1, 6)])
-    held = members.groupBy(key).agg(F.collect_set("item_id").alias("_held"))
-    follow = F.array(*[F.col(f"_n{i}") for i in range(1, 6)])
-    near = chosen.select(key, "category", "item_id").join(after, ["category", "item_id"]).join(held, key)
-    fake = F.get(F.filter(follow, lambda i: i.isNotNull() & ~F.array_contains("_held", i)), F.lit(0))
-    return near.select(key, F.col("item_id").alias("true_id"), fake.alias("fake_id")).filter("fake_id is not null")
+    places = pool.select("category", "item_id", (F.row_number().over(ring) - 1).alias("_place"))
+    sizes = places.groupBy("category").agg(F.count(F.lit(1)).cast("int").alias("_size"))
+    held = members.groupBy(key, "category").agg(F.collect_set("item_id").alias("_held"))
+    starts = chosen.select(key, "category", "item_id").join(places, ["category", "item_id"], "left").join(F.broadcast(sizes), "category").join(held, [key, "category"])
+    steps = F.sequence(F.lit(0), F.least(F.size("_held") + 3, F.col("_size")) - 1)
+    tried = starts.select(key, "category", F.col("item_id").alias("true_id"), "_held", "_size", F.coalesce("_place", F.lit(0)).alias("_from"), F.explode(steps).alias("_step"))
+    met = tried.withColumn("_place", (F.col("_from") + F.col("_step")) % F.col("_size")).join(places, ["category", "_place"])
+    others = met.filter(~F.array_contains("_held", F.col("item_id"))).groupBy(key, "true_id").agg(F.array_sort(F.collect_list(F.struct("_step", "item_id"))).alias("_others"))
+    wrong = F.transform(F.slice("_others", 1, 3), lambda o: o["item_id"])
+    return others.filter(F.size("_others") >= 3).select(key, "true_id", wrong[0].alias("fake_id"), wrong.alias("wrong"))
 
 
 def bootstrap(rows: DataFrame, key: str, value: str, by: list[str], seed: str, rounds: int = 100) -> DataFrame:

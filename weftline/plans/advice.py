@@ -102,7 +102,7 @@ r AS (SELECT category, item_id, lead(item_id, 1) OVER w AS n1, lead(item_id, 2)
 h AS (SELECT outfit_id, list(item_id) AS held FROM wears GROUP BY 1), f AS (SELECT outfit_id, item_id AS true_id, list_filter([n1, n2, n3, n4, n5], lambda i: i IS NOT NULL AND NOT list_contains(held, i))[1] AS fake_id FROM c JOIN r USING (category, item_id) JOIN h USING (outfit_id) WHERE t = 1)
 SELECT * FROM f WHERE fake_id IS NOT NULL""")
 def swap_tests(spark, d):
-    return op.swap_tests(wears(spark, d), "outfit_id", items(spark, d), "s1")
+    return op.swap_tests(wears(spark, d), "outfit_id", items(spark, d), "s1").drop("wrong")
 
 
 @query("""WITH e AS (SELECT o_orderpriority AS p, o_orderkey, o_totalprice AS v, i FROM orders, range(1, 101) t(i)), u AS (SELECT *, ('0x' || substr(md5('b:' || i || ':' || o_orderkey), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM e),
