@@ -139,9 +139,64 @@ def test_masking_takes_whole_private_keys(spark):
     assert got[90]["text"] == "Look for [REDACTED] at the top of a file, kept."
 
 
+def test_a_second_run_on_a_stored_ledger_scans_nothing(spark, tmp_path):
+    path = str(tmp_path / "ledger")
+    first = secrets.op1_secret_scans(spark, SF, path)
+    stored = spark.read.parquet(path)
+    docs = documents(spark)
+    assert stored.count() == len(secrets.RULES) * docs.select(secrets.blob_of(F.col("text"))).distinct().count()
+    assert secrets.extend_ledger(docs, stored).count() == 0
+    again = secrets.op1_secret_scans(spark, SF, path)
+    assert spark.read.parquet(path).count() == stored.count()
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, first.collect()))
+
+
+def test_key_spans_are_whole_and_agree_with_the_twin(spark, tmp_path):
+    import duckdb
+    import pyarrow as pa
+
+    body = "\n".join("MIIEow" + "aB3/" * 14 for _ in range(5))
+    texts = [f"see\n-----BEGIN RSA PRIVATE KEY-----\n{body}\n-----END RSA PRIVATE KEY-----\nbye", f"-----BEGIN PRIVATE KEY-----\n{body}\nkept words.", "-----BEGIN PRIVATE KEY----- only this", *TRICKY, None]
+    table = pa.table({"doc_id": list(range(len(texts))), "text": texts})
+    want = duckdb.connect().register("documents", table).execute(secrets.OP1_SQL).to_arrow_table().to_pylist()
+    (tmp_path / "documents.parquet").mkdir()
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.mode("append").parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r.asDict() for r in secrets.op1_secret_scans(spark, str(tmp_path)).collect()}
+    assert got == {r["doc_id"]: r for r in want}
+    key = got[0]["spans"].split(":")
+    assert texts[0][int(key[1]) : int(key[2])].endswith("-----END RSA PRIVATE KEY-----") and key[0] == "pem" and got[0]["n_pem"] == 1
+
+
+def test_masking_of_many_and_overlapping_spans(spark):
+    rng = random.Random(14)
+    texts = []
+    for _ in range(40):
+        parts = [rng.choice(["é🙂 word ", "secret=" + "a1" * rng.randint(3, 20) + " ", "0123456789abcdef" * rng.randint(2, 3), "token: AKIA" + "Z9" * 12, "x" * rng.randint(0, 1500)]) for _ in range(rng.randint(0, 30))]
+        texts.append("".join(parts))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = {r["doc_id"]: r["spans"] for r in secrets.findings_by_path(df).collect()}
+    for r in secrets.mask_found(df).collect():
+        text, hidden, want, at = texts[r["doc_id"]], set(), [], 0
+        for s in spans[r["doc_id"]]:
+            hidden |= set(range(s["hide"], s["end"]))
+        while at < len(text):
+            if at in hidden:
+                want.append("[REDACTED]")
+                while at in hidden:
+                    at += 1
+            else:
+                want.append(text[at])
+                at += 1
+        assert r["text"] == "".join(want)
+
+
 def test_secret_edges(spark, odd):
-    assert secrets.findings_by_path(odd.drop("blob", "spans")).count() == len(ODD)
-    assert secrets.findings_by_path(odd.drop("blob", "spans").limit(0)).count() == 0
+    helpers = odd.withColumns({c: F.lit("mine") for c in ("salt", "row", "span", "tail", "kept", "_salt", "_of", "_to", "_blob")})
+    got = secrets.findings_by_path(helpers).collect()
+    assert len(got) == len(ODD) and {r["salt"] + r["row"] + r["_of"] + r["tail"] for r in got} == {"mine" * 4} and {type(r["spans"]) for r in got} == {list}
+    assert secrets.findings_by_path(odd.limit(0)).count() == 0
+    assert sorted(map(str, secrets.mask_found(helpers).collect())) == sorted(map(str, helpers.collect()))
+    assert secrets.mask_found(odd.limit(0)).count() == 0
 
 
 # ---- decontamination

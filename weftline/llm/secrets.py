@@ -8,18 +8,22 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settle, text_of
+from .common import exists, new_path, settle, text_of
 
 
 @dataclass(frozen=True)
 class Rule:
-    """A kind of secret. Matches are leftmost and do not overlap; one whose group is under least characters falls."""
+    """A kind of secret. Matches are leftmost and do not overlap; one whose group is under least characters falls.
+
+    The group ends where the match ends; masking takes it alone. sql is the pattern for engines without look-around.
+    """
 
     kind: str
     pattern: str
     version: int = 1
     group: int = 0
     least: int = 0
+    sql: str = ""
 
     @property
     def key(self) -> str:
@@ -32,25 +36,31 @@ BASE_RULES = (
     Rule("access", r"AKIA[A-Z0-9]{16,}"),
     Rule("hex", r"[0-9a-f]{24,}"),
 )
+#: A private key goes to its END, or where that is missing to the end of its headers and base64 lines (quoted, indented or with
+#: breaks written as \n). Groups are possessive, as Java recurses into others once a repeat. The SQL form differs in one case: of
+#: a key without END it takes a last line of under 16 characters only if that ends in "=".
+_BREAK = r"""(?:[\s"',+>|*#]|\\[nrt])"""
+_NAMES = r"(?:Proc-Type|DEK-Info|Key-Info|Content-Domain|Version|Comment)"
+_BEGIN, _END = (rf"-----{w} (?:[A-Z]+ )*PRIVATE KEY-----" for w in ("BEGIN", "END"))
+_PEM = (
+    rf"{_BEGIN}(?:[^-]*+(?:-(?!----)[^-]*+)*+{_END}"
+    rf"""|(?:{_BREAK}*+{_NAMES}: ?(?:[^\n\\]|\\(?!n))*+)*+(?:{_BREAK}*+[A-Za-z0-9+/=]{{16,}}+)*+(?:{_BREAK}++[A-Za-z0-9+/=]{{1,15}}+(?=[ \t]*+(?:\z|[\r\n"'\\])))?+)"""
+)
+_PEM_SQL = (
+    rf"{_BEGIN}(?:(?:-{{0,4}}[^-])*{_END}"
+    rf"|(?:{_BREAK}*{_NAMES}: ?(?:[^\n\\]|\\[^n])*)*(?:{_BREAK}*[A-Za-z0-9+/=]{{16,}})*(?:{_BREAK}+[A-Za-z0-9+/]{{1,14}}=+)?)"
+)
 #: Further kinds, listed after the base ones.
 MORE_RULES = (
-    Rule("pem", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"),
+    Rule("pem", _PEM, version=2, sql=_PEM_SQL),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
 )
 RULES = BASE_RULES + MORE_RULES
-#: What masking takes where a rule finds only the head of a secret. A private key goes to its END, or where that is missing to
-#: the end of its headers and base64 lines (quoted, indented or with breaks written as \n). These are masked before others,
-#: which would break up a body. Groups are possessive, as Java recurses into others once a repeat.
-_BREAK = r"""(?:[\s"',+>|*#]|\\[nrt])"""
-_NAMES = r"(?:Proc-Type|DEK-Info|Key-Info|Content-Domain|Version|Comment)"
-WHOLE = {
-    "pem": r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----(?:[^-]*+(?:-(?!----)[^-]*+)*+-----END (?:[A-Z]+ )*PRIVATE KEY-----"
-    rf"""|(?:{_BREAK}*+{_NAMES}: ?(?:[^\n\\]|\\(?!n))*+)*+(?:{_BREAK}*+[A-Za-z0-9+/=]{{16,}}+)*+(?:{_BREAK}++[A-Za-z0-9+/=]{{1,15}}+(?=[ \t]*+(?:\z|[\r\n"'\\])))?+)"""
-}
-
 
 #: Copies of one text may be a third of all paths: they are dealt so many ways where findings meet them.
 SALTS = 32
+#: Code points of a page: a piece of a text is cut from the pages that it touches, not from the start of the text.
+PAGE = 1024
 
 
 def blob_of(text: Column) -> Column:
@@ -59,9 +69,9 @@ def blob_of(text: Column) -> Column:
 
 
 def _cuts(rule: Rule, text: Column) -> Column:
-    """Null without a match; else how long each gap before a match and each match is, and which matches hold."""
+    """Null without a match; else how long each gap before a match, each match and its secret are."""
     matches = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
-    holds = (lambda m: F.length(F.regexp_extract(m, rule.pattern, rule.group)) >= rule.least) if rule.least else (lambda m: F.lit(True))
+    own = (lambda m: F.length(F.regexp_extract(m, rule.pattern, rule.group))) if rule.group else F.length
     return F.when(
         text.rlike(rule.pattern),
         F.struct(
@@ -69,29 +79,31 @@ def _cuts(rule: Rule, text: Column) -> Column:
             F.arrays_zip(
                 F.transform(F.split(text, rule.pattern, -1), F.length).alias("gap"),
                 F.transform(matches, F.length).alias("len"),
-                F.transform(matches, holds).alias("holds"),
+                F.transform(matches, own).alias("own"),
             ).alias("cuts"),
         ),
     )
 
 
 def scan_blobs(blobs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
-    """Spans (rank, start, end, kind; code points, end exclusive) of blobs (blob, text, pending) that have any.
+    """Spans (start, rank, end, kind, hide; code points, end exclusive) of blobs (blob, text, pending) that have any.
 
+    hide is where the secret itself starts; it goes to the end.
     Only rules whose key is in pending are tried. A text is cut at its matches once a rule; running sums over the cuts
     give the spans, in one group a text, so a text with a million matches costs time in proportion.
     """
     found = F.array_compact(F.array(*[F.when(F.array_contains("pending", r.key), _cuts(r, F.col("text"))) for r in rules]))
-    ranks = F.create_map(*[x for i, r in enumerate(rules) for x in (F.lit(r.key), F.struct(F.lit(i).alias("rank"), F.lit(r.kind).alias("kind")))])
+    ranks = F.create_map(*[x for i, r in enumerate(rules) for x in (F.lit(r.key), F.struct(F.lit(i).alias("rank"), F.lit(r.kind).alias("kind"), F.lit(r.least).alias("least")))])
     along = Window.partitionBy("blob", "rule").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     return (
         blobs.select("blob", F.explode(found).alias("f"))
         .select("blob", F.col("f.rule").alias("rule"), F.posexplode("f.cuts").alias("pos", "cut"))
         .filter("cut.len is not null")
         .withColumn("end", F.sum(F.col("cut.gap") + F.col("cut.len")).over(along))
-        .filter("cut.holds")
+        .filter(F.col("cut.own") >= ranks[F.col("rule")]["least"])
         .select("blob", "rule", F.struct(
             (F.col("end") - F.col("cut.len")).alias("start"), ranks[F.col("rule")]["rank"].alias("rank"), F.col("end"), ranks[F.col("rule")]["kind"].alias("kind"),
+            (F.col("end") - F.col("cut.own")).alias("hide"),
         ).alias("span"))
     )
 
@@ -122,22 +134,50 @@ def extend_ledger(versions: DataFrame, ledger: DataFrame | None = None, rules: S
     return pairs.join(found, ["blob", "rule"], "left").withColumn("spans", F.coalesce("spans", F.array().cast(found.schema["spans"].dataType)))
 
 
+def grow_ledger(versions: DataFrame, path: str, rules: Sequence[Rule] = RULES) -> DataFrame:
+    """The ledger stored at path, after what versions hold and it lacks has been scanned and appended.
+
+    The first call makes it. A run that fails appends nothing and can be run again; versions and rule versions that are in
+    the ledger are not scanned. One writer at a time: two at once would each append what both lack.
+    """
+    spark = versions.sparkSession
+    stored = spark.read.parquet(path) if exists(spark, path) else None
+    extend_ledger(versions, stored, rules).write.mode("append").parquet(path)
+    return spark.read.parquet(path)
+
+
+def _found(ledger: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """(blob, spans) of the blobs in which the ledger has any span of rules."""
+    current = ledger.filter(F.col("rule").isin([r.key for r in rules]) & (F.size("spans") > 0))
+    return current.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
+
+
+def _meet(versions: DataFrame, found: DataFrame) -> DataFrame:
+    """(row, blob, and found's columns, null where found lacks the blob): versions' columns are inside row, so that no name clashes.
+
+    Each blob of found is dealt SALTS ways to meet the copies of a text, which may be very many.
+    """
+    paths = versions.select(F.struct("*").alias("row"), blob_of(F.col("text")).alias("blob"), F.pmod(F.xxhash64(*versions.columns), F.lit(SALTS)).cast("int").alias("salt"))
+    return paths.join(found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["blob", "salt"], "left").drop("salt")
+
+
 def findings_by_path(versions: DataFrame, rules: Sequence[Rule] = RULES, ledger: DataFrame | None = None) -> DataFrame:
     """versions with blob and spans (array, empty if clean): what the ledger and a scan of the rest say of each path.
 
-    Copies of a text are scanned once and share its findings; each row of versions comes back once, with its columns.
+    Copies of a text are scanned once and share its findings; each row of versions comes back once, with its columns, but
+    for own columns called blob or spans, which are replaced. Null text is empty text; an empty table gives none. A text's
+    matches are one group, however long it is. Spans of one start go by the order of rules.
     """
-    paths = versions.withColumn("blob", blob_of(F.col("text")))
-    todo = unseen_blobs(paths.select("blob", text_of().alias("text")), ledger, rules)
-    spans = scan_blobs(todo, rules).select("blob", "span")
-    if ledger is not None:
-        current = F.col("rule").isin([r.key for r in rules])
-        spans = spans.unionByName(ledger.filter(current).select("blob", F.explode("spans").alias("span")))
-    found = spans.groupBy("blob").agg(F.array_sort(F.collect_list("span")).alias("spans"))
-    dealt = found.select(F.col("blob").alias("_of"), "spans", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_to"))
-    salted = paths.withColumn("_salt", F.pmod(F.hash(F.struct(*versions.columns)), F.lit(SALTS)))
-    joined = salted.join(dealt, (F.col("blob") == F.col("_of")) & (F.col("_salt") == F.col("_to")), "left").drop("_of", "_to", "_salt")
-    return joined.withColumn("spans", F.coalesce("spans", F.array().cast(found.schema["spans"].dataType)))
+    own = extend_ledger(versions, ledger, rules)
+    whole = own if ledger is None else own.unionByName(ledger.select(*own.columns))
+    return _with_spans(versions, whole, rules)
+
+
+def _with_spans(versions: DataFrame, ledger: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    found = _found(ledger, rules)
+    none = F.array().cast(found.schema["spans"].dataType)
+    kept = [f"row.`{c}`" for c in versions.columns if c not in ("blob", "spans")]
+    return _meet(versions, found).select(*kept, "blob", F.coalesce("spans", none).alias("spans"))
 
 
 def listed(spans: Column) -> Column:
@@ -145,46 +185,62 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-def _masking(rule: Rule, mask: str):
-    def masked(m: Column) -> Column:
-        if not rule.least:
-            return F.lit(mask)
-        value = F.length(F.regexp_extract(m, rule.pattern, rule.group))
-        return F.when(value >= rule.least, F.concat(F.substr(m, F.lit(1), F.length(m) - value), F.lit(mask))).otherwise(m)
+def count_of(kind: str) -> Column:
+    return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
-    return masked
 
+def _stretches(found: DataFrame) -> DataFrame:
+    """(blob, kept, tail): the stretches (from, to) before each masked one, and where the last masked one ends.
 
-def count_of(kind: str) -> Column:
-    return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    Overlapping and touching secrets are masked as one.
+    """
+    before = Window.partitionBy("blob").orderBy("span.hide", "span.end").rowsBetween(Window.unboundedPreceding, -1)
+    spans = found.select("blob", F.explode("spans").alias("span")).withColumn("before", F.coalesce(F.max("span.end").over(before), F.lit(-1)))
+    kept = F.when(F.col("span.hide") > F.col("before"), F.struct(F.greatest("before", F.lit(0)).alias("from"), F.col("span.hide").alias("to")))
+    return spans.groupBy("blob").agg(F.array_sort(F.collect_list(kept)).alias("kept"), F.max("span.end").alias("tail"))
+
+
+def masked(text: Column, kept: Column, tail: Column, mask: str) -> Column:
+    """text of which the stretches kept and what follows tail stay, with mask after each stretch; in time linear in the text."""
 
+    def piece(pages: Column, start: Column, end: Column) -> Column:
+        first = F.floor(start / PAGE).cast("int")
+        near = F.array_join(F.slice(pages, first + 1, F.floor(end / PAGE).cast("int") - first + 1), "")
+        return F.substr(near, (start - first * PAGE + 1).cast("int"), (end - start).cast("int"))
 
-def redact(text: Column, rules: Sequence[Rule] = RULES, mask: str = "[REDACTED]") -> Column:
-    """text with what the rules hold as secret masked; of an assignment its value only, of a private key the whole key."""
-    for rule in sorted(rules, key=lambda r: r.kind not in WHOLE):
-        pattern = WHOLE.get(rule.kind, rule.pattern)
-        matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-        pieces = F.zip_with(F.split(text, pattern, -1), F.transform(matches, _masking(rule, mask)), lambda gap, m: F.concat(gap, F.coalesce(m, F.lit(""))))
-        text = F.when(text.rlike(rule.pattern), F.array_join(pieces, "")).otherwise(text)
-    return text
+    pages = F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{PAGE}}}"), F.lit(0))
+    cut = F.transform(F.array(pages), lambda ps: F.concat(
+        F.array_join(F.transform(kept, lambda k: F.concat(piece(ps, k["from"], k["to"]), F.lit(mask))), ""), piece(ps, tail, F.length(text)),
+    ))
+    return cut[0]
 
 
-def mask_found(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
-    """docs, with its columns, whose texts with findings are masked and n_chars, if there, set anew."""
-    todo = unseen_blobs(docs.select(blob_of(F.col("text")).alias("blob"), text_of().alias("text")), None, rules)
-    blobs = scan_blobs(todo, rules).select(F.col("blob").alias("_blob")).distinct()
-    marked = docs.join(settle(blobs, "findings"), blob_of(F.col("text")) == F.col("_blob"), "left")
-    found = F.col("_blob").isNotNull()
-    marked = marked.withColumn("text", F.when(found, redact(F.col("text"), rules)).otherwise(F.col("text")))
+def mask_found(docs: DataFrame, rules: Sequence[Rule] = RULES, ledger: DataFrame | None = None, mask: str = "[REDACTED]") -> DataFrame:
+    """docs, with its columns, whose texts with findings are masked and n_chars, if there, set anew.
+
+    The spans of the ledger say what is masked: of an assignment its value, of a private key the whole key, else the match.
+    Without a ledger, docs are scanned first. Null and clean texts and all other columns stay as they are; copies of a row come
+    back each, an empty table empty. The ledger must cover docs.
+    """
+    whole = settle(extend_ledger(docs, None, rules), "ledger") if ledger is None else ledger
+    met = _meet(docs, settle(_stretches(_found(whole, rules)), "stretches"))
+    swap = {"text": F.when(F.col("tail").isNull(), F.col("row.text")).otherwise(masked(F.col("row.text"), F.col("kept"), F.col("tail"), mask))}
+    met = met.select("row", "tail", swap["text"].alias("text"))
     if "n_chars" in docs.columns:
-        marked = marked.withColumn("n_chars", F.when(found, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return marked.select(*docs.columns)
+        swap["n_chars"] = F.when(F.col("tail").isNull(), F.col("row.n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType))
+    swap["text"] = F.col("text")
+    return met.select(*[swap[c].alias(c) if c in swap else F.col(f"row.`{c}`") for c in docs.columns])
 
 
-def op1_secret_scans(spark, sf_dir: str) -> DataFrame:
-    """Counts and spans of secrets of each document. Null text is empty; copies of a row come back each."""
+def op1_secret_scans(spark, sf_dir: str, ledger_path: str | None = None) -> DataFrame:
+    """Counts and spans of secrets of each document, from the ledger at ledger_path once it covers the documents.
+
+    Without a path a new ledger is made in the shared folder, so all texts are unseen; with one, only what it lacks is scanned.
+    Null text is empty; copies of a row come back each; no row is dropped.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    rows = findings_by_path(docs)
+    ledger = grow_ledger(docs, ledger_path or new_path(spark, "ledger"))
+    rows = _with_spans(docs, ledger, RULES)
     base = F.filter("spans", lambda s: s["rank"] < len(BASE_RULES))
     counts = [count_of(r.kind) for r in RULES]
     return rows.select("doc_id", *counts[:3], F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"), *counts[3:])
@@ -192,7 +248,7 @@ def op1_secret_scans(spark, sf_dir: str) -> DataFrame:
 
 def _scan_sql(rank: int, rule: Rule) -> str:
     """Spans of one rule in DuckDB, cut and summed as scan_blobs() does."""
-    quoted = rule.pattern.replace("'", "''")
+    quoted = (rule.sql or rule.pattern).replace("'", "''")
     return f"""SELECT doc_id, {rank} AS rank, '{rule.kind}' AS kind, stop - len AS start, stop FROM (
       SELECT doc_id, m, length(m) AS len, sum(length(gap) + length(m)) OVER (PARTITION BY n ORDER BY pos) AS stop FROM (
         SELECT doc_id, n, unnest(regexp_extract_all(text, '{quoted}')) AS m, unnest(regexp_split_to_array(text, '{quoted}')) AS gap, generate_subscripts(regexp_split_to_array(text, '{quoted}'), 1) AS pos
