@@ -46,7 +46,8 @@ def variants(rng, n, size, changes):
 
 
 def test_groups_of_near_copies_over_several_blocks(spark, monkeypatch):
-    monkeypatch.setattr(N, "BLOCK", 16)
+    for name, value in (("BLOCK", 16), ("GROUP", 24), ("BUCKET_ROWS", 500), ("AT_ONCE", 1000)):
+        monkeypatch.setattr(N, name, value)
     rng = random.Random(2)
     texts = variants(rng, 90, 120, 3) + variants(rng, 25, 200, 6) + [" ".join(f"u{rng.randint(0, 99999)}" for _ in range(50)) for _ in range(40)] + ["short one"] * 3 + ["", None, "a b c d"]
     rows = list(enumerate(texts))
@@ -82,7 +83,7 @@ def test_bands_find_links(spark):
     for _ in range(500):
         both = rng.integers(0, 2**64, 160, dtype=np.uint64)
         a, b = (np.unique(np.concatenate([both, rng.integers(0, 2**64, 18, dtype=np.uint64)])) for _ in range(2))
-        missed += not (N.band_keys(N.signature(a)) == N.band_keys(N.signature(b))).any()
+        missed += not np.equal(*N.band_keys(np.stack([N.signature(a), N.signature(b)]))).any()
     assert missed <= 1
 
 
@@ -102,6 +103,34 @@ def test_keep_one_and_edges(spark):
     assert N.similar(df.limit(0)).count() == 0 and N.keep_one(df.limit(0)).count() == 0
 
 
+def test_pairs_of_groups():
+    rng = random.Random(6)
+    for at_once in (1, 7, 10**6):
+        sizes = [rng.randint(1, 9) for _ in range(20)]
+        N.AT_ONCE, old = at_once, N.AT_ONCE
+        got = [p for x, y in N._pairs(np.array(sizes)) for p in zip(x.tolist(), y.tolist(), strict=True)]
+        N.AT_ONCE = old
+        start = np.cumsum([0, *sizes])
+        assert got == [p for i, n in enumerate(sizes) for p in combinations(range(start[i], start[i] + n), 2)]
+
+
+def test_many_null_and_repeated_ids(spark):
+    rng = random.Random(7)
+    texts = variants(rng, 500, 60, 2)
+    rows = [(None if i % 2 else 4, t) for i, t in enumerate(texts)]
+    got = N.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = brute(list(enumerate(texts)))
+    assert len(got) == 500 and sorted(r["n_links"] for r in got) == sorted(n for _, n in want.values())
+
+
+def test_own_columns_keep_their_values(spark):
+    names = "key mark node size sig band id part parts i j salt root copies bucket links hub row at _key _turn _own_node".split()
+    df = spark.createDataFrame([(1, "some words of a text here"), (2, "Some words of a text  here"), (3, None)], "doc_id long, text string").withColumns({c: F.lit("mine") for c in names})
+    got = N.keep_one(df).collect()
+    assert sorted(r["doc_id"] for r in got) == [1, 3] and all(r[c] == "mine" for r in got for c in names)
+    assert N.similar(df).count() == 3
+
+
 def test_pipeline_keeps_one_of_each_group_and_no_secret(spark):
     import corpus_pipeline
     from weftline.llm import decontaminate

@@ -1,4 +1,4 @@
-"""N-gram Jaccard join: MinHash bands find candidates, Bayesian pruning drops the hopeless ones, exact sets settle the rest."""
+"""N-gram Jaccard join: MinHash bands give pairs, Bayesian pruning drops the hopeless ones, exact sets settle the rest."""
 
 from __future__ import annotations
 
@@ -18,8 +18,11 @@ BANDS, ROWS = 32, 6
 HASHES = BANDS * ROWS
 #: Candidates of similar posterior below this chance of reaching the threshold are dropped, tested each STEP values.
 TOLERANCE, STEP = 1e-9, 32
-#: Texts that one side of a block holds; larger candidate groups are compared block by block.
-BLOCK = 192
+#: Signatures that one side of a block of a band's key holds, and texts that one side of a block of a group of survivors holds;
+#: larger groups are compared block by block. A block also has SHINGLES shingles a side at most, but for a longer text alone.
+GROUP, BLOCK, SHINGLES = 1024, 96, 1_000_000
+#: Rows of signatures that one task compares about, many small groups together, and pairs that it looks at at once.
+BUCKET_ROWS, AT_ONCE = 20_000, 500_000
 #: How many ways the rows of one key are dealt where a key may be hot.
 SALTS = 8
 
@@ -68,18 +71,20 @@ class Shingler:
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
+    """HASHES MinHash values, of which 16 bits are kept: two that differ look equal once in 65,536, which only keeps a pair."""
     low = (shingles >> _U64(32)).astype(np.uint32)
     out = np.full(HASHES, 0xFFFFFFFF, dtype=np.uint32)
     for at in range(0, len(low), 2048):
         np.minimum(out, (low[at : at + 2048] * _ODD[:, None]).min(axis=1), out=out)
-    return out
+    return out.astype(np.uint16)
 
 
-def band_keys(sig: np.ndarray) -> np.ndarray:
-    key = np.arange(BANDS, dtype=np.uint64) + _U64(1)
-    for column in sig.reshape(BANDS, ROWS).T:
-        key = _mixed(key * _U64(0x9E3779B97F4A7C15) + column)
-    return key.view(np.int64)
+def band_keys(sigs: np.ndarray) -> np.ndarray:
+    """A key for each band of each signature (rows of HASHES values)."""
+    keys = np.zeros((len(sigs), BANDS), dtype=np.uint64)
+    for column in np.moveaxis(sigs.reshape(-1, BANDS, ROWS), 2, 0):
+        keys = _mixed(keys * _U64(0x9E3779B97F4A7C15) + column.astype(np.uint64) + _U64(1))
+    return keys
 
 
 def node_of(shingles: np.ndarray) -> int:
@@ -140,40 +145,92 @@ def _common(sets: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return total[back[:half], back[half:]].astype(np.int64)
 
 
+def _signatures(column: pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint16).reshape(-1, HASHES)
+
+
+def _roots(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The least member of each one's component under the links x, y."""
+    root = np.arange(n)
+    while len(x) and (root[x] != root[y]).any():
+        low = np.minimum(root[x], root[y])
+        np.minimum.at(root, x, low)
+        np.minimum.at(root, y, low)
+        root = root[root]
+    return root
+
+
+def _pairs(sizes: np.ndarray):
+    """Index pairs x < y within consecutive groups of so many rows, about AT_ONCE at a time."""
+    ends = np.repeat(np.cumsum(sizes), sizes)
+    after = ends - 1 - np.arange(len(ends))
+    sums = np.concatenate([[0], np.cumsum(after)])
+    at = 0
+    while at < len(after):
+        stop = max(at + 1, int(np.searchsorted(sums, sums[at] + AT_ONCE, side="right")) - 1)
+        x = np.repeat(np.arange(at, stop), after[at:stop])
+        yield x, x + 1 + np.arange(len(x)) - np.repeat(sums[at:stop] - sums[at], after[at:stop])
+        at = stop
+
+
+def _prune_groups(table: pa.Table) -> pa.Table:
+    """Survivors among the pairs of all groups of a bucket, as a star a component: (a, b), b being its least row.
+
+    A group is what shares a band's key, or one block of it. A pair that shares several bands is looked at in its first only.
+    """
+    table = table.sort_by([(c, "ascending") for c in ("id", "i", "j", "node")])
+    ids, i, j = (table.column(c).to_numpy() for c in ("id", "i", "j"))
+    new = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
+    nodes, part, band, size = (table.column(c).to_numpy() for c in ("node", "part", "band", "size"))
+    sigs = _signatures(table.column("sig"))
+    keys = band_keys(sigs)
+    linked = []
+    for x, y in _pairs(np.diff(np.append(new, len(ids)))):
+        keep = (i[x] == j[x]) | (part[x] != part[y])
+        x, y = x[keep], y[keep]
+        for t in range(int(band[x].max()) if len(x) else 0):
+            keep = (band[x] <= t) | (keys[x, t] != keys[y, t])
+            x, y = x[keep], y[keep]
+        linked.append(_survivors(sigs, size, x, y))
+    x, y = (np.concatenate([p[k] for p in linked]) for k in (0, 1))
+    own, place = np.unique(nodes, return_inverse=True)
+    root = _roots(len(own), place[x], place[y])
+    out = np.flatnonzero(root != np.arange(len(own)))
+    return pa.table([pa.array(own[out], pa.int64()), pa.array(own[root[out]], pa.int64())], ["a", "b"])
+
+
 def _compare_block(table: pa.Table) -> pa.Table:
-    """Links among the texts of one block: for each linked node its links' copies, its links, and a node of its component."""
-    shingle, seen = Shingler(), {}
-    for node, part, copies, text in zip(table.column("node").to_pylist(), table.column("part").to_pylist(), table.column("copies").to_pylist(), as_bytes(table.column("text").combine_chunks()), strict=True):
-        if node not in seen:
-            own = shingle(text)
-            if node_of(own) == node:  # a repeated id may have brought another text
-                seen[node] = (part, copies, own)
-    nodes = np.array(list(seen), dtype=np.int64)
-    parts, copies = (np.array([v[k] for v in seen.values()], dtype=np.int64) for k in (0, 1))
-    sets = [v[2] for v in seen.values()]
+    """Links among the texts of one block: for each linked node its links' copies, its links, and a node of its component.
+
+    Compared are the pairs that share a band and that pruning keeps.
+    """
+    table = table.sort_by("node")
+    nodes, parts, copies, sizes = (table.column(c).to_numpy() for c in ("node", "part", "copies", "size"))
     names = ["node", "links", "texts", "hub"]
-    if len(nodes) < 2:
-        return pa.table({c: pa.array([], pa.int64()) for c in names})
     x, y = np.triu_indices(len(nodes), 1)
     if table.column("i")[0].as_py() != table.column("j")[0].as_py():
         across = parts[x] != parts[y]
         x, y = x[across], y[across]
-    sizes = np.array([len(s) for s in sets], dtype=np.int64)
-    x, y = _survivors(np.stack([signature(s) for s in sets]), sizes, x, y)
+    sigs = _signatures(table.column("sig"))
+    keys = band_keys(sigs)
+    banded = np.zeros(len(x), dtype=bool)
+    for t in range(BANDS):
+        banded |= keys[x, t] == keys[y, t]
+    x, y = _survivors(sigs, sizes, x[banded], y[banded])
+    if not len(x):
+        return pa.table({c: pa.array([], pa.int64()) for c in names})
+    shingle, used = Shingler(), np.zeros(len(nodes), dtype=bool)
+    used[x] = used[y] = True
+    sets = [shingle(text) if use else np.zeros(0, np.uint64) for text, use in zip(as_bytes(table.column("text").combine_chunks()), used, strict=True)]
     both = _common(sets, x, y)
     linked = both >= THRESHOLD * (sizes[x] + sizes[y] - both) - 1e-9
     x, y = x[linked], y[linked]
-    links, texts, root = np.zeros(len(nodes), np.int64), np.zeros(len(nodes), np.int64), np.arange(len(nodes))
+    links, texts = np.zeros(len(nodes), np.int64), np.zeros(len(nodes), np.int64)
     for a, b in ((x, y), (y, x)):
         np.add.at(links, a, copies[b])
         np.add.at(texts, a, 1)
-    while len(x) and (root[x] != root[y]).any():
-        low = np.minimum(root[x], root[y])
-        np.minimum.at(root, x, low)
-        np.minimum.at(root, y, low)
-        root = root[root]
     out = np.flatnonzero(texts)
-    return pa.table([pa.array(c, pa.int64()) for c in (nodes[out], links[out], texts[out], nodes[root[out]])], names)
+    return pa.table([pa.array(c, pa.int64()) for c in (nodes[out], links[out], texts[out], nodes[_roots(len(nodes), x, y)[out]])], names)
 
 
 def _salt(col: str) -> Column:
@@ -217,61 +274,77 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def with_nodes(docs: DataFrame, bands: bool = False) -> DataFrame:
-    """docs with node, the fingerprint of the text's shingle set (null: no words), and with bands if asked for."""
-    shape = docs.withColumn("node", F.lit(None).cast("long"))
-    shape = shape.withColumn("bands", F.lit(None).cast("array<long>")).drop("text") if bands else shape
-    kept = [c for c in docs.columns if not (bands and c == "text")]
+def _addressed(docs: DataFrame, *more: Column) -> DataFrame:
+    """docs with key and mark, hashes of id and text and of the text, that tell a row of docs without a null."""
+    return docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"), F.xxhash64("text").alias("mark"), *more)
+
+
+def with_signatures(docs: DataFrame) -> DataFrame:
+    """(doc_id, key, mark, node, size, sig) of docs (doc_id, text): node is the fingerprint of the text's shingle set (null: no
+    words), size its shingles, sig its signature. Texts of any length are read whole."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def make():
         shingle = Shingler()
 
         def turn(batch: pa.RecordBatch) -> pa.RecordBatch:
-            nodes, keys = [], []
-            for text in as_bytes(batch.column("text")):
-                own = shingle(text)
-                nodes.append(node_of(own) if len(own) else None)
-                if bands:
-                    keys.append(band_keys(signature(own)) if len(own) else None)
-            columns = [batch.column(c) for c in kept] + [pa.array(nodes, pa.int64())]
-            names = [*kept, "node"]
-            if bands:
-                columns, names = [*columns, pa.array(keys, pa.list_(pa.int64()))], [*names, "bands"]
-            return pa.RecordBatch.from_arrays(columns, names)
+            sets = [shingle(text) for text in as_bytes(batch.column("text"))]
+            rows = [(node_of(s), len(s), signature(s).tobytes()) if len(s) else (None, 0, None) for s in sets]
+            columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)]
+            return pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "key", "mark")), *columns], ["doc_id", "key", "mark", "node", "size", "sig"])
 
         return turn
 
-    return docs.mapInArrow(per_batch(make), shape.schema)
+    return _addressed(docs).mapInArrow(per_batch(make), f"doc_id {kind}, key long, mark long, node long, size long, sig binary")
 
 
-def similar(docs: DataFrame) -> DataFrame:
-    """One row for each row of docs (doc_id, text): node, class_id, n_links, n_texts.
+def _blocked(rows: DataFrame) -> DataFrame:
+    """rows with part and parts, once for each block (i, j) of parts that they are in."""
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64("node", F.lit(7)), F.col("parts")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return dealt.withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")}).drop("other", "parts")
 
-    Two documents are linked if the Jaccard similarity of their five-word shingles is 0.8 or more. n_links counts a
-    document's links, copies included; n_texts counts the different texts among them. class_id is the least doc_id of its
-    component of links; a text without words has no link, no node and is its own class. Equal texts are one node, compared
-    once. Candidate groups from the bands are cut into blocks of BLOCK texts and compared block with block, so a group of
-    any size is done in full without a row for each pair. Null ids are never a class_id unless all of a class are null;
-    copies of a row come back each; other columns of docs aren't read.
+
+def surviving_groups(keyed: DataFrame) -> DataFrame:
+    """(node, root) of all nodes of keyed (node, size, sig) that have a pair left after pruning, grouped by such pairs.
+
+    Pairs are those of one band's key. Groups of up to GROUP nodes that several bands share are looked at once; larger ones
+    are cut into blocks. Only signatures are shipped, and only of nodes that share a band.
     """
-    signed = settle(with_nodes(docs.select("doc_id", "text"), bands=True), "signed")
-    classes = signed.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"))
-    keyed = settle(classes, "classes")
-    in_bands = keyed.select("node", F.explode("bands").alias("key"))
-    shared = in_bands.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "hub")
-    candidates = in_bands.withColumn("salt", _salt("node")).join(_salted(shared), ["key", "salt"]).select(F.col("node").alias("a"), F.col("hub").alias("b"))
-    stars = components(candidates)
-    groups = settle(stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct()), "groups")
-    sizes = groups.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
-    members = (
-        groups.withColumn("salt", _salt("node")).join(_salted(sizes), ["root", "salt"])
-        .join(keyed.select("node", "rep", "copies"), "node")
-        .withColumn("part", F.pmod(F.xxhash64("node", F.lit(7)), F.col("parts")).cast("int"))
+    values = F.expr(f"substring(sig, {2 * ROWS} * band + 1, {2 * ROWS})")
+    in_bands = keyed.select("node", "sig", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band")).select("node", "band", F.xxhash64("band", values).alias("id"))
+    counts = in_bands.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    shared = settle(in_bands.withColumn("salt", _salt("node")).join(_salted(counts), ["id", "salt"]).drop("salt"), "shared")
+    lists = shared.filter(F.col("n") <= GROUP).groupBy("id").agg(F.first("band").alias("band"), F.sort_array(F.collect_list("node")).alias("nodes"))
+    lists = lists.groupBy("nodes").agg(F.min("band").alias("band"), F.min("id").alias("id"))
+    zero = F.lit(0)
+    small = lists.select("id", "band", F.explode("nodes").alias("node"), zero.alias("part"), zero.alias("i"), zero.alias("j"))
+    large = _blocked(shared.filter(F.col("n") > GROUP).withColumn("parts", F.ceil(F.col("n") / GROUP).cast("int"))).select(*small.columns)
+    rows = settle(small.unionByName(large), "groups")
+    buckets = rows.count() // BUCKET_ROWS + 1
+    signed = rows.join(keyed.select("node", "size", "sig"), "node").withColumn("bucket", F.pmod(F.xxhash64("id", "i", "j"), F.lit(buckets)))
+    edges = signed.groupBy("bucket").applyInArrow(_prune_groups, "a long, b long")
+    stars = components(edges)
+    out = settle(stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct()), "survivors")
+    for done in (shared, rows):
+        discard(done)
+    return out
+
+
+def _classified(docs: DataFrame) -> DataFrame:
+    """similar()'s rows with key and mark."""
+    signed = settle(with_signatures(docs), "signed")
+    classes = signed.filter("node is not null").groupBy("node").agg(
+        F.min("doc_id").alias("rep"), F.min(F.struct("key", "mark")).alias("at"), F.count(F.lit(1)).alias("copies"), F.first("size").alias("size"), F.first("sig").alias("sig"),
     )
-    texts = docs.select("doc_id", "text").join(members.select("node", "root", "rep", "copies", "part", "parts"), F.col("doc_id").eqNullSafe(F.col("rep")))
-    blocks = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
-        "root", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "node", "part", "copies", "text"
-    )
+    keyed = settle(classes, "classes")
+    groups = surviving_groups(keyed)
+    members = groups.join(keyed, "node")
+    weights = members.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("size") / SHINGLES)).cast("int").alias("parts"))
+    members = members.withColumn("salt", _salt("node")).join(_salted(weights), ["root", "salt"]).drop("salt")
+    reps = members.select("node", F.col("at.key").alias("key"), F.col("at.mark").alias("mark"))
+    texts = _addressed(docs).join(reps, ["key", "mark"]).groupBy("node").agg(F.first("text").alias("text"))
+    blocks = _blocked(members.select("root", "parts", "node", "copies", "size", "sig").join(texts, "node"))
     found = settle(blocks.groupBy("root", "i", "j").applyInArrow(_compare_block, "node long, links long, texts long, hub long"), "links")
     classes_of = components(found.select(F.col("node").alias("a"), F.col("hub").alias("b")))
     summed = found.groupBy("node").agg(F.sum("links").alias("links"), F.sum("texts").alias("n_texts"))
@@ -280,26 +353,46 @@ def similar(docs: DataFrame) -> DataFrame:
     by_node = settle(
         rooted.join(least, "root").select("node", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("n_texts", F.lit(0)).alias("n_texts")), "nodes"
     )
-    return signed.select("doc_id", "node").join(by_node, "node", "left").select(
-        "doc_id", "node", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+    for done in (keyed, groups, found):
+        discard(done)
+    return signed.drop("size", "sig").join(by_node, "node", "left").select(
+        "doc_id", "key", "mark", "node", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n_texts", F.lit(0)).cast("long").alias("n_texts"),
     )
 
 
+def similar(docs: DataFrame) -> DataFrame:
+    """One row for each row of docs (doc_id, text): doc_id, node, class_id, n_links, n_texts.
+
+    Two documents are linked if the Jaccard similarity of their five-word shingles is 0.8 or more. n_links counts a
+    document's links, copies included; n_texts counts the different texts among them. class_id is the least doc_id of its
+    component of links; a text without words (null, empty) has no link, no node and is its own class. Equal texts are one
+    node, compared once. Pairs come from the bands and are pruned on signatures; texts are fetched for groups of survivors only,
+    and such a group is cut into blocks of BLOCK texts and compared block with block, so a group of any size is done in full
+    without a row for each pair. Null ids are never a class_id unless all of a class are null; rows that repeat an id are rows
+    of their own; copies of a row come back each, an empty table empty; other columns of docs aren't read.
+    """
+    return _classified(docs).drop("key", "mark")
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs, with its columns, of which one document of each class stays: that of the least doc_id.
 
-    Of rows that repeat an id and a text one stays; texts without words all stay.
+    Of rows that repeat an id and a text one stays, and of texts of one id that differ in case or white space only; texts
+    without words all stay. An empty table stays empty. Own columns keep their values whatever they are called.
     """
-    key = F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("?")), F.col("node").cast("string")).cast("binary"))
-    first = similar(docs).filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(key.alias("_key")).distinct()
-    marked = with_nodes(docs.withColumnRenamed("node", "_own_node") if "node" in docs.columns else docs).withColumn("_key", key)
-    turn = F.row_number().over(Window.partitionBy("_key").orderBy("_key"))
-    kept = marked.join(first, "_key", "left_semi").withColumn("_turn", turn).filter((F.col("_turn") == 1) | F.col("node").isNull())
-    return kept.drop("node").withColumnRenamed("_own_node", "node").select(*docs.columns)
+    winners = (
+        _classified(docs).filter(F.col("node").isNotNull() & F.col("doc_id").eqNullSafe(F.col("class_id")))
+        .groupBy("doc_id", "node").agg(F.min(F.struct("key", "mark")).alias("at")).select("at.key", "at.mark")
+    )
+    marked = _addressed(docs, F.struct("*").alias("row"))
+    wordy = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    kept = marked.filter(wordy).select("key", "mark", "row").join(winners, ["key", "mark"], "left_semi").groupBy("key", "mark").agg(F.first("row").alias("row"))
+    return kept.select("row").unionByName(marked.filter(~wordy).select("row")).select("row.*")
 
 
 def op4_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
+    """Class and links of each document; see similar()."""
     return similar(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).select("doc_id", "class_id", "n_links", "n_texts")
 
 
