@@ -18,7 +18,7 @@ SHAPE = "doc_id long, text string, source string"
 
 @pytest.fixture(scope="module")
 def odd(spark):
-    clash = "size score spans items n_words language kept target blob node".split()
+    clash = "size score spans items n_words language kept target blob node row salt hit likelihood n_grams mark key quality _raw _hit _told _prior _posterior n_pretokens".split()
     return spark.createDataFrame(ODD, SHAPE).withColumns({c: F.lit("mine") for c in clash})
 
 
@@ -231,6 +231,7 @@ def test_cutting_spans(spark):
     bench = spark.createDataFrame([(1, "one two three four")], "item_id long, text string")
     docs = spark.createDataFrame([(1, "Zero, One two-three FOUR; five.", 5), (2, "none", 5), (3, None, 5)], "doc_id long, text string, n_hit long")
     got = {r["doc_id"]: r["text"] for r in decontaminate.decontaminate(docs, bench, how="spans").collect()}
+    assert {r["n_hit"] for r in decontaminate.decontaminate(docs, bench, how="spans").collect() + decontaminate.decontaminate(docs, bench).collect()} == {5}
     assert got[2] == "none" and got[3] is None and re.findall(r"\w+", got[1]) == ["Zero", "five"]
     assert [r["doc_id"] for r in decontaminate.decontaminate(docs, bench).collect()] == [2, 3]
     assert decontaminate.find_windows(docs, bench.limit(0)).agg(F.sum("n_hit")).first()[0] == 0
@@ -239,7 +240,8 @@ def test_cutting_spans(spark):
 def test_decontamination_edges(spark, odd):
     bench = spark.createDataFrame([(None, "x y z")], "item_id long, text string")
     got = decontaminate.find_windows(odd, bench).collect()
-    assert len(got) == len(ODD) and sum(r["n_hit"] for r in got) == 3 and all(r["items"] == [] for r in got)
+    assert len(got) == len(ODD) and sum(r["n_hit"] for r in got) == 3 and all(r["items"] == [] and r["hit"] == r["row"] == r["_hit"] == "mine" for r in got)
+    assert {c for r in decontaminate.decontaminate(odd, bench).select(*odd.columns[3:]).collect() for c in r} == {"mine"}
     assert decontaminate.find_windows(odd.limit(0), bench).count() == 0
 
 
@@ -282,6 +284,25 @@ def test_rules_drop_junk_and_keep_the_rest(spark):
     assert share[1] > 0.95 and share[0] < 0.2
 
 
+def test_verdict_is_the_first_rule_that_holds(spark):
+    rng = np.random.default_rng(17)
+    names = list(quality_rules.FEATURES)
+    counts = rng.integers(0, 9, (400, len(quality_rules.COUNTS)))
+    rules = [[quality_rules.Condition(names[rng.integers(len(names))], bool(rng.integers(2)), float(rng.uniform(0, 3))) for _ in range(rng.integers(1, 4))] for _ in range(6)]
+    x = quality_rules.feature_matrix(counts)
+    want = [next((k for k, rule in enumerate(rules, 1) if quality_rules._covered(rule, x[i : i + 1])[0]), 0) for i in range(len(x))]
+    rows = spark.createDataFrame([(i, *map(int, c)) for i, c in enumerate(counts)], "i long, " + ", ".join(f"{c} long" for c in quality_rules.COUNTS))
+    got = {r["i"]: r["v"] for r in rows.select("i", quality_rules.verdict(rules).alias("v")).collect()}
+    assert [got[i] for i in range(len(x))] == want and len(set(want)) > 3
+
+
+def test_a_repeated_id_is_one_row_of_the_sample(spark):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(50)] + [(2, "a"), (2, "a")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (1, 0), (2, 1)], "doc_id long, quality int")
+    assert sorted(map(tuple, quality_rules.labelled_sample(docs, labels, 10).collect())) == [(1, 0, "text 0"), (2, 1, "a")]
+    assert len(quality_knn.fit_voters(docs, labels).labels) <= 2
+
+
 def test_rule_edges(spark, odd):
     labels = spark.createDataFrame([(1, None), (None, 1), (5, 0), (5, 0)], "doc_id long, quality int")
     rules = quality_rules.fit_rules(odd, labels)
@@ -297,6 +318,28 @@ def test_classifier_on_held_out_labels(spark):
     assert auc > 0.9 and np.mean([r["predicted"] for r in rows if r["quality"] == 1]) > 0.95
 
 
+def test_votes_against_plain_sums(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    voters = quality_knn.fit_voters(docs, labels, per_class=60)
+    rows = documents(spark).orderBy("doc_id").limit(150).collect()
+    got = {r["doc_id"]: r["score"] for r in quality_knn.score_quality(spark.createDataFrame(rows), voters).collect()}
+    for r in rows:
+        v = quality_knn.term_row((r["text"] or "").encode()).astype(float) @ voters.lift.astype(float)
+        size = np.linalg.norm(v)
+        near = sorted((-float(v @ w) / size if size else 0.0, i) for i, w in enumerate(voters.vectors.astype(float)))[: quality_knn.NEIGHBOURS]
+        votes = [(min(max(-c, 0.0), 1.0) ** quality_knn.SHARPNESS * voters.weights[i], voters.labels[i]) for c, i in near]
+        total = sum(v for v, _ in votes)
+        assert got[r["doc_id"]] == pytest.approx(sum(v * y for v, y in votes) / total if total > 1e-12 else voters.prior, abs=2e-4)
+
+
+def test_nearest_takes_the_first_of_equal_ones():
+    rng = np.random.default_rng(2)
+    for _ in range(50):
+        c = rng.integers(0, 4, (20, 30)).astype(np.float32)
+        for row, near in zip(c, quality_knn._nearest(c, 7), strict=True):
+            assert set(near.tolist()) == set(sorted(range(30), key=lambda i: (-row[i], i))[:7])
+
+
 def test_classifier_edges(spark, odd):
     none = quality_knn.fit_voters(odd, spark.createDataFrame([], "doc_id long, quality int"))
     assert {r["score"] for r in quality_knn.score_quality(odd, none).collect()} == {0.5}
@@ -336,7 +379,69 @@ def test_counts_on_real_texts(spark):
         assert (r["n_pretokens"], r["n_tokens"]) == (len(parts), sum(plain_greedy(p.encode(), vocab) for p in parts))
 
 
+def test_token_edges(spark, odd):
+    got = token_counts.count_tokens(odd).collect()
+    assert len(got) == len(ODD) and {r["_raw"] + r["row"] for r in got} == {"minemine"} and {type(r["n_pretokens"]) for r in got} == {int}
+    assert sum(r["n_tokens"] == 0 for r in got) == 4 and max(r["n_pretokens"] for r in got) >= 60_000
+    assert token_counts.count_tokens(odd.limit(0)).count() == 0
+
+
 # ---- language ID
+def plain_languages(rows):
+    """identify() by plain sums: (language, posterior) of each row (id, text, declared, host, suffix)."""
+    grams = {r[0]: Counter(language.trigrams((r[1] or "").encode()).tolist()) for r in rows}
+    tags = {r[0]: r[2] for r in rows}
+    sums = {}
+    for r in rows:
+        if r[2]:
+            sums.setdefault(r[2], Counter()).update(grams[r[0]])
+    names = sorted(t for t, c in sums.items() if c.total() >= language.LEAST_TRIGRAMS)
+    n, size = len(names), language.BUCKETS
+    prob = {t: lambda b, t=t: (sums[t][b] + 0.5) / (sums[t].total() + 0.5 * size) for t in names}
+    prob[None] = lambda b: language.EVEN_HALF / size + (1 - language.EVEN_HALF) * sum(prob[t](b) for t in names) / n
+    told = {t: sum(v == t for v in tags.values()) for t in names}
+    like = {}
+    for i, c in grams.items():
+        temper = min(1.0, language.MOST_EVIDENCE / c.total()) if c else 0.0
+        like[i] = {t: temper * sum(k * np.log(prob[t](b)) for b, k in c.items()) for t in [*names, None]}
+
+    def normal(logs):
+        top = max(logs.values())
+        whole = sum(np.exp(x - top) for x in logs.values())
+        return {t: float(np.exp(x - top)) / whole for t, x in logs.items()}
+
+    own = {i: normal({t: x + (np.log(told[t] / sum(told.values()) * (1 - language.OTHER)) if t else np.log(language.OTHER)) for t, x in like[i].items()}) for i in like if grams[i]}
+    add = lambda ids: {t: sum(own[i][t] for i in ids) for t in names}
+    lean = lambda s, onto, w: {t: (s[t] + w * onto[t]) / (sum(s.values()) + w) for t in names}
+    whole = add(own)
+    globe = {t: (whole[t] + 1) / (sum(whole.values()) + n) for t in names}
+    suffix = {r[4]: lean(add([q[0] for q in rows if q[0] in own and q[4] == r[4]]), globe, language.LEAN_SUFFIX) for r in rows}
+    out = {}
+    for i, _, declared, host, end in rows:
+        group = [q[0] for q in rows if q[0] in own and (q[3], q[4]) == (host, end)]
+        prior = lean(add(group), suffix[end], language.LEAN_HOST) if group else globe
+        said = lambda t, d=declared: 1 / n if d not in names else language.TRUST if d == t else (1 - language.TRUST) / max(n - 1, 1)
+        logs = {t: like[i][t] + np.log(said(t)) + np.log(prior[t] * (1 - language.OTHER)) for t in names}
+        logs[None] = like[i][None] + np.log(1 / n if declared not in names else (1 - language.TRUST) / n) + np.log(language.OTHER)
+        post = normal(logs)
+        best = max(names, key=lambda t: post[t])
+        out[i] = (best, post[best])
+    return out
+
+
+def test_fusion_against_plain_sums(spark):
+    rng = random.Random(21)
+    docs = documents(spark).filter("n_chars > 40").orderBy("doc_id").limit(90).collect()
+    rows = [(i, r["text"][: rng.choice([30, 200, 4000])], rng.choice([r["lang"], r["lang"], None, "en", "xx"]), rng.choice(["h1", "h2", None]), rng.choice(["de", "fr", None])) for i, r in enumerate(docs)]
+    rows += [(900, None, "en", "h1", "de"), (901, "123 !!", None, None, None), (902, "", "de", "h9", "fr")]
+    got = language.identify(spark.createDataFrame(rows, "doc_id long, text string, declared string, host string, suffix string")).collect()
+    want = plain_languages(rows)
+    assert len(got) == len(rows)
+    for r in got:
+        best, posterior = want[r["doc_id"]]
+        assert r["posterior"] == pytest.approx(posterior, abs=1e-3) and (r["language"] == best or posterior < 0.6)
+
+
 def test_languages_agree_and_evidence_counts(spark):
     rows = language.identify(language.from_documents(documents(spark))).collect()
     assert len(rows) == 1000
@@ -373,6 +478,9 @@ def test_language_edges(spark, odd):
     docs = odd.withColumn("lang", F.lit("en"))
     got = language.identify(language.from_documents(docs)).collect()
     assert len(got) == len(ODD) and sum(not r["accepted"] for r in got) == 5
+    clash = language.from_documents(docs).withColumns({c: F.lit("mine") for c in ("row", "n_grams", "likelihood", "language", "_told", "_prior", "_host")})
+    rows = language.identify(clash).collect()
+    assert {r["row"] + r["n_grams"] + r["likelihood"] + r["_told"] for r in rows} == {"mine" * 4} and {r["language"] for r in rows} == {"en"}
     none = language.identify(language.from_documents(odd.withColumn("lang", F.lit(None).cast("string")))).collect()
     assert len(none) == len(ODD) and not any(r["accepted"] for r in none)
     assert language.identify(language.from_documents(docs.limit(0))).count() == 0

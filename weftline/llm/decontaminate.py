@@ -14,7 +14,8 @@ from .common import as_bytes, per_batch
 
 #: On lower-cased UTF-8: the bytes of digits, letters and all that is not ASCII.
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
-#: Benchmark characters that one broadcast set may hold; a larger benchmark is matched in several passes.
+#: Benchmark characters that one broadcast set may hold, some 150 MB of arrays and words; a larger benchmark is matched in
+#: several passes.
 BLOCK_CHARS = 32_000_000
 
 
@@ -23,20 +24,30 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 class WindowSet:
-    """Windows of n consecutive item words (an item with fewer is one window), found in texts by rolling hashes."""
+    """Windows of n consecutive item words (an item with fewer is one window), found in texts by rolling hashes.
+
+    All items' words are one array of word numbers; for each window size a sorted array of hashes and one of places say where
+    windows start in it. So a window costs 16 bytes, and a hit is verified on the words at its places.
+    """
 
     _MIX = np.uint64(0x9E3779B97F4A7C15)
 
     def __init__(self, items: list[tuple[str | None, bytes]], n: int):
         self.ids: dict[bytes, int] = {}
-        windows: dict[int, dict[tuple, set]] = {}
-        for item, text in items:
-            ids = tuple(self.ids.setdefault(w, len(self.ids) + 1) for w in words_of(text))
-            size = min(n, len(ids))
-            for i in range(len(ids) - size + 1 if size else 0):
-                windows.setdefault(size, {}).setdefault(ids[i : i + size], set()).add(item)
-        self.windows = windows
-        self.hashes = {size: np.unique(np.concatenate([self._rolled(np.array(w, dtype=np.uint64), size) for w in of])) for size, of in windows.items()}
+        self.items = [item for item, _ in items]
+        numbers = [np.fromiter((self.ids.setdefault(w, len(self.ids) + 1) for w in words_of(text)), dtype=np.uint32) for _, text in items]
+        lengths = np.array([len(x) for x in numbers], dtype=np.int64)
+        self.words = np.concatenate([np.zeros(0, np.uint32), *numbers])
+        self.starts = np.cumsum(lengths) - lengths
+        self.hashes: dict[int, np.ndarray] = {}
+        self.places: dict[int, np.ndarray] = {}
+        sizes = np.minimum(lengths, n)
+        for size in np.unique(sizes[sizes > 0]).tolist():
+            own = np.flatnonzero(sizes == size)
+            places = np.concatenate([self.starts[k] + np.arange(lengths[k] - size + 1) for k in own])
+            hashes = np.concatenate([self._rolled(numbers[k].astype(np.uint64), size) for k in own])
+            order = np.argsort(hashes, kind="stable")
+            self.hashes[size], self.places[size] = hashes[order], places[order]
 
     def _rolled(self, ids: np.ndarray, size: int) -> np.ndarray:
         out = np.zeros(len(ids) - size + 1, dtype=np.uint64)
@@ -58,14 +69,17 @@ class WindowSet:
             if len(gaps) and len(gaps) * (size + 1) > len(ids) and np.diff(np.concatenate([[-1], gaps, [len(ids)]])).max() <= size:
                 continue
             rolled = self._rolled(ids, size)
-            at = np.searchsorted(known, rolled)
-            at[at == len(known)] = 0
-            for i in np.flatnonzero(known[at] == rolled):
-                of = self.windows[size].get(tuple(ids[i : i + size].tolist()))
-                if of is not None:
-                    hit = np.zeros(len(ids), dtype=bool) if hit is None else hit
-                    hit[i : i + size] = True
-                    items |= of
+            first = np.searchsorted(known, rolled)
+            first[first == len(known)] = 0
+            for i in np.flatnonzero(known[first] == rolled):
+                at, window = int(first[i]), ids[i : i + size]
+                while at < len(known) and known[at] == rolled[i]:
+                    place = int(self.places[size][at])
+                    if (self.words[place : place + size] == window).all():
+                        hit = np.zeros(len(ids), dtype=bool) if hit is None else hit
+                        hit[i : i + size] = True
+                        items.add(self.items[int(np.searchsorted(self.starts, place, side="right")) - 1])
+                    at += 1
         return len(words), hit, items
 
     def cut(self, text: bytes, hit: np.ndarray) -> bytes:
@@ -91,17 +105,10 @@ def _blocks(benchmark: DataFrame, n: int, block_chars: int):
         yield benchmark.sparkSession.sparkContext.broadcast(WindowSet(rows, n))
 
 
-def find_windows(docs: DataFrame, benchmark: DataFrame, n: int = 10, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """docs with n_words, n_hit, items (sorted ids of items that have a window in the text) and clean_text.
-
-    The benchmark is measured first: up to block_chars it is one broadcast set, beyond that several sets are passed over
-    the documents in turn, which needs no shuffle either. Every hash hit is verified on the words themselves. Null text has
-    no words; an empty benchmark hits nothing; items without words have no window; copies of an item share its windows; a
-    null item_id hits but isn't listed. A column of docs named like one of the new ones is replaced. doc order and copies stay.
-    """
-    new = ["n_words", "n_hit", "items", "clean_text"]
-    kept = docs.drop(*new, "_hit")
-    out = kept.withColumns({"n_words": F.lit(None).cast("long"), "_hit": F.lit(None).cast("binary"), "items": F.array().cast("array<string>")})
+def _searched(docs: DataFrame, benchmark: DataFrame, n: int, block_chars: int) -> DataFrame:
+    """(row, n_words, n_hit, items, clean_text) of each row of docs, whose columns are inside row, so that no name clashes."""
+    fresh = {"n_words": F.lit(None).cast("long"), "hit": F.lit(None).cast("binary"), "items": F.array().cast("array<string>")}
+    out = docs.select(F.struct("*").alias("row"), "text").withColumns(fresh)
     for block in _blocks(benchmark, n, block_chars):
 
         def make(block=block):
@@ -109,7 +116,7 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, n: int = 10, block_chars
 
             def turn(batch: pa.RecordBatch) -> pa.RecordBatch:
                 counts, masks, items = [], [], []
-                for text, mask, had in zip(as_bytes(batch.column("text")), batch.column("_hit").to_pylist(), batch.column("items").to_pylist(), strict=True):
+                for text, mask, had in zip(as_bytes(batch.column("text")), batch.column("hit").to_pylist(), batch.column("items").to_pylist(), strict=True):
                     size, hit, found = known.search(text)
                     if mask is not None:
                         before = np.unpackbits(np.frombuffer(mask, np.uint8), count=size).astype(bool)
@@ -117,8 +124,8 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, n: int = 10, block_chars
                     counts.append(size)
                     masks.append(None if hit is None else np.packbits(hit).tobytes())
                     items.append(sorted({*had, *(x for x in found if x is not None)}))
-                swap = {"n_words": pa.array(counts, pa.int64()), "_hit": pa.array(masks, pa.binary()), "items": pa.array(items, pa.list_(pa.string()))}
-                return pa.RecordBatch.from_arrays([swap.get(c, batch.column(c)) for c in batch.schema.names], batch.schema.names)
+                new = [pa.array(counts, pa.int64()), pa.array(masks, pa.binary()), pa.array(items, pa.list_(pa.string()))]
+                return pa.RecordBatch.from_arrays([batch.column("row"), batch.column("text"), *new], ["row", "text", "n_words", "hit", "items"])
 
             return turn
 
@@ -127,33 +134,51 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, n: int = 10, block_chars
     def finish():
         def turn(batch: pa.RecordBatch) -> pa.RecordBatch:
             n_hit, clean = [], []
-            for raw, mask, size in zip(as_bytes(batch.column("text")), batch.column("_hit").to_pylist(), batch.column("n_words").to_pylist(), strict=True):
+            for raw, mask, size in zip(as_bytes(batch.column("text")), batch.column("hit").to_pylist(), batch.column("n_words").to_pylist(), strict=True):
                 hit = None if mask is None else np.unpackbits(np.frombuffer(mask, np.uint8), count=size).astype(bool)
                 n_hit.append(0 if hit is None else int(hit.sum()))
                 clean.append(None if hit is None else WindowSet.cut(None, raw, hit).decode("utf-8", "replace"))
-            names = [c for c in batch.schema.names if c != "_hit"]
-            return pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(n_hit, pa.int64()), pa.array(clean, pa.string())], [*names, "n_hit", "clean_text"])
+            own = [batch.column(c) for c in ("row", "n_words", "items")]
+            return pa.RecordBatch.from_arrays([*own, pa.array(n_hit, pa.int64()), pa.array(clean, pa.string())], ["row", "n_words", "items", "n_hit", "clean_text"])
 
         return turn
 
-    shape = out.drop("_hit").withColumns({"n_hit": F.lit(0).cast("long"), "clean_text": F.lit(None).cast("string")}).schema
+    shape = out.select("row", "n_words", "items").withColumns({"n_hit": F.lit(0).cast("long"), "clean_text": F.lit(None).cast("string")}).schema
     for field in shape:
         field.nullable = True
     done = out.mapInArrow(per_batch(finish), shape)
-    return done.withColumn("clean_text", F.coalesce("clean_text", "text"))
+    return done.withColumn("clean_text", F.coalesce("clean_text", "row.text"))
+
+
+def find_windows(docs: DataFrame, benchmark: DataFrame, n: int = 10, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """docs with n_words, n_hit, items (sorted ids of items that have a window in the text) and clean_text.
+
+    The benchmark is measured first: up to block_chars it is one broadcast set, beyond that several sets are passed over
+    the documents in turn, which needs no shuffle either. Every hash hit is verified on the words themselves. Null text has
+    no words; an empty benchmark hits nothing; items without words have no window; copies of an item share its windows; a
+    null item_id hits but isn't listed. Texts of any length are searched whole; an empty table stays empty. A column of docs
+    named like one of the new ones is replaced, all others stay as they are; order and copies stay.
+    """
+    new = ["n_words", "n_hit", "items", "clean_text"]
+    found = _searched(docs, benchmark, n, block_chars)
+    return found.select(*[f"row.`{c}`" for c in docs.columns if c not in new], *new)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, how: str = "documents") -> DataFrame:
-    """docs with its own columns and without benchmark passages: how is "documents" (hit ones go) or "spans" (hit words go)."""
-    found = find_windows(docs, benchmark, n)
-    if how == "documents":
-        return found.filter("n_hit = 0").select(*docs.columns)
-    if how != "spans":
+    """docs with its own columns and without benchmark passages: how is "documents" (hit ones go) or "spans" (hit words go).
+
+    All columns but, for spans, text keep their values whatever they are called. Null and empty texts are never hit.
+    """
+    if how not in ("documents", "spans"):
         raise ValueError(f"how is documents or spans, not {how}")
-    return found.withColumn("text", F.col("clean_text")).select(*docs.columns)
+    found = _searched(docs, benchmark, n, BLOCK_CHARS)
+    if how == "documents":
+        return found.filter("n_hit = 0").select("row.*")
+    return found.select(*[F.col("clean_text").alias("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def op3_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:
+    """Hit words and items of each document; see find_windows()."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     found = find_windows(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.select(

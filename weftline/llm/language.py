@@ -138,14 +138,18 @@ def identify(docs: DataFrame, least: float = 0.5) -> DataFrame:
     The result is text likelihood x P(declared | language) x host prior. A tie goes to the first language by name. Beside the
     languages stands other, a text in none of them: it has a fixed prior, and takes its share of every posterior.
     Accepted: it has letters and its posterior reaches least. Null, empty and letterless texts are rejected, with what the
-    other evidence says. Without any declared tag there are no languages: null, 0.0, rejected.
+    other evidence says. Without any declared tag there are no languages: null, 0.0, rejected. Texts of any length are read
+    whole; copies of a row come back each, an empty table empty. Own columns called like the three new ones are replaced,
+    all others stay as they are.
     """
     languages, logp, base = learn_likelihoods(docs)
     n = len(languages)
-    carried = [c for c in docs.columns if c != "text"]
+    new = ["language", "posterior", "accepted"]
+    carried = [c for c in docs.columns if c != "text" and c not in new]
     if not n:
         return docs.select(*carried).withColumns({"language": F.lit(None).cast("string"), "posterior": F.lit(0.0), "accepted": F.lit(False)})
-    scored = settle(text_evidence(docs, languages, logp), "evidence")
+    packed = docs.select(F.struct(*[f"`{c}`" for c in carried]).alias("row"), "text", "declared", "host", "suffix")
+    scored = settle(text_evidence(packed, languages, logp), "evidence")
     priors = F.array(*[F.lit(float(x)) for x in [*(base + np.log(1 - OTHER)), np.log(OTHER)]])
     own = scored.filter("n_grams > 0").select("host", "suffix", _normalised(F.zip_with("likelihood", priors, lambda a, b: a + b)).alias("p"))
     by_host = own.groupBy("host", "suffix").agg(_sums("p", n).alias("host_sums"))
@@ -180,7 +184,7 @@ def identify(docs: DataFrame, least: float = 0.5) -> DataFrame:
         .withColumn("_posterior", _normalised(fused))
         .withColumns({"language": F.element_at(names, F.array_position("_posterior", best).cast("int")), "posterior": best})
         .withColumn("accepted", (F.col("n_grams") > 0) & (F.col("posterior") >= least))
-        .select(*carried, "language", "posterior", "accepted")
+        .select("row.*", *new)
     )
 
 
@@ -201,9 +205,11 @@ def from_pages(pages: DataFrame) -> DataFrame:
 
 
 def op8_language_id(spark, sf_dir: str) -> DataFrame:
+    """Language of each document, lang being what was declared and source the host; see identify()."""
     rows = identify(from_documents(spark.read.parquet(f"{sf_dir}/documents.parquet")))
     return rows.select("doc_id", "declared", "host", "language", "posterior", "accepted")
 
 
 def language_id_pages(spark, sf_dir: str) -> DataFrame:
+    """Language of each page by its text, html lang, host and address suffix; see identify()."""
     return identify(from_pages(spark.read.parquet(f"{sf_dir}/pages.parquet")))

@@ -72,6 +72,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), max_epochs: int = 3
 
 
 def op7_mixing(spark, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of each document; see mix()."""
     return mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 

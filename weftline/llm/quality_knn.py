@@ -50,6 +50,15 @@ def _leading_axes(rows: np.ndarray, rank: int, rounds: int = 4) -> np.ndarray:
     return axes @ np.linalg.svd(rows @ axes, full_matrices=False)[2][:rank].T
 
 
+def _nearest(cosines: np.ndarray, k: int) -> np.ndarray:
+    """The k highest of each row; of equal ones the first. Rows with a tie at the last place are sorted in full."""
+    near = np.argpartition(cosines, -k, axis=1)[:, -k:]
+    last = np.take_along_axis(cosines, near, axis=1).min(axis=1, keepdims=True)
+    tied = np.flatnonzero((cosines >= last).sum(axis=1) > k)
+    near[tied] = np.argsort(-cosines[tied], axis=1, kind="stable")[:, :k]
+    return near
+
+
 @dataclass
 class Voters:
     """Labelled vectors in the latent space, and the map of term rows into it."""
@@ -76,7 +85,7 @@ class Voters:
         for at in range(0, len(texts), BLOCK):
             block = _unit(np.stack([term_row(t) for t in texts[at : at + BLOCK]]) @ self.lift)
             cosines = block @ self.vectors.T
-            near = np.argpartition(cosines, -k, axis=1)[:, -k:]
+            near = _nearest(cosines, k)
             votes = np.clip(np.take_along_axis(cosines, near, axis=1), 0, 1) ** SHARPNESS * self.weights[near]
             total = votes.sum(axis=1)
             out[at : at + BLOCK] = np.divide((votes * self.labels[near]).sum(axis=1), total, out=np.full(len(block), self.prior), where=total > 1e-12)
@@ -84,7 +93,10 @@ class Voters:
 
 
 def fit_voters(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Voters:
-    """Voters from up to per_class rows of each label, by id hash; a class's votes weigh by how many rows stand for how many."""
+    """Voters from up to per_class rows of each label, by id hash; a class's votes weigh by how many rows stand for how many.
+
+    Of rows that repeat an id the least text stands for all; of labels that repeat one the least counts.
+    """
     marked = labels.filter("quality in (0, 1) and doc_id is not null").filter(F.pmod(id_crc(), F.lit(5)) != 0)
     marked = marked.groupBy("doc_id").agg(F.min("quality").alias("quality"))
     sizes = {r["quality"]: r["count"] for r in marked.groupBy("quality").count().collect()}
@@ -93,7 +105,7 @@ def fit_voters(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -
     rows = []
     if parts:
         chosen = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-        sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+        sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
         rows = sample.mapInArrow(per_batch(_term_rows), "quality int, terms binary").orderBy("quality", "terms").collect()
     own = {q: max(1, sum(r["quality"] == q for r in rows)) for q in (0, 1)}
     terms = np.stack([np.frombuffer(r["terms"], np.float32) for r in rows]) if rows else np.zeros((0, TERMS), np.float32)
@@ -112,7 +124,8 @@ def score_quality(docs: DataFrame, voters: Voters) -> DataFrame:
     """doc_id and score (0 to 1) of each row of docs (doc_id, text), by the whole text alone.
 
     Null and empty texts have no vector and get the labelled mean; so do texts that no neighbour resembles. Without
-    labelled rows all scores are 0.5. Copies of a row come back each.
+    labelled rows all scores are 0.5. Of neighbours equally near at the last place those count that stand first by label
+    and terms. Copies of a row come back each, an empty table gives none; other columns aren't read.
     """
     model = docs.sparkSession.sparkContext.broadcast(voters)
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -128,6 +141,7 @@ def score_quality(docs: DataFrame, voters: Voters) -> DataFrame:
 
 
 def op5_quality_classifier(spark, sf_dir: str) -> DataFrame:
+    """Quality score of each document; see fit_voters() and score_quality()."""
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     held_out = (F.pmod(id_crc(), F.lit(5)) == 0).alias("held_out")
     return score_quality(docs, fit_voters(docs, labels)).select("doc_id", held_out, "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))

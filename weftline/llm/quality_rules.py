@@ -63,19 +63,22 @@ def counts_of(text: bytes) -> tuple[int, ...]:
     return len(words), chars, len(text) - bare, dup, repeated_words(words), lines, upper, letters, text.count(b"!") + text.count(b"?")
 
 
-def with_counts(docs: DataFrame) -> DataFrame:
-    """doc_id and COUNTS of each row of docs (doc_id, text); null text counts as empty."""
+def with_counts(docs: DataFrame, *carried: str) -> DataFrame:
+    """doc_id, the columns carried and COUNTS of each row of docs (doc_id, text); null text counts as empty.
+
+    Texts of any length are read whole; copies of a row come back each.
+    """
 
     def make():
         def turn(batch: pa.RecordBatch) -> pa.RecordBatch:
             rows = [counts_of(t) for t in as_bytes(batch.column("text"))]
             columns = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]
-            return pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", *COUNTS])
+            return pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", *carried)), *columns], ["doc_id", *carried, *COUNTS])
 
         return turn
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(per_batch(make), f"doc_id {kind}, " + ", ".join(f"{c} long" for c in COUNTS))
+    own = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in ("doc_id", *carried))
+    return docs.select("doc_id", "text", *carried).mapInArrow(per_batch(make), f"{own}, " + ", ".join(f"{c} long" for c in COUNTS))
 
 
 #: Features of a condition: over the counts, as numerator and denominator (1: none).
@@ -168,15 +171,18 @@ def learn_list(x: np.ndarray, bad: np.ndarray, most_rules: int = 12, most_condit
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, most_rows: int) -> DataFrame:
-    """Up to most_rows documents with a quality label, by the hash of their id: the bounded set that models are fitted on."""
+    """Up to most_rows documents with a quality label, by the hash of their id: the bounded set that models are fitted on.
+
+    Of rows that repeat an id the least text stands for all; of labels that repeat one the least counts.
+    """
     ids = labels.filter("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     ids = ids.orderBy(id_crc(), "doc_id").limit(most_rows)
-    return docs.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "quality")
+    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
 
 
 def fit_rules(docs: DataFrame, labels: DataFrame, most_rows: int = 12_000) -> list[list[Condition]]:
     sample = labelled_sample(docs, labels, most_rows)
-    got = with_counts(sample).join(F.broadcast(sample.select("doc_id", "quality")), "doc_id").orderBy(id_crc(), "doc_id", *COUNTS).toPandas()
+    got = with_counts(sample, "quality").orderBy(id_crc(), "doc_id").toPandas()
     return learn_list(feature_matrix(got[list(COUNTS)].to_numpy()), (got["quality"] == 0).to_numpy()) if len(got) else []
 
 
@@ -202,6 +208,7 @@ def apply_rules(docs: DataFrame, rules: list[list[Condition]]) -> DataFrame:
 
 
 def op10_quality_rules(spark, sf_dir: str) -> DataFrame:
+    """Counts of each document, the first rule that drops it and whether it is kept; see apply_rules()."""
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     rows = apply_rules(docs, fit_rules(docs, labels))
     return rows.select("doc_id", *COUNTS[:5], "base_failed", "kept", "rule")

@@ -95,20 +95,21 @@ def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, pretoken: str =
     """docs with n_pretokens and n_tokens, the greedy longest-match pieces of the whole text.
 
     Null and empty texts have none. Each distinct word of a task runs through the automaton once; what a task remembers
-    is bounded and starts afresh when full. No shuffle; copies of rows come back each; like-named columns are replaced.
+    is bounded and starts afresh when full. No shuffle; texts of any length are read whole; copies of rows come back each, an
+    empty table empty. Own columns called n_pretokens or n_tokens are replaced, all others stay as they are.
     """
     spark = docs.sparkSession
     automaton = spark.sparkContext.broadcast(Automaton.build(read_vocabulary(vocabulary)))
-    kept = [c for c in docs.columns if c not in ("n_pretokens", "n_tokens")]
-    shape = docs.select(*kept).withColumns({"n_pretokens": F.lit(None).cast("long"), "n_tokens": F.lit(None).cast("long")}).schema
-    carried = docs.select(*kept).withColumn("_raw", text_of())
+    new = ["n_pretokens", "n_tokens"]
+    carried = docs.select(F.struct("*").alias("row"), text_of().alias("text"))
+    shape = carried.select("row").withColumns({c: F.lit(None).cast("long") for c in new}).schema
 
     def make():
         count, known, parts = automaton.value.count, {}, regex.compile(pretoken)
 
         def turn(batch: pa.RecordBatch) -> pa.RecordBatch:
             words, pieces = [], []
-            for text in batch.column("_raw").to_pylist():
+            for text in batch.column("text").to_pylist():
                 tally = Counter(parts.findall(text))
                 total = 0
                 for word, times in tally.items():
@@ -119,14 +120,14 @@ def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, pretoken: str =
                     total += n * times
                 words.append(tally.total())
                 pieces.append(total)
-            columns = [*(batch.column(c) for c in kept), pa.array(words, pa.int64()), pa.array(pieces, pa.int64())]
-            return pa.RecordBatch.from_arrays(columns, [*kept, "n_pretokens", "n_tokens"])
+            return pa.RecordBatch.from_arrays([batch.column("row"), pa.array(words, pa.int64()), pa.array(pieces, pa.int64())], ["row", *new])
 
         return turn
 
-    return carried.mapInArrow(per_batch(make), shape)
+    return carried.mapInArrow(per_batch(make), shape).select(*[f"row.`{c}`" for c in docs.columns if c not in new], *new)
 
 
 def op6_token_counts(spark, sf_dir: str) -> DataFrame:
+    """Words and greedy pieces of each document by the 50k vocabulary; see count_tokens()."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return count_tokens(docs.withColumn("n_bytes", F.octet_length(text_of()).cast("long"))).drop("text")
