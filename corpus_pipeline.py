@@ -10,11 +10,11 @@ from weftline.llm.common import settle
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told stay."""
-    mark = F.xxhash64("text")
-    told = language.identify(language.from_documents(docs).withColumn("mark", mark))
-    rejected = settle(told.filter("not accepted").select(F.col("doc_id").alias("_doc"), F.col("mark").alias("_mark")).distinct(), "rejected")
-    return docs.join(rejected, docs["doc_id"].eqNullSafe(F.col("_doc")) & (mark == F.col("_mark")), "left_anti").select(*docs.columns)
+    """Documents whose language can be told stay, with their columns; null, empty and letterless texts go."""
+    marked = docs.select(F.struct("*").alias("row"), F.xxhash64("doc_id", "text").alias("key"), F.xxhash64("text").alias("mark"))
+    told = language.identify(marked.select(F.col("row.text").alias("text"), F.col("row.lang").alias("declared"), F.col("row.source").alias("host"), F.lit(None).cast("string").alias("suffix"), "key", "mark"))
+    rejected = settle(told.filter("not accepted").select("key", "mark").distinct(), "rejected")
+    return marked.join(rejected, ["key", "mark"], "left_anti").select("row.*")
 
 
 def near_duplicate_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
