@@ -3,11 +3,12 @@ import hashlib
 import random
 from itertools import combinations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from weftline.functions import exprs, texts
-from weftline.operators import activity, advice, listings, mapping, outfits, prices, splits, vectors
+from weftline.operators import activity, advice, listings, mapping, outfits, prices, profiles, splits, vectors
 from weftline.session_dirs import ensure_checkpoint_dir
 
 
@@ -155,9 +156,47 @@ def test_band_is_never_a_guess(spark):
     assert got == {1: (20.0, 30.0, 40.0, "all"), 2: (None,) * 4, 3: (None,) * 4, 4: (40.0, 50.0, 50.0, "all")}
 
 
+def test_quantiles_read_by_blocks_are_exact(spark, monkeypatch):
+    monkeypatch.setattr(prices, "BLOCK", 7)
+    rng = np.random.default_rng(4)
+    sold = [("f", "x", float(p)) for p in rng.integers(1, 40, 100)] + [("f", "y", float(p)) for p in rng.integers(1, 900, 23)] + [("g", "x", 5.0), (None, "x", 3.0), ("f", "x", None)]
+    refs = prices.references(spark.createDataFrame(sold, "ch string, ca string, p double"), "ch", "ca", "p")
+    asked = [(i, ch, ca, float(p)) for i, (ch, ca, p) in enumerate((ch, ca, p) for ch in ("f", "g", None, "no") for ca in ("x", "y", "*") for p in (0, 0.1, 0.5, 0.77, 1))]
+    got = prices.read_quantiles(spark.createDataFrame(asked, "id long, ch string, ca string, s double"), refs, "ch", F.col("ca"), {"q": F.col("s")}).collect()
+    assert len(got) == len(asked)
+    for r in got:
+        of = [p for ch, ca, p in sold if ch == r["ch"] and ca in (r["ca"], ca if r["ca"] == "*" else None) and p is not None]
+        assert r["q"] == (pytest.approx(np.quantile(of, r["s"])) if of else None)
+
+
+def test_rows_without_group_or_value_stay(spark):
+    rows = spark.createDataFrame([(1, "a", 1.0), (2, None, 1.0), (3, None, 2.0), (4, "a", None)], "id long, g string, x double")
+    assert {r["id"]: r["pct"] for r in prices.percentiles(rows, "x", ["g"]).collect()} == {1: 0.0, 2: 0.0, 3: 0.5, 4: None}
+    assert {r["id"]: r["k"] for r in profiles.average_ranks(rows, "x", ["g"], "k").collect()} == {1: 1.0, 2: 1.0, 3: 2.0, 4: None}
+    table = spark.createDataFrame([(1, "o", None), (2, "o", "p"), (3, None, None)], "id long, outfit string, picture string")
+    got = {r["id"]: (r["split"] == r["outfit_split"], r["is_copy"]) for r in splits.assign_splits(table, "outfit", "picture", ["id"]).collect()}
+    assert got == {1: (True, False), 2: (True, False), 3: (True, False)}
+
+
+def test_blocked_search_against_plain_products(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "BLOCK", 16)
+    rng = np.random.default_rng(5)
+    v = rng.standard_normal((90, 8)).round(1)
+    rows = [(i, i % 3, None if i == 7 else v[i].tolist(), i // 2 if i % 5 else None) for i in range(90)]
+    items = spark.createDataFrame(rows, "item_id long, g long, embedding array<double>, picture long")
+    asked = items.filter("item_id % 10 = 0 or item_id = 7").select(F.col("item_id").alias("query_id"), F.col("embedding").alias("q"), "g", "picture")
+    got = {(r["query_id"], r["place"]): r["item_id"] for r in vectors.top_k(asked, items, 4, ["g"], apart="picture").collect()}
+    for q in range(0, 90, 10):
+        fit = [i for i in range(90) if i not in (q, 7) and i % 3 == q % 3 and (rows[i][3] is None or rows[i][3] != rows[q][3])]
+        want = sorted(fit, key=lambda i: (-round(float(v[q] @ v[i]), 6), i))[:4]
+        assert [got[q, p] for p in range(1, 5)] == want
+    pairs = {(r["a"], r["b"]) for r in vectors.twins(items, "g", 2.0).collect()}
+    assert pairs == {(i, j) for i in range(90) for j in range(i + 1, 90) if i % 3 == j % 3 and 7 not in (i, j) and round(float(v[i] @ v[j]), 6) >= 2.0}
+
+
 # ---- listings and activity
 SYNC = "external_id string, image_url string, price double, status string, labels string"
-RUN = "external_id string, image_url string, price double, readable boolean"
+RUN = "external_id string, image_url string, price double, readable boolean, labels string, note string"
 
 
 def test_sync_scenario(spark):
@@ -169,7 +208,7 @@ def test_sync_scenario(spark):
         ([("b", "u", 2.0, True)], False, {"a": "kept", "b": "updated"}),
     ]
     for run, whole, want in steps:
-        out = listings.sync(held, spark.createDataFrame(run, RUN), whole)
+        out = listings.sync(held, spark.createDataFrame([(*r, f"seen {r[1]}", "n") for r in run], RUN), whole)
         assert {r["external_id"]: r["outcome"] for r in out.collect()} == want
         held = spark.createDataFrame([tuple(r) for r in listings.stored_rows(out).select("external_id", "image_url", "price", "status", "labels").collect()], SYNC)
     assert {r["external_id"]: r["status"] for r in held.collect()} == {"a": "active", "b": "active"}

@@ -95,6 +95,18 @@ def pair_high(a: Column, b: Column) -> Column:
     return F.greatest(a, b)
 
 
+def matches(a: str, b: str, names: list[str]) -> Column:
+    """Whether two sides agree in all names, unknown agreeing with unknown."""
+    out = F.lit(True)
+    for n in names:
+        out &= F.col(f"{a}.`{n}`").eqNullSafe(F.col(f"{b}.`{n}`"))
+    return out
+
+
+def logistic(x: Column) -> Column:
+    return 1 / (1 + F.exp(-x))
+
+
 def softmax(logits: Column) -> Column:
     top = F.array_max(logits)
     weights = F.transform(logits, lambda x: F.exp(x - top))

@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.functions.exprs import looked_up, set_key
+from weftline.functions.exprs import dot, looked_up, matches, set_key
 from weftline.operators import outfits as sets
 
 #: Settings of the checks.
 NEAR_MISS, LEAST_WARDROBE, FAR_FROM_STYLE, BUDGET_SHARE = 5, 8, 0.5, 0.3
 LEAST_CONF = {"category": 0.6, "sub_category": 0.5, "pattern": 0.6, "colour": 0.7}
 MARGIN = 0.15
+SIMILAR_ITEM = 0.9
+#: Chances that a Poisson(1) count is at most 0, 1, ... 8.
+POISSON = (0.367879, 0.735759, 0.919699, 0.981012, 0.996340, 0.999406, 0.999917, 0.999990, 0.999999)
 
 
 def ids_of(items: Column) -> Column:
@@ -32,30 +35,65 @@ def complete_with(outfits: DataFrame, pool: DataFrame, key: str, owner: str, k:
     return scored.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "candidate"))).filter(F.col("place") <= k)
 
 
-def buy_advice(wardrobe: DataFrame, candidates: DataFrame, owner: str) -> DataFrame:
-    """(owner, candidate, outfits, good_outfits, near_misses, verdict) of one candidate item an owner.
+def buy_outfits(wardrobe: DataFrame, candidates: DataFrame, owner: str) -> DataFrame:
+    """(owner, candidate, items, score, owned_id, owned_score, stands): outfits round one candidate item an owner, and whether it
+    stands in them, which is not filtered by here: a filter on what the folds make would be computed anew for each of them.
 
-    The candidate joins the wardrobe and stands in every outfit: as a main piece in its cores, else added to each. An outfit
-    is good if it scores GOOD_OUTFIT and beats the same outfit with any owned item of the candidate's category in its place.
+    A main candidate is in every core: with each piece that it goes with, or alone. Another is added in its slot to the owner's
+    best cores. The TOP_CORES best cores are completed. owned_id is the owned item of the candidate's category that scores most
+    in its place, tried from 20 points under GOOD_OUTFIT on; of equal ones the least id.
     """
-    mine = candidates.select(owner, sets.as_items().alias("_new"), (F.col("item_id")).alias("candidate"))
-    slot = looked_up(F.col("_new.category"), sets.SLOTS)
-    main = slot.isin("upper", "lower", "full")
-    both = wardrobe.select(owner, "item_id", *sets.ITEM).unionByName(candidates.select(owner, "item_id", *sets.ITEM))
-    others = wardrobe.groupBy(owner).agg(F.array_sort(F.collect_list(sets.as_items())).alias("_held"))
-    cores = sets.top_cores(both, owner, most=10_000).join(mine, owner)
-    own = F.exists("items", lambda i: i["id"] == F.col("candidate"))
-    cores = cores.filter(own | ~main).withColumn("place", F.row_number().over(Window.partitionBy(owner).orderBy(F.desc("score"), key_of(F.col("items"))))).filter(F.col("place") <= sets.TOP_CORES)
-    forced = cores.withColumn("items", F.when(main, F.col("items")).otherwise(F.concat("items", F.array("_new")))).withColumn("score", sets.set_score(F.col("items")))
-    rest = F.filter("_held", lambda i: i["category"] == F.col("_new.category"))
-    bare = F.filter("items", lambda i: i["id"] != F.col("candidate"))
-    rival = F.when(F.col("score") >= sets.GOOD_OUTFIT - 20, F.array_max(F.transform(rest, lambda o: sets.set_score(F.concat(bare, F.array(o))))))
-    scored = forced.join(others, owner, "left").withColumn("_rival", F.coalesce(rival, F.lit(0.0)))
-    good = (F.col("score") >= sets.GOOD_OUTFIT) & (F.col("score") > F.col("_rival"))
-    close = (F.col("score") < sets.GOOD_OUTFIT) & (F.col("score") >= sets.GOOD_OUTFIT - NEAR_MISS) & (F.col("score") > F.col("_rival"))
-    out = scored.groupBy(owner, "candidate").agg(F.count(F.lit(1)).alias("outfits"), F.count_if(good).alias("good_outfits"), F.count_if(close).alias("near_misses"))
+    slot = looked_up(F.col("category"), sets.SLOTS)
+    mine = candidates.select(owner, sets.as_items().alias("_must"), slot.alias("_slot"))
+    held = wardrobe.withColumn("_s", slot).select(owner, sets.as_items().alias("_own"), "_s")
+    up = held.join(mine.filter("_slot = 'lower'"), owner).filter("_s = 'upper'").select(owner, "_must", F.array("_own", "_must").alias("items"))
+    down = held.join(mine.filter("_slot = 'upper'"), owner).filter("_s = 'lower'").select(owner, "_must", F.array("_must", "_own").alias("items"))
+    alone = mine.filter("_slot = 'full'").select(owner, "_must", F.array("_must").alias("items"))
+    place = F.row_number().over(Window.partitionBy(owner).orderBy(F.desc("score"), key_of(F.col("items"))))
+    main = up.unionByName(down).unionByName(alone).withColumn("score", sets.set_score(F.col("items"))).withColumn("place", place).filter(F.col("place") <= sets.TOP_CORES)
+    extra = sets.top_cores(wardrobe, owner, swimwear=True).join(mine.filter("_slot not in ('upper', 'lower', 'full')").select(owner, "_must"), owner)
+    done = sets.complete(main.unionByName(extra.select(*main.columns)), wardrobe, owner, must="_must")
+    same = wardrobe.groupBy(owner, F.col("category").alias("_c")).agg(F.array_sort(F.collect_list(sets.as_items())).alias("_rivals"))
+    done = done.join(same, [F.col(f"_must.category") == F.col("_c"), done[owner] == same[owner]], "left").drop(same[owner])
+    bare = F.filter("items", lambda i: i["id"] != F.col("_must.id"))
+    tried = F.transform(F.coalesce("_rivals", F.array().cast(done.schema["items"].dataType)), lambda o: F.struct(sets.set_score(F.concat(bare, F.array(o))).alias("score"), (-o["id"]).alias("last")))
+    rival = F.when(F.col("score") >= sets.GOOD_OUTFIT - 20, F.array_max(tried))
+    return done.withColumn("_rival", rival).select(
+        owner, F.col("_must.id").alias("candidate"), "items", "score", (-F.col("_rival.last")).alias("owned_id"), F.coalesce("_rival.score", F.lit(0.0)).alias("owned_score"),
+        F.exists("items", lambda i: i["id"] == F.col("_must.id")).alias("stands"),
+    )
+
+
+def buy_advice(wardrobe: DataFrame, candidates: DataFrame, owner: str, vector: str | None = None, hidden: Column | None = None) -> DataFrame:
+    """(owner, candidate, outfits, good_outfits, near_misses, lost_to, twins, verdict, to_next) of one candidate item an owner.
+
+    An outfit is good if it scores GOOD_OUTFIT and beats the same outfit with any owned item of the candidate's category in its
+    place; lost_to lists the owned items that good ones fall to, the most outfits first. near_misses are under GOOD_OUTFIT by up
+    to NEAR_MISS and beat what is owned. twins counts owned items of the category whose vector is SIMILAR_ITEM near, null without
+    vectors. to_next: good outfits that the next verdict lacks, null for the best. A hidden candidate (one that the owner's own
+    filters take out) is "filtered": no outfits, skip. Each owner has a row, whatever the candidate goes with.
+    """
+    told = candidates.withColumn("_hidden", F.coalesce(hidden, F.lit(False)) if hidden is not None else F.lit(False))
+    tried = buy_outfits(wardrobe, told.filter("not _hidden"), owner)
+    beats = F.col("stands") & (F.col("score") > F.col("owned_score"))
+    good, lost = (F.col("score") >= sets.GOOD_OUTFIT) & beats, F.col("stands") & (F.col("score") >= sets.GOOD_OUTFIT) & ~beats & F.col("owned_id").isNotNull()
+    close = (F.col("score") < sets.GOOD_OUTFIT) & (F.col("score") >= sets.GOOD_OUTFIT - NEAR_MISS) & beats
+    sums = tried.groupBy(owner).agg(F.count_if("stands").alias("outfits"), F.count_if(good).alias("good_outfits"), F.count_if(close).alias("near_misses"))
+    fell = tried.groupBy(owner, "owned_id").agg(F.count_if(lost).alias("n")).filter("n > 0").groupBy(owner)
+    fell = fell.agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("less"), "owned_id"))), lambda x: F.struct(x["owned_id"].alias("owned_id"), (-x["less"]).alias("outfits"))).alias("lost_to"))
+    out = told.select(owner, F.col("item_id").alias("candidate"), "_hidden").join(sums, owner, "left").join(fell, owner, "left")
+    if vector is None:
+        out = out.withColumn("twins", F.lit(None).cast("long"))
+    else:
+        near = wardrobe.alias("_w").join(told.alias("_c"), owner).filter((F.col("_w.category") == F.col("_c.category")) & (dot(F.col(f"_w.{vector}"), F.col(f"_c.{vector}")) >= SIMILAR_ITEM))
+        out = out.join(near.groupBy(owner).agg(F.count(F.lit(1)).alias("twins")), owner, "left").withColumn("twins", F.coalesce("twins", F.lit(0)))
     n = F.col("good_outfits")
-    return out.withColumn("verdict", F.when(n >= sets.BUY_MIN, "buy").when(n >= sets.THINK_MIN, "think").otherwise("skip"))
+    verdict = F.when(n >= sets.BUY_MIN, "buy").when(n >= sets.THINK_MIN, "think").otherwise("skip")
+    nothing = F.array().cast("array<struct<owned_id:bigint,outfits:bigint>>")
+    zero = {c: F.coalesce(c, F.lit(0)) for c in ("outfits", "good_outfits", "near_misses")} | {"lost_to": F.coalesce("lost_to", nothing)}
+    out = out.withColumns(zero).withColumns({"verdict": verdict, "reason": F.when(F.col("_hidden"), "filtered")})
+    to_next = F.when(F.col("verdict") == "skip", sets.THINK_MIN - n).when(F.col("verdict") == "think", sets.BUY_MIN - n)
+    return out.withColumn("to_next", to_next).drop("_hidden")
 
 
 def assess(rows: DataFrame) -> DataFrame:
@@ -161,18 +199,21 @@ def swap_tests(members: DataFrame, key: str, pool: DataFrame, seed: str) -> Data
     return others.filter(F.size("_others") >= 3).select(key, "true_id", wrong[0].alias("fake_id"), wrong.alias("wrong"))
 
 
-def bootstrap(rows: DataFrame, key: str, value: str, by: list[str], seed: str, rounds: int = 100) -> DataFrame:
-    """(by, mean, low, high): the mean of value and the 2.5 and 97.5 % points of its resampled means.
+def bootstrap(rows: DataFrame, key: str, value: str, by: list[str], seed: str, rounds: int = 2000) -> DataFrame:
+    """(by, mean, low, high): the mean of value and the 2.5 and 97.5 % points of its resampled means; rows without value don't count.
 
-    Resampling is Poisson: each row counts 0 to 4 times a round by a hash of seed, round and key, so rows never meet.
+    Resampling is Poisson: each row counts as often in a round as a hash of seed, round and key says, so rows never meet, and
+    each task sums its rounds before the shuffle. A hash of 32 bits tells counts up to nine.
     """
-    each = rows.withColumn("_round", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
-    digest = F.md5(F.concat_ws(":", F.lit(seed), F.col("_round").cast("string"), F.col(key).cast("string")).cast("binary"))
+    known = rows.filter(F.col(value).isNotNull()).select(*by, F.col(key).cast("string").alias("_k"), F.col(value).cast("double").alias("_v"))
+    digest = F.md5(F.concat_ws(":", F.lit(seed), F.col("_r").cast("string"), "_k").cast("binary"))
     u = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") / float(1 << 32)
-    times = sum((F.when(u >= cut, 1).otherwise(0) for cut in (0.367879, 0.735759, 0.919699, 0.981012)), F.lit(0))  # fixed values: Poisson(1) sums
-    means = each.withColumn("_n", times).groupBy(*by, "_round").agg((F.sum(F.col(value) * F.col("_n")) / F.sum("_n")).alias("_m"))
+    times = F.aggregate(F.expr("array(" + ", ".join(f"{c}D" for c in POISSON) + ")"), F.lit(0), lambda n, cut: n + F.when(F.col("_u") >= cut, 1).otherwise(0))
+    drawn = known.select(*by, "_k", "_v", F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("_r")).withColumn("_u", u).withColumn("_n", times)
+    means = drawn.groupBy(*by, "_r").agg((F.sum(F.col("_v") * F.col("_n")) / F.sum("_n")).alias("_m"))
     spread = means.groupBy(*by).agg(F.percentile("_m", 0.025).alias("low"), F.percentile("_m", 0.975).alias("high"))
-    return rows.groupBy(*by).agg(F.avg(value).alias("mean")).join(spread, by)
+    plain = known.groupBy(*by).agg(F.avg("_v").alias("mean"))
+    return plain.alias("_a").join(spread.alias("_b"), matches("_a", "_b", by)).select("_a.*", "_b.low", "_b.high")
 
 
 def shared_fields(pairs: DataFrame, items: DataFrame, fields: list[str]) -> DataFrame:

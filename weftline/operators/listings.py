@@ -14,27 +14,27 @@ def latest(rows: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
 def sync(stored: DataFrame, run: DataFrame, complete: bool = True) -> DataFrame:
     """The next snapshot of one source's listings and what became of each: added, updated, relabelled, no_picture, gone, kept.
 
-    stored and run: external_id, image_url, price, readable (run only), status, labels (stored only). A row is labelled anew
+    stored and run: external_id, image_url, price, readable (run only), status (stored only), labels (what the run's picture was
+    labelled, and what is stored), and any further columns, which a seen listing takes from the run. A row is labelled anew
     if it is new or its picture's address changed. A picture that can't be read keeps a stored row's old one, and a new row
     with one isn't stored. What a complete run lacks is gone; an incomplete one marks nothing.
     """
-    s = stored.select("external_id", *[F.col(c).alias(f"s_{c}") for c in ("image_url", "price", "status", "labels")])
-    r = run.select("external_id", *[F.col(c).alias(f"r_{c}") for c in ("image_url", "price", "readable")])
-    both = s.join(r, "external_id", "full")
-    new, seen = F.col("s_status").isNull(), F.col("r_readable").isNotNull()
-    moved = seen & ~new & ~F.col("r_image_url").eqNullSafe(F.col("s_image_url"))
+    more = [c for c in dict.fromkeys([*stored.columns, *run.columns]) if c not in ("external_id", "image_url", "price", "status", "labels", "readable")]
+    both = stored.withColumn("_held", F.lit(True)).alias("s").join(run.alias("r"), F.col("s.external_id") == F.col("r.external_id"), "full")
+    new, seen = F.col("s._held").isNull(), F.col("r.readable").isNotNull()
+    moved = seen & ~new & ~F.col("r.image_url").eqNullSafe(F.col("s.image_url"))
     what = (
-        F.when(seen & new & ~F.col("r_readable"), "no_picture").when(seen & new, "added").when(moved & F.col("r_readable"), "relabelled").when(moved, "kept_picture")
-        .when(seen, "updated").when(F.lit(complete) & (F.col("s_status") == "active"), "gone").otherwise("kept")
+        F.when(seen & new & ~F.col("r.readable"), "no_picture").when(seen & new, "added").when(moved & F.col("r.readable"), "relabelled").when(moved, "kept_picture")
+        .when(seen, "updated").when(F.lit(complete) & (F.col("s.status") == "active"), "gone").otherwise("kept")
     )
-    out = both.withColumn("outcome", what)
-    fresh = F.col("outcome").isin("added", "relabelled")
-    return out.select(
-        "external_id", "outcome",
-        F.when(fresh, F.col("r_image_url")).otherwise(F.col("s_image_url")).alias("image_url"),
-        F.when(seen, F.col("r_price")).otherwise(F.col("s_price")).alias("price"),
-        F.when(F.col("outcome") == "gone", "gone").when(F.col("outcome") == "no_picture", None).when(seen, "active").otherwise(F.col("s_status")).alias("status"),
-        F.when(fresh, F.concat(F.lit("label of "), "r_image_url")).otherwise(F.col("s_labels")).alias("labels"),
+    fresh = what.isin("added", "relabelled")
+    side = lambda c: F.when(seen, F.col(f"r.`{c}`")).otherwise(F.col(f"s.`{c}`")) if c in stored.columns and c in run.columns else F.col(f"s.`{c}`" if c in stored.columns else f"r.`{c}`")
+    return both.select(
+        F.coalesce("s.external_id", "r.external_id").alias("external_id"), what.alias("outcome"),
+        F.when(fresh, F.col("r.image_url")).otherwise(F.col("s.image_url")).alias("image_url"),
+        F.when(seen, F.col("r.price")).otherwise(F.col("s.price")).alias("price"),
+        F.when(what == "gone", "gone").when(what == "no_picture", None).when(seen, "active").otherwise(F.col("s.status")).alias("status"),
+        F.when(fresh, F.col("r.labels")).otherwise(F.col("s.labels")).alias("labels"), *[side(c).alias(c) for c in more],
     )
 
 

@@ -217,27 +217,34 @@ def swaps(sets: DataFrame, pool: DataFrame, key: str, owner: str) -> DataFrame:
     )
 
 
-def top_cores(wardrobe: DataFrame, owner: str, most: int = TOP_CORES) -> DataFrame:
-    """(owner, items, score): each owner's best main pieces, a top with a bottom or one full piece, without swimwear."""
+def top_cores(wardrobe: DataFrame, owner: str, most: int = TOP_CORES, swimwear: bool = False) -> DataFrame:
+    """(owner, items, score, place): each owner's best main pieces, a top with a bottom or one full piece, swimwear if asked for."""
     slot = looked_up(F.col("category"), SLOTS)
     of = lambda s, name: wardrobe.filter(slot == s).select(owner, as_items().alias(name))
     pairs = of("upper", "_u").join(of("lower", "_l"), owner).select(owner, F.array("_u", "_l").alias("items"))
-    cores = pairs.unionByName(of("full", "_f").filter("_f.category <> 'swimwear'").select(owner, F.array("_f").alias("items")))
+    cores = pairs.unionByName(of("full", "_f").filter(F.lit(swimwear) | (F.col("_f.category") != "swimwear")).select(owner, F.array("_f").alias("items")))
     scored = cores.withColumn("score", set_score(F.col("items")))
     place = F.row_number().over(Window.partitionBy(owner).orderBy(F.desc("score"), set_key(F.transform("items", lambda i: i["id"].cast("string")))))
     return scored.withColumn("place", place).filter(F.col("place") <= most)
 
 
-def complete(cores: DataFrame, wardrobe: DataFrame, owner: str, order: Iterable[str] = ("shoes", "outerwear", "bag", "accessory")) -> DataFrame:
-    """cores with items and score after the greedy additions: shoes always, the rest if the score rises; ties to the least id."""
+def complete(cores: DataFrame, wardrobe: DataFrame, owner: str, order: Iterable[str] = ("shoes", "outerwear", "bag", "accessory"), must: str | None = None) -> DataFrame:
+    """cores with items and score after the greedy additions: shoes always, but none to swimwear, the rest if the score rises;
+    ties to the least id. must names a column with an item that stands in its slot whatever it scores."""
     extras = list(order)
     held = wardrobe.filter(F.col("category").isin(*extras)).groupBy(owner).agg(F.array_sort(F.collect_list(as_items())).alias("_held"))
     out = cores.join(held, owner, "left")
     for category in extras:
         options = F.filter("_held", _is_of(category))
+        forced = F.lit(category == "shoes")
+        if must:
+            own = F.coalesce(F.col(f"{must}.category") == category, F.lit(False))
+            options, forced = F.when(own, F.array(must)).otherwise(options), forced | own
         tried = F.transform(options, lambda o: F.struct(set_score(F.concat("items", F.array(o))).alias("score"), (-o["id"]).alias("last"), o.alias("item")))
         out = out.withColumn("_best", F.array_max(tried))
-        rises = F.coalesce(F.lit(True) if category == "shoes" else F.col("_best.score") > F.col("score"), F.lit(False)) & F.col("_best").isNotNull()
+        rises = F.coalesce(forced | (F.col("_best.score") > F.col("score")), F.lit(False)) & F.col("_best").isNotNull()
+        if category == "shoes":
+            rises &= ~F.exists("items", lambda i: i["category"] == "swimwear")
         state = F.when(rises, F.struct(F.concat("items", F.array("_best.item")).alias("items"), F.col("_best.score").alias("score"))).otherwise(F.struct("items", "score"))
         out = out.withColumn("_state", state).withColumns({"items": F.col("_state.items"), "score": F.col("_state.score")})
     return out.drop("_held", "_best", "_state")

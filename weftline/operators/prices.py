@@ -5,32 +5,65 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.functions.exprs import quantile_at, to_step
+from weftline.functions.exprs import matches, to_step
 
 #: The band's percentiles, the least prices of a category and of any reference, and the tag's factor.
 LOW_PCT, HIGH_PCT, LEAST_ITEMS, LEAST_PRICES, TAG_FACTOR = 25, 75, 8, 4, 2.0
+#: Prices of a reference that one row holds.
+BLOCK = 1024
 CONDITION = {"new_tags": 1.43, "like_new": 1.20, "good": 1.00, "stained": 0.55, "torn": 0.21}
 
 
 def percentiles(rows: DataFrame, score: str, by: list[str]) -> DataFrame:
-    """rows with pct: the share of the group's scores that lie below.
+    """rows with pct: the share of the group's scores that lie below; null for a null score. Every row comes back.
 
-    Scores are counted by value first and the running sum is over different values only.
+    Scores are counted by value first and the running sum is over different values only. Null groups are groups.
     """
-    tallied = rows.groupBy(*by, score).agg(F.count(F.lit(1)).alias("_n"))
+    tallied = rows.filter(F.col(score).isNotNull()).groupBy(*by, score).agg(F.count(F.lit(1)).alias("_n"))
     group = Window.partitionBy(*by)
     below = F.coalesce(F.sum("_n").over(group.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return rows.join(tallied.withColumn("pct", below / F.sum("_n").over(group)).drop("_n"), [*by, score])
+    placed = tallied.withColumn("_pct", below / F.sum("_n").over(group))
+    return rows.alias("_a").join(placed.alias("_b"), matches("_a", "_b", [*by, score]), "left").select("_a.*", F.col("_b._pct").alias("pct"))
 
 
-def references(prices: DataFrame, channel: str, category: str, price: str, grid: int = 1000) -> DataFrame:
-    """(channel, category, prices, n): sorted reference prices of each category, and of all under "*".
+def references(prices: DataFrame, channel: str, category: str, price: str) -> DataFrame:
+    """(channel, category, block, prices, n): the sorted reference prices of each category, and of all under "*", by blocks.
 
-    A reference with more than grid prices is held as its grid + 1 even quantiles, so a row stays small.
+    A block has the BLOCK prices from place BLOCK * block on and the one after them. Prices are counted by value first, so a
+    window holds one row for each different price, and no task or row holds a reference whole.
     """
-    at = F.array(*[F.lit(i / grid) for i in range(grid + 1)])
-    grouped = prices.filter(F.col(price).isNotNull()).rollup(channel, category).agg(F.count(F.lit(1)).alias("n"), F.percentile(price, at).alias("_q"), F.grouping(category).alias("_g"), F.grouping(channel).alias("_c"))
-    return grouped.filter("_c = 0").select(channel, F.when(F.col("_g") == 1, "*").otherwise(F.col(category)).alias(category), F.col("_q").alias("prices"), "n")
+    known = prices.filter(F.col(price).isNotNull()).select(F.col(channel).alias(channel), F.col(category).alias(category), F.col(price).alias("_p"))
+    tallied = known.groupBy(channel, category, "_p").agg(F.count(F.lit(1)).alias("_k"))
+    tallied = tallied.unionByName(tallied.groupBy(channel, "_p").agg(F.sum("_k").alias("_k")).withColumn(category, F.lit("*")))
+    group = Window.partitionBy(channel, category)
+    ranked = tallied.withColumns({"_to": F.sum("_k").over(group.orderBy("_p")) - 1, "n": F.sum("_k").over(group)})
+    placed = ranked.select(channel, category, "n", "_p", F.explode(F.sequence(F.col("_to") - F.col("_k") + 1, "_to")).alias("_i"))
+    own = F.floor(F.col("_i") / BLOCK).cast("long")
+    blocks = F.when((F.col("_i") % BLOCK == 0) & (F.col("_i") > 0), F.array(own, own - 1)).otherwise(F.array(own))
+    listed = placed.withColumn("block", F.explode(blocks)).groupBy(channel, category, "block").agg(F.array_sort(F.collect_list("_p")).alias("prices"), F.max("n").alias("n"))
+    return listed
+
+
+def read_quantiles(rows: DataFrame, refs: DataFrame, channel: str, category: Column, shares: dict[str, Column]) -> DataFrame:
+    """rows with the quantile of their reference at each share, by linear interpolation between the two prices around it; null
+    without a reference. category says which reference a row reads."""
+    sizes = refs.filter("block = 0").select(F.col(channel).alias("_ch"), F.col(category_of(refs, channel)).alias("_ca"), F.col("n").alias("_n"))
+    out = rows.withColumn("_use", category)
+    on = lambda: F.col(channel).eqNullSafe(F.col("_ch")) & F.col("_use").eqNullSafe(F.col("_ca"))
+    out = out.join(sizes, on(), "left").drop("_ch", "_ca")
+    for name, share in shares.items():
+        blocks = refs.select(F.col(channel).alias("_ch"), F.col(category_of(refs, channel)).alias("_ca"), F.col("block").alias("_b"), F.col("prices").alias("_prices"))
+        out = out.withColumn("_at", share * (F.col("_n") - 1)).withColumn("_low", F.floor("_at").cast("long"))
+        out = out.join(blocks, on() & (F.floor(F.col("_low") / BLOCK).cast("long") == F.col("_b")), "left")
+        first = F.get("_prices", (F.col("_low") % BLOCK).cast("int"))
+        then = F.coalesce(F.get("_prices", (F.col("_low") % BLOCK).cast("int") + 1), first)
+        out = out.withColumn(name, first + (then - first) * (F.col("_at") - F.col("_low"))).drop("_ch", "_ca", "_b", "_prices", "_at", "_low")
+    return out.drop("_use", "_n")
+
+
+def category_of(refs: DataFrame, channel: str) -> str:
+    """The name of a reference table's category column."""
+    return next(c for c in refs.columns if c not in (channel, "block", "prices", "n"))
 
 
 def bands(rows: DataFrame, refs: DataFrame, channel: str, category: str, error: float | None = None, step: float = 1.0) -> DataFrame:
@@ -39,21 +72,23 @@ def bands(rows: DataFrame, refs: DataFrame, channel: str, category: str, error:
     The category counts from LEAST_ITEMS prices on, else the channel. The median lies inside, and the band is at least
     median / error to median * error wide.
     """
-    own = refs.filter(F.col(category) != "*").select(F.col(channel).alias("_ch"), F.col(category).alias("_ca"), F.col("prices").alias("_own"), F.col("n").alias("_n"))
-    every = refs.filter(F.col(category) == "*").select(F.col(channel).alias("_ch2"), F.col("prices").alias("_all"), F.col("n").alias("_m"))
-    joined = rows.join(own, (F.col(channel) == F.col("_ch")) & (F.col(category) == F.col("_ca")), "left").join(every, F.col(channel) == F.col("_ch2"), "left")
-    use = F.col("_n") >= LEAST_ITEMS
-    ref, count = F.when(use, F.col("_own")).otherwise(F.col("_all")), F.when(use, F.col("_n")).otherwise(F.col("_m"))
+    first = refs.filter("block = 0")
+    own = first.filter(F.col(category) != "*").select(F.col(channel).alias("_ch"), F.col(category).alias("_ca"), F.col("n").alias("_own"))
+    every = first.filter(F.col(category) == "*").select(F.col(channel).alias("_ch2"), F.col("n").alias("_all"))
+    joined = rows.join(own, F.col(channel).eqNullSafe(F.col("_ch")) & F.col(category).eqNullSafe(F.col("_ca")), "left").drop("_ch", "_ca").join(every, F.col(channel).eqNullSafe(F.col("_ch2")), "left")
+    use = F.coalesce(F.col("_own") >= LEAST_ITEMS, F.lit(False))
     half = (HIGH_PCT - LOW_PCT) / 200
-    read = lambda p: to_step(F.round(quantile_at(ref, p), 6), step)
-    out = joined.withColumn("median", F.when(count >= LEAST_PRICES, read(F.col("pct"))))
-    low = F.least(read(F.greatest(F.col("pct") - half, F.lit(0.0))), F.col("median"))
-    high = F.greatest(read(F.least(F.col("pct") + half, F.lit(1.0))), F.col("median"))
+    shares = {"_mid": F.col("pct"), "_from": F.greatest(F.col("pct") - half, F.lit(0.0)), "_upto": F.least(F.col("pct") + half, F.lit(1.0))}
+    read = read_quantiles(joined, refs, channel, F.when(use, F.col(category)).otherwise("*"), shares)
+    stepped = lambda c: to_step(F.round(F.col(c), 6), step)
+    count = F.when(use, F.col("_own")).otherwise(F.col("_all"))
+    out = read.withColumn("median", F.when(count >= LEAST_PRICES, stepped("_mid")))
+    low, high = F.least(stepped("_from"), F.col("median")), F.greatest(stepped("_upto"), F.col("median"))
     if error and error > 1:
         low, high = F.least(low, to_step(F.col("median") / error, step)), F.greatest(high, to_step(F.col("median") * error, step))
     known = F.col("median").isNotNull()
     out = out.withColumns({"low": F.when(known, low), "high": F.when(known, high), "based_on": F.when(known, F.when(use, "category").otherwise("all"))})
-    return out.drop("_ch", "_ca", "_own", "_n", "_ch2", "_all", "_m")
+    return out.drop("_own", "_ch2", "_all", *shares)
 
 
 def tag(price: Column, median: Column, factor: float = TAG_FACTOR, show_high: bool = True) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.functions.exprs import wilson
+from weftline.functions.exprs import matches, wilson
 
 
 def with_total(rows: DataFrame, by: str, aggregates: list[Column], total: str = "All") -> DataFrame:
@@ -30,24 +30,28 @@ def accuracy_at_cuts(rows: DataFrame, by: str, right: Column, confidence: Column
 
 
 def average_ranks(rows: DataFrame, value: str, by: list[str], rank: str) -> DataFrame:
-    """rows with the rank of value within by, from 1, ties sharing the mean of their ranks.
+    """rows with the rank of value within by, from 1, ties sharing the mean of their ranks; every row comes back.
 
-    Equal values are counted first, so a group's window holds one row for each different value.
+    Equal values are counted first, so a group's window holds one row for each different value. A null value has no rank and
+    counts for none; null groups are groups.
     """
-    tallied = rows.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_ties"))
+    tallied = rows.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_ties"))
     below = F.coalesce(F.sum("_ties").over(Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = tallied.withColumn(rank, below + (F.col("_ties") + 1) / 2).drop("_ties")
-    return rows.join(ranked, [*by, value])
+    ranked = tallied.withColumn("_rank", below + (F.col("_ties") + 1) / 2)
+    return rows.alias("_a").join(ranked.alias("_b"), matches("_a", "_b", [*by, value]), "left").select("_a.*", F.col("_b._rank").alias(rank))
 
 
 def spearman(rows: DataFrame, a: str, b: str, by: list[str]) -> DataFrame:
-    ranked = average_ranks(average_ranks(rows, a, by, "_ra"), b, by, "_rb")
+    """(by, rho, n) over the rows that have both values."""
+    known = rows.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
+    ranked = average_ranks(average_ranks(known, a, by, "_ra"), b, by, "_rb")
     return ranked.groupBy(*by).agg(F.round(F.corr("_ra", "_rb"), 6).alias("rho"), F.count(F.lit(1)).alias("n"))
 
 
 def roc_auc(rows: DataFrame, score: str, positive: Column, by: list[str], least: int = 10) -> DataFrame:
-    """Area under the ROC curve by rank sums, of groups that have at least least rows of either class."""
-    ranked = average_ranks(rows.withColumn("_pos", positive).filter("_pos is not null"), score, by, "_r")
+    """Area under the ROC curve by rank sums, of groups that have at least least rows of either class; unknown ones don't count."""
+    known = rows.withColumn("_pos", positive).filter(F.col("_pos").isNotNull() & F.col(score).isNotNull())
+    ranked = average_ranks(known, score, by, "_r")
     sums = ranked.groupBy(*by).agg(F.count_if("_pos").alias("n_pos"), F.count_if(~F.col("_pos")).alias("n_neg"), F.sum(F.when(F.col("_pos"), F.col("_r"))).alias("_s"))
     auc = (F.col("_s") - F.col("n_pos") * (F.col("n_pos") + 1) / 2) / (F.col("n_pos") * F.col("n_neg"))
     return sums.filter((F.col("n_pos") >= least) & (F.col("n_neg") >= least)).withColumn("auc", F.round(auc, 6)).drop("_s")

@@ -16,22 +16,21 @@ def assign_splits(rows: DataFrame, outfit: str, picture: str, order: list[str])
     """rows with outfit_split, split, outfit_clean and is_copy.
 
     An outfit's split comes from its hash; a picture takes the strictest of its outfits' splits, or its own hash where it is
-    in no outfit. An outfit is clean if all its pictures have its split, null for a row without one. is_copy marks every
-    row of a picture after the first in the given order.
+    in no outfit. A row without a picture shares none: it has its outfit's split, null without one, and is no copy. An outfit is
+    clean if all its pictures have its split, null for a row without one. is_copy marks every row of a picture after the first
+    in the given order.
     """
     owned = rows.withColumn("outfit_split", F.when(F.col(outfit).isNotNull(), split_of(F.col(outfit))))
-    strict = owned.groupBy(picture).agg(F.max(_rank(F.col("outfit_split"))).alias("r"))
-    named = F.when(F.col("r") == 2, "test").when(F.col("r") == 1, "val").when(F.col("r") == 0, "train")
-    strict = strict.select(picture, F.coalesce(named, split_of(F.col(picture))).alias("split"))
-    placed = owned.join(strict, picture)
-    mixed = placed.filter(F.col(outfit).isNotNull() & (F.col("split") != F.col("outfit_split"))).select(outfit).distinct().withColumn("_mixed", F.lit(True))
-    turn = F.row_number().over(Window.partitionBy(picture).orderBy(*order))
-    return (
-        placed.join(mixed, outfit, "left")
-        .withColumn("outfit_clean", F.when(F.col(outfit).isNotNull(), F.col("_mixed").isNull()))
-        .withColumn("is_copy", turn > 1)
-        .drop("_mixed")
+    one = Window.partitionBy(picture)
+    strictest = F.max(_rank(F.col("outfit_split"))).over(one)
+    named = F.when(strictest == 2, "test").when(strictest == 1, "val").when(strictest == 0, "train")
+    seen = owned.filter(F.col(picture).isNotNull()).withColumns(
+        {"split": F.coalesce(named, split_of(F.col(picture))), "is_copy": F.row_number().over(one.orderBy(*order)) > 1}
     )
+    placed = seen.unionByName(owned.filter(F.col(picture).isNull()).withColumns({"split": F.col("outfit_split"), "is_copy": F.lit(False)}))
+    mixed = placed.filter(F.col(outfit).isNotNull() & (F.col("split") != F.col("outfit_split"))).select(outfit).distinct().withColumn("_mixed", F.lit(True))
+    clean = F.when(F.col(outfit).isNotNull(), F.col("_mixed").isNull())
+    return placed.join(mixed, outfit, "left").withColumn("outfit_clean", clean).drop("_mixed")
 
 
 def split_violations(rows: DataFrame, outfit: str, picture: str, key: str) -> DataFrame:
@@ -43,7 +42,7 @@ def split_violations(rows: DataFrame, outfit: str, picture: str, key: str) -> Da
         "outfit_in_two_splits": many(outfit, "outfit_split"),
         "unknown_split": rows.filter(~F.coalesce(F.col("split").isin("train", "val", "test"), F.lit(False))),
         "test_outfit_outside_test": rows.filter("outfit_split = 'test' and split <> 'test'"),
-        "first_copy_marked": rows.groupBy(picture).agg(F.sum(F.when(~F.col("is_copy"), 1).otherwise(0)).alias("firsts")).filter("firsts <> 1"),
+        "first_copy_marked": rows.filter(F.col(picture).isNotNull()).groupBy(picture).agg(F.sum(F.when(~F.col("is_copy"), 1).otherwise(0)).alias("firsts")).filter("firsts <> 1"),
     }
     parts = [df.agg(F.count(F.lit(1)).alias("violations")).select(F.lit(name).alias("check_name"), "violations") for name, df in checks.items()]
     out = parts[0]

@@ -1,26 +1,72 @@
 """Exact vector search, twins, groups and taste vectors.
 
-Queries are a stated set and meet the whole table by a join on what they filter by; where the query set is small its size is
-what bounds the pairs. Groups are found by propagating the least member along links, written out between rounds.
+Queries are a stated set and meet the whole table block by block. Groups are found by propagating the least member along links, written out between rounds.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.exprs import dot, unit
 
+#: Vectors of one side of a matrix product.
+BLOCK = 1024
 
-def top_k(queries: DataFrame, items: DataFrame, k: int, on: list[str], keep: Column | None = None) -> DataFrame:
-    """(query_id, item_id, score, place): each query's k most similar items that share the columns of on, never itself.
 
-    queries: query_id, q (vector), on; items: item_id, embedding, on. Ties go to the least item_id.
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(len(column), -1)
+
+
+def _parts(rows: DataFrame, size: int) -> int:
+    return rows.count() // size + 1
+
+
+def top_k(queries: DataFrame, items: DataFrame, k: int, on: list[str] = (), apart: str | None = None) -> DataFrame:
+    """(query_id, item_id, score, place): each query's k most similar items that share the columns of on, never itself, and none of
+    the same apart (a picture, say; unknown ones are apart from all).
+
+    queries: query_id, q (vector), on, apart; items: item_id, embedding, on, apart. Queries are a stated set: they and the items
+    are dealt to numbered blocks of BLOCK rows, each block of items meets each of queries in one matrix product, and k hits a
+    query and block go on to the ranking. Ties go to the least item_id. Rows without a vector meet none; all others must be of one
+    length. Columns of on and apart alone are carried.
     """
-    pairs = queries.join(items, on).filter(F.col("query_id") != F.col("item_id"))
-    scored = (pairs if keep is None else pairs.filter(keep)).withColumn("score", F.round(dot(F.col("q"), F.col("embedding")), 6))
+    queries, items = queries.filter("q is not null"), items.filter("embedding is not null")
+    n_q, n_i = _parts(queries, BLOCK), _parts(items, BLOCK)
+    none = F.lit(None).cast("string")
+    tag = lambda side, key, vector: [F.lit(side).alias("side"), F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"), (F.col(apart).cast("string") if apart else none).alias("apart"), *on]
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = queries.select(*tag(0, "query_id", "q")).withColumn("bq", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(n_q))).withColumn("bi", each(n_i))
+    there = items.select(*tag(1, "item_id", "embedding")).withColumn("bi", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(n_i))).withColumn("bq", each(n_q))
+
+    def meet(table: pa.Table) -> pa.Table:
+        side = table.column("side").to_numpy()
+        q, i = (table.filter(pa.array(side == s)) for s in (0, 1))
+        ids, hits = i.column("id").to_numpy(), ([], [], [])
+        if q.num_rows and i.num_rows:
+            scores = _matrix(q.column("v")) @ _matrix(i.column("v")).T
+            group = np.array(i.column("apart").to_pylist(), dtype=object)
+            for own, picture, row in zip(q.column("id").to_pylist(), q.column("apart").to_pylist(), scores, strict=True):
+                fit = np.flatnonzero((ids != own) & ((group != picture) if picture is not None else True))
+                best = fit[np.lexsort((ids[fit], -np.round(row[fit], 6)))[:k]]
+                for into, values in zip(hits, ([own] * len(best), ids[best], row[best]), strict=True):
+                    into.extend(values)
+        return pa.table([pa.array(hits[0], pa.int64()), pa.array(hits[1], pa.int64()), pa.array(hits[2], pa.float64())], ["query_id", "item_id", "score"])
+
+    pairs = asked.unionByName(there).groupBy(*on, "bq", "bi").applyInArrow(meet, "query_id long, item_id long, score double")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id"))
-    return scored.withColumn("place", place).filter(F.col("place") <= k)
+    return pairs.withColumn("score", F.round("score", 6)).withColumn("place", place).filter(F.col("place") <= k)
+
+
+def listing_fits(price: Column, seller: Column, gender: Column, most: float | None = None, not_of: int | None = None, audience: list[str] | None = None) -> Column:
+    """Whether a listing may be shown: a known price over 0 and up to most, another seller's, for the audience; None: any."""
+    known = lambda c: F.coalesce(c, F.lit(False))
+    priced = F.lit(True) if most is None else known((price > 0) & (price <= most))
+    other = F.lit(True) if not_of is None else ~known(seller == not_of)
+    return priced & other & (F.lit(True) if audience is None else known(gender.isin(audience)))
 
 
 def one_per_picture(hits: DataFrame, picture: str) -> DataFrame:
@@ -31,10 +77,27 @@ def one_per_picture(hits: DataFrame, picture: str) -> DataFrame:
 
 
 def twins(items: DataFrame, group: str, cut: float) -> DataFrame:
-    """(a, b, similarity) of items of one group from cut on, a before b."""
-    a = items.select(group, F.col("item_id").alias("a"), F.col("embedding").alias("va"))
-    b = items.select(group, F.col("item_id").alias("b"), F.col("embedding").alias("vb"))
-    return a.join(b, group).filter("a < b").withColumn("similarity", F.round(dot(F.col("va"), F.col("vb")), 6)).filter(F.col("similarity") >= cut).select("a", "b", "similarity")
+    """(a, b, similarity) of items of one group from cut on, a before b.
+
+    A group is cut into parts of BLOCK items, and part meets part in a matrix product, so a group of any size is done in full and
+    only the pairs from cut on become rows. Items without a vector or group have no twin.
+    """
+    known = items.filter(F.col("embedding").isNotNull() & F.col(group).isNotNull()).select(F.col(group).alias("g"), F.col("item_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    sizes = known.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
+    dealt = known.join(sizes, "g").withColumn("part", F.pmod(F.xxhash64("id", F.lit(3)), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.select("g", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "id", "v")
+
+    def meet(table: pa.Table) -> pa.Table:
+        table = table.sort_by("id")
+        ids, part, v = table.column("id").to_numpy(), table.column("part").to_numpy(), _matrix(table.column("v"))
+        within = table.column("i")[0].as_py() == table.column("j")[0].as_py()
+        scores = v @ v.T
+        x, y = np.nonzero(np.round(scores, 6) >= cut)
+        keep = (ids[x] < ids[y]) & (within | (part[x] != part[y]))
+        x, y = x[keep], y[keep]
+        return pa.table([pa.array(c, t) for c, t in ((ids[x], pa.int64()), (ids[y], pa.int64()), (scores[x, y], pa.float64()))], ["a", "b", "similarity"])
+
+    return dealt.groupBy("g", "i", "j").applyInArrow(meet, "a long, b long, similarity double").withColumn("similarity", F.round("similarity", 6))
 
 
 def taste(items: DataFrame, owner: str, vector: str, size: int, least: int = 3, feedback: DataFrame | None = None) -> DataFrame:

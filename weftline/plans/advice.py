@@ -3,15 +3,15 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from weftline.functions.exprs import hash_percent, quantile_at, split_of
+from weftline.functions.exprs import hash_percent, split_of
 from weftline.operators import advice as op
 from weftline.operators import outfits as sets
 from weftline.operators import vectors as vec
-from weftline.operators.prices import percentiles, references
+from weftline.operators.prices import percentiles, read_quantiles, references
 from weftline.operators.profiles import average_ranks
 from weftline.plans.bind import ITEMS_SQL, WEARS_SQL, items, vectors, wears
 from weftline.plans.outfits import _OWN_SQL, parts_sql, score_sql, wardrobe
-from weftline.plans.prices import grid_sql
+from weftline.plans.prices import quantile_sql
 from weftline.plans.registry import query
 from weftline.session import table
 from weftline.session_dirs import ensure_checkpoint_dir
@@ -105,8 +105,11 @@ def swap_tests(spark, d):
     return op.swap_tests(wears(spark, d), "outfit_id", items(spark, d), "s1").drop("wrong")
 
 
-@query("""WITH e AS (SELECT o_orderpriority AS p, o_orderkey, o_totalprice AS v, i FROM orders, range(1, 101) t(i)), u AS (SELECT *, ('0x' || substr(md5('b:' || i || ':' || o_orderkey), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM e),
-m AS (SELECT p, i, sum(v * n) / sum(n) AS m FROM (SELECT *, (u >= 0.367879)::INT + (u >= 0.735759)::INT + (u >= 0.919699)::INT + (u >= 0.981012)::INT AS n FROM u) GROUP BY ALL),
+_TIMES = " + ".join(f"(u >= {c})::INT" for c in op.POISSON)
+
+
+@query("""WITH e AS (SELECT o_orderpriority AS p, o_orderkey, o_totalprice AS v, i FROM orders, range(1, 2001) t(i)), u AS (SELECT *, ('0x' || substr(md5('b:' || i || ':' || o_orderkey), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM e),
+m AS (SELECT p, i, sum(v * n) / sum(n) AS m FROM (SELECT *, """ + _TIMES + """ AS n FROM u) GROUP BY ALL),
 q AS (SELECT p, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM m GROUP BY 1) SELECT o_orderpriority, round(avg(o_totalprice), 4) AS mean, round(any_value(low), 4) AS low, round(any_value(high), 4) AS high FROM orders JOIN q ON p = o_orderpriority GROUP BY 1""")
 def bootstrap_mean(spark, d):
     out = op.bootstrap(table(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice"), "o_orderkey", "o_totalprice", ["o_orderpriority"], "b")
@@ -133,13 +136,13 @@ def grouped_folds(spark, d):
 
 
 @query("""WITH s AS (SELECT p_partkey, p_brand AS channel, (p_partkey * 31) % 97 AS score, p_retailprice AS price FROM part), k AS (SELECT *, rank() OVER (PARTITION BY channel ORDER BY score) + (count(*) OVER (PARTITION BY channel, score) - 1) / 2 AS rk, count(*) OVER (PARTITION BY channel) AS n FROM s),
-q AS (SELECT channel, list_sort(list(price)) AS l FROM s GROUP BY 1), p AS (SELECT *, (rk - 0.5) / n AS x FROM k JOIN q USING (channel)) SELECT p_partkey, round(""" + grid_sql("x") + """, 4) AS served FROM p""")
+q AS (SELECT channel, list_sort(list(price)) AS l FROM s GROUP BY 1), p AS (SELECT *, (rk - 0.5) / n AS x FROM k JOIN q USING (channel)) SELECT p_partkey, round(""" + quantile_sql("x") + """, 4) AS served FROM p""")
 def served_median(spark, d):
     """A score's average rank within its channel, read off the channel's own prices."""
     rows = table(spark, d, "part").select("p_partkey", F.col("p_brand").alias("channel"), F.lit("x").alias("category"), (F.col("p_partkey") * 31 % 97).alias("score"), F.col("p_retailprice").alias("price"))
-    ref = references(rows, "channel", "category", "price").filter("category = '*'").select("channel", "prices", "n")
-    ranked = average_ranks(rows, "score", ["channel"], "rk").join(ref, "channel")
-    return ranked.select("p_partkey", F.round(F.round(quantile_at(F.col("prices"), (F.col("rk") - 0.5) / F.col("n")), 9), 4).alias("served"))
+    ranked = average_ranks(rows, "score", ["channel"], "rk").withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("channel")))
+    read = read_quantiles(ranked, references(rows, "channel", "category", "price"), "channel", F.lit("*"), {"served": (F.col("rk") - 0.5) / F.col("n")})
+    return read.select("p_partkey", F.round(F.round("served", 9), 4).alias("served"))
 
 
 @query("""WITH a AS (SELECT vec_id, label, embedding[1] AS x FROM embeddings), r AS (SELECT *, (rank() OVER (PARTITION BY label ORDER BY x) - 1)::DOUBLE / count(*) OVER (PARTITION BY label) AS pct FROM a) SELECT vec_id, round(pct, 6) AS pct, pct < 0.1 AS worn_hint FROM r""")

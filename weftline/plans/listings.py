@@ -59,7 +59,7 @@ def _synced(spark, d):
     url = lambda k: F.concat(F.lit("u"), (k % 5).cast("string"))
     stored = part.filter("p_size <= 35").select(key.alias("external_id"), url(key).alias("image_url"), F.col("p_retailprice").alias("price"), F.when(key % 19 == 0, "gone").otherwise("active").alias("status"), F.lit("old").alias("labels"))
     moved = key + F.when(F.col("p_size") % 4 == 0, 1).otherwise(0)
-    run = part.filter("p_size >= 15").select(key.alias("external_id"), url(moved).alias("image_url"), (F.col("p_retailprice") + 1).alias("price"), (F.col("p_size") % 7 != 0).alias("readable"))
+    run = part.filter("p_size >= 15").select(key.alias("external_id"), url(moved).alias("image_url"), (F.col("p_retailprice") + 1).alias("price"), (F.col("p_size") % 7 != 0).alias("readable"), F.concat(F.lit("label of "), url(moved)).alias("labels"))
     return op.sync(stored, run)
 
 

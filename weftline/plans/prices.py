@@ -20,21 +20,20 @@ def price_rank_percentile(spark, d):
     return op.percentiles(_scored(spark, d), "score", ["channel"]).select("p_partkey", F.round("pct", 6).alias("pct"))
 
 
-_BAND_SQL = _SQL + """, grid AS (SELECT list(i / 1000.0 ORDER BY i)::DOUBLE[] AS g FROM range(0, 1001) t(i)),
-own AS (SELECT channel, category, count(*) AS n, list_transform(range(0, 1001), lambda i: i) AS ix, list_sort(list(price)) AS l FROM s GROUP BY ALL), every AS (SELECT channel, count(*) AS n, list_sort(list(price)) AS l FROM s GROUP BY 1),
+_BAND_SQL = _SQL + """,
+own AS (SELECT channel, category, count(*) AS n, list_sort(list(price)) AS l FROM s GROUP BY ALL), every AS (SELECT channel, count(*) AS n, list_sort(list(price)) AS l FROM s GROUP BY 1),
 j AS (SELECT p.*, CASE WHEN o.n >= 8 THEN o.l ELSE e.l END AS l, CASE WHEN o.n >= 8 THEN o.n ELSE e.n END AS n, CASE WHEN o.n >= 8 THEN 'category' ELSE 'all' END AS based FROM p JOIN own o USING (channel, category) JOIN every e USING (channel)),
 h AS (SELECT *, pct AS a, greatest(pct - 0.25, 0) AS b, least(pct + 0.25, 1) AS c FROM j)"""
 
 
-def grid_sql(x: str) -> str:
-    """Interpolation at x over the thousandths of the sorted list l, as the held quantiles give it."""
-    at = lambda q: f"(l[floor(({q}) * (n - 1))::INTEGER + 1] + (l[least(floor(({q}) * (n - 1))::INTEGER + 2, n)] - l[floor(({q}) * (n - 1))::INTEGER + 1]) * (({q}) * (n - 1) - floor(({q}) * (n - 1))))"
-    low, high = f"floor({x} * 1000) / 1000", f"least(floor({x} * 1000) + 1, 1000) / 1000"
-    return f"{at(low)} + ({at(high)} - {at(low)}) * ({x} * 1000 - floor({x} * 1000))"
+def quantile_sql(x: str) -> str:
+    """The quantile of the sorted list l, of length n, at share x, between the two places around it."""
+    low = f"floor(({x}) * (n - 1))"
+    return f"(l[{low}::INTEGER + 1] + (l[least({low}::INTEGER + 2, n)] - l[{low}::INTEGER + 1]) * (({x}) * (n - 1) - {low}))"
 
 
 def _read_sql(x: str) -> str:
-    return f"round_even(round({grid_sql(x)}, 6), 0)"
+    return f"round_even(round({quantile_sql(x)}, 6), 0)"
 
 
 _BANDED_SQL = _BAND_SQL + f""", r AS (SELECT *, {_read_sql("a")} AS median, {_read_sql("b")} AS lo, {_read_sql("c")} AS hi FROM h),

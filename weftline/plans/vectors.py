@@ -22,15 +22,15 @@ def queries_of(spark, d):
 
 @query(f"WITH s AS (SELECT a.vec_id AS query_id, b.vec_id AS item_id, round({_DOT}, 6) AS score FROM ({_Q}) a JOIN embeddings b ON a.vec_id <> b.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS place FROM s) SELECT * FROM r WHERE place <= 10")
 def knn_topk(spark, d):
-    every = lambda df: df.drop("category").withColumn("all", F.lit(1))
-    return op.top_k(every(queries_of(spark, d)), every(vectors(spark, d)), 10, ["all"]).select("query_id", "item_id", "score", "place")
+    return op.top_k(queries_of(spark, d), vectors(spark, d), 10).select("query_id", "item_id", "score", "place")
 
 
 @query(f"WITH s AS (SELECT a.vec_id AS query_id, b.vec_id AS item_id, b.vec_id // 3 AS picture, round({_DOT}, 6) AS score FROM ({_Q}) a JOIN embeddings b ON a.vec_id <> b.vec_id AND a.label = b.label), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS p FROM s), o AS (SELECT *, row_number() OVER (PARTITION BY query_id, picture ORDER BY p) AS t FROM r WHERE p <= 25) SELECT query_id, item_id, score, row_number() OVER (PARTITION BY query_id ORDER BY p) AS place FROM o WHERE t = 1 QUALIFY place <= 5")
 def similar_capped(spark, d):
     """Of the 25 best of the same category, one hit a picture, then five."""
     items = vectors(spark, d).withColumn("picture", F.floor(F.col("item_id") / 3))
-    return op.one_per_picture(op.top_k(queries_of(spark, d), items, 25, ["category"]), "picture").filter("place <= 5").select("query_id", "item_id", "score", "place")
+    hits = op.top_k(queries_of(spark, d), items, 25, ["category"]).join(items.select("item_id", "picture"), "item_id")
+    return op.one_per_picture(hits, "picture").filter("place <= 5").select("query_id", "item_id", "score", "place")
 
 
 @query(f"SELECT a.vec_id AS a, b.vec_id AS b, round({_DOT}, 6) AS similarity FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE round({_DOT}, 6) >= {CUT}")
@@ -100,3 +100,25 @@ def similar_by_catalogue(spark, d):
     scored = pairs.withColumn("score", F.round(dot(F.col("q"), F.col("embedding")), 6)).filter("catalogue <> 'dataset' or score < 0.99")
     place = F.row_number().over(Window.partitionBy("query_id", "catalogue").orderBy(F.desc("score"), "item_id"))
     return scored.withColumn("place", place).filter("place <= 2").select("query_id", "item_id", "catalogue", "score", "place")
+
+
+@query(f"""WITH s AS (SELECT a.vec_id AS query_id, b.vec_id AS item_id, round({_DOT}, 6) AS score FROM ({_Q}) a JOIN embeddings b ON a.vec_id <> b.vec_id AND a.vec_id // 3 <> b.vec_id // 3),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS place FROM s) SELECT * FROM r WHERE place <= 5""")
+def knn_other_pictures(spark, d):
+    """The five nearest of other pictures than the query's own."""
+    picture = F.floor(F.col("item_id") / 3)
+    asked = queries_of(spark, d).withColumn("picture", F.floor(F.col("query_id") / 3))
+    return op.top_k(asked, vectors(spark, d).withColumn("picture", picture), 5, apart="picture").select("query_id", "item_id", "score", "place")
+
+
+@query(f"""WITH l AS (SELECT vec_id, label, embedding, p_retailprice AS price, p_partkey % 7 AS seller, CASE WHEN p_partkey % 4 = 0 THEN 'men' WHEN p_partkey % 4 = 1 THEN 'unisex' ELSE 'women' END AS gender, p_size > 10 AS in_stock FROM embeddings JOIN part ON p_partkey = vec_id),
+s AS (SELECT a.vec_id AS query_id, b.vec_id AS item_id, round({_DOT}, 6) AS score FROM ({_Q}) a JOIN l b ON a.vec_id <> b.vec_id AND a.label = b.label WHERE in_stock AND seller <> 3 AND gender IN ('women', 'unisex') AND price > 0 AND price <= 1500),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS place FROM s) SELECT * FROM r WHERE place <= 6""")
+def knn_in_stock(spark, d):
+    """The six nearest listings in stock, not the seller's own, for an audience, with a known price up to a limit."""
+    key = F.col("p_partkey")
+    gender = F.when(key % 4 == 0, "men").when(key % 4 == 1, "unisex").otherwise("women")
+    listed = table(spark, d, "part").select(key.alias("item_id"), F.col("p_retailprice").alias("price"), (key % 7).alias("seller"), gender.alias("gender"), (F.col("p_size") > 10).alias("in_stock"))
+    items = vectors(spark, d).join(listed, "item_id")
+    fit = items.filter(F.col("in_stock") & op.listing_fits(F.col("price"), F.col("seller"), F.col("gender"), 1500.0, 3, ["women", "unisex"]))
+    return op.top_k(queries_of(spark, d), fit, 6, ["category"]).select("query_id", "item_id", "score", "place")

@@ -52,7 +52,10 @@ def scan_pictures(spark: SparkSession, path: str, pattern: str = r"([^/_]+)_([0-
 
 def read_settings(spark: SparkSession, path: str, names: list[str]) -> dict[str, float]:
     """A name,value file as numbers: a missing or unknown name stops the run. Such files have some dozens of rows."""
-    rows = {r["name"]: float(r["value"]) for r in spark.read.csv(path, header=True).select("name", "value").limit(10_000).collect()}
+    found = spark.read.csv(path, header=True).select("name", "value").limit(10_001).collect()
+    if len(found) > 10_000:
+        raise ValueError(f"{path} has over 10,000 rows: no settings file")
+    rows = {r["name"]: float(r["value"]) for r in found}
     if missing := sorted(set(names) - set(rows)):
         raise ValueError(f"{path}: missing rows {missing}")
     if unknown := sorted(set(rows) - set(names)):

@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import csv
-import re
 from collections.abc import Callable, Iterator, Mapping
 from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -26,7 +25,8 @@ def _paths(spark: SparkSession, *names: str):
 
 
 def swap_in(rows: DataFrame, path: str) -> None:
-    """Write beside path, then take its place: readers see the old table or the new one."""
+    """Write beside path, then take its place by two renames. Between them path is missing for a moment; the old table is then at
+    path.old, and stays there if the second rename fails."""
     rows.write.mode("overwrite").parquet(f"{path}.new")
     fs, (old, new, last) = _paths(rows.sparkSession, path, f"{path}.new", f"{path}.old")
     fs.delete(last, True)
@@ -66,19 +66,19 @@ def rewrite_settings(path: str, changes: Mapping[str, float], check: Callable[[d
 
 
 def report_tables(spark: SparkSession, path: str) -> DataFrame:
-    """(table, row, cells) of a report's pipe tables, numbered from 0, without header rules. A report is one small file."""
-    found, number, row, inside = [], -1, 0, False
-    for (line,) in spark.read.text(path, wholetext=False).limit(100_000).collect():
-        if not line.lstrip().startswith("|"):
-            inside = False
-            continue
-        cells = [c.strip() for c in line.strip().strip("|").split("|")]
-        if not inside:
-            inside, number, row = True, number + 1, 0
-        if not all(re.fullmatch(r":?-+:?", c) for c in cells):
-            found.append((number, row, cells))
-            row += 1
-    return spark.createDataFrame(found, "`table` int, row int, cells array<string>")
+    """(table, row, cells) of a report's pipe tables, numbered from 0, without header rules. A report is one file, read as one row.
+
+    Lines that start with a pipe and follow each other are a table; cells are trimmed.
+    """
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("at", "line"))
+    marked = lines.withColumn("is_row", F.ltrim("line").startswith("|"))
+    in_order = Window.orderBy("at")
+    begins = F.col("is_row") & ~F.coalesce(F.lag("is_row").over(in_order), F.lit(False))
+    numbered = marked.withColumn("table", F.sum(begins.cast("int")).over(in_order) - 1).filter("is_row")
+    inner = F.regexp_replace(F.trim("line"), r"^\|+|\|+$", "")
+    cells = numbered.select("table", "at", F.transform(F.split(inner, r"\|"), F.trim).alias("cells")).filter(~F.forall("cells", lambda c: c.rlike("^:?-+:?$")))
+    row = F.row_number().over(Window.partitionBy("table").orderBy("at")) - 1
+    return cells.select(F.col("table").cast("int").alias("table"), row.cast("int").alias("row"), "cells")
 
 
 def number_of(cell):

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from weftline.functions.exprs import set_key
-from weftline.operators.listings import stored_rows, sync
+from weftline.operators.listings import latest, stored_rows, sync
 
 
 def counts_by_window(events: DataFrame, at: str = "ts", kind: str = "event_type", late: str = "1 day", width: str = "1 day") -> DataFrame:
@@ -49,15 +49,16 @@ def lost_jobs(beats: DataFrame, seconds: int = 120, late: str = "0 seconds") ->
     )
 
 
-def sync_stream(runs: DataFrame, read_snapshot: Callable[[], DataFrame], write_snapshot: Callable[[DataFrame, int], None], complete: bool = False):
+def sync_stream(runs: DataFrame, read_snapshot: Callable[[], DataFrame], write_snapshot: Callable[[DataFrame, int], None], complete: bool = False, newest: str | None = None):
     """A writer that folds each micro-batch of listings into the stored snapshot; its caller starts it.
 
     write_snapshot gets the next snapshot and the batch's number, by which it can tell a batch that comes again. Batches of
-    a run that is read page by page aren't complete: they leave no tombstones.
+    a run that is read page by page aren't complete: they leave no tombstones. Of rows that repeat an id the one with the newest
+    time counts, newest being its column; without one, one by a hash of the row.
     """
 
     def fold(batch: DataFrame, number: int) -> None:
-        last = batch.dropDuplicates(["external_id"])
+        last = latest(batch, ["external_id"], [F.desc_nulls_last(newest)] if newest else [F.xxhash64(*batch.columns)])
         write_snapshot(stored_rows(sync(read_snapshot(), last, complete)), number)
 
     return runs.writeStream.foreachBatch(fold)
