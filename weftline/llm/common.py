@@ -42,7 +42,7 @@ def exists(spark: SparkSession, path: str) -> bool:
 def settle(df: DataFrame, name: str = "step") -> DataFrame:
     """Write df to the shared folder and read it again: lineage is cut and a lost executor costs nothing."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression="zstd")
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._settled_at = path
     return out

@@ -194,7 +194,7 @@ def _answer(table: pa.Table, layout: Layout) -> pa.Table:
     ends = np.cumsum(sizes)[:-1]
     columns = [
         pa.array([r["shard"] for r in rows], pa.int32()), pa.array([r["block"] for r in rows], pa.int32()), pa.array([w.tobytes() for w in np.split(totals[word], cuts)], pa.binary()),
-        pa.array([c.tobytes() for c in np.split(codes, ends)], pa.binary()), pa.array([own_sums.tolist(), *blank], pa.list_(pa.int64())),
+        pa.array([c.T.tobytes() for c in np.split(codes, ends)], pa.binary()), pa.array([own_sums.tolist(), *blank], pa.list_(pa.int64())),
         pa.array([[{"word": int(f) // SLICES, "slice": int(f) % SLICES, "n": int(x)} for f, x in zip(found, hot_sums, strict=True)], *blank], pa.list_(pa.struct([("word", pa.int32()), ("slice", pa.int32()), ("n", pa.int64())]))),
     ]
     return pa.table(columns, [f.split()[0] for f in _TOLD.split(", ")])
@@ -291,7 +291,7 @@ def score_texts(docs: DataFrame, block_bytes: int = BLOCK_BYTES, shard_bytes: in
         block = _read(left, shared.value)
         right = right.sort_by("shard")
         counts = np.frombuffer(b"".join(right.column("word_counts").to_pylist()), np.int64)
-        codes = np.frombuffer(b"".join(right.column("codes").to_pylist()), np.uint8).reshape(-1, 2)
+        codes = np.concatenate([np.frombuffer(b, np.uint8).reshape(2, -1) for b in right.column("codes").to_pylist()], axis=1).T
         known = np.empty(len(block.words), dtype=np.float64)
         known[block.word_order] = counts
         grams = np.empty_like(codes)
