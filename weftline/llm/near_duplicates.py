@@ -20,9 +20,9 @@ HASHES = BANDS * ROWS
 TOLERANCE, STEP = 1e-9, 32
 #: Signatures that one side of a block of a band's key holds, and texts that one side of a block of a group of survivors holds;
 #: larger groups are compared block by block. A block also has SHINGLES shingles a side at most, but for a longer text alone.
-GROUP, BLOCK, SHINGLES = 1024, 96, 1_000_000
+GROUP, BLOCK, SHINGLES = 1024, 64, 1_000_000
 #: Rows of signatures that one task compares about, many small groups together, and pairs that it looks at at once.
-BUCKET_ROWS, AT_ONCE = 20_000, 500_000
+BUCKET_ROWS, AT_ONCE = 8_000, 200_000
 #: How many ways the rows of one key are dealt where a key may be hot.
 SALTS = 8
 
@@ -184,17 +184,16 @@ def _prune_groups(table: pa.Table) -> pa.Table:
     nodes, part, band, size = (table.column(c).to_numpy() for c in ("node", "part", "band", "size"))
     sigs = _signatures(table.column("sig"))
     keys = band_keys(sigs)
-    linked = []
+    own, place = np.unique(nodes, return_inverse=True)
+    root = every = np.arange(len(own))
     for x, y in _pairs(np.diff(np.append(new, len(ids)))):
         keep = (i[x] == j[x]) | (part[x] != part[y])
         x, y = x[keep], y[keep]
         for t in range(int(band[x].max()) if len(x) else 0):
             keep = (band[x] <= t) | (keys[x, t] != keys[y, t])
             x, y = x[keep], y[keep]
-        linked.append(_survivors(sigs, size, x, y))
-    x, y = (np.concatenate([p[k] for p in linked]) for k in (0, 1))
-    own, place = np.unique(nodes, return_inverse=True)
-    root = _roots(len(own), place[x], place[y])
+        x, y = _survivors(sigs, size, x, y)
+        root = _roots(len(own), np.concatenate([every, place[x]]), np.concatenate([root, place[y]]))  # survivors aren't held
     out = np.flatnonzero(root != np.arange(len(own)))
     return pa.table([pa.array(own[out], pa.int64()), pa.array(own[root[out]], pa.int64())], ["a", "b"])
 
@@ -288,8 +287,10 @@ def with_signatures(docs: DataFrame) -> DataFrame:
         shingle = Shingler()
 
         def turn(batch: pa.RecordBatch) -> pa.RecordBatch:
-            sets = [shingle(text) for text in as_bytes(batch.column("text"))]
-            rows = [(node_of(s), len(s), signature(s).tobytes()) if len(s) else (None, 0, None) for s in sets]
+            rows = []
+            for text in batch.column("text"):
+                s = shingle((text.as_py() or "").encode())
+                rows.append((node_of(s), len(s), signature(s).tobytes()) if len(s) else (None, 0, None))
             columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)]
             return pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "key", "mark")), *columns], ["doc_id", "key", "mark", "node", "size", "sig"])
 
@@ -355,7 +356,8 @@ def _classified(docs: DataFrame) -> DataFrame:
     )
     for done in (keyed, groups, found):
         discard(done)
-    return signed.drop("size", "sig").join(by_node, "node", "left").select(
+    dealt = signed.drop("size", "sig").withColumn("salt", _salt("key"))
+    return dealt.join(_salted(by_node), ["node", "salt"], "left").select(
         "doc_id", "key", "mark", "node", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n_texts", F.lit(0)).cast("long").alias("n_texts"),
     )
