@@ -208,7 +208,7 @@ def bootstrap(rows: DataFrame, key: str, value: str, by: list[str], seed: str, r
     known = rows.filter(F.col(value).isNotNull()).select(*by, F.col(key).cast("string").alias("_k"), F.col(value).cast("double").alias("_v"))
     digest = F.md5(F.concat_ws(":", F.lit(seed), F.col("_r").cast("string"), "_k").cast("binary"))
     u = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") / float(1 << 32)
-    times = F.aggregate(F.expr("array(" + ", ".join(f"{c}D" for c in POISSON) + ")"), F.lit(0), lambda n, cut: n + F.when(F.col("_u") >= cut, 1).otherwise(0))
+    times = sum((F.when(F.col("_u") >= cut, 1).otherwise(0) for cut in POISSON), F.lit(0))
     drawn = known.select(*by, "_k", "_v", F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("_r")).withColumn("_u", u).withColumn("_n", times)
     means = drawn.groupBy(*by, "_r").agg((F.sum(F.col("_v") * F.col("_n")) / F.sum("_n")).alias("_m"))
     spread = means.groupBy(*by).agg(F.percentile("_m", 0.025).alias("low"), F.percentile("_m", 0.975).alias("high"))

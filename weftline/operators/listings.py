@@ -15,7 +15,7 @@ def sync(stored: DataFrame, run: DataFrame, complete: bool = True) -> DataFrame:
     """The next snapshot of one source's listings and what became of each: added, updated, relabelled, no_picture, gone, kept.
 
     stored and run: external_id, image_url, price, readable (run only), status (stored only), labels (what the run's picture was
-    labelled, and what is stored), and any further columns, which a seen listing takes from the run. A row is labelled anew
+    labelled, null if the run has none, and what is stored), and any further columns, which a seen listing takes from the run. A row is labelled anew
     if it is new or its picture's address changed. A picture that can't be read keeps a stored row's old one, and a new row
     with one isn't stored. What a complete run lacks is gone; an incomplete one marks nothing.
     """
@@ -34,7 +34,7 @@ def sync(stored: DataFrame, run: DataFrame, complete: bool = True) -> DataFrame:
         F.when(fresh, F.col("r.image_url")).otherwise(F.col("s.image_url")).alias("image_url"),
         F.when(seen, F.col("r.price")).otherwise(F.col("s.price")).alias("price"),
         F.when(what == "gone", "gone").when(what == "no_picture", None).when(seen, "active").otherwise(F.col("s.status")).alias("status"),
-        F.when(fresh, F.col("r.labels")).otherwise(F.col("s.labels")).alias("labels"), *[side(c).alias(c) for c in more],
+        F.when(fresh, F.col("r.labels") if "labels" in run.columns else F.lit(None)).otherwise(F.col("s.labels")).alias("labels"), *[side(c).alias(c) for c in more],
     )
 
 
