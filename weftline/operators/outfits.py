@@ -228,12 +228,17 @@ def top_cores(wardrobe: DataFrame, owner: str, most: int = TOP_CORES, swimwear:
     return scored.withColumn("place", place).filter(F.col("place") <= most)
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """rows by key over all shuffle partitions: few bytes that cost much work are not to be merged into one task for their size."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def complete(cores: DataFrame, wardrobe: DataFrame, owner: str, order: Iterable[str] = ("shoes", "outerwear", "bag", "accessory"), must: str | None = None) -> DataFrame:
     """cores with items and score after the greedy additions: shoes always, but none to swimwear, the rest if the score rises;
     ties to the least id. must names a column with an item that stands in its slot whatever it scores."""
     extras = list(order)
     held = wardrobe.filter(F.col("category").isin(*extras)).groupBy(owner).agg(F.array_sort(F.collect_list(as_items())).alias("_held"))
-    out = cores.join(held, owner, "left")
+    out = spread(cores, owner).join(held, owner, "left")
     for category in extras:
         options = F.filter("_held", _is_of(category))
         forced = F.lit(category == "shoes")
