@@ -40,6 +40,12 @@ CONDITIONS = (
     ("used", r"((?<![a-z-])(porte|utilise)(e|es|s)?(?![-a-z])(?! a la main| a l'epaule| a l epaule)|\buse(e|es|s)?\b|\bmest3mel\b|\bmsta3mel\b|مستعمل|\bused\b|\busage\b)"),
 )
 
+#: Words of section names.
+GENDER_WORDS = {
+    "women": ("woman", "women", "femme", "femmes", "mujer", "ella", "نساء", "امرأة"),
+    "men": ("man", "men", "homme", "hommes", "hombre", "él", "رجال", "رجل"),
+}
+
 
 def fold(text: Column) -> Column:
     """Lower case without Latin accents, Arabic marks or the stretching line; œ and ligatures stay: see fold_all."""
@@ -145,3 +151,16 @@ def route(text: Column, agents: dict[str, tuple[str, ...]]) -> Column:
     hits = {a: sum((F.when(F.contains(low, F.lit(w)), 1).otherwise(0) for w in ws), F.lit(0)) for a, ws in agents.items()}
     best = F.greatest(*hits.values(), F.lit(0))
     return F.when(best > 0, F.coalesce(*[F.when(h == best, F.lit(a)) for a, h in hits.items()]))
+
+
+def cell(text: Column, most: int | None = None) -> Column:
+    """text as one cell of a table: white space runs as one space, bars escaped, and an ellipsis where it is over most characters."""
+    one = F.replace(F.trim(F.regexp_replace(text, r"\s+", " ")), F.lit("|"), F.lit("\\|"))
+    return one if most is None else F.when(F.length(one) <= most, one).otherwise(F.concat(F.substring(one, 1, most - 1), F.lit("…")))
+
+
+def section_gender(*texts: Column) -> Column:
+    """Whose section the first telling text names, by whole words; null if none does."""
+    told = lambda t: F.split(F.lower(F.coalesce(t, F.lit(""))), r"[^\p{L}\p{N}_]+")
+    has = lambda t, g: F.arrays_overlap(told(t), F.array(*[F.lit(w) for w in GENDER_WORDS[g]]))
+    return F.coalesce(*[F.when(has(t, g), F.lit(g)) for t in texts for g in GENDER_WORDS])

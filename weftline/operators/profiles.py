@@ -75,3 +75,44 @@ def lowest_cut(rows: DataFrame, score: str, right: str, target: float, least: in
     run = binned.select("cut", F.sum("_n").over(onward).alias("shown"), F.sum("_k").over(onward).alias("_hits"))
     fit = run.withColumn("precision", F.round(F.col("_hits") / F.col("shown"), 6)).filter((F.col("_hits") >= target * F.col("shown")) & (F.col("shown") >= least))
     return fit.orderBy("cut").limit(1).drop("_hits")
+
+
+def correction_rates(guesses: DataFrame, field: str, unsure: Column, changed: Column) -> DataFrame:
+    """(field, items, unsure, unsure_corrected, sure_corrected, and both rates): how often guesses were changed, told apart by
+    whether they were flagged; a rate of none is null. Guesses of unknown flag count as sure, of unknown change as unchanged."""
+    told = guesses.select(field, F.coalesce(unsure, F.lit(False)).alias("_u"), F.coalesce(changed, F.lit(False)).alias("_c"))
+    sums = told.groupBy(field).agg(F.count(F.lit(1)).alias("items"), F.count_if("_u").alias("unsure"), F.count_if(F.col("_u") & F.col("_c")).alias("unsure_corrected"), F.count_if(~F.col("_u") & F.col("_c")).alias("sure_corrected"))
+    share = lambda k, n: F.when(n > 0, F.round(k / n, 3))
+    sure = F.col("items") - F.col("unsure")
+    return sums.withColumns({"unsure_corrected_rate": share(F.col("unsure_corrected"), F.col("unsure")), "sure_corrected_rate": share(F.col("sure_corrected"), sure)})
+
+
+def router_accuracy(answers: DataFrame) -> DataFrame:
+    """(expected, cases, answers, n_right, rate) of scored answers (id, expected, ok, scored) and, under "All", of all of them."""
+    right = F.count_if("ok")
+    told = [F.countDistinct("id").alias("cases"), F.count(F.lit(1)).alias("answers"), right.alias("n_right"), F.round(right / F.count(F.lit(1)), 6).alias("rate")]
+    return with_total(answers.filter("scored"), "expected", told)
+
+
+def mix_ups(answers: DataFrame, n: int = 12) -> DataFrame:
+    """(expected, chosen, answers): the n most common wrong choices of scored answers, ties by name."""
+    wrong = answers.filter("scored and not ok").groupBy("expected", "chosen").agg(F.count(F.lit(1)).alias("answers"))
+    return wrong.orderBy(F.desc("answers"), "expected", "chosen").limit(n)
+
+
+def unsteady_cases(answers: DataFrame) -> DataFrame:
+    """(id, expected, n_right, answers, chosen) of cases that weren't right in every scored answer; chosen lists choices by count."""
+    counts = answers.filter("scored").groupBy("id", "expected", "chosen").agg(F.count(F.lit(1)).alias("_n"), F.count_if("ok").alias("_k"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("_n")).alias("less"), "chosen"))), lambda x: F.concat_ws(" ", x["chosen"], (-x["less"]).cast("string")))
+    cases = counts.groupBy("id", "expected").agg(F.sum("_k").alias("n_right"), F.sum("_n").alias("answers"), F.array_join(listed, ", ").alias("chosen"))
+    return cases.filter("n_right < answers")
+
+
+def range_errors(ranges: dict[str, tuple[float | None, float | None]], domains: dict[str, list] | None = None) -> Column:
+    """Names of what is out of its range (both ends included, None: open) or domain, in the order given; unknown values pass."""
+    bad = []
+    for name, (low, high) in ranges.items():
+        out = F.lit(False) if low is None else F.col(name) < low
+        bad.append((name, out if high is None else out | (F.col(name) > high)))
+    bad += [(name, ~F.col(name).isin(*values)) for name, values in (domains or {}).items()]
+    return F.array_compact(F.array(*[F.when(wrong, F.lit(name)) for name, wrong in bad]))

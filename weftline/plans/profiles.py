@@ -222,3 +222,48 @@ def sample_per_class(spark, d):
     """A seeded sample of five of each class, by the order of a hash."""
     order = F.md5(F.concat_ws(":", F.lit("7"), F.col("doc_id").cast("string")).cast("binary"))
     return table(spark, d, "documents").select("doc_id", "lang").withColumn("turn", F.row_number().over(Window.partitionBy("lang").orderBy(order, "doc_id"))).filter("turn <= 5").drop("turn")
+
+
+_GUESSES_SQL = """g AS (SELECT event_type AS field, value < 30 AS unsure, event_id % 4 <> user_id % 3 AS changed FROM events)"""
+
+
+@query(f"""WITH {_GUESSES_SQL}, s AS (SELECT field, count(*) AS items, count(*) FILTER (unsure) AS unsure, count(*) FILTER (unsure AND changed) AS unsure_corrected, count(*) FILTER (NOT unsure AND changed) AS sure_corrected FROM g GROUP BY 1)
+SELECT *, CASE WHEN unsure > 0 THEN round(unsure_corrected / unsure, 3) END AS unsure_corrected_rate, CASE WHEN items > unsure THEN round(sure_corrected / (items - unsure), 3) END AS sure_corrected_rate FROM s""")
+def correction_rates(spark, d):
+    """How often guesses were changed, flagged ones and others."""
+    changed = F.col("event_id") % 4 != F.col("user_id") % 3
+    return op.correction_rates(table(spark, d, "events").withColumnRenamed("event_type", "field"), "field", F.col("value") < 30, changed)
+
+
+_ANSWERS_SQL = """a AS (SELECT event_id % 200 AS id, ['click', 'login', 'view'][event_id % 200 % 3 + 1] AS expected, event_type AS chosen, event_id % 200 % 11 <> 0 AS scored FROM events), ans AS (SELECT *, scored AND expected = chosen AS ok FROM a)"""
+
+
+def _answers(spark, d):
+    case = F.col("event_id") % 200
+    told = table(spark, d, "events").select(case.alias("id"), F.get(F.array(F.lit("click"), F.lit("login"), F.lit("view")), (case % 3).cast("int")).alias("expected"), F.col("event_type").alias("chosen"), (case % 11 != 0).alias("scored"))
+    return told.withColumn("ok", F.col("scored") & (F.col("expected") == F.col("chosen")))
+
+
+@query(f"""WITH {_ANSWERS_SQL} SELECT CASE WHEN grouping(expected) = 1 THEN 'All' ELSE expected END AS expected, count(DISTINCT id) AS cases, count(*) AS answers, count(*) FILTER (ok) AS n_right, round(count(*) FILTER (ok) / count(*), 6) AS rate
+FROM ans WHERE scored GROUP BY ROLLUP (expected)""")
+def router_accuracy(spark, d):
+    return op.router_accuracy(_answers(spark, d))
+
+
+@query(f"WITH {_ANSWERS_SQL} SELECT expected, chosen, count(*) AS answers FROM ans WHERE scored AND NOT ok GROUP BY ALL ORDER BY answers DESC, expected, chosen LIMIT 12")
+def router_mix_ups(spark, d):
+    return op.mix_ups(_answers(spark, d))
+
+
+@query(f"""WITH {_ANSWERS_SQL}, c AS (SELECT id, expected, chosen, count(*) AS n, count(*) FILTER (ok) AS k FROM ans WHERE scored GROUP BY ALL),
+s AS (SELECT id, expected, sum(k)::BIGINT AS n_right, sum(n)::BIGINT AS answers, string_agg(chosen || ' ' || n, ', ' ORDER BY n DESC, chosen) AS chosen FROM c GROUP BY ALL) SELECT * FROM s WHERE n_right < answers""")
+def router_unsteady_cases(spark, d):
+    """Cases that weren't right in every answer, with what was chosen."""
+    return op.unsteady_cases(_answers(spark, d))
+
+
+@query("""SELECT p_partkey, concat_ws(',', CASE WHEN p_size < 5 OR p_size > 45 THEN 'p_size' END, CASE WHEN p_retailprice > 1500 THEN 'p_retailprice' END, CASE WHEN p_brand NOT IN ('Brand#11', 'Brand#12', 'Brand#13') THEN 'p_brand' END) AS errors FROM part""")
+def range_errors(spark, d):
+    """What of each part is out of its range or domain."""
+    errors = op.range_errors({"p_size": (5, 45), "p_retailprice": (None, 1500)}, {"p_brand": ["Brand#11", "Brand#12", "Brand#13"]})
+    return table(spark, d, "part").select("p_partkey", F.array_join(errors, ",").alias("errors"))

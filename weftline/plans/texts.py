@@ -114,3 +114,9 @@ def local_day_season(spark, d):
     """The day in Tunis and the season that a felt temperature stands for."""
     season = F.when(F.col("value") >= 24, "summer").when(F.col("value") < 14, "winter").otherwise("mid-season")
     return table(spark, d, "events").select("event_id", F.date_format(F.from_utc_timestamp("ts", "Africa/Tunis"), "yyyy-MM-dd").alias("day"), season.alias("season"))
+
+
+@query(r"""SELECT p_partkey, CASE WHEN length(c) <= 24 THEN c ELSE substring(c, 1, 23) || '…' END AS cell FROM (SELECT p_partkey, replace(trim(regexp_replace(p_name || ' | ' || p_brand, '\s+', ' ', 'g')), '|', '\|') AS c FROM part)""")
+def table_cells(spark, d):
+    """Names and brands as cells of a table."""
+    return table(spark, d, "part").select("p_partkey", fn.cell(F.concat_ws(" | ", "p_name", "p_brand"), 24).alias("cell"))

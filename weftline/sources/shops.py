@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.functions.texts import section_gender
+
 _PRODUCT = (
     "id long, title string, handle string, options array<struct<name:string,position:int>>, images array<struct<src:string,variant_ids:array<bigint>>>, "
     "variants array<struct<id:bigint,option1:string,option2:string,option3:string,price:string,available:boolean,featured_image:struct<src:string>>>"
@@ -98,3 +100,79 @@ def in_dinars(rows: DataFrame, rates: DataFrame) -> DataFrame:
     missing = F.col("price").isNotNull() & F.col("rate").isNull() & F.col("currency").isNotNull()
     told = F.when(missing, F.raise_error(F.concat(F.lit("no rate for "), "currency"))).otherwise(F.bround(F.col("price") * F.col("rate"), 3))
     return joined.withColumns({"price_tnd": told.cast("double"), "price_original": F.concat_ws(" ", F.col("price").cast("string"), "currency")}).drop("rate")
+
+
+#: Words for what can be had, and the most maps read in a run.
+IN_STOCK, MOST_MAPS = ("in_stock", "low_on_stock"), 50
+
+
+def stock_summary(stock: Column, sizes: Column) -> Column:
+    """(availability, sizes_in_stock, n) of maps number -> availability and number -> size, in the map's order; a number without a
+    size stands for itself. Low if all that can be had is low; no stock, or none told, is out of stock."""
+    entries = F.map_entries(F.coalesce(stock, F.create_map().cast("map<string,string>")))
+    there = F.filter(entries, lambda e: F.lower(e["value"]).isin(*IN_STOCK))
+    low = F.forall(there, lambda e: F.lower(e["value"]) == "low_on_stock")
+    names = F.transform(there, lambda e: F.coalesce(sizes[e["key"]], e["key"]))
+    return F.struct(F.when(F.size(there) == 0, "out_of_stock").when(low, "low_on_stock").otherwise("in_stock").alias("availability"), names.alias("sizes_in_stock"), F.size(there).alias("n"))
+
+
+def packed_sizes(sizes: Column) -> Column:
+    """A map number -> size as number:size|number:size."""
+    return F.array_join(F.transform(F.map_entries(sizes), lambda e: F.concat_ws(":", e["key"], e["value"])), "|")
+
+
+def unpacked_sizes(text: Column) -> Column:
+    """The map that packed_sizes wrote: parts without a colon don't count, and of one number the last stands."""
+    parts = F.filter(F.split(F.coalesce(text, F.lit("")), r"\|"), lambda p: F.contains(p, F.lit(":")))
+    pairs = F.transform(parts, lambda p: F.struct(F.substring_index(p, ":", 1).alias("key"), F.regexp_replace(p, "^[^:]*:", "").alias("value")))
+    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["key"] == p["key"]))
+    return F.map_from_entries(last)
+
+
+def _listed(text: Column) -> Column:
+    return F.filter(F.split(F.coalesce(text, F.lit("")), r"\|"), lambda x: x != "")
+
+
+def scraped_listings(rows: DataFrame) -> DataFrame:
+    """Rows of a scraped catalogue, all text, as listings. Sizes in stock count only where the stock was asked for by colour, that is
+    where the colour's own numbers were known; a price that is no number and an unknown availability are null."""
+    asked, text = F.coalesce(F.col("availability_from"), F.lit("")), lambda c: F.coalesce(F.col(c), F.lit(""))
+    by_colour = text("sku_sizes") != ""
+    level = F.when(asked == "stock_api", F.when(by_colour, "colour").otherwise("product")).when(asked == "catalogue", "catalogue").otherwise("")
+    return rows.select(
+        F.col("id").alias("external_id"), text("url").alias("url"), text("name").alias("title"), text("brand").alias("brand"), text("colour_name").alias("shop_colour"), text("gender").alias("gender"),
+        F.col("price").try_cast("double").alias("price_tnd"), _listed(F.col("sizes")).alias("sizes"), F.when(level == "colour", _listed(F.col("sizes_in_stock"))).otherwise(F.array().cast("array<string>")).alias("sizes_in_stock"),
+        F.when(F.col("availability").isin(*IN_STOCK), True).when(F.col("availability") == "out_of_stock", False).alias("in_stock"), text("image_url").alias("image_url"), level.alias("availability_level"),
+    )
+
+
+def category_leaves(answers: DataFrame, key: str, column: str = "json", most_depth: int = 8) -> DataFrame:
+    """(key, gender, path, node): categories without children in trees of categories, each with its path of names.
+
+    The gender is that of the first ancestor, or the node itself, whose name, sectionName or key names a section. An answer is a
+    list of categories; a tree deeper than most_depth stops the run, so no leaf is lost.
+    """
+    text = lambda path: F.coalesce(F.try_variant_get("_n", path, "string"), F.lit(""))
+    named = [F.trim(text("$.name")), text("$.sectionName"), text("$.key")]
+    now = answers.select(key, F.explode(F.try_variant_get(F.try_parse_json(column), "$", "array<variant>")).alias("_n"), F.lit(None).cast("string").alias("_g"), F.array().cast("array<string>").alias("_p"))
+    leaves = []
+    for depth in range(most_depth):
+        subs = F.try_variant_get("_n", "$.subcategories", "array<variant>")
+        told = now.select(key, "_n", F.coalesce("_g", section_gender(*named)).alias("_g"), F.concat("_p", F.array(named[0])).alias("_p"), subs.alias("_s")).withColumn("_leaf", F.coalesce(F.size("_s"), F.lit(0)) < 1)
+        too_deep = F.lit(depth == most_depth - 1) & ~F.col("_leaf")
+        path = F.when(too_deep, F.raise_error(F.lit(f"categories deeper than {most_depth}"))).otherwise(F.array_join("_p", " > "))
+        kept = told if depth == most_depth - 1 else told.filter("_leaf")
+        leaves.append(kept.select(key, F.col("_g").alias("gender"), path.cast("string").alias("path"), F.to_json("_n").alias("node")))
+        now = told.filter("not _leaf").select(key, F.explode("_s").alias("_n"), "_g", "_p")
+    out = leaves[0]
+    for more in leaves[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def next_maps(found: DataFrame, seen: DataFrame, most: int = MOST_MAPS) -> DataFrame:
+    """The maps to read next of an index's addresses: those not seen, product ones first, as many as the run's limit leaves."""
+    left = most - seen.select("url").distinct().count()
+    fresh = found.filter("is_index is not null").join(seen.select("url"), "url", "left_anti")
+    first = F.contains(F.lower(F.coalesce(F.parse_url("url", F.lit("PATH")), F.lit(""))), F.lit("product"))
+    return fresh.orderBy(F.desc(first), "url").limit(max(left, 0))
