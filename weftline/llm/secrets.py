@@ -155,10 +155,11 @@ def _found(ledger: DataFrame, rules: Sequence[Rule]) -> DataFrame:
 def _meet(versions: DataFrame, found: DataFrame) -> DataFrame:
     """(row, blob, and found's columns, null where found lacks the blob): versions' columns are inside row, so that no name clashes.
 
-    Each blob of found is dealt SALTS ways to meet the copies of a text, which may be very many.
+    Each blob of found is dealt SALTS ways to meet the copies of a text, which may be very many. Both sides are shuffled: found
+    grows with the corpus, and its estimated size leaves out the salts, so Spark's own choice would broadcast far over its threshold.
     """
     paths = versions.select(F.struct("*").alias("row"), blob_of(F.col("text")).alias("blob"), F.pmod(F.xxhash64(*versions.columns), F.lit(SALTS)).cast("int").alias("salt"))
-    return paths.join(found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["blob", "salt"], "left").drop("salt")
+    return paths.join(found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge"), ["blob", "salt"], "left").drop("salt")
 
 
 def findings_by_path(versions: DataFrame, rules: Sequence[Rule] = RULES, ledger: DataFrame | None = None) -> DataFrame:
