@@ -71,6 +71,16 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return [b or b"" for b in column.cast(kind).to_pylist()]
 
 
+def word_pieces(spaced: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
+    """The words of a text that has blanks only between them, in turn, about size bytes at a time."""
+    at = 0
+    while at < len(spaced):
+        stop = spaced.find(b" ", at + size)
+        stop = len(spaced) if stop < 0 else stop
+        yield spaced[at:stop].split()
+        at = stop
+
+
 def per_batch(make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]]) -> Callable:
     """A mapInArrow function: make() runs once a task and gives what turns one batch into another."""
 
