@@ -7,6 +7,10 @@ from collections.abc import Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: The sRGB matrix, a row for each of X, Y and Z, and the white point (D65).
+SRGB_TO_XYZ = ((0.4124, 0.3576, 0.1805), (0.2126, 0.7152, 0.0722), (0.0193, 0.1192, 0.9505))
+WHITE_POINT = (0.95047, 1.0, 1.08883)
+
 
 def hash_percent(key: Column, seed: str) -> Column:
     """A key's place in 0..99: the first eight hex digits of md5("seed:key"), modulo 100."""
@@ -128,7 +132,6 @@ def lab_of(red: Column, green: Column, blue: Column) -> tuple[Column, Column, Co
         return F.when(x > 0.04045, F.pow((x + 0.055) / 1.055, F.lit(2.4))).otherwise(x / 12.92)
 
     r, g, b = linear(red), linear(green), linear(blue)
-    # fixed values: the sRGB matrix and white point
-    xyz = ((0.4124 * r + 0.3576 * g + 0.1805 * b) / 0.95047, 0.2126 * r + 0.7152 * g + 0.0722 * b, (0.0193 * r + 0.1192 * g + 0.9505 * b) / 1.08883)
+    xyz = [sum((w * c for w, c in zip(row, (r, g, b), strict=True)), F.lit(0.0)) / white for row, white in zip(SRGB_TO_XYZ, WHITE_POINT, strict=True)]
     x, y, z = (F.when(v > 0.008856, F.cbrt(v)).otherwise(7.787 * v + 16 / 116) for v in xyz)
     return 116 * y - 16, 500 * (x - y), 200 * (y - z)

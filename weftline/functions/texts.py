@@ -28,6 +28,8 @@ BRANDS = (
     "north face", "stone island", "mango", "bershka", "pull&bear", "massimo dutti", "michael kors", "calvin klein", "hugo boss", "versace", "balenciaga", "jordan",
     "converse", "vans", "timberland", "skechers", "reebok", "fila", "kappa", "under armour", "longchamp",
 )
+# Fixed value: words by which an ad claims that its brand is real.
+ORIGINAL = r"\b(original(e|es|s)?|authentique(s)?|orijinal|vrai(e|es|s)?|100 ?%)"
 # What a condition is told by, first match first, once what denies a fault is gone.
 DENIED = r"(aucun(e)?|sans|pas de|zero|0|ni)\s+(\w+\s+){0,2}(defauts?|taches?|trous?|rayures?|egratinures?)"
 NOT_WORN = r"porte[- ](cles?|monnaie|cartes?|feuilles?|documents?)"
@@ -115,6 +117,11 @@ def claimed_brand(folded: Column) -> Column:
     return F.coalesce(*[F.when(folded.rlike(rf"\b{b}"), F.lit(b)) for b in BRANDS])
 
 
+def claims_original(folded: Column) -> Column:
+    """Whether a folded text says that the piece is an original."""
+    return folded.rlike(ORIGINAL)
+
+
 def condition(folded: Column) -> Column:
     told = F.regexp_replace(F.regexp_replace(folded, DENIED, " "), NOT_WORN, " ")
     out = F.lit("no mention")
@@ -123,12 +130,16 @@ def condition(folded: Column) -> Column:
     return out
 
 
-def dinars(text: Column) -> Column:
-    """The number in a price like 1.299,99 TND or 59.9 DT; null where there is none."""
-    digits = F.regexp_extract(F.regexp_replace(text, "[\\s  ]", ""), r"([0-9][0-9.,]*)", 1)
-    comma = F.regexp_replace(F.regexp_replace(digits, r"\.", ""), ",", ".")
-    thousands = F.regexp_replace(digits, r"\.(?=[0-9]{3}(?:\.|$))", "")
-    return F.try_to_number(F.regexp_replace(F.when(F.instr(digits, ",") > 0, comma).otherwise(thousands), r"\.$", ""), F.lit("999999999.999")).cast("double")
+def dinars(text: Column, strict: bool = True) -> Column:
+    """The number in a price like 1.299,99 TND, 59.900 TND or 59.9 DT: with a comma, dots part thousands, else the dot is the decimal point.
+
+    Null for no text or no number. A price in another currency is never guessed: it stops the query, or is null unless strict.
+    """
+    ours = F.upper(text).rlike("TND|DT")
+    value = F.regexp_extract(text, r"([0-9.,]+)", 1)
+    number = F.when(F.instr(value, ",") > 0, F.regexp_replace(F.regexp_replace(value, r"\.", ""), ",", ".")).otherwise(value)
+    other = F.raise_error(F.concat(F.lit("not a price in dinars: "), text)).cast("double") if strict else F.lit(None).cast("double")
+    return F.when(F.coalesce(text, F.lit("")) == "", None).when(~ours, other).when(value != "", number.try_cast("double"))
 
 
 def page_id(url: Column) -> Column:

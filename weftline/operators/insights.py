@@ -20,8 +20,8 @@ WHY_NOT = {"style": "no_vectors", "colour": "no_colours", "pattern": "no_pattern
 
 def outfit_use(wardrobe: DataFrame, owner: str) -> DataFrame:
     """(owner, item_id, slot, outfits, standing, firsts): of each item the good completed outfits that it is in; a main piece is
-    versatile or unmatched. firsts counts the good outfits whose first item it is, so an owner's sum is their good outfits."""
-    done = sets.complete(sets.top_cores(wardrobe, owner), wardrobe, owner)
+    versatile or unmatched. Swimwear makes outfits like any full piece. firsts counts the good outfits whose first item it is, so an owner's sum is their good outfits."""
+    done = sets.complete(sets.top_cores(wardrobe, owner, swimwear=None), wardrobe, owner)
     used = done.select(owner, F.posexplode(ids_of(F.col("items"))).alias("_at", "item_id"), (F.col("score") >= sets.GOOD_OUTFIT).alias("_good"))
     counts = used.groupBy(owner, "item_id").agg(F.count_if("_good").alias("_n"), F.count_if(F.col("_good") & (F.col("_at") == 0)).alias("_f"))
     n, slot = F.coalesce("_n", F.lit(0)), looked_up(F.col("category"), sets.SLOTS)

@@ -217,12 +217,16 @@ def swaps(sets: DataFrame, pool: DataFrame, key: str, owner: str) -> DataFrame:
     )
 
 
-def top_cores(wardrobe: DataFrame, owner: str, most: int = TOP_CORES, swimwear: bool = False) -> DataFrame:
-    """(owner, items, score, place): each owner's best main pieces, a top with a bottom or one full piece, swimwear if asked for."""
+def top_cores(wardrobe: DataFrame, owner: str, most: int = TOP_CORES, swimwear: bool | None = False) -> DataFrame:
+    """(owner, items, score, place): each owner's best main pieces, a top with a bottom or one full piece.
+
+    swimwear: False leaves it out (every day), True leaves it alone (the beach), None takes all.
+    """
     slot = looked_up(F.col("category"), SLOTS)
     of = lambda s, name: wardrobe.filter(slot == s).select(owner, as_items().alias(name))
     pairs = of("upper", "_u").join(of("lower", "_l"), owner).select(owner, F.array("_u", "_l").alias("items"))
-    cores = pairs.unionByName(of("full", "_f").filter(F.lit(swimwear) | (F.col("_f.category") != "swimwear")).select(owner, F.array("_f").alias("items")))
+    fulls = of("full", "_f").filter(F.lit(swimwear is None) | ((F.col("_f.category") == "swimwear") == F.lit(bool(swimwear)))).select(owner, F.array("_f").alias("items"))
+    cores = fulls if swimwear else pairs.unionByName(fulls)
     scored = cores.withColumn("score", set_score(F.col("items")))
     place = F.row_number().over(Window.partitionBy(owner).orderBy(F.desc("score"), set_key(F.transform("items", lambda i: i["id"].cast("string")))))
     return scored.withColumn("place", place).filter(F.col("place") <= most)

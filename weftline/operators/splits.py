@@ -12,29 +12,40 @@ def _rank(split: Column) -> Column:
     return F.when(split == "test", 2).when(split == "val", 1).when(split == "train", 0)
 
 
-def assign_splits(rows: DataFrame, outfit: str, picture: str, order: list[str]) -> DataFrame:
+def assign_splits(rows: DataFrame, outfit: str, picture: str, order: list[str], local: Column | None = None, is_file: Column | None = None) -> DataFrame:
     """rows with outfit_split, split, outfit_clean and is_copy.
 
     An outfit's split comes from its hash; a picture takes the strictest of its outfits' splits, or its own hash where it is
-    in no outfit. A row without a picture shares none: it has its outfit's split, null without one, and is no copy. An outfit is
-    clean if all its pictures have its split, null for a row without one. is_copy marks every row of a picture after the first
-    in the given order.
+    in no outfit. Local rows (our own photos) and outfits that have one are for testing only, whatever the hashes say. A row without a picture shares
+    none: it has its outfit's split, null without one and not local, and is no copy. An outfit is clean if none of its pictures is used by outfits of
+    different splits, null for a row without one. is_copy marks every row of a picture after the first in the given order, but none of rows whose
+    picture is no file of its own (is_file).
     """
-    owned = rows.withColumn("outfit_split", F.when(F.col(outfit).isNotNull(), split_of(F.col(outfit))))
+    own = F.coalesce(local, F.lit(False)) if local is not None else F.lit(False)
+    file = F.coalesce(is_file, F.lit(False)) if is_file is not None else F.lit(True)
+    marked = rows.withColumns({"_local": own, "_file": file})
+    split = split_of(F.col(outfit))
+    if local is not None:
+        ours = marked.filter(F.col("_local") & F.col(outfit).isNotNull()).select(outfit).distinct().withColumn("_ours", F.lit(True))
+        marked = marked.join(ours, outfit, "left")
+        split = F.when(F.col("_ours"), "test").otherwise(split)
+    owned = marked.withColumn("outfit_split", F.when(F.col(outfit).isNotNull(), split)).drop("_ours")
     one = Window.partitionBy(picture)
-    strictest = F.max(_rank(F.col("outfit_split"))).over(one)
+    rank = _rank(F.col("outfit_split"))
+    strictest = F.max(rank).over(one)
     named = F.when(strictest == 2, "test").when(strictest == 1, "val").when(strictest == 0, "train")
-    seen = owned.filter(F.col(picture).isNotNull()).withColumns(
-        {"split": F.coalesce(named, split_of(F.col(picture))), "is_copy": F.row_number().over(one.orderBy(*order)) > 1}
-    )
-    placed = seen.unionByName(owned.filter(F.col(picture).isNull()).withColumns({"split": F.col("outfit_split"), "is_copy": F.lit(False)}))
-    mixed = placed.filter(F.col(outfit).isNotNull() & (F.col("split") != F.col("outfit_split"))).select(outfit).distinct().withColumn("_mixed", F.lit(True))
-    clean = F.when(F.col(outfit).isNotNull(), F.col("_mixed").isNull())
-    return placed.join(mixed, outfit, "left").withColumn("outfit_clean", clean).drop("_mixed")
+    seen = owned.filter(F.col(picture).isNotNull()).withColumns({
+        "split": F.coalesce(named, split_of(F.col(picture))), "is_copy": (F.row_number().over(one.orderBy(*order)) > 1) & F.col("_file"), "_shared": F.coalesce(F.min(rank).over(one) < strictest, F.lit(False)),
+    })
+    placed = seen.unionByName(owned.filter(F.col(picture).isNull()).withColumns({"split": F.col("outfit_split"), "is_copy": F.lit(False), "_shared": F.lit(False)}))
+    placed = placed.withColumn("split", F.when(F.col("_local"), "test").otherwise(F.col("split")))
+    dirty = placed.filter(F.col("_shared") & F.col(outfit).isNotNull()).select(outfit).distinct().withColumn("_dirty", F.lit(True))
+    clean = F.when(F.col(outfit).isNotNull(), F.col("_dirty").isNull())
+    return placed.join(dirty, outfit, "left").withColumn("outfit_clean", clean).drop("_dirty", "_shared", "_local", "_file")
 
 
-def split_violations(rows: DataFrame, outfit: str, picture: str, key: str) -> DataFrame:
-    """(check, violations) of the rules that a split table must keep."""
+def split_violations(rows: DataFrame, outfit: str, picture: str, key: str, category: str | None = None, categories: list[str] = (), local: Column | None = None) -> DataFrame:
+    """(check_name, violations) of the rules that a split table must keep; those on categories and on local rows only if these are given."""
     many = lambda of, what: rows.filter(F.col(of).isNotNull()).groupBy(of).agg(F.countDistinct(what).alias("n")).filter("n > 1")
     checks = {
         "duplicate_ids": rows.groupBy(key).count().filter("count > 1"),
@@ -42,8 +53,14 @@ def split_violations(rows: DataFrame, outfit: str, picture: str, key: str) -> Da
         "outfit_in_two_splits": many(outfit, "outfit_split"),
         "unknown_split": rows.filter(~F.coalesce(F.col("split").isin("train", "val", "test"), F.lit(False))),
         "test_outfit_outside_test": rows.filter("outfit_split = 'test' and split <> 'test'"),
-        "first_copy_marked": rows.filter(F.col(picture).isNotNull()).groupBy(picture).agg(F.sum(F.when(~F.col("is_copy"), 1).otherwise(0)).alias("firsts")).filter("firsts <> 1"),
+        "first_copy_marked": rows.filter(F.col(picture).isNotNull()).groupBy(picture).agg(F.sum(F.when(~F.col("is_copy"), 1).otherwise(0)).alias("firsts")).filter("firsts < 1"),
     }
+    if category is not None:
+        checks["unknown_category"] = rows.filter(~F.coalesce(F.col(category).isin(*categories), F.lit(False))).select(category).distinct()
+    if local is not None:
+        ours = rows.filter(local)
+        checks["local_outside_test"] = ours.filter("split <> 'test'")
+        checks["local_outfit_outside_test"] = ours.filter(F.col(outfit).isNotNull() & (F.col("outfit_split") != "test"))
     parts = [df.agg(F.count(F.lit(1)).alias("violations")).select(F.lit(name).alias("check_name"), "violations") for name, df in checks.items()]
     out = parts[0]
     for part in parts[1:]:

@@ -14,6 +14,8 @@ from weftline.functions.exprs import dot, unit
 
 #: Vectors of one side of a matrix product.
 BLOCK = 1024
+#: Concepts that may be broadcast.
+MOST_CONCEPTS = 1000
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -142,3 +144,27 @@ def concept_ranks(items: DataFrame, concepts: DataFrame, baseline: DataFrame, k:
     """(item_id, concept, lift, place): the k concepts that an item exceeds most against their baselines."""
     lifts = items.join(F.broadcast(concepts)).join(F.broadcast(baseline), "concept").withColumn("lift", F.round(dot(F.col("embedding"), F.col("c")) - F.col("base"), 6))
     return lifts.withColumn("place", F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("lift"), "concept"))).filter(F.col("place") <= k)
+
+
+def concept_overlap(pairs: DataFrame, items: DataFrame, concepts: DataFrame, baseline: DataFrame, k: int = 3, most: int = MOST_CONCEPTS) -> DataFrame:
+    """pairs (a, b) with both and contrast: the concepts among the k first of both pieces, in the order of a, and, where there is none, each piece's first
+    concept if it is in the lower half of the other's ranking.
+
+    A ranking orders all concepts (concept, c) by what a piece (item_id, embedding) exceeds their baseline (concept, base) by, equal ones by number. Up to
+    `most` concepts are broadcast, more are refused. A piece without a vector shares and contrasts nothing.
+    """
+    told = concepts.join(baseline, "concept")
+    if (n := told.count()) > most:
+        raise ValueError(f"{n} concepts are over the {most} that may be broadcast")
+    listed = F.broadcast(told.agg(F.array_sort(F.collect_list(F.struct("concept", "c", "base"))).alias("_all")))
+    lift = lambda s: F.struct((-F.round(dot(F.col("embedding"), s["c"]) - s["base"], 6)).alias("less"), s["concept"].alias("concept"))
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("item_id")).distinct()
+    ranked = items.filter("embedding is not null").join(wanted, "item_id", "left_semi").join(listed).select("item_id", F.transform(F.array_sort(F.transform("_all", lift)), lambda r: r["concept"]).alias("_r"))
+    of = lambda side: ranked.select(F.col("item_id").alias(side), F.col("_r").alias(f"_{side}"))
+    joined = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    shared = F.array_intersect(F.slice("_a", 1, k), F.slice("_b", 1, k))
+    both = F.coalesce(shared, F.array().cast(f"array<{concepts.schema['concept'].dataType.simpleString()}>"))
+    low = lambda own, other: F.array_position(F.col(other), F.get(own, F.lit(0))) > F.floor(F.size(other) / 2)
+    apart = (F.size("both") == 0) & low("_a", "_b") & low("_b", "_a")
+    contrast = F.when(apart, F.struct(F.get("_a", F.lit(0)).alias("a"), F.get("_b", F.lit(0)).alias("b")))
+    return joined.withColumn("both", both).withColumn("contrast", contrast).drop("_a", "_b")

@@ -58,13 +58,15 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def item_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order lines as catalogue rows: a line is a row, a part of one supplier a picture, an order an outfit."""
+    """Order lines as catalogue rows: a line is a row, a part of one supplier a picture, an order an outfit. Every 97th supplier is a local source, and
+    what was not returned comes from photos with several items."""
     key = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("long"), F.round(F.col("l_extendedprice") * 100).cast("long"), F.date_format("l_shipdate", "yyyyMMdd"))
     return table(spark, sf_dir, "lineitem").select(
         key.alias("row_id"), F.col("l_orderkey").alias("outfit_id"), F.concat_ws("-", "l_partkey", "l_suppkey").alias("picture"),
         F.col("l_returnflag").alias("source"), F.col("l_linestatus").alias("status"), "l_linenumber",
+        (F.col("l_suppkey") % 97 == 0).alias("local"), (F.col("l_returnflag") != "N").alias("is_file"),
     )
 
 
 LINES_SQL = """lines AS (SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity::BIGINT, round(l_extendedprice * 100)::BIGINT, strftime(l_shipdate, '%Y%m%d')) AS row_id,
-  l_orderkey AS outfit_id, concat_ws('-', l_partkey, l_suppkey) AS picture, l_returnflag AS source, l_linestatus AS status, l_linenumber FROM lineitem)"""
+  l_orderkey AS outfit_id, concat_ws('-', l_partkey, l_suppkey) AS picture, l_returnflag AS source, l_linestatus AS status, l_linenumber, l_suppkey % 97 = 0 AS local, l_returnflag <> 'N' AS is_file FROM lineitem)"""

@@ -6,11 +6,11 @@ from weftline.operators import advice
 from weftline.operators import insights as op
 from weftline.operators import outfits as sets
 from weftline.plans.bind import ITEMS_SQL, WEARS_SQL, items, wears
-from weftline.plans.outfits import _ORDER_SQL, _OWN_SQL, COMPLETE_SQL, grown_sql, parts_sql, score_sql, wardrobe
+from weftline.plans.outfits import _ORDER_SQL, _OWN_SQL, COMPLETE_SQL, complete_sql, grown_sql, parts_sql, score_sql, wardrobe
 from weftline.plans.registry import query
 from weftline.session import table
 
-_USE_SQL = COMPLETE_SQL + f""", used AS (SELECT owner, unnest(ids) AS item_id FROM done WHERE score >= {sets.GOOD_OUTFIT}), n AS (SELECT owner, item_id, count(*) AS n FROM used GROUP BY ALL),
+_USE_SQL = complete_sql(("dress", "traditional", "swimwear")) + f""", used AS (SELECT owner, unnest(ids) AS item_id FROM done WHERE score >= {sets.GOOD_OUTFIT}), n AS (SELECT owner, item_id, count(*) AS n FROM used GROUP BY ALL),
 u AS (SELECT w.owner, w.item_id, s.slot, coalesce(n, 0) AS outfits, CASE WHEN s.slot IN ('upper', 'lower', 'full') THEN CASE WHEN n > 0 THEN 'versatile' ELSE 'unmatched' END END AS standing
   FROM wardrobe w JOIN slots s USING (category) LEFT JOIN n USING (owner, item_id))"""
 

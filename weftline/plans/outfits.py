@@ -128,6 +128,7 @@ def grown_sql(name: str, source: str, category: str | None, tries: bool = False,
     """A CTE (owner, k, ids, score) of the sets of source with the best owned item more: of a category, where shoes always go in and
     others if the score rises, or, without one, of any that doesn't clash; tries gives all trials, open_only leaves complete sets."""
     fit = f"w.category = '{category}'" if category else "NOT list_contains(s.ids, w.item_id)"
+    fit += " JOIN items z ON z.item_id = s.ids[1] AND z.category <> 'swimwear'" if category == "shoes" else ""
     rises = "b.score IS NOT NULL" if category in ("shoes", None) else "b.score > s.score"
     left = """, held AS (SELECT s.k, bool_or(category IN ('dress', 'traditional', 'swimwear')) OR bool_or(category = 'top') AND bool_or(category = 'bottom') AS core, bool_or(category IN ('shoes', 'swimwear')) AS feet FROM (SELECT k, unnest(ids) AS item_id FROM %s) s JOIN items USING (item_id) GROUP BY 1),
   source AS (SELECT s.* FROM %s s JOIN held USING (k) WHERE NOT (core AND feet))""" % (source, source) if open_only else f", source AS (SELECT * FROM {source})"
@@ -141,13 +142,22 @@ def grown_sql(name: str, source: str, category: str | None, tries: bool = False,
   SELECT s.owner, s.k, CASE WHEN {rises} THEN b.ids ELSE s.ids END AS ids, CASE WHEN {rises} THEN b.score ELSE s.score END AS score FROM {source} s LEFT JOIN best b ON b.core = s.k)"""
 
 
-_CORES_SQL = "WITH " + ITEMS_SQL + ", " + _OWN_SQL + f""", s0 AS (WITH slot AS (SELECT w.*, CASE WHEN category = 'top' THEN 'upper' WHEN category = 'bottom' THEN 'lower' WHEN category IN ('dress', 'traditional') THEN 'full' END AS part FROM wardrobe w),
+def _cores_sql(full: tuple[str, ...]) -> str:
+    fulls = ", ".join(f"'{c}'" for c in full)
+    return "WITH " + ITEMS_SQL + ", " + _OWN_SQL + f""", s0 AS (WITH slot AS (SELECT w.*, CASE WHEN category = 'top' THEN 'upper' WHEN category = 'bottom' THEN 'lower' WHEN category IN ({fulls}) THEN 'full' END AS part FROM wardrobe w),
   cores AS (SELECT u.owner, u.item_id AS a, l.item_id AS b FROM slot u JOIN slot l ON u.owner = l.owner AND u.part = 'upper' AND l.part = 'lower' UNION ALL SELECT owner, item_id, NULL FROM slot WHERE part = 'full'),
   keyed AS (SELECT *, owner || ':' || a || ':' || coalesce(b, 0) AS k FROM cores), members AS (SELECT k, i.* FROM keyed JOIN items i ON i.item_id = a UNION ALL SELECT k, i.* FROM keyed JOIN items i ON i.item_id = b), {parts_sql()},
   scored AS (SELECT owner, k, CASE WHEN b IS NULL THEN [a] ELSE [a, b] END AS ids, array_to_string(list_sort([a::VARCHAR, b::VARCHAR]), '|') AS core, {score_sql()} AS score FROM keyed JOIN parts USING (k))
   SELECT owner, k, ids, score, row_number() OVER (PARTITION BY owner ORDER BY score DESC, core) AS place FROM scored QUALIFY place <= {op.TOP_CORES})"""
-#: CTEs that end in done (owner, k, ids, score): each customer's best cores after the greedy additions; slots and the like come with it.
-COMPLETE_SQL = _CORES_SQL + f""", {grown_sql("s1", "s0", "shoes")}, {grown_sql("s2", "s1", "outerwear")}, {grown_sql("s3", "s2", "bag")}, {grown_sql("done", "s3", "accessory")}, {RULES_SQL}"""
+
+
+def complete_sql(full: tuple[str, ...] = ("dress", "traditional")) -> str:
+    """CTEs that end in done (owner, k, ids, score): each customer's best cores, full pieces of those categories among them, after the greedy
+    additions; slots and the like come with it."""
+    return _cores_sql(full) + f""", {grown_sql("s1", "s0", "shoes")}, {grown_sql("s2", "s1", "outerwear")}, {grown_sql("s3", "s2", "bag")}, {grown_sql("done", "s3", "accessory")}, {RULES_SQL}"""
+
+
+COMPLETE_SQL = complete_sql()
 
 
 @query(COMPLETE_SQL + " SELECT owner, place, array_to_string(list_sort(list_transform(done.ids, lambda x: x::VARCHAR)), '|') AS outfit_key, done.score FROM done JOIN s0 USING (owner, k)")

@@ -4,7 +4,7 @@ from importlib import import_module
 
 QUERIES: dict = {}
 ORACLE: dict = {}
-MODULES = ("splits", "mapping", "profiles", "vectors", "outfits", "prices", "listings", "activity", "texts", "advice", "insights")
+MODULES = ("splits", "mapping", "profiles", "vectors", "outfits", "prices", "listings", "activity", "texts", "advice", "insights", "learned", "calibration")
 
 
 def query(sql: str | None = None):
