@@ -51,7 +51,7 @@ def buy_outfits(wardrobe: DataFrame, candidates: DataFrame, owner: str) -> DataF
     alone = mine.filter("_slot = 'full'").select(owner, "_must", F.array("_must").alias("items"))
     place = F.row_number().over(Window.partitionBy(owner).orderBy(F.desc("score"), key_of(F.col("items"))))
     main = up.unionByName(down).unionByName(alone).withColumn("score", sets.set_score(F.col("items"))).withColumn("place", place).filter(F.col("place") <= sets.TOP_CORES)
-    extra = sets.top_cores(wardrobe, owner, swimwear=True).join(mine.filter("_slot not in ('upper', 'lower', 'full')").select(owner, "_must"), owner)
+    extra = sets.top_cores(wardrobe, owner, swimwear=None).join(mine.filter("_slot not in ('upper', 'lower', 'full')").select(owner, "_must"), owner)
     done = sets.complete(main.unionByName(extra.select(*main.columns)), wardrobe, owner, must="_must")
     same = wardrobe.groupBy(owner, F.col("category").alias("_c")).agg(F.array_sort(F.collect_list(sets.as_items())).alias("_rivals"))
     done = done.join(same, [F.col(f"_must.category") == F.col("_c"), done[owner] == same[owner]], "left").drop(same[owner])
@@ -105,14 +105,18 @@ def assess(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"codes": F.concat(listed(lowering), listed(telling)), "confidence": F.when(low == 0, "high").when(low == 1, "medium").otherwise("low")})
 
 
-def pick_three(outfits: DataFrame, owner: str, seed: str, pool: int = 3, n: int = 3) -> DataFrame:
+def pick_three(outfits: DataFrame, owner: str, seed: str, pool: int = 3, n: int = 3, shown: DataFrame | None = None, skip: str | None = None) -> DataFrame:
     """(owner, place, outfit_key, label) from (owner, outfit_key, items, score, label): one of each label, drawn by a seeded hash
-    among its pool best, pieces not used yet first; a missing label gives way to the next best outfit.
+    among its pool best, pieces not used yet first; a missing label gives way to the next best outfit. shown (owner, outfit_key) are not picked
+    again; skip names a column with the labels that an owner has seen, which are no slots. An owner whose outfits have no label is dealt n
+    outfits drawn the same way from all of them.
 
     The draw takes the least hash of seed, label and key, as a random generator's order can't be had in a plan.
     """
     row = F.struct((-F.col("score")).alias("low"), F.col("outfit_key").alias("key"), "label", ids_of(F.col("items")).alias("ids"), F.md5(F.concat_ws(":", F.lit(seed), "label", "outfit_key").cast("binary")).alias("draw"))
-    listed = outfits.groupBy(owner).agg(F.array_sort(F.collect_list(row)).alias("_all"))
+    fresh_ones = outfits if shown is None else outfits.join(shown.select(owner, "outfit_key"), [owner, "outfit_key"], "left_anti")
+    seen = F.first(skip, ignorenulls=True) if skip else F.lit(None).cast("array<string>")
+    listed = fresh_ones.groupBy(owner).agg(F.array_sort(F.collect_list(row)).alias("_all"), F.coalesce(seen, F.array().cast("array<string>")).alias("_skip"))
     start = F.struct(F.array().cast("array<struct<key:string,label:string>>").alias("chosen"), F.array().cast("array<bigint>").alias("used"))
 
     def fresh(of: Column, state: Column) -> Column:
@@ -126,30 +130,50 @@ def pick_three(outfits: DataFrame, owner: str, seed: str, pool: int = 3, n: int
         return F.when(o.isNull(), state).otherwise(F.struct(F.concat(state["chosen"], F.array(F.struct(o["key"].alias("key"), o["label"].alias("label")))).alias("chosen"), F.concat(state["used"], o["ids"]).alias("used")))
 
     def by_label(state: Column, label: Column) -> Column:
-        best = F.slice(fresh(F.filter(unchosen(state), lambda o: o["label"] == label), state), 1, pool)
+        best = F.slice(fresh(F.filter(unchosen(state), lambda o: o["label"].eqNullSafe(label)), state), 1, pool)
         drawn = F.array_sort(F.transform(best, lambda o: F.struct(o["draw"].alias("draw"), o.alias("o"))))
         return taken(state, F.get(drawn, F.lit(0))["o"])
 
     def fill(state: Column, _: Column) -> Column:
         return F.when(F.size(state["chosen"]) >= n, state).otherwise(taken(state, F.get(fresh(unchosen(state), state), F.lit(0))))
 
-    labels = F.array(*[F.lit(x) for x in ("safe", "bolder", "experimental")][:n])
-    state = F.aggregate(F.sequence(F.lit(1), F.lit(n)), F.aggregate(labels, start, by_label), fill)
+    labels = F.slice(F.array_except(F.array(*[F.lit(x) for x in ("safe", "bolder", "experimental")]), F.col("_skip")), 1, n)
+    slots = F.when(F.exists("_all", lambda o: o["label"].isNotNull()), labels).otherwise(F.array_repeat(F.lit(None).cast("string"), n))
+    state = F.aggregate(F.sequence(F.lit(1), F.lit(n)), F.aggregate(slots, start, by_label), fill)
     return listed.select(owner, F.posexplode(state["chosen"]).alias("place", "c")).select(owner, (F.col("place") + 1).alias("place"), F.col("c.key").alias("outfit_key"), F.col("c.label").alias("label"))
 
 
 def resolved(items: Column) -> Column:
-    """items taken in order, where a later one takes the place of an earlier one that it clashes with (its sub-category, or the
-    oldest of its category once that is full)."""
+    """The items that resolved_with_notes() keeps."""
+    return resolved_with_notes(items)["kept"]
 
-    def step(kept: Column, new: Column) -> Column:
-        apart = F.filter(kept, lambda i: ~F.coalesce(i["sub_category"] == new["sub_category"], F.lit(False)))
-        same = F.filter(apart, lambda i: i["category"] == new["category"])
-        full = F.size(same) >= F.coalesce(looked_up(new["category"], sets.MOST_ITEMS), F.lit(1))
-        oldest = F.get(same, F.lit(0))["id"]
-        return F.concat(F.when(full, F.filter(apart, lambda i: i["id"] != oldest)).otherwise(apart), F.array(new))
 
-    return F.aggregate(items, F.filter(items, lambda i: F.lit(False)), step)
+def resolved_with_notes(items: Column) -> Column:
+    """(kept, notes): items taken in order, where a later one takes the place of earlier ones that it clashes with (of its sub-category, or the
+    oldest of its category beyond its limit); a note (dropped, kept) for each that went."""
+    none = F.array().cast("array<struct<dropped:bigint,kept:bigint>>")
+
+    def step(state: Column, new: Column) -> Column:
+        kept = state["kept"]
+        twin = lambda i: F.coalesce(i["sub_category"] == new["sub_category"], F.lit(False))
+        apart = F.filter(kept, lambda i: ~twin(i))
+        same = F.filter(apart, lambda i: i["category"] == new["category"])
+        over = F.greatest(F.size(same) - F.coalesce(looked_up(new["category"], sets.MOST_ITEMS).cast("int"), F.lit(1)) + 1, F.lit(0))
+        gone = F.concat(ids_of(F.filter(kept, twin)), F.slice(ids_of(same), F.lit(1), over))
+        left = F.filter(kept, lambda i: ~F.array_contains(gone, i["id"]))
+        notes = F.transform(gone, lambda d: F.struct(d.cast("bigint").alias("dropped"), new["id"].cast("bigint").alias("kept")))
+        return F.struct(F.concat(left, F.array(new)).alias("kept"), F.concat(state["notes"], notes).alias("notes"))
+
+    return F.aggregate(items, F.struct(F.filter(items, lambda i: F.lit(False)).alias("kept"), none.alias("notes")), step)
+
+
+def pairing_gap(category: Column, outfits: Column, hidden: Column, missing: Column) -> Column:
+    """What a wardrobe lacks for a new piece to make any outfit: null where it makes one or the owner's own filters take it out; else the other half
+    of a top or bottom, or the first thing that its owner's outfits lack (missing), "main" for none."""
+    slot = looked_up(category, sets.SLOTS)
+    lacking = F.get(F.filter(F.coalesce(missing, F.array().cast("array<string>")), lambda m: m.isin("bottom", "top", "main")), F.lit(0))
+    gap = F.when(slot == "upper", "bottom").when(slot == "lower", "top").otherwise(F.coalesce(lacking, F.lit("main")))
+    return F.when((F.coalesce(outfits, F.lit(0)) > 0) | F.coalesce(hidden, F.lit(False)), None).otherwise(gap)
 
 
 def is_unsure(field: str, best: Column, second: Column) -> Column:

@@ -26,8 +26,9 @@ def _below(u: Column, n: Column) -> Column:
 def _spread(rows: DataFrame, count: Column, among: Column, seed: str, tag: str) -> DataFrame:
     """rows once for each of `count` different places from 0 up to `among`: one drawn in each of as many equal stretches."""
     dealt = rows.withColumn("_count", count).filter("_count > 0").withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_count") - 1)))
-    at = (F.col("_j") + draw(seed, F.col("query"), F.lit(tag), F.col("_j"))) * among / F.col("_count")
-    return dealt.withColumn("_at", F.floor(at).cast("long")).drop("_count", "_j")
+    stretch = lambda j: F.floor(j * among / F.col("_count")).cast("long")
+    low, high = stretch(F.col("_j")), stretch(F.col("_j") + 1)
+    return dealt.withColumn("_at", low + _below(draw(seed, F.col("query"), F.lit(tag), F.col("_j")), high - low)).drop("_count", "_j")
 
 
 def wardrobes(pool: DataFrame, queries: DataFrame, size: int, seed: str, least_pieces: int = LEAST_PIECES, absent_share: float = ABSENT_SHARE) -> DataFrame:

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.functions.exprs import looked_up
+from weftline.functions.exprs import dot, looked_up, unit, vector_sum
 from weftline.operators import outfits as sets
 from weftline.operators.advice import ids_of, key_of
 
 #: Settings of the explanations and labels.
-STRENGTH_STYLE, STRENGTH_COLOUR_PAIR, NO_CLASH = 0.7, 0.8, 0.5
+STRENGTH_STYLE, STRENGTH_COLOUR_PAIR, NO_CLASH, UNLIKE = 0.7, 0.8, 0.5, 0.3
 SAFE_CUT, BOLDER_CUT, LEAST_WARDROBE = 0.892, 0.777, 8
 FIRST_ADDITIONS, MOST_ADDITIONS, SWAP_POOL = 8, 5, 30
 LABELS = ("safe", "bolder", "experimental")
@@ -95,6 +95,49 @@ def strengths(items: Column, style: Column | None = None) -> Column:
     return F.array_compact(F.array(*lines))
 
 
+def _worst(codes: Column, names: tuple[str, ...], table: Column, line: str) -> Column:
+    """`line` with the names of the pair of codes that scores least, the first of equals; null unless that is under NO_CLASH."""
+    pairs = sets.over_pairs(codes, lambda a, b: F.struct(F.get(table, a * len(names) + b).alias("s"), a.alias("a"), b.alias("b")))
+    placed = F.array_min(F.transform(pairs, lambda p, i: F.struct(p["s"].alias("s"), i.alias("i"), p["a"].alias("a"), p["b"].alias("b"))))
+    told = lambda w: F.when(w["s"] < NO_CLASH, F.concat_ws(":", F.lit(line), F.get(_names(names), w["a"]), F.get(_names(names), w["b"])))
+    return sets.bound(placed, told)
+
+
+def problems(items: Column, coherence: Column | None = None, user_fit: Column | None = None) -> Column:
+    """Names of what is wrong in a set, each with what it is about after colons, in order of style, colour, pattern and structure.
+
+    A style unlike the owner's or mixed (under UNLIKE), the worst pair of colours, patterns or types if it clashes, too many bold colours, no
+    shoes, a missing half or main piece, a full piece with a bottom, and categories over their limit, the most first, by name.
+    """
+    bold_codes = sets._constants(str(sets.GROUPS[c] not in ("neutral", "metal")).lower() for c in sets._COLOURS)
+
+    def too_bold(ks: Column) -> Column:
+        bold = F.array_sort(F.transform(F.array_distinct(F.filter(ks, lambda k: F.get(bold_codes, k))), lambda k: F.get(_names(sets._COLOURS), k)))
+        return F.when((F.size(ks) >= 2) & (F.size(bold) > sets.MOST_BOLD), F.concat(F.lit("colour_too_bold:"), F.array_join(bold, ",")))
+
+    def structure(slots: Column) -> Column:
+        has = lambda slot: F.array_contains(slots, slot)
+        core = has("full") | (has("upper") & has("lower"))
+        swim = has("full") & F.forall(items, lambda i: (i["slot"] != "full") | (i["category"] == "swimwear"))
+        half = F.when(has("upper") | has("lower"), "structure_incomplete:top_or_bottom").otherwise("structure_incomplete:main_piece")
+        first = F.when(core & (has("feet") | swim), None).when(core, "structure_no_shoes").otherwise(half)
+        return F.array(first, F.when(has("full") & has("lower"), "structure_full_and_bottom"))
+
+    def over(cats: Column) -> Column:
+        counted = F.transform(F.array_distinct(cats), lambda c: F.struct((-F.size(F.filter(cats, lambda x: x == c))).alias("less"), c.alias("c")))
+        wrong = F.filter(F.array_sort(counted), lambda x: -x["less"] > F.coalesce(looked_up(x["c"], sets.MOST_ITEMS).cast("int"), F.lit(1)))
+        return F.transform(wrong, lambda x: F.concat_ws(":", F.lit("structure_over_limit"), x["c"], (-x["less"]).cast("string")))
+
+    either = lambda table: lambda a, b: sets._either(table, a, b)
+    low = lambda c, line: F.lit(None).cast("string") if c is None else F.when(c < UNLIKE, line)
+    colours = sets.bound(sets.known(items, "k"), lambda ks: F.array(_worst(ks, sets._COLOURS, sets._matrix(sets._COLOURS, sets._colour_pair), "colour_clash"), too_bold(ks)))
+    pattern = sets.bound(sets.known(items, "p"), lambda ps: F.array(_worst(ps, sets._PATTERNS, sets._matrix(sets._PATTERNS, either(sets.PATTERN_PAIRS)), "pattern_clash")))
+    types = sets.bound(sets.known(items, "u"), lambda us: F.array(_worst(us, sets._SUBS, sets._matrix(sets._SUBS, either(sets.SUB_PAIRS)), "structure_pair")))
+    style = F.array(low(user_fit, "style_unlike_you"), low(coherence, "style_mixed"))
+    whole = sets.bound(F.transform(items, lambda i: i["slot"]), structure)
+    return F.array_compact(F.concat(style, colours, pattern, whole, sets.bound(F.transform(items, lambda i: i["category"]), over), types))
+
+
 def part_reasons(parts: dict[str, Column], weights: dict[str, float] = sets.WEIGHTS) -> Column:
     """Of each part (part, counted, max_points, why_not): the most points that it can give, and why it gives none if it is out."""
     weight = sum((F.when(c.isNotNull(), weights[p]).otherwise(0.0) for p, c in parts.items()), F.lit(0.0))
@@ -108,6 +151,11 @@ def part_reasons(parts: dict[str, Column], weights: dict[str, float] = sets.WEIG
     return F.array(*[row(p, c) for p, c in parts.items()])
 
 
+def taste_similarity(vectors: Column, taste: Column, size: int) -> Column:
+    """The cosine of the mean of a set's vectors with a unit taste; null without either."""
+    return F.round(dot(unit(vector_sum(F.filter(vectors, lambda v: v.isNotNull()), size)), taste), 9)
+
+
 def label_of(similarity: Column) -> Column:
     """The label of a set by how near it is to the owner's taste; null without a taste or a look."""
     return F.when(similarity >= SAFE_CUT, LABELS[0]).when(similarity >= BOLDER_CUT, LABELS[1]).when(similarity.isNotNull(), LABELS[2])

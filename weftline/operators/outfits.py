@@ -10,12 +10,13 @@ from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
-from weftline.functions.exprs import looked_up, rescaled, set_key
+from weftline.functions.exprs import dot, looked_up, rescaled, set_key
 
 # The rule tables.
 WEIGHTS = {"style": 0.35, "colour": 0.30, "pattern": 0.15, "structure": 0.20}
-STYLE_LOW, STYLE_HIGH = 0.20, 0.80
+STYLE_LOW, STYLE_HIGH, PERSONAL_SHARE = 0.20, 0.80, 0.25
 MOST_BOLD, BOLD_PENALTY, LEAST_PATTERN_CONF = 3, 0.15, 0.6
 NO_SHOES, INCOMPLETE, OVER_LIMIT, SAME_COLOUR = 0.75, 0.3, 0.5, 0.9
 GOOD_OUTFIT, BUY_MIN, THINK_MIN, TOP_CORES = 60, 5, 1, 60
@@ -24,6 +25,10 @@ SLOTS = {
     "outerwear": "layer", "shoes": "feet", "bag": "extra", "accessory": "extra",
 }
 MOST_ITEMS = {"accessory": 4}
+SUB_SEASONS = {
+    "shorts": ("summer",), "capris": ("summer", "mid-season"), "trousers": ("winter", "mid-season"), "jeans": ("winter", "mid-season"), "track-pants": ("winter", "mid-season"),
+}
+CATEGORY_SEASONS = {"outerwear": ("winter", "mid-season"), "swimwear": ("summer",)}
 CLOTHES_SLOTS = ("upper", "lower", "full", "layer")
 GROUPS = {
     "black": "neutral", "white": "neutral", "cream": "neutral", "grey": "neutral", "beige": "neutral", "navy": "neutral",
@@ -174,11 +179,29 @@ def coherence(rows: DataFrame, key: str, vector: str, size: int) -> DataFrame:
 
     The sum over pairs is (|sum|^2 - sum of |v|^2) / 2, so one grouped pass with partial sums does, whatever the set's size.
     """
+    one = _vector_sums(rows, key, vector, size)
+    return one.select(key, _coherence().alias("style"))
+
+
+def _vector_sums(rows: DataFrame, key: str, vector: str, size: int) -> DataFrame:
     sums = [F.sum(F.col(vector)[i].cast("double")) for i in range(size)]
     squares = F.sum(F.aggregate(vector, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    one = rows.filter(F.col(vector).isNotNull()).groupBy(key).agg(F.array(*sums).alias("_s"), squares.alias("_q"), F.count(F.lit(1)).alias("_n"))
+    return rows.filter(F.col(vector).isNotNull()).groupBy(key).agg(F.array(*sums).alias("_s"), squares.alias("_q"), F.count(F.lit(1)).alias("_n"))
+
+
+def _coherence() -> Column:
     mean = (total(F.transform("_s", lambda x: x * x)) - F.col("_q")) / (F.col("_n") * (F.col("_n") - 1))
-    return one.select(key, F.when(F.col("_n") >= 2, rescaled(mean, STYLE_LOW, STYLE_HIGH)).alias("style"))
+    return F.when(F.col("_n") >= 2, rescaled(mean, STYLE_LOW, STYLE_HIGH))
+
+
+def personal_style(rows: DataFrame, key: str, vector: str, size: int, owners: DataFrame, tastes: DataFrame, owner: str) -> DataFrame:
+    """(key, style, coherence, user_fit): coherence() and, on the same scale, how near a set's vectors are on average to its owner's taste; style is
+    their mean, PERSONAL_SHARE of it taste, or coherence alone without a taste. Null under two vectors. owners: (key, owner); tastes: (owner, taste)."""
+    one = _vector_sums(rows, key, vector, size).join(owners.select(key, owner), key, "left").join(tastes.select(owner, "taste"), owner, "left")
+    told = one.select(key, "taste", _coherence().alias("coherence"), rescaled(dot(F.col("taste"), F.col("_s")) / F.col("_n"), STYLE_LOW, STYLE_HIGH).alias("_fit"))
+    told = told.withColumn("user_fit", F.when(F.col("coherence").isNotNull() & F.col("taste").isNotNull(), F.col("_fit")))
+    mixed = F.coalesce((1 - PERSONAL_SHARE) * F.col("coherence") + PERSONAL_SHARE * F.col("user_fit"), F.col("coherence"))
+    return told.select(key, mixed.alias("style"), "coherence", "user_fit")
 
 
 def as_sets(members: DataFrame, *key: str) -> DataFrame:
@@ -263,11 +286,15 @@ def _is_of(category: str):
     return lambda i: i["category"] == category
 
 
-def suggest(outfits: DataFrame, owner: str, n: int = 5, most_uses: int = 2) -> DataFrame:
+def suggest(outfits: DataFrame, owner: str, n: int = 5, most_uses: int = 2, disliked: DataFrame | None = None) -> DataFrame:
     """(owner, outfit_key, score, place): each owner's n best outfits in which no item stands more than most_uses times.
 
-    The choice is a fold over an owner's at most TOP_CORES outfits, best first.
+    Outfits that an owner dislikes (owner, outfit_key) are passed over and use up nothing. The choice is a fold over an owner's at most TOP_CORES
+    outfits, best first; for the beach the outfits come from top_cores(swimwear=True).
     """
+    if disliked is not None:
+        key = set_key(F.transform("items", lambda i: i["id"].cast("string")))
+        outfits = outfits.withColumn("outfit_key", key).join(disliked.select(owner, "outfit_key"), [owner, "outfit_key"], "left_anti")
     row = F.struct((-F.col("score")).alias("low"), set_key(F.transform("items", lambda i: i["id"].cast("string"))).alias("key"), F.transform("items", lambda i: i["id"]).alias("ids"))
     listed = outfits.groupBy(owner).agg(F.array_sort(F.collect_set(row)).alias("_all"))
     start = F.struct(F.array().cast("array<struct<key:string,score:double>>").alias("chosen"), F.array().cast("array<bigint>").alias("used"))
@@ -281,15 +308,31 @@ def suggest(outfits: DataFrame, owner: str, n: int = 5, most_uses: int = 2) -> D
     return chosen.select(owner, F.col("o.key").alias("outfit_key"), F.col("o.score").alias("score"), (F.col("place") + 1).alias("place"))
 
 
-def personal_filter(items: DataFrame, owner: str, season: str, least_coverage: int) -> DataFrame:
-    """items with kept and reason. An item's own season is a hard rule; a default one (outerwear not in summer, say) is soft:
-    a top, bottom or pair of shoes out of season stays where nothing else of its category is left. Unknown passes."""
-    default = F.when(F.col("category") == "outerwear", F.array(F.lit("winter"), F.lit("mid-season"))).when(F.col("category") == "swimwear", F.array(F.lit("summer")))
-    default = F.when(F.col("sub_category") == "shorts", F.array(F.lit("summer"))).when(F.col("sub_category").isin("jeans", "track-pants", "trousers"), F.array(F.lit("winter"), F.lit("mid-season"))).otherwise(default)
-    soft = F.col("season").isNull() & F.coalesce(~F.array_contains(default, season), F.lit(False))
-    reason = F.when(F.col("coverage") < least_coverage, "coverage").when(F.col("season") != season, "season").when(soft, "soft")
-    told = items.withColumn("_why", reason)
+def personal_filter(items: DataFrame, owner: str, season: str | None, least_coverage: int | None, occasion: str | None = None, usage: str = "usage") -> DataFrame:
+    """items with kept and reason. An item's own season or seasons and its own occasions are hard rules; what its sub-category or else its
+    category is worn in by default (SUB_SEASONS, CATEGORY_SEASONS) is soft: a top, bottom or pair of shoes out of season stays where nothing else of
+    its category is left. Unknown passes, and so does all where a rule isn't asked for (None). season is one name or an array, usage (if
+    there is an occasion) an array."""
+    names = lambda table: F.create_map(*[x for k, v in table.items() for x in (F.lit(k), F.array(*[F.lit(s) for s in v]))])
+    default = F.coalesce(names(SUB_SEASONS)[F.col("sub_category")], names(CATEGORY_SEASONS)[F.col("category")])
+    listed = isinstance(items.schema["season"].dataType, ArrayType)
+    own = F.col("season") if listed else F.when(F.col("season").isNotNull(), F.array("season"))
+    own = F.when(F.size(own) > 0, own)
+    lacks = lambda values, wanted: F.coalesce(~F.array_contains(values, wanted), F.lit(False)) if wanted is not None else F.lit(False)
+    low = F.coalesce(F.col("coverage") < least_coverage, F.lit(False)) if least_coverage is not None else F.lit(False)
+    reason = F.when(low, "coverage").when(lacks(own, season), "season")
+    if occasion is not None:
+        reason = reason.when(lacks(F.when(F.size(usage) > 0, F.col(usage)), occasion), "occasion")
+    told = items.withColumn("_why", reason.when(own.isNull() & lacks(default, season), "soft"))
     left = F.max(F.when(F.col("_why").isNull(), 1).otherwise(0)).over(Window.partitionBy(owner, "category"))
     main = looked_up(F.col("category"), SLOTS).isin("upper", "lower", "feet")
     spared = (F.col("_why") == "soft") & main & (left == 0)
     return told.withColumn("reason", F.when(spared, None).when(F.col("_why") == "soft", "season default").otherwise(F.col("_why"))).withColumn("kept", F.col("reason").isNull()).drop("_why")
+
+
+def weakest(swaps_of: DataFrame, key: str, least_gain: float | None = 0.0) -> DataFrame:
+    """(key, item_id, best_swap, gain): of each set the piece whose best swap gains most, if over least_gain; None always names one. Ties go to
+    the least id."""
+    first = F.min_by(F.struct("item_id", "best_swap", "gain"), F.struct(-F.col("gain"), F.col("item_id")))
+    over = swaps_of if least_gain is None else swaps_of.filter(F.col("gain") > least_gain)
+    return over.groupBy(key).agg(first.alias("_w")).select(key, "_w.*")

@@ -66,7 +66,8 @@ def pick_three(spark, d):
 @query()
 def resolve_clashes(spark, d):
     """The order of pieces decides, which is a fold; tests state its rules."""
-    return _orders(spark, d).select("outfit_id", op.key_of(op.resolved(F.col("items"))).alias("outfit_key"))
+    told = _orders(spark, d).withColumn("told", op.resolved_with_notes(F.col("items")))
+    return told.select("outfit_id", op.key_of(F.col("told.kept")).alias("outfit_key"), F.size("told.notes").alias("dropped"))
 
 
 @query(f"WITH {ITEMS_SQL} SELECT item_id, pattern_conf < 0.6 OR pattern_conf - (item_id % 6) / 10.0 < 0.15 AS unsure_pattern, pattern_conf < 0.7 OR pattern_conf - (item_id % 6) / 10.0 < 0.15 AS unsure_colour FROM items")
@@ -98,9 +99,9 @@ def spatial_unique_owner(spark, d):
 
 
 @query("WITH " + WEARS_SQL + """, c AS (SELECT *, row_number() OVER (PARTITION BY outfit_id ORDER BY md5('s1:' || outfit_id || ':' || item_id), item_id) AS t FROM wears),
-r AS (SELECT category, item_id, lead(item_id, 1) OVER w AS n1, lead(item_id, 2) OVER w AS n2, lead(item_id, 3) OVER w AS n3, lead(item_id, 4) OVER w AS n4, lead(item_id, 5) OVER w AS n5 FROM items WINDOW w AS (PARTITION BY category ORDER BY md5('s1:' || item_id), item_id)),
-h AS (SELECT outfit_id, list(item_id) AS held FROM wears GROUP BY 1), f AS (SELECT outfit_id, item_id AS true_id, list_filter([n1, n2, n3, n4, n5], lambda i: i IS NOT NULL AND NOT list_contains(held, i))[1] AS fake_id FROM c JOIN r USING (category, item_id) JOIN h USING (outfit_id) WHERE t = 1)
-SELECT * FROM f WHERE fake_id IS NOT NULL""")
+r AS (SELECT category, item_id, row_number() OVER (PARTITION BY category ORDER BY md5('s1:' || item_id), item_id) AS place, count(*) OVER (PARTITION BY category) AS size FROM items),
+o AS (SELECT c.outfit_id, c.item_id AS true_id, b.item_id AS other, (b.place - a.place + a.size) % a.size AS step FROM c JOIN r a USING (category, item_id) JOIN r b ON b.category = c.category ANTI JOIN wears w ON w.outfit_id = c.outfit_id AND w.item_id = b.item_id WHERE t = 1),
+l AS (SELECT outfit_id, true_id, list(other ORDER BY step) AS others FROM o GROUP BY ALL) SELECT outfit_id, true_id, others[1] AS fake_id FROM l WHERE len(others) >= 3""")
 def swap_tests(spark, d):
     return op.swap_tests(wears(spark, d), "outfit_id", items(spark, d), "s1").drop("wrong")
 

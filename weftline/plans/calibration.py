@@ -19,14 +19,18 @@ def _u(*parts: str) -> str:
     return f"(('0x' || substr(md5({text}), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
 
 
+def _stretch(j: str, among: str, count: str) -> str:
+    return f"floor(({j}) * ({among}) / {count})::BIGINT"
+
+
 _WARDROBES_SQL = f"""WITH {ITEMS_SQL}, pool AS (SELECT vec_id AS item_id, label AS kind, pattern AS colour, embedding, {_u("vec_id")} AS u FROM embeddings JOIN items ON item_id = vec_id WHERE pattern IS NOT NULL),
 placed AS (SELECT *, row_number() OVER (ORDER BY kind, colour, u, item_id) - 1 AS place FROM pool), labels AS (SELECT kind, colour, min(place) AS start, count(*) AS n FROM placed GROUP BY ALL),
 often AS (SELECT *, row_number() OVER (ORDER BY kind, colour) - 1 AS turn FROM labels WHERE n >= {calibration.LEAST_PIECES}),
 q AS (SELECT vec_id AS query, (SELECT count(*) FROM placed) AS total, floor({_u("vec_id", "'label'")} * (SELECT count(*) FROM often)) AS turn FROM embeddings WHERE vec_id % 5 = 0),
 asked AS (SELECT q.query, q.total, o.*, floor({_u("query", "'picture'")} * n)::BIGINT AS picture,
   CASE WHEN {_u("query", "'absent'")} < {calibration.ABSENT_SHARE}::DOUBLE THEN 0 ELSE least(floor({_u("query", "'right'")} * {calibration.MOST_RIGHT}) + 1, n - 1) END::BIGINT AS k FROM q JOIN often o USING (turn) WHERE total - n >= {SIZE}),
-rs AS (SELECT *, unnest(range(k)) AS j FROM asked), r AS (SELECT *, floor((j + {_u("query", "'r'", "j")}) * (n - 1) / k)::BIGINT AS pos FROM rs),
-os AS (SELECT *, {SIZE} - k AS m, unnest(range({SIZE} - k)) AS j FROM asked), o AS (SELECT *, floor((j + {_u("query", "'o'", "j")}) * (total - n) / m)::BIGINT AS pos FROM os),
+rs AS (SELECT *, unnest(range(k)) AS j FROM asked), r AS (SELECT *, {_stretch("j", "n - 1", "k")} + floor({_u("query", "'r'", "j")} * ({_stretch("j + 1", "n - 1", "k")} - {_stretch("j", "n - 1", "k")}))::BIGINT AS pos FROM rs),
+os AS (SELECT *, {SIZE} - k AS m, unnest(range({SIZE} - k)) AS j FROM asked), o AS (SELECT *, {_stretch("j", "total - n", "m")} + floor({_u("query", "'o'", "j")} * ({_stretch("j + 1", "total - n", "m")} - {_stretch("j", "total - n", "m")}))::BIGINT AS pos FROM os),
 both_sides AS (SELECT query, kind, colour, start + pos + CASE WHEN pos >= picture THEN 1 ELSE 0 END AS place, true AS "right" FROM r UNION ALL SELECT query, kind, colour, pos + CASE WHEN pos >= start THEN n ELSE 0 END, false FROM o),
 pics AS (SELECT query, p.embedding AS q FROM asked JOIN placed p ON p.place = start + picture),
 pieces AS (SELECT query, p.item_id AS piece, "right", round(list_inner_product(q::DOUBLE[], p.embedding::DOUBLE[]), 6) AS similarity, b.colour || ' ' || b.kind AS asked, p.colour || ' ' || p.kind AS label

@@ -44,6 +44,22 @@ def outfit_strengths(spark, d):
     return sets.as_sets(wears(spark, d), "outfit_id").select("outfit_id", F.array_join(op.strengths(F.col("items")), ";").alias("strengths"))
 
 
+@query(_ORDER_SQL + f""", ks AS (SELECT k, item_id, colour, grp FROM m WHERE colour IS NOT NULL), prs AS (SELECT a.k, a.item_id AS i, b.item_id AS j, a.colour || ':' || b.colour AS pair, CASE WHEN a.colour = b.colour THEN CASE WHEN a.grp = 'neutral' THEN 1.0 ELSE {sets.SAME_COLOUR} END ELSE coalesce(cp.s, gp.s) END::DOUBLE AS s
+  FROM ks a JOIN ks b ON a.k = b.k AND a.item_id < b.item_id LEFT JOIN cp ON cp.a = least(a.colour, b.colour) AND cp.b = greatest(a.colour, b.colour) LEFT JOIN gp ON gp.a = least(a.grp, b.grp) AND gp.b = greatest(a.grp, b.grp)),
+cl AS (SELECT k, 'colour_clash:' || arg_min(pair, (s, i, j)) AS line FROM prs GROUP BY k HAVING min(s) < {op.NO_CLASH}),
+bo AS (SELECT k, 'colour_too_bold:' || string_agg(DISTINCT colour, ',' ORDER BY colour) FILTER (grp NOT IN ('neutral', 'metal')) AS line FROM ks GROUP BY k HAVING count(DISTINCT colour) FILTER (grp NOT IN ('neutral', 'metal')) > {sets.MOST_BOLD}),
+pw AS (SELECT p.k, p.pattern || ':' || q.pattern AS pair, s, p.item_id AS i, q.item_id AS j FROM pat p JOIN pat q ON p.k = q.k AND p.item_id < q.item_id JOIN pp ON pp.a = least(p.pattern, q.pattern) AND pp.b = greatest(p.pattern, q.pattern)),
+pc AS (SELECT k, 'pattern_clash:' || arg_min(pair, (s, i, j)) AS line FROM pw GROUP BY k HAVING min(s) < {op.NO_CLASH}),
+sw AS (SELECT a.k, a.sub_category || ':' || b.sub_category AS pair, sp.s, a.item_id AS i, b.item_id AS j FROM m a JOIN m b ON a.k = b.k AND a.item_id < b.item_id JOIN sp ON sp.a = least(a.sub_category, b.sub_category) AND sp.b = greatest(a.sub_category, b.sub_category)),
+sc AS (SELECT k, 'structure_pair:' || arg_min(pair, (s, i, j)) AS line FROM sw GROUP BY k HAVING min(s) < {op.NO_CLASH}),
+ov AS (SELECT k, string_agg('structure_over_limit:' || category || ':' || n, ';' ORDER BY n DESC, category) AS line FROM (SELECT k, category, count(*) AS n FROM m GROUP BY k, category HAVING count(*) > any_value(most)) GROUP BY k)
+SELECT st.k AS outfit_id, concat_ws(';', cl.line, bo.line, pc.line, CASE WHEN (fl OR up AND lo) AND (ft OR fl AND sw) THEN NULL WHEN fl OR up AND lo THEN 'structure_no_shoes' WHEN up OR lo THEN 'structure_incomplete:top_or_bottom' ELSE 'structure_incomplete:main_piece' END,
+  CASE WHEN fl AND lo THEN 'structure_full_and_bottom' END, ov.line, sc.line) AS problems FROM st LEFT JOIN cl USING (k) LEFT JOIN bo USING (k) LEFT JOIN pc USING (k) LEFT JOIN ov USING (k) LEFT JOIN sc USING (k)""")
+def outfit_problems(spark, d):
+    """What is wrong in each outfit, its style aside."""
+    return sets.as_sets(wears(spark, d), "outfit_id").select("outfit_id", F.array_join(op.problems(F.col("items")), ";").alias("problems"))
+
+
 @query(_ORDER_SQL + """, w AS (SELECT k, CASE WHEN colour IS NULL THEN 0 ELSE 30 END + CASE WHEN pattern IS NULL THEN 0 ELSE 15 END + 20 AS w, colour, pattern FROM parts)
 SELECT k AS outfit_id, 'style' AS part, false AS counted, 0.0::DOUBLE AS max_points, 'no_vectors' AS why_not FROM w
 UNION ALL SELECT k, 'colour', colour IS NOT NULL, CASE WHEN colour IS NULL THEN 0 ELSE round_even(round(3000.0::DOUBLE / w, 9), 1) END, CASE WHEN colour IS NULL THEN 'no_colours' END FROM w

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions.exprs import largest_remainder, set_key
 from weftline.operators import outfits as op
+from weftline.operators.vectors import taste
 from weftline.plans.bind import ITEMS_SQL, WEARS_SQL, items, vectors, wears
 from weftline.plans.registry import query
 from weftline.session import table
@@ -87,6 +88,22 @@ def outfit_score(spark, d):
     return sets.select("outfit_id", op.set_score(F.col("items"), F.col("style")).alias("score"))
 
 
+_TASTE_SQL = """own AS (SELECT owner, e.embedding FROM wardrobe w, n JOIN embeddings e ON e.vec_id = w.item_id % n.top), dims AS (SELECT owner, i, avg(embedding[i]::DOUBLE) AS x, count(*) AS n FROM own, range(1, 65) t(i) GROUP BY ALL),
+tastes AS (SELECT owner, list(x / len ORDER BY i) AS taste FROM (SELECT *, sqrt(sum(x * x) OVER (PARTITION BY owner)) AS len FROM dims WHERE n >= 3) GROUP BY owner)"""
+
+
+@query("WITH " + WEARS_SQL + ", " + _OWN_SQL + ", members AS (SELECT outfit_id AS k, * FROM wears), " + _STYLE_SQL + ", " + _TASTE_SQL + """, f AS (SELECT k, least(greatest((avg(list_inner_product(taste, v.embedding::DOUBLE[])) - 0.2) / 0.6, 0), 1) AS fit FROM v JOIN orders ON o_orderkey = k JOIN tastes ON owner = o_custkey GROUP BY k)
+SELECT k AS outfit_id, round(CASE WHEN fit IS NULL THEN style ELSE 0.75 * style + 0.25 * fit END, 6) AS style, round(fit, 6) AS user_fit FROM style LEFT JOIN f USING (k)""")
+def personal_style(spark, d):
+    """How well the pieces of each outfit go together and with what its owner has."""
+    vecs = vectors(spark, d)
+    top = vecs.agg((F.max("item_id") + 1).alias("top"))
+    own = wardrobe(spark, d).join(F.broadcast(top)).withColumn("vec", F.pmod("item_id", "top")).join(vecs.select(F.col("item_id").alias("vec"), "embedding"), "vec")
+    owners = table(spark, d, "orders").select(F.col("o_orderkey").alias("outfit_id"), F.col("o_custkey").alias("owner"))
+    told = op.personal_style(styled(spark, d), "outfit_id", "embedding", 64, owners, taste(own, "owner", "embedding", 64), "owner").filter("style is not null")
+    return told.select("outfit_id", F.round("style", 6).alias("style"), F.round("user_fit", 6).alias("user_fit"))
+
+
 @query("WITH " + WEARS_SQL + f""", {RULES_SQL}, r AS (SELECT outfit_id, sub_category AS why FROM wears WHERE sub_category IS NOT NULL GROUP BY ALL HAVING count(*) > 1
 UNION ALL SELECT outfit_id, category FROM wears JOIN slots USING (category) GROUP BY outfit_id, category HAVING count(*) > any_value(most))
 SELECT outfit_id, count(*) AS n_reasons, string_agg(why, '|' ORDER BY why) AS reasons FROM r GROUP BY 1""")
@@ -106,7 +123,7 @@ def core_pairs_top60(spark, d):
     return op.top_cores(wardrobe(spark, d), "owner").select("owner", set_key(F.transform("items", lambda i: i["id"].cast("string"))).alias("core"), "score", "place")
 
 
-@query("WITH " + WEARS_SQL + ", " + _OWN_SQL + f""", sets AS (SELECT o_custkey AS owner, outfit_id, w.* EXCLUDE (outfit_id) FROM wears w JOIN orders ON o_orderkey = outfit_id),
+_GAIN_SQL = ("WITH " + WEARS_SQL + ", " + _OWN_SQL + f""", sets AS (SELECT o_custkey AS owner, outfit_id, w.* EXCLUDE (outfit_id) FROM wears w JOIN orders ON o_orderkey = outfit_id),
 base AS (SELECT outfit_id::VARCHAR AS k, * FROM sets),
 tries AS (SELECT s.outfit_id || ':' || s.item_id || ':' || w.item_id AS k, s.outfit_id, s.item_id AS old, w.item_id AS new FROM sets s JOIN wardrobe w ON w.owner = s.owner AND w.category = s.category
   WHERE NOT EXISTS (SELECT 1 FROM sets x WHERE x.outfit_id = s.outfit_id AND x.item_id = w.item_id)),
@@ -118,12 +135,21 @@ scored AS (SELECT k, {score_sql()} AS score FROM parts),
 gains AS (SELECT t.outfit_id, t.old, t.new, round(s.score - b.score, 1) AS gain FROM tries t JOIN scored s USING (k) JOIN scored b ON b.k = t.outfit_id::VARCHAR WHERE t.k NOT IN (SELECT k FROM bad)),
 best AS (SELECT outfit_id, old, arg_min(new, (-gain, new)) AS best_swap, max(gain) AS gain FROM gains WHERE gain > 0 GROUP BY ALL)
 SELECT s.outfit_id, s.item_id, best_swap, coalesce(gain, 0)::DOUBLE AS gain FROM sets s LEFT JOIN best ON best.outfit_id = s.outfit_id AND best.old = s.item_id""")
+
+
+@query(_GAIN_SQL)
 def swap_gain(spark, d):
     owners = table(spark, d, "orders").select(F.col("o_orderkey").alias("outfit_id"), F.col("o_custkey").alias("owner"))
     sets = op.as_sets(wears(spark, d).join(owners, "outfit_id"), "owner", "outfit_id")
     return op.swaps(sets, wardrobe(spark, d), "outfit_id", "owner")
 
 
+@query(f"WITH g AS ({_GAIN_SQL}), r AS (SELECT *, row_number() OVER (PARTITION BY outfit_id ORDER BY gain DESC, item_id) AS place FROM g WHERE gain > 2) SELECT outfit_id, item_id, best_swap, gain FROM r WHERE place = 1")
+def weakest_piece(spark, d):
+    """The piece of each outfit whose best swap gains most, where that is over two points."""
+    return op.weakest(swap_gain(spark, d), "outfit_id", 2.0)
+
+
 def grown_sql(name: str, source: str, category: str | None, tries: bool = False, open_only: bool = False) -> str:
     """A CTE (owner, k, ids, score) of the sets of source with the best owned item more: of a category, where shoes always go in and
     others if the score rises, or, without one, of any that doesn't clash; tries gives all trials, open_only leaves complete sets."""
@@ -190,13 +216,21 @@ def contributions(spark, d):
     return out.withColumn("p", whole).select("outfit_id", *[F.col("p")[i].alias(n) for i, n in enumerate(("colour", "pattern", "structure"))])
 
 
-@query("WITH " + ITEMS_SQL + ", " + _OWN_SQL + """, w AS (SELECT *, CASE WHEN coverage < 2 THEN 'coverage' WHEN season <> 'summer' THEN 'season' WHEN season IS NULL AND
-  (CASE WHEN sub_category = 'shorts' THEN false WHEN sub_category IN ('jeans', 'track-pants', 'trousers') THEN true WHEN category = 'outerwear' THEN true ELSE false END) THEN 'soft' END AS why FROM wardrobe),
+_BY_SUB = " ".join(f"WHEN '{k}' THEN {'summer' in v}" for k, v in op.SUB_SEASONS.items())
+_BY_CATEGORY = " ".join(f"WHEN '{k}' THEN {'summer' in v}" for k, v in op.CATEGORY_SEASONS.items())
+
+
+@query("WITH " + ITEMS_SQL + ", " + _OWN_SQL + f""", u AS (SELECT *, CASE item_id % 4 WHEN 0 THEN ['work'] WHEN 1 THEN ['party', 'work'] WHEN 2 THEN ['party'] END AS usage FROM wardrobe),
+w AS (SELECT *, CASE WHEN coverage < 2 THEN 'coverage' WHEN season <> 'summer' THEN 'season' WHEN NOT list_contains(usage, 'work') THEN 'occasion'
+  WHEN season IS NULL AND NOT coalesce(CASE sub_category {_BY_SUB} END, CASE category {_BY_CATEGORY} END, true) THEN 'soft' END AS why FROM u),
 l AS (SELECT *, count(*) FILTER (why IS NULL) OVER (PARTITION BY owner, category) AS fit FROM w),
 r AS (SELECT owner, item_id, CASE WHEN why = 'soft' AND category IN ('top', 'bottom', 'shoes') AND fit = 0 THEN NULL WHEN why = 'soft' THEN 'season default' ELSE why END AS reason FROM l)
 SELECT owner, item_id, reason, reason IS NULL AS kept FROM r""")
 def personal_filter(spark, d):
-    return op.personal_filter(wardrobe(spark, d), "owner", "summer", 2).select("owner", "item_id", "reason", "kept")
+    """A wardrobe for work in summer with a least coverage."""
+    number = F.col("item_id") % 4
+    usage = F.when(number == 0, F.array(F.lit("work"))).when(number == 1, F.array(F.lit("party"), F.lit("work"))).when(number == 2, F.array(F.lit("party")))
+    return op.personal_filter(wardrobe(spark, d).withColumn("usage", usage), "owner", "summer", 2, "work").select("owner", "item_id", "reason", "kept")
 
 
 @query(_ORDER_SQL + f""", s AS (SELECT o_custkey AS owner, k AS outfit_id, {score_sql()} AS score FROM parts JOIN orders ON o_orderkey = k)
