@@ -17,8 +17,12 @@ BUCKETS = 1 << 15
 MOST_EVIDENCE = 200.0
 #: Chance that a declared language is right, and pseudo-counts by which a suffix leans on all and a host on its suffix.
 TRUST, LEAN_SUFFIX, LEAN_HOST = 0.9, 50.0, 20.0
-#: A declared tag is a language of the model from so many trigrams of all its documents on, however few of all they are.
-LEAST_TRIGRAMS = 10_000
+#: Every declared tag is a language of the model; its trigrams lean on those of all tags by this many pseudo-counts, so that few weigh little.
+LEAN_POOLED = 2_000.0
+#: The share of every prior that is even over the languages, so that none is rare enough to be ruled out by its prior.
+EVEN_PRIOR = 0.05
+#: Languages of a model, which goes to all tasks at 128 KB each; two or three letters make 18,278 tags at most, and more than these are refused.
+MOST_LANGUAGES = 2_000
 #: What a text in no language of the model looks like: trigrams half from all languages pooled, half from anywhere; and its prior.
 EVEN_HALF, OTHER = 0.5, 0.01
 #: A task gives up its counts so far when it holds so many languages.
@@ -42,8 +46,9 @@ def trigrams(text: bytes) -> np.ndarray:
 def learn_likelihoods(docs: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Languages, log P(trigram | language) and log P(language), from all documents (text, declared) by their declared tag.
 
-    A last row beside those of the languages is log P(trigram | other). Each task sums its own counts; they are added up by
-    tag and bucket before those of tags with LEAST_TRIGRAMS come to the driver, BUCKETS numbers a language at most.
+    A last row beside those of the languages is log P(trigram | other). A tag of few trigrams is told by them and, for the rest, by what all
+    tags have in common. Each task sums its own counts; they are added up by tag and bucket before they come to the driver, BUCKETS numbers
+    a language at most.
     """
 
     def given(sums: dict[str, np.ndarray]) -> pa.RecordBatch:
@@ -67,16 +72,19 @@ def learn_likelihoods(docs: DataFrame) -> tuple[list[str], np.ndarray, np.ndarra
 
     tagged = docs.select(tag(F.col("declared")).alias("tag"), "text").filter("tag is not null")
     counted = settle(tagged.mapInArrow(count, "tag string, bucket int, n long").groupBy("tag", "bucket").agg(F.sum("n").alias("n")), "trigrams")
-    languages = [r["tag"] for r in counted.groupBy("tag").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST_TRIGRAMS).orderBy("tag").collect()]
+    languages = [r["tag"] for r in counted.select("tag").distinct().orderBy("tag").collect()]  # tags of two or three letters
     if not languages:
         return [], np.zeros((0, BUCKETS), np.float32), np.zeros(0)
+    if len(languages) > MOST_LANGUAGES:
+        raise ValueError(f"{len(languages)} declared languages are over the {MOST_LANGUAGES} that a model may have")
     at = {name: i for i, name in enumerate(languages)}
-    got = counted.filter(F.col("tag").isin(languages)).toPandas()
-    sums = np.full((len(languages), BUCKETS), 0.5)
-    sums[got["tag"].map(at), got["bucket"]] += got["n"]
-    sizes = {r["tag"]: r["count"] for r in tagged.groupBy("tag").count().filter(F.col("tag").isin(languages)).collect()}
+    got = counted.toPandas()
+    sums = np.zeros((len(languages), BUCKETS))
+    sums[got["tag"].map(at), got["bucket"]] = got["n"]
+    pooled = (sums.sum(axis=0) + 0.5) / (sums.sum() + 0.5 * BUCKETS)
+    sizes = {r["tag"]: r["count"] for r in tagged.groupBy("tag").count().collect()}
     shares = np.array([sizes[x] for x in languages], dtype=float)
-    probs = sums / sums.sum(axis=1, keepdims=True)
+    probs = (sums + LEAN_POOLED * pooled) / (sums.sum(axis=1, keepdims=True) + LEAN_POOLED)
     other = EVEN_HALF / BUCKETS + (1 - EVEN_HALF) * probs.mean(axis=0, keepdims=True)
     return languages, np.log(np.concatenate([probs, other])).astype(np.float32), np.log(shares / shares.sum())
 
@@ -134,7 +142,8 @@ def identify(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """docs (text, declared, host, suffix and more) without text, with language, posterior and accepted.
 
     The model learns from all of docs by declared tag, then each document's text posterior is summed by host, suffix and
-    overall; a host's prior leans on its suffix's and that on the whole (null hosts and suffixes are groups of their own).
+    overall; a host's prior leans on its suffix's and that on the whole (null hosts and suffixes are groups of their own), and a part of it is
+    even over all languages.
     The result is text likelihood x P(declared | language) x host prior. A tie goes to the first language by name. Beside the
     languages stands other, a text in none of them: it has a fixed prior, and takes its share of every posterior.
     Accepted: it has letters and its posterior reaches least. Null, empty and letterless texts are rejected, with what the
@@ -173,7 +182,7 @@ def identify(docs: DataFrame, least: float = 0.5) -> DataFrame:
     wrong = (1 - TRUST) / max(n - 1, 1)
     unclear = told.isNull() | ~F.array_contains(names, told)
     said = F.transform(names, lambda x: F.log(F.when(F.col("_unclear"), 1.0 / n).when(F.col("_told") == x, TRUST).otherwise(wrong)))
-    known = F.zip_with(F.zip_with(F.slice("likelihood", 1, n), said, lambda a, b: a + b), F.coalesce("_prior", whole), lambda a, b: a + F.log(b * (1 - OTHER)))
+    known = F.zip_with(F.zip_with(F.slice("likelihood", 1, n), said, lambda a, b: a + b), F.coalesce("_prior", whole), lambda a, b: a + F.log((b * (1 - EVEN_PRIOR) + EVEN_PRIOR / n) * (1 - OTHER)))
     # a declared language that is not in the model is what a text in another language has; a known one is then wrong
     other = F.element_at("likelihood", n + 1) + F.log(F.when(F.col("_unclear"), 1.0 / n).otherwise((1 - TRUST) / n)) + float(np.log(OTHER))
     fused = F.concat(known, F.array(other))
