@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -227,6 +228,22 @@ def test_windows_against_plain_python(spark, block_chars):
         assert (r["n_words"], r["n_hit"], r["items"]) == plain_hits(r["text"] or "", [(i, t or "") for i, t in items])
 
 
+def test_windows_that_repeat_or_share_a_hash(monkeypatch):
+    began = time.monotonic()
+    known = decontaminate.WindowSet([("a", b"a " * 50_000), *[(f"c{i}", b"one two three " * 60) for i in range(1000)]], 10)
+    n, hit, items = known.search(b"b " + b"a " * 50_000 + b"c one two three one two three one two three one")
+    assert (n, int(hit.sum()), len(items)) == (50_012, 50_010, 1001) and time.monotonic() - began < 20
+    assert sum(len(w[0]) for w in known.windows.values()) == 4  # each different window once
+    rng = random.Random(8)
+    text = lambda k: " ".join(rng.choices("abc", k=k))
+    monkeypatch.setattr(decontaminate.WindowSet, "_rolled", lambda self, ids, size: ids[: len(ids) - size + 1] % np.uint64(2))
+    items = [(str(i), text(rng.randint(1, 14))) for i in range(12)]
+    known = decontaminate.WindowSet([(i, t.encode()) for i, t in items], 4)
+    for t in [text(rng.randint(0, 40)) for _ in range(60)]:
+        n, hit, found = known.search(t.encode())
+        assert (n, 0 if hit is None else int(hit.sum()), sorted(found)) == plain_hits(t, items, 4)
+
+
 def test_cutting_spans(spark):
     bench = spark.createDataFrame([(1, "one two three four")], "item_id long, text string")
     docs = spark.createDataFrame([(1, "Zero, One two-three FOUR; five.", 5), (2, "none", 5), (3, None, 5)], "doc_id long, text string, n_hit long")
@@ -395,9 +412,11 @@ def plain_languages(rows):
     for r in rows:
         if r[2]:
             sums.setdefault(r[2], Counter()).update(grams[r[0]])
-    names = sorted(t for t, c in sums.items() if c.total() >= language.LEAST_TRIGRAMS)
+    names = sorted(t for t, c in sums.items() if c)
     n, size = len(names), language.BUCKETS
-    prob = {t: lambda b, t=t: (sums[t][b] + 0.5) / (sums[t].total() + 0.5 * size) for t in names}
+    pool = sum(sums.values(), Counter())
+    pooled = lambda b: (pool[b] + 0.5) / (pool.total() + 0.5 * size)
+    prob = {t: lambda b, t=t: (sums[t][b] + language.LEAN_POOLED * pooled(b)) / (sums[t].total() + language.LEAN_POOLED) for t in names}
     prob[None] = lambda b: language.EVEN_HALF / size + (1 - language.EVEN_HALF) * sum(prob[t](b) for t in names) / n
     told = {t: sum(v == t for v in tags.values()) for t in names}
     like = {}
@@ -421,7 +440,7 @@ def plain_languages(rows):
         group = [q[0] for q in rows if q[0] in own and (q[3], q[4]) == (host, end)]
         prior = lean(add(group), suffix[end], language.LEAN_HOST) if group else globe
         said = lambda t, d=declared: 1 / n if d not in names else language.TRUST if d == t else (1 - language.TRUST) / max(n - 1, 1)
-        logs = {t: like[i][t] + np.log(said(t)) + np.log(prior[t] * (1 - language.OTHER)) for t in names}
+        logs = {t: like[i][t] + np.log(said(t)) + np.log((prior[t] * (1 - language.EVEN_PRIOR) + language.EVEN_PRIOR / n) * (1 - language.OTHER)) for t in names}
         logs[None] = like[i][None] + np.log(1 / n if declared not in names else (1 - language.TRUST) / n) + np.log(language.OTHER)
         post = normal(logs)
         best = max(names, key=lambda t: post[t])
@@ -460,6 +479,21 @@ def test_texts_in_no_language_of_the_model_are_rejected(spark, known):
     assert np.mean([r["accepted"] for r in rows if not r["declared"]]) < 0.01
 
 
+@pytest.mark.parametrize("alone", [True, False])
+def test_documents_of_a_rare_tag_are_told_and_kept(spark, alone):
+    rare = [r["text"] for r in documents(spark).filter("lang = 'fr' and n_chars between 200 and 1500").orderBy("doc_id").limit(5).collect()]
+    docs = spark.createDataFrame([(5000 + i, t, "fr", "h") for i, t in enumerate(rare)], "doc_id long, text string, lang string, source string")
+    if not alone:
+        docs = docs.unionByName(documents(spark).filter("lang <> 'fr'").select(*docs.columns))
+    got = language.identify(language.from_documents(docs)).filter("declared = 'fr'").collect()
+    assert [(r["language"], r["accepted"]) for r in got] == [("fr", True)] * 5
+    marked = docs.withColumn("lang", F.when((F.col("doc_id") % 50 == 0) & (F.col("lang") == "en"), "xx").otherwise(F.col("lang")))
+    if not alone:  # a wrong tag of few documents neither rejects them nor takes others
+        told = language.identify(language.from_documents(marked)).collect()
+        assert np.mean([r["accepted"] for r in told if r["declared"] == "xx"]) > 0.9
+        assert np.mean([r["language"] == r["declared"] for r in told if r["declared"] != "xx"]) > 0.98
+
+
 def test_a_language_of_few_documents_is_kept_by_its_trigrams(spark):
     texts = [r["text"] for r in documents(spark).filter("lang = 'de' and n_chars > 3000").orderBy("doc_id").limit(12).collect()]
     rows = [(i, t, "de", "a") for i, t in enumerate(texts)] + [(100 + i, "the quick brown fox jumps over it", "en", "a") for i in range(13_000)]

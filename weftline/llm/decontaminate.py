@@ -7,10 +7,10 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, per_batch
+from .common import as_bytes, discard, per_batch, settle
 
 #: On lower-cased UTF-8: the bytes of digits, letters and all that is not ASCII.
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -26,8 +26,9 @@ def words_of(text: bytes) -> list[bytes]:
 class WindowSet:
     """Windows of n consecutive item words (an item with fewer is one window), found in texts by rolling hashes.
 
-    All items' words are one array of word numbers; for each window size a sorted array of hashes and one of places say where
-    windows start in it. So a window costs 16 bytes, and a hit is verified on the words at its places.
+    All items' words are one array of word numbers. For each window size each different window stands once, sorted by hash: its hash, a place where
+    it stands in the words, and the items that have it, as a stretch of a list. So a hit is verified once, on the words at that place, however often
+    the benchmark repeats it.
     """
 
     _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -38,16 +39,45 @@ class WindowSet:
         numbers = [np.fromiter((self.ids.setdefault(w, len(self.ids) + 1) for w in words_of(text)), dtype=np.uint32) for _, text in items]
         lengths = np.array([len(x) for x in numbers], dtype=np.int64)
         self.words = np.concatenate([np.zeros(0, np.uint32), *numbers])
-        self.starts = np.cumsum(lengths) - lengths
-        self.hashes: dict[int, np.ndarray] = {}
-        self.places: dict[int, np.ndarray] = {}
+        starts = np.cumsum(lengths) - lengths
+        #: By size: hashes, places, and where each window's items begin in the list that follows.
+        self.windows: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
         sizes = np.minimum(lengths, n)
         for size in np.unique(sizes[sizes > 0]).tolist():
             own = np.flatnonzero(sizes == size)
-            places = np.concatenate([self.starts[k] + np.arange(lengths[k] - size + 1) for k in own])
+            places = np.concatenate([starts[k] + np.arange(lengths[k] - size + 1) for k in own])
+            of = np.repeat(own, lengths[own] - size + 1)
             hashes = np.concatenate([self._rolled(numbers[k].astype(np.uint64), size) for k in own])
-            order = np.argsort(hashes, kind="stable")
-            self.hashes[size], self.places[size] = hashes[order], places[order]
+            self.windows[size] = self._distinct(hashes, places, of, size)
+
+    def _distinct(self, hashes: np.ndarray, places: np.ndarray, of: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        order = np.argsort(hashes, kind="stable")
+        hashes, places, of = hashes[order], places[order], of[order]
+        entry = np.full(len(hashes), -1)
+        first: list[np.ndarray] = []
+        rest, n = np.arange(len(hashes)), 0
+        while len(rest):  # once, and again for windows that share a hash with another
+            heads = np.concatenate([[True], hashes[rest][1:] != hashes[rest][:-1]])
+            head = rest[heads][np.cumsum(heads) - 1]
+            same = self._equal(places[rest], self.words, places[head], size)
+            entry[rest[same]] = (n + np.cumsum(heads) - 1)[same]
+            first.append(rest[heads])
+            n += int(heads.sum())
+            rest = rest[~same]
+        heads = np.concatenate(first)
+        by_hash = np.argsort(hashes[heads], kind="stable")
+        rank = np.empty(n, np.int64)
+        rank[by_hash] = np.arange(n)
+        pairs = np.unique(np.column_stack([rank[entry], of]), axis=0)
+        begins = np.searchsorted(pairs[:, 0], np.arange(n + 1))
+        return hashes[heads][by_hash], places[heads][by_hash], begins, pairs[:, 1]
+
+    def _equal(self, at: np.ndarray, words: np.ndarray, places: np.ndarray, size: int) -> np.ndarray:
+        """Whether the `size` words from each of at are those from each of places on."""
+        same = np.ones(len(at), dtype=bool)
+        for i in range(size):
+            same &= words[at + i] == self.words[places + i]
+        return same
 
     def _rolled(self, ids: np.ndarray, size: int) -> np.ndarray:
         out = np.zeros(len(ids) - size + 1, dtype=np.uint64)
@@ -61,26 +91,32 @@ class WindowSet:
         words = words_of(text)
         get = self.ids.get
         ids = np.fromiter((get(w, 0) for w in words), dtype=np.uint64, count=len(words))
-        hit, items = None, set()
-        for size, known in self.hashes.items():
+        marks, items = None, set()
+        for size, (known, places, begins, lists) in self.windows.items():
             if len(ids) < size:
                 continue
             gaps = np.flatnonzero(ids == 0)  # a window with a word that no item has can't occur
             if len(gaps) and len(gaps) * (size + 1) > len(ids) and np.diff(np.concatenate([[-1], gaps, [len(ids)]])).max() <= size:
                 continue
             rolled = self._rolled(ids, size)
-            first = np.searchsorted(known, rolled)
-            first[first == len(known)] = 0
-            for i in np.flatnonzero(known[first] == rolled):
-                at, window = int(first[i]), ids[i : i + size]
-                while at < len(known) and known[at] == rolled[i]:
-                    place = int(self.places[size][at])
-                    if (self.words[place : place + size] == window).all():
-                        hit = np.zeros(len(ids), dtype=bool) if hit is None else hit
-                        hit[i : i + size] = True
-                        items.add(self.items[int(np.searchsorted(self.starts, place, side="right")) - 1])
-                    at += 1
-        return len(words), hit, items
+            entry = np.searchsorted(known, rolled)
+            entry[entry == len(known)] = 0
+            at = np.flatnonzero(known[entry] == rolled)
+            entry = entry[at]
+            while len(at):  # once, and again for windows that share a hash with another
+                same = self._equal(at, ids, places[entry], size)
+                if same.any():
+                    marks = np.zeros(len(ids) + 1, dtype=np.int32) if marks is None else marks
+                    np.add.at(marks, at[same], 1)
+                    np.add.at(marks, at[same] + size, -1)
+                    for e in np.unique(entry[same]).tolist():
+                        items.update(lists[begins[e] : begins[e + 1]].tolist())
+                hashes = known[entry]
+                entry = entry + 1
+                more = ~same & (entry < len(known)) & (known[np.minimum(entry, len(known) - 1)] == hashes)
+                at, entry = at[more], entry[more]
+        hit = None if marks is None else np.cumsum(marks[:-1]) > 0
+        return len(words), hit, {self.items[i] for i in items}
 
     def cut(self, text: bytes, hit: np.ndarray) -> bytes:
         """text without the hit words and what stands between them."""
@@ -95,21 +131,27 @@ class WindowSet:
 
 
 def _blocks(benchmark: DataFrame, n: int, block_chars: int):
-    """Broadcast window sets, each of block_chars of the benchmark about; one set for any benchmark of usual size."""
+    """Broadcast window sets, each of block_chars of the benchmark about, and whether it is the only one; one for any benchmark of usual size."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text")).filter("text is not null")
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     parts = -(-chars // block_chars) or 1
     for k in range(parts):
         own = items if parts == 1 else items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == k)
         rows = [(r["item"], r["text"].encode()) for r in own.toLocalIterator()]
-        yield benchmark.sparkSession.sparkContext.broadcast(WindowSet(rows, n))
+        yield benchmark.sparkSession.sparkContext.broadcast(WindowSet(rows, n)), parts == 1
 
 
 def _searched(docs: DataFrame, benchmark: DataFrame, n: int, block_chars: int) -> DataFrame:
-    """(row, n_words, n_hit, items, clean_text) of each row of docs, whose columns are inside row, so that no name clashes."""
+    """(row, text, n_words, n_hit, items, clean_text) of each row of docs, whose other columns are inside row, so that no name clashes.
+
+    Of several blocks each is one pass whose result is written, so a task never holds more than one.
+    """
+    names = ["row", "text", "n_words", "hit", "items"]
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    row = F.struct(*others) if others else F.struct(F.lit(None).cast("string").alias("none"))
     fresh = {"n_words": F.lit(None).cast("long"), "hit": F.lit(None).cast("binary"), "items": F.array().cast("array<string>")}
-    out = docs.select(F.struct("*").alias("row"), "text").withColumns(fresh)
-    for block in _blocks(benchmark, n, block_chars):
+    out = docs.select(row.alias("row"), "text").withColumns(fresh)
+    for block, alone in _blocks(benchmark, n, block_chars):
 
         def make(block=block):
             known = block.value
@@ -125,11 +167,17 @@ def _searched(docs: DataFrame, benchmark: DataFrame, n: int, block_chars: int) -
                     masks.append(None if hit is None else np.packbits(hit).tobytes())
                     items.append(sorted({*had, *(x for x in found if x is not None)}))
                 new = [pa.array(counts, pa.int64()), pa.array(masks, pa.binary()), pa.array(items, pa.list_(pa.string()))]
-                return pa.RecordBatch.from_arrays([batch.column("row"), batch.column("text"), *new], ["row", "text", "n_words", "hit", "items"])
+                return pa.RecordBatch.from_arrays([batch.column("row"), batch.column("text"), *new], names)
 
             return turn
 
-        out = out.mapInArrow(per_batch(make), out.schema)
+        searched = out.mapInArrow(per_batch(make), out.schema)
+        if not alone:
+            written = settle(searched, "searched")
+            block.unpersist()
+            discard(out)
+            searched = written
+        out = searched
 
     def finish():
         def turn(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -138,43 +186,48 @@ def _searched(docs: DataFrame, benchmark: DataFrame, n: int, block_chars: int) -
                 hit = None if mask is None else np.unpackbits(np.frombuffer(mask, np.uint8), count=size).astype(bool)
                 n_hit.append(0 if hit is None else int(hit.sum()))
                 clean.append(None if hit is None else WindowSet.cut(None, raw, hit).decode("utf-8", "replace"))
-            own = [batch.column(c) for c in ("row", "n_words", "items")]
-            return pa.RecordBatch.from_arrays([*own, pa.array(n_hit, pa.int64()), pa.array(clean, pa.string())], ["row", "n_words", "items", "n_hit", "clean_text"])
+            own = [batch.column(c) for c in ("row", "text", "n_words", "items")]
+            return pa.RecordBatch.from_arrays([*own, pa.array(n_hit, pa.int64()), pa.array(clean, pa.string())], ["row", "text", "n_words", "items", "n_hit", "clean_text"])
 
         return turn
 
-    shape = out.select("row", "n_words", "items").withColumns({"n_hit": F.lit(0).cast("long"), "clean_text": F.lit(None).cast("string")}).schema
+    shape = out.select("row", "text", "n_words", "items").withColumns({"n_hit": F.lit(0).cast("long"), "clean_text": F.lit(None).cast("string")}).schema
     for field in shape:
         field.nullable = True
     done = out.mapInArrow(per_batch(finish), shape)
-    return done.withColumn("clean_text", F.coalesce("clean_text", "row.text"))
+    return done.withColumn("clean_text", F.coalesce("clean_text", "text"))
+
+
+def _own(docs: DataFrame, text: str = "text", without: tuple[str, ...] = ()) -> list[Column]:
+    """The columns of docs out of a searched row, the text from the column so named."""
+    return [F.col(text).alias("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns if c not in without]
 
 
 def find_windows(docs: DataFrame, benchmark: DataFrame, n: int = 10, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """docs with n_words, n_hit, items (sorted ids of items that have a window in the text) and clean_text.
 
     The benchmark is measured first: up to block_chars it is one broadcast set, beyond that several sets are passed over
-    the documents in turn, which needs no shuffle either. Every hash hit is verified on the words themselves. Null text has
+    the documents in turn, each result written, which needs no shuffle either. Every hash hit is verified on the words themselves. Null text has
     no words; an empty benchmark hits nothing; items without words have no window; copies of an item share its windows; a
     null item_id hits but isn't listed. Texts of any length are searched whole; an empty table stays empty. A column of docs
     named like one of the new ones is replaced, all others stay as they are; order and copies stay.
     """
-    new = ["n_words", "n_hit", "items", "clean_text"]
-    found = _searched(docs, benchmark, n, block_chars)
-    return found.select(*[f"row.`{c}`" for c in docs.columns if c not in new], *new)
+    new = ("n_words", "n_hit", "items", "clean_text")
+    return _searched(docs, benchmark, n, block_chars).select(*_own(docs, without=new), *new)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, how: str = "documents") -> DataFrame:
     """docs with its own columns and without benchmark passages: how is "documents" (hit ones go) or "spans" (hit words go).
 
-    All columns but, for spans, text keep their values whatever they are called. Null and empty texts are never hit.
+    All columns but, for spans, text keep their values whatever they are called. Null and empty texts are never hit; texts of any length are
+    searched whole; copies of a row go or stay alike, an empty table stays empty.
     """
     if how not in ("documents", "spans"):
         raise ValueError(f"how is documents or spans, not {how}")
     found = _searched(docs, benchmark, n, BLOCK_CHARS)
     if how == "documents":
-        return found.filter("n_hit = 0").select("row.*")
-    return found.select(*[F.col("clean_text").alias("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
+        return found.filter("n_hit = 0").select(*_own(docs))
+    return found.select(*_own(docs, "clean_text"))
 
 
 def op3_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:
