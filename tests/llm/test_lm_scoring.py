@@ -123,6 +123,21 @@ def test_against_brute_force(spark, block_bytes):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
+def test_scores_do_not_hang_on_the_partitions(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    words = Counter(w for r in docs.collect() for w in [*(r["text"] or "").encode().lower().split(), L.END])
+    exact = {w for w, n in words.items() if n >= L.HOT_SHARE * words.total()} | {L.END, L.BEGIN}
+    told = []
+    for parts in (1, 16, 200):
+        cut = docs.repartition(parts, F.xxhash64("doc_id", F.lit(parts)))
+        given = cut.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), (F.pmod(L.id_crc(), F.lit(7)) == 2).alias("held_out"))
+        assert set(L._measure(given)[2]) == exact
+        told.append({r["doc_id"]: r["score"] for r in L.score_texts(cut, 60_000, 90_000).collect()})
+    assert all(t.keys() == told[0].keys() for t in told)
+    for other in told[1:]:
+        assert max(abs(other[d] - told[0][d]) for d in other) < 1e-6
+
+
 def test_a_copy_in_training_scores_apart(spark):
     rng = np.random.default_rng(9)
     vocab = [f"w{i}" for i in range(400)]

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_crc, settle
+from .common import discard, id_crc, settle
 from .ngram_trie import PRINT_BITS, Trie, dequantise
 
 #: Bytes of text that a block of documents has about, and bytes of text that a shard of the model stands for.
@@ -200,47 +200,68 @@ def _answer(table: pa.Table, layout: Layout) -> pa.Table:
     return pa.table(columns, [f.split()[0] for f in _TOLD.split(", ")])
 
 
+def _tallied(tables: list[pa.Table]) -> pa.Table:
+    """(word, n) tables added up by word."""
+    return pa.concat_tables(tables).group_by("word", use_threads=False).aggregate([("n", "sum")]).select(["word", "n_sum"]).rename_columns(["word", "n"])
+
+
 def _measure(docs: DataFrame) -> tuple[int, int, tuple[bytes, ...]]:
-    """Bytes of all texts, training tokens with their ends, and the hot words.
+    """Bytes of all texts, training tokens with their ends, and the hot words: exactly those with HOT_SHARE of all tokens.
 
-    Each task names the words that have HOT_SHARE of its own tokens at least: so few that the driver can add them up.
+    A stretch of a task, of a million different words about, names the words with half of HOT_SHARE of its own tokens. What it leaves unnamed of
+    a hot word is under half of HOT_SHARE of all tokens, so a hot word's named counts reach the other half; 2 / HOT_SHARE words can do that. A second
+    scan counts these exactly. So neither the order of the rows nor how they are cut into tasks makes a word hot.
     """
 
-    def tally(batches):
-        seen: list[pa.Table] = []
+    def name(batches):
         found: Counter[bytes] = Counter()
-        size = learnt = total = 0
-
-        def summed():
-            return pa.concat_tables(seen).group_by("word", use_threads=False).aggregate([("n", "sum")]).select(["word", "n_sum"]).rename_columns(["word", "n"])
+        held: list[pa.Table] = []
+        size = learnt = total = stretch = 0
 
-        def named():
-            often = summed().filter(pc.field("n") >= HOT_SHARE * total) if seen else None
-            found.update(dict(zip(*often.to_pydict().values(), strict=True)) if seen else {})
+        def close():
+            nonlocal held, stretch
+            if held:
+                often = _tallied(held).filter(pc.field("n") >= HOT_SHARE / 2 * stretch).to_pydict()
+                for word, n in zip(often["word"], often["n"], strict=True):
+                    found[word] += n
+            held, stretch = [], 0
 
         for batch in batches:
             words, lengths = words_of(batch.column("text"))
             own = lengths + 1
             size += pc.sum(pc.binary_length(batch.column("text"))).as_py() or 0
             total += int(own.sum())
+            stretch += int(own.sum())
             learnt += int(own[~batch.column("held_out").to_numpy(zero_copy_only=False)].sum())
-            seen.append(pa.table(words.value_counts().flatten(), ["word", "n"]))
-            if sum(t.num_rows for t in seen) > 2_000_000:
-                seen = [summed()]
-                if seen[0].num_rows > 1_000_000:
-                    named()
-                    seen = []
-        named()
-        rows = [(b"", size, learnt, total), *((w, c, 0, 0) for w, c in found.items() if c >= HOT_SHARE / 2 * total)]
+            held.append(pa.table(words.value_counts().flatten(), ["word", "n"]))
+            if sum(t.num_rows for t in held) > 2_000_000:
+                held = [_tallied(held)]
+                if held[0].num_rows > 1_000_000:
+                    close()
+        close()
+        rows = [(b"", size, learnt, total), *((w, c, 0, 0) for w, c in found.items())]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.binary(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["word", "n", "learnt", "total"])
 
-    sums = docs.mapInArrow(tally, "word binary, n long, learnt long, total long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("learnt").alias("learnt"), F.sum("total").alias("total"))
+    sums = docs.mapInArrow(name, "word binary, n long, learnt long, total long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("learnt").alias("learnt"), F.sum("total").alias("total"))
     sums = settle(sums, "tally")  # read twice, counted once
     whole = sums.filter(F.octet_length("word") == 0).first()
     if whole is None:
         return 0, 0, ()
-    hot = sums.filter((F.octet_length("word") > 0) & (F.col("n") >= HOT_SHARE / 2 * whole["total"])).orderBy("word").collect()
-    return whole["n"], whole["learnt"], (*sorted({END, *(bytes(r["word"]) for r in hot)}), BEGIN)
+    named = sums.filter((F.octet_length("word") > 0) & (F.col("n") >= HOT_SHARE / 2 * whole["total"])).select("word").collect()  # 2 / HOT_SHARE rows at most
+    discard(sums)
+    asked = docs.sparkSession.sparkContext.broadcast(pa.array(sorted(bytes(r["word"]) for r in named), pa.binary()))
+
+    def count(batches):
+        held: list[pa.Table] = []
+        for batch in batches:
+            words = words_of(batch.column("text"))[0]
+            held.append(pa.table(words.filter(pc.is_in(words, asked.value)).value_counts().flatten(), ["word", "n"]))
+            held = [_tallied(held)] if len(held) > 64 else held
+        if held:
+            yield from _tallied(held).to_batches()
+
+    counted = docs.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= HOT_SHARE * whole["total"])
+    return whole["n"], whole["learnt"], (*sorted({END, *(bytes(r["word"]) for r in counted.collect())}), BEGIN)
 
 
 def _read(table: pa.Table, layout: Layout) -> Block:
@@ -255,7 +276,8 @@ def score_texts(docs: DataFrame, block_bytes: int = BLOCK_BYTES, shard_bytes: in
     words' counts and two codes for each trigram, from which the block scores its own texts. Nothing whole meets in one place.
     With counts n, types t and discount D, P(c | a b) = (n(abc) - D) / n(ab) + D t(ab) / n(ab) P(c | b), likewise P(c | b) over
     the base probability of c; each part is stored rounded down. After a hot b, the slice s of c comes first: P(s | b) =
-    (n(b s) + 1) / (n(b) + SLICES), then all of the above among the words of s. So probabilities sum to no more than 1.
+    (n(b s) + 1) / (n(b) + SLICES), then all of the above among the words of s. So probabilities sum to no more than 1. Which words are hot is a matter
+    of their exact counts, so scores don't hang on the order or the partitions of docs.
     Null text is empty and has its end only; texts of any length are whole, copies of rows come back each, an empty table gives
     none; other columns aren't read. Without training documents all counts are 0.
     """
