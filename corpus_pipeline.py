@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm import decontaminate, language, mixing, near_duplicates, secrets
-from weftline.llm.common import settle
+from weftline.llm.common import discard, settle
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +50,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix of all documents that the stages before keep: one row a document, with how often and with how many words it's taken.
+
+    Each stage but the last is written to the shared folder and read again, and its own input, if a stage before wrote it, is removed then; the
+    last stage's input stays for whoever reads the result. Null and repeated ids, null, empty and very long texts and further columns of documents
+    pass as each stage says; an empty table stays empty.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = settle(stage(spark, docs, sf_dir), name)
+        after = settle(stage(spark, docs, sf_dir), name)
+        discard(docs)
+        docs = after
     return STAGES[-1][1](spark, docs, sf_dir)
