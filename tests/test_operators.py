@@ -241,13 +241,17 @@ def test_conditions(spark, text, want):
     assert one(spark, texts.condition(texts.fold(F.lit(text)))) == want
 
 
-@pytest.mark.parametrize("text,want", [("1.299,99 TND", 1299.99), ("59.9 DT", 59.9), ("1.299", 1299.0), ("89 000", 89000.0), ("free", None)])
+@pytest.mark.parametrize("text,want", [("1.299,99 TND", 1299.99), ("59.9 DT", 59.9), ("1.299 TND", 1.299), ("89 000 DT", 89.0), ("free DT", None)])
 def test_dinars(spark, text, want):
     assert one(spark, texts.dinars(F.lit(text))) == want
 
 
 def test_placeholders_and_full_fold(spark):
-    assert one(spark, texts.resolve_placeholders(F.lit("wear {1} with {7}!"), F.array(F.lit(1)))) == "wear {1} with !"
+    got = one(spark, texts.resolve_placeholders(F.lit("wear {1} with {7} , {1}  or {12} !"), F.array(F.lit(1)), F.lit("not 12")))
+    assert tuple(got) == ("wear {1} with, {1} or 12!", [1], [7], [12])
+    same = one(spark, texts.resolve_placeholders(F.lit(" {1}  {12} !"), F.array(F.lit(1)), F.lit("12")))
+    assert tuple(same) == (" {1}  12 !", [1], [], [12])
+    assert tuple(one(spark, texts.resolve_placeholders(F.lit("none"), F.lit(None).cast("array<int>")))) == ("none", [], [], [])
     df = spark.createDataFrame([("Œuvre ÉTÉ ﬁn",), (None,)], "t string")
     assert [r[0] for r in df.select(texts.fold_all("t")).collect()] == ["œuvre ete fin", None]
 

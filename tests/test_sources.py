@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from weftline.sources import connectors, files, shops
 
@@ -88,8 +89,38 @@ def test_product_pages_and_rates(spark):
     assert (got["2"]["name"], got["2"]["price"], got["2"]["in_stock"]) == ("Two", 3.0, None)
 
 
-def test_connector_source(spark, tmp_path):
-    connectors.register(spark)
-    (tmp_path / "a.jsonl").write_text('{"id": 1}\n\n{"id": 2}\n')
-    got = spark.read.format("weftline_listings").option("kind", "shopify").option("source_id", "s1").option("paths", str(tmp_path / "a.jsonl")).load().collect()
-    assert [(r["source_id"], r["line"]) for r in got] == [("s1", 0), ("s1", 2)]
+ITEM_API = {"ref": "0049876", "title": "Robe", "image": "a.jpg", "price": "59.900 TND", "priceDiscounted": "29,90 TND", "color": {"name": "noir"}, "section": {"seoName": "Femme"}, "sizes": {"S": [{"stock": 0}], "M": [{"stock": 2}]}}
+PAGE = "https://ha.example.tn/catalogue/femme/robes/robe-longue/0049876-article-robe"
+
+
+def test_connectors_read_what_only_spark_can_open(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.store.link./in", f"file://{tmp_path}/in")
+    bare = {"ref": "7", "title": "Sac", "image": "b.jpg", "price": None, "sizes": {}}
+    (tmp_path / "in/items.jsonl").write_text("\n\n".join(json.dumps(x) for x in ({"url": PAGE, "item": ITEM_API}, {"url": PAGE, "item": bare}, {"url": PAGE, "item": None})))
+    got = {r["external_id"]: r for r in connectors.fetch(spark, "s1", "item_api", ["viewfs://store/in/items.jsonl"], base_url="https://ha.example.tn/", brand="HA").collect()}
+    assert set(got) == {"0049876", "7"} and got["7"]["in_stock"] is None and got["7"]["availability_level"] == "product" and got["7"]["price_tnd"] is None
+    r = got["0049876"]
+    assert (r["source_id"], r["price_tnd"], r["gender"], r["shop_colour"], r["sizes_in_stock"], r["in_stock"]) == ("s1", 29.9, "women", "noir", ["M"], True)
+    assert sorted(r["sizes"]) == ["M", "S"] and r["image_url"] == "https://ha.example.tn/api/image/get/product/a.jpg"
+
+
+def test_connectors_dispatch_by_kind(spark, tmp_path):
+    one = {"id": 1, "title": "Shirt", "handle": "shirt", "options": [], "images": [{"src": "p.jpg"}], "variants": [{"id": 5, "price": "9.5", "available": True}]}
+    (tmp_path / "a.jsonl").write_text(json.dumps(one) + "\n")
+    (tmp_path / "b.jsonl").write_text('{"id": 1}\nnot json\n')
+    (tmp_path / "c.jsonl").write_text(json.dumps({"xml": "<urlset><url><loc>https://a.b/p</loc></url></urlset>"}))
+    shop = connectors.fetch(spark, "s1", "shopify", [str(tmp_path / "a.jsonl")], base_url="https://x.y", brand="X").first()
+    assert (shop["source_id"], shop["url"], shop["price_tnd"]) == ("s1", "https://x.y/products/shirt", 9.5)
+    assert connectors.fetch(spark, "s2", "sitemap", [str(tmp_path / "c.jsonl")]).first()["url"] == "https://a.b/p"
+    assert connectors.fetch(spark, "s3", "snapshot", [str(tmp_path / "a.jsonl")], schema="id long, title string").columns == ["source_id", "id", "title"]
+    with pytest.raises(Exception, match="no JSON in .*b.jsonl: not json"):
+        connectors.fetch(spark, "s4", "shopify", [str(tmp_path / "b.jsonl")], base_url="").collect()
+    with pytest.raises(ValueError, match="kind must be one of"):
+        connectors.fetch(spark, "s5", "none", [])
+
+
+def test_page_parts(spark):
+    rows = spark.createDataFrame([(PAGE,), ("https://ha.example.tn/catalogue/femme/12-article-x",), ("https://ha.example.tn/en/catalogue/a%20b/c%2Bd/e/1-article-y?z=1",), ("https://ha.example.tn/about",), ("https://ha.example.tn/1-article-x",)], "url string")
+    got = [r["p"] and tuple(r["p"]) for r in rows.select(shops.page_parts(F.col("url")).alias("p")).collect()]
+    assert got == [("0049876", "femme", "robes", "robe-longue"), ("12", "femme", None, None), ("1", "a b", "c+d", "e"), None, None]

@@ -103,12 +103,12 @@ def photo_query(tokens: Column, terms: dict[str, str]) -> Column:
 
 def detect_language(text: Column) -> Column:
     """ar from 30 % Arabic letters on, else fr or en by stop words (French accents count double), else unknown."""
-    letters = F.length(F.regexp_replace(text, r"\P{L}", ""))
-    arabic = F.length(F.regexp_replace(text, "[^؀-ۿ]", ""))
+    count = lambda of, pattern: F.regexp_count(of, F.lit(pattern))
+    letters, arabic = count(text, r"\p{L}"), count(text, "[؀-ۿ]")
     low = F.lower(text)
-    found = F.regexp_extract_all(low, F.lit("[a-zàâçéèêëîïôûùüÿœ']+"), F.lit(0))
-    fr = F.size(F.filter(found, lambda w: w.isin(*FR_WORDS))) + 2 * F.regexp_count(low, F.lit(FRENCH_ACCENTS))
-    en = F.size(F.filter(found, lambda w: w.isin(*EN_WORDS)))
+    inside = "[a-zàâçéèêëîïôûùüÿœ']"
+    whole = lambda names: f"(?<!{inside})(?:{'|'.join(names)})(?!{inside})"
+    fr, en = count(low, whole(FR_WORDS)) + 2 * count(low, FRENCH_ACCENTS), count(low, whole(EN_WORDS))
     return F.when(letters == 0, "unknown").when(arabic / letters > 0.3, "ar").when((fr == 0) & (en == 0), "unknown").when(fr > en, "fr").otherwise("en")
 
 
@@ -148,12 +148,24 @@ def page_id(url: Column) -> Column:
     return F.concat(F.parse_url(url, F.lit("PATH")), F.when(query.isNotNull(), F.concat(F.lit("?"), query)).otherwise(""))
 
 
-def resolve_placeholders(text: Column, known: Column) -> Column:
-    """text in which {n} stays if n is known and is dropped otherwise."""
+def resolve_placeholders(text: Column, known: Column, message: Column | None = None) -> Column:
+    """(text, used, unknown, echoed): text in which {n} stays if n is known, becomes plain n if it stands in the user's message, and is dropped otherwise.
+
+    The lists are in order of first appearance, without repeats. Where something was dropped, the gaps are tidied: runs of blanks become one, and
+    none is left before a point, comma, colon, question or exclamation mark.
+    """
+    typed = F.transform(F.regexp_extract_all(F.coalesce(message, F.lit("")) if message is not None else F.lit(""), F.lit("[0-9]+"), F.lit(0)), lambda n: n.try_cast("bigint"))
+    own = F.transform(F.coalesce(known, F.array().cast("array<int>")), lambda k: k.cast("bigint"))
     parts = F.split(text, r"\{[0-9]+\}", -1)
-    marks = F.regexp_extract_all(text, F.lit(r"\{([0-9]+)\}"), F.lit(1))
-    kept = F.transform(marks, lambda m: F.when(F.array_contains(known, m.cast("int")), F.concat(F.lit("{"), m, F.lit("}"))).otherwise(""))
-    return F.array_join(F.zip_with(parts, kept, lambda p, k: F.concat(p, F.coalesce(k, F.lit("")))), "")
+    refs = F.transform(F.regexp_extract_all(text, F.lit(r"\{([0-9]+)\}"), F.lit(1)), lambda n: n.try_cast("bigint"))
+    of = lambda kind: F.array_distinct(F.filter(refs, kind))
+    is_known, is_typed = lambda r: F.array_contains(own, r), lambda r: F.array_contains(typed, r)
+    used, echoed = of(is_known), of(lambda r: ~is_known(r) & is_typed(r))
+    unknown = of(lambda r: F.coalesce(~is_known(r) & ~is_typed(r), F.lit(True)))
+    shown = F.transform(refs, lambda r: F.when(is_known(r), F.concat(F.lit("{"), r.cast("string"), F.lit("}"))).when(is_typed(r), r.cast("string")).otherwise(""))
+    whole = F.array_join(F.zip_with(parts, shown, lambda p, k: F.concat(p, F.coalesce(k, F.lit("")))), "")
+    tidy = F.regexp_replace(F.regexp_replace(F.regexp_replace(whole, "[ \\t]{2,}", " "), r"\s+([.,;:!?])", "$1"), r"^\s+|\s+$", "")
+    return F.struct(F.when(F.size(unknown) > 0, tidy).otherwise(whole).alias("text"), used.alias("used"), unknown.alias("unknown"), echoed.alias("echoed"))
 
 
 def route(text: Column, agents: dict[str, tuple[str, ...]]) -> Column:

@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 
 from weftline.functions.exprs import dot, looked_up, matches, set_key
 from weftline.operators import outfits as sets
+from weftline.operators.timeline import numbered
 
 #: Settings of the checks.
 NEAR_MISS, LEAST_WARDROBE, FAR_FROM_STYLE, BUDGET_SHARE = 5, 8, 0.5, 0.3
 LEAST_CONF = {"category": 0.6, "sub_category": 0.5, "pattern": 0.6, "colour": 0.7}
 MARGIN = 0.15
 SIMILAR_ITEM = 0.9
+#: Rounds of a bootstrap that one hash serves.
+LANES = 4
 #: Chances that a Poisson(1) count is at most 0, 1, ... 8.
 POISSON = (0.367879, 0.735759, 0.919699, 0.981012, 0.996340, 0.999406, 0.999917, 0.999990, 0.999999)
 
@@ -210,11 +213,12 @@ def swap_tests(members: DataFrame, key: str, pool: DataFrame, seed: str) -> Data
     """
     digest = lambda *c: F.md5(F.concat_ws(":", F.lit(seed), *[F.col(x).cast("string") for x in c]).cast("binary"))
     chosen = members.withColumn("_t", F.row_number().over(Window.partitionBy(key).orderBy(digest(key, "item_id"), "item_id"))).filter("_t = 1")
-    ring = Window.partitionBy("category").orderBy(digest("item_id"), "item_id")
-    places = pool.select("category", "item_id", (F.row_number().over(ring) - 1).alias("_place"))
-    sizes = places.groupBy("category").agg(F.count(F.lit(1)).cast("int").alias("_size"))
+    placed = numbered(pool.select("category", "item_id", digest("item_id").alias("_d")), ["category", "_d", "item_id"], "_seat")
+    sizes = placed.groupBy("category").agg(F.count(F.lit(1)).cast("int").alias("_size"), F.min("_seat").alias("_first"))
+    places = placed.join(sizes, "category").select("category", "item_id", (F.col("_seat") - F.col("_first")).cast("int").alias("_place"))
+    sizes = sizes.drop("_first")
     held = members.groupBy(key, "category").agg(F.collect_set("item_id").alias("_held"))
-    starts = chosen.select(key, "category", "item_id").join(places, ["category", "item_id"], "left").join(F.broadcast(sizes), "category").join(held, [key, "category"])
+    starts = chosen.select(key, "category", "item_id").join(places, ["category", "item_id"], "left").join(sizes, "category").join(held, [key, "category"])
     steps = F.sequence(F.lit(0), F.least(F.size("_held") + 3, F.col("_size")) - 1)
     tried = starts.select(key, "category", F.col("item_id").alias("true_id"), "_held", "_size", F.coalesce("_place", F.lit(0)).alias("_from"), F.explode(steps).alias("_step"))
     met = tried.withColumn("_place", (F.col("_from") + F.col("_step")) % F.col("_size")).join(places, ["category", "_place"])
@@ -227,15 +231,19 @@ def bootstrap(rows: DataFrame, key: str, value: str, by: list[str], seed: str, r
     """(by, mean, low, high): the mean of value and the 2.5 and 97.5 % points of its resampled means; rows without value don't count.
 
     Resampling is Poisson: each row counts as often in a round as a hash of seed, round and key says, so rows never meet, and
-    each task sums its rounds before the shuffle. A hash of 32 bits tells counts up to nine.
+    each task sums its rounds before the shuffle. A hash serves LANES rounds, 32 bits each, which tell counts up to nine.
     """
     known = rows.filter(F.col(value).isNotNull()).select(*by, F.col(key).cast("string").alias("_k"), F.col(value).cast("double").alias("_v"))
     digest = F.md5(F.concat_ws(":", F.lit(seed), F.col("_r").cast("string"), "_k").cast("binary"))
-    u = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") / float(1 << 32)
-    times = sum((F.when(F.col("_u") >= cut, 1).otherwise(0) for cut in POISSON), F.lit(0))
-    drawn = known.select(*by, "_k", "_v", F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("_r")).withColumn("_u", u).withColumn("_n", times)
-    means = drawn.groupBy(*by, "_r").agg((F.sum(F.col("_v") * F.col("_n")) / F.sum("_n")).alias("_m"))
-    spread = means.groupBy(*by).agg(F.percentile("_m", 0.025).alias("low"), F.percentile("_m", 0.975).alias("high"))
+    hashed = known.withColumn("_r", F.explode(F.sequence(F.lit(1), F.lit(-(-rounds // LANES))))).withColumn("_h", digest)
+    u = lambda lane: F.conv(F.substring("_h", 8 * lane + 1, 8), 16, 10).cast("long") / float(1 << 32)
+    drawn = hashed.select(*by, "_v", "_r", *[u(lane).alias(f"_u{lane}") for lane in range(LANES)])
+    times = lambda lane: sum((F.when(F.col(f"_u{lane}") >= cut, 1).otherwise(0) for cut in POISSON), F.lit(0))
+    counted = drawn.select(*by, "_v", "_r", *[times(lane).alias(f"_n{lane}") for lane in range(LANES)])
+    means = [(F.sum(F.col("_v") * F.col(f"_n{lane}")) / F.sum(f"_n{lane}")).alias(f"_m{lane}") for lane in range(LANES)]
+    rounds_of = counted.groupBy(*by, "_r").agg(*means).select(*by, "_r", F.posexplode(F.array(*[F.col(f"_m{lane}") for lane in range(LANES)])).alias("_lane", "_m"))
+    kept = rounds_of.filter((F.col("_r") - 1) * LANES + F.col("_lane") < rounds)
+    spread = kept.groupBy(*by).agg(F.percentile("_m", 0.025).alias("low"), F.percentile("_m", 0.975).alias("high"))
     plain = known.groupBy(*by).agg(F.avg("_v").alias("mean"))
     return plain.alias("_a").join(spread.alias("_b"), matches("_a", "_b", by)).select("_a.*", "_b.low", "_b.high")
 

@@ -69,3 +69,16 @@ def conflicting(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
 def row_errors(checks: dict[str, Column]) -> Column:
     """The names of the checks that fail, in order; a check that is null passes."""
     return F.array_compact(F.array(*[F.when(~ok, F.lit(name)) for name, ok in checks.items()]))
+
+
+def coverage(attributes: DataFrame, rules: DataFrame, item: str, parts: DataFrame | None = None) -> DataFrame:
+    """(item, coverage, coverage_from): the least score that any of an item's attributes (item, kind, name) gives, and the sorted kinds that gave one.
+
+    rules has a row for each (kind, name) that tells something: its score and, under source, what that is called. parts (part, item) are pieces of
+    items whose own attributes count for the item they belong to. An item that nothing is told of has no row.
+    """
+    if parts is not None:
+        linked = attributes.withColumnRenamed(item, "part").join(parts.select("part", item), "part").select(item, "kind", "name")
+        attributes = attributes.select(item, "kind", "name").unionByName(linked)
+    told = attributes.join(rules, ["kind", "name"])
+    return told.groupBy(item).agg(F.min("score").alias("coverage"), F.array_join(F.array_sort(F.collect_set("source")), "|").alias("coverage_from"))

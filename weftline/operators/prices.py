@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.exprs import matches, to_step
+from weftline.operators.timeline import running_sums
 
 #: The band's percentiles, the least prices of a category and of any reference, and the tag's factor.
 LOW_PCT, HIGH_PCT, LEAST_ITEMS, LEAST_PRICES, TAG_FACTOR = 25, 75, 8, 4, 2.0
@@ -17,31 +18,29 @@ CONDITION = {"new_tags": 1.43, "like_new": 1.20, "good": 1.00, "stained": 0.55,
 def percentiles(rows: DataFrame, score: str, by: list[str]) -> DataFrame:
     """rows with pct: the share of the group's scores that lie below; null for a null score. Every row comes back.
 
-    Scores are counted by value first and the running sum is over different values only. Null groups are groups.
+    Scores are counted by value first and the running sum is over different values only, in ranges. Null groups are groups.
     """
-    tallied = rows.filter(F.col(score).isNotNull()).groupBy(*by, score).agg(F.count(F.lit(1)).alias("_n"))
-    group = Window.partitionBy(*by)
-    below = F.coalesce(F.sum("_n").over(group.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = tallied.withColumn("_pct", below / F.sum("_n").over(group))
+    placed = running_sums(rows.withColumn("_one", F.lit(1)), by, score, "_one").withColumn("_pct", F.col("below") / F.col("total"))
     return rows.alias("_a").join(placed.alias("_b"), matches("_a", "_b", [*by, score]), "left").select("_a.*", F.col("_b._pct").alias("pct"))
 
 
 def references(prices: DataFrame, channel: str, category: str, price: str) -> DataFrame:
     """(channel, category, block, prices, n): the sorted reference prices of each category, and of all under "*", by blocks.
 
-    A block has the BLOCK prices from place BLOCK * block on and the one after them. Prices are counted by value first, so a
-    window holds one row for each different price, and no task or row holds a reference whole.
+    A block has the BLOCK prices from place BLOCK * block on and the one after them. Prices are counted by value first and numbered by
+    running sums over ranges; a value fills the stretch of each block that its places meet, so it has a row a block, not one a listing.
     """
-    known = prices.filter(F.col(price).isNotNull()).select(F.col(channel).alias(channel), F.col(category).alias(category), F.col(price).alias("_p"))
+    known = prices.filter(F.col(price).isNotNull()).select(F.col(channel).alias(channel), F.col(category).cast("string").alias(category), F.col(price).alias("_p"))
     tallied = known.groupBy(channel, category, "_p").agg(F.count(F.lit(1)).alias("_k"))
     tallied = tallied.unionByName(tallied.groupBy(channel, "_p").agg(F.sum("_k").alias("_k")).withColumn(category, F.lit("*")))
-    group = Window.partitionBy(channel, category)
-    ranked = tallied.withColumns({"_to": F.sum("_k").over(group.orderBy("_p")) - 1, "n": F.sum("_k").over(group)})
-    placed = ranked.select(channel, category, "n", "_p", F.explode(F.sequence(F.col("_to") - F.col("_k") + 1, "_to")).alias("_i"))
-    own = F.floor(F.col("_i") / BLOCK).cast("long")
-    blocks = F.when((F.col("_i") % BLOCK == 0) & (F.col("_i") > 0), F.array(own, own - 1)).otherwise(F.array(own))
-    listed = placed.withColumn("block", F.explode(blocks)).groupBy(channel, category, "block").agg(F.array_sort(F.collect_list("_p")).alias("prices"), F.max("n").alias("n"))
-    return listed
+    placed = running_sums(tallied, [channel, category], "_p", "_k").withColumn("_to", F.col("below") + F.col("amount") - 1)
+    first, last = F.greatest(F.ceil(F.col("below") / BLOCK) - 1, F.lit(0)).cast("long"), F.floor(F.col("_to") / BLOCK).cast("long")
+    met = placed.withColumn("block", F.explode(F.sequence(first, last)))
+    begin = F.greatest("below", F.col("block") * BLOCK)
+    end = F.least("_to", (F.col("block") + 1) * BLOCK)
+    filled = met.select(channel, category, "block", F.col("total").alias("n"), F.struct("_p", (end - begin + 1).cast("int").alias("k")).alias("run"))
+    runs = filled.groupBy(channel, category, "block").agg(F.array_sort(F.collect_list("run")).alias("_runs"), F.max("n").alias("n"))
+    return runs.select(channel, category, "block", F.flatten(F.transform("_runs", lambda r: F.array_repeat(r["_p"], r["k"]))).alias("prices"), "n")
 
 
 def read_quantiles(rows: DataFrame, refs: DataFrame, channel: str, category: Column, shares: dict[str, Column]) -> DataFrame:

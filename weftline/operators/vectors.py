@@ -5,6 +5,8 @@ Queries are a stated set and meet the whole table block by block. Groups are fou
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -23,13 +25,16 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def _parts(rows: DataFrame, size: int) -> int:
-    return rows.count() // size + 1
+def _parts(*sides: DataFrame) -> list[int]:
+    """How many blocks each side has, counted in one job."""
+    marked = [rows.select(F.lit(i).alias("side")) for i, rows in enumerate(sides)]
+    counts = {r["side"]: r["count"] for r in reduce(DataFrame.unionAll, marked).groupBy("side").count().collect()}
+    return [counts.get(i, 0) // BLOCK + 1 for i in range(len(sides))]
 
 
-def top_k(queries: DataFrame, items: DataFrame, k: int, on: list[str] = (), apart: str | None = None) -> DataFrame:
+def top_k(queries: DataFrame, items: DataFrame, k: int, on: list[str] = (), apart: str | None = None, below: float | None = None) -> DataFrame:
     """(query_id, item_id, score, place): each query's k most similar items that share the columns of on, never itself, and none of
-    the same apart (a picture, say; unknown ones are apart from all).
+    the same apart (a picture, say; unknown ones are apart from all), nor, if below is given, one that scores as much.
 
     queries: query_id, q (vector), on, apart; items: item_id, embedding, on, apart. Queries are a stated set: they and the items
     are dealt to numbered blocks of BLOCK rows, each block of items meets each of queries in one matrix product, and k hits a
@@ -37,7 +42,7 @@ def top_k(queries: DataFrame, items: DataFrame, k: int, on: list[str] = (), apar
     length. Columns of on and apart alone are carried.
     """
     queries, items = queries.filter("q is not null"), items.filter("embedding is not null")
-    n_q, n_i = _parts(queries, BLOCK), _parts(items, BLOCK)
+    n_q, n_i = _parts(queries, items)
     none = F.lit(None).cast("string")
     tag = lambda side, key, vector: [F.lit(side).alias("side"), F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"), (F.col(apart).cast("string") if apart else none).alias("apart"), *on]
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
@@ -52,7 +57,7 @@ def top_k(queries: DataFrame, items: DataFrame, k: int, on: list[str] = (), apar
             scores = _matrix(q.column("v")) @ _matrix(i.column("v")).T
             group = np.array(i.column("apart").to_pylist(), dtype=object)
             for own, picture, row in zip(q.column("id").to_pylist(), q.column("apart").to_pylist(), scores, strict=True):
-                fit = np.flatnonzero((ids != own) & ((group != picture) if picture is not None else True))
+                fit = np.flatnonzero((ids != own) & ((group != picture) if picture is not None else True) & ((np.round(row, 6) < below) if below is not None else True))
                 best = fit[np.lexsort((ids[fit], -np.round(row[fit], 6)))[:k]]
                 for into, values in zip(hits, ([own] * len(best), ids[best], row[best]), strict=True):
                     into.extend(values)

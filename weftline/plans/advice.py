@@ -7,6 +7,7 @@ from weftline.functions.exprs import hash_percent, split_of
 from weftline.operators import advice as op
 from weftline.operators import outfits as sets
 from weftline.operators import vectors as vec
+from weftline.operators.mapping import coverage
 from weftline.operators.prices import percentiles, read_quantiles, references
 from weftline.operators.profiles import average_ranks
 from weftline.plans.bind import ITEMS_SQL, WEARS_SQL, items, vectors, wears
@@ -109,7 +110,8 @@ def swap_tests(spark, d):
 _TIMES = " + ".join(f"(u >= {c})::INT" for c in op.POISSON)
 
 
-@query("""WITH e AS (SELECT o_orderpriority AS p, o_orderkey, o_totalprice AS v, i FROM orders, range(1, 2001) t(i)), u AS (SELECT *, ('0x' || substr(md5('b:' || i || ':' || o_orderkey), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM e),
+@query("""WITH e AS (SELECT o_orderpriority AS p, o_totalprice AS v, i, md5('b:' || i || ':' || o_orderkey) AS h FROM orders, range(1, 501) t(i)),
+u AS (SELECT p, v, i * 4 + j AS i, ('0x' || substr(h, 8 * j + 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM e, range(4) t(j)),
 m AS (SELECT p, i, sum(v * n) / sum(n) AS m FROM (SELECT *, """ + _TIMES + """ AS n FROM u) GROUP BY ALL),
 q AS (SELECT p, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM m GROUP BY 1) SELECT o_orderpriority, round(avg(o_totalprice), 4) AS mean, round(any_value(low), 4) AS low, round(any_value(high), 4) AS high FROM orders JOIN q ON p = o_orderpriority GROUP BY 1""")
 def bootstrap_mean(spark, d):
@@ -168,9 +170,9 @@ def label_check(spark, d):
 SELECT item_id, min(score)::INTEGER AS coverage, array_to_string(list_sort(list_distinct(list(source))), '|') AS coverage_from FROM w JOIN r USING (word) GROUP BY 1""")
 def coverage_min(spark, d):
     """The least score that any of an item's words gives, and the sorted kinds of words that gave one."""
-    rules = F.broadcast(spark.createDataFrame([("red", 3, "colour"), ("blue", 2, "colour"), ("small", 1, "size"), ("large", 5, "size"), ("widget", 4, "type")], "word string, score int, source string"))
-    told = items(spark, d).select("item_id", F.explode(F.split("name", " ")).alias("word")).join(rules, "word")
-    return told.groupBy("item_id").agg(F.min("score").alias("coverage"), F.array_join(F.array_sort(F.collect_set("source")), "|").alias("coverage_from"))
+    rules = spark.createDataFrame([("word", "red", 3, "colour"), ("word", "blue", 2, "colour"), ("word", "small", 1, "size"), ("word", "large", 5, "size"), ("word", "widget", 4, "type")], "kind string, name string, score int, source string")
+    told = items(spark, d).select("item_id", F.lit("word").alias("kind"), F.explode(F.split("name", " ")).alias("name"))
+    return coverage(told, rules, "item_id")
 
 
 @query("WITH p AS (SELECT p_partkey, [p_partkey % 5 + 1, p_size % 7 + 1, p_partkey % 3 + 1]::DOUBLE[] AS x, p_type = 'STANDARD' AS metal_ok FROM part), z AS (SELECT p_partkey, CASE WHEN metal_ok THEN x ELSE [x[1], x[2], 0.0] END AS x FROM p) SELECT p_partkey, list_transform(x, lambda v: round(v / list_sum(x), 6)) AS probs FROM z")
@@ -180,10 +182,16 @@ def metal_zeroed(spark, d):
     return table(spark, d, "part").select("p_partkey", F.array(*[F.round(v / (x[0] + x[1] + x[2]), 6) for v in x]).alias("probs"))
 
 
-@query("SELECT part, weight, round(weight / sum(weight) OVER (), 6) AS share FROM (VALUES ('style', 0.35::DOUBLE), ('colour', 0.30::DOUBLE), ('pattern', 0.15::DOUBLE), ('structure', 0.20::DOUBLE)) t(part, weight)")
+@query("WITH " + WEARS_SQL + ", members AS (SELECT outfit_id AS k, * FROM wears), " + parts_sql() + """, w AS (SELECT * FROM (VALUES ('style', 0.35::DOUBLE), ('colour', 0.30::DOUBLE), ('pattern', 0.15::DOUBLE), ('structure', 0.20::DOUBLE)) t(part, weight)),
+n AS (SELECT 'colour' AS part, count(colour) AS counted FROM parts UNION ALL SELECT 'pattern', count(pattern) FROM parts UNION ALL SELECT 'structure', count(structure) FROM parts)
+SELECT part, weight, round(weight / sum(weight) OVER (), 6) AS share, coalesce(counted, 0) AS counted FROM w LEFT JOIN n USING (part)""")
 def scoring_weights(spark, d):
-    rows = spark.createDataFrame(list(sets.WEIGHTS.items()), "part string, weight double")
-    return rows.withColumn("share", F.round(F.col("weight") / F.sum("weight").over(Window.partitionBy()), 6))
+    """What each part weighs, its share, and in how many outfits it counts (style needs vectors, which these have not)."""
+    of = {"colour": sets.colour_part, "pattern": sets.pattern_part, "structure": sets.structure_part}
+    told = sets.as_sets(wears(spark, d), "outfit_id").agg(*[F.count(f(F.col("items"))).alias(p) for p, f in of.items()])
+    total = sum(sets.WEIGHTS.values())
+    row = lambda p, w: F.struct(F.lit(p).alias("part"), F.lit(w).alias("weight"), F.round(F.lit(w / total), 6).alias("share"), (F.col(p) if p in of else F.lit(0)).cast("long").alias("counted"))
+    return told.select(F.inline(F.array(*[row(p, w) for p, w in sets.WEIGHTS.items()])))
 
 
 @query("SELECT p_partkey, CASE WHEN sub IS NOT NULL AND parent <> category THEN NULL ELSE sub END AS sub, list_sort(list_distinct(list_concat(['colour'], CASE WHEN p_size % 2 = 0 THEN ['pattern'] ELSE ['colour'] END))) AS corrected FROM (SELECT p_partkey, p_size, p_type AS category, p_brand AS sub, ['ECONOMY', 'PROMO', 'STANDARD'][p_partkey % 3 + 1] AS parent FROM part)")

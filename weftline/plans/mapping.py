@@ -11,8 +11,7 @@ from weftline.session import table
 #: The pattern that a word in a name stands for, by priority, and the colour group of a word.
 KEYWORDS = (("striped", "striped"), ("checked", "checked"), ("small", "printed"), ("blue", "solid"), ("red", "solid"), ("large", "floral"))
 GROUPS = {"red": "warm", "blue": "cool", "green": "cool", "black": "neutral"}
-#: (key, value, gender, line): a neutral row may be overridden.
-LIMITS = (("top", 1, "", 1), ("accessory", 4, "", 2), ("accessory", 2, "men", 3), ("accessory", 6, "women", 4), ("bag", 1, "", 5), ("bag", 2, "women", 6), ("shoes", 1, "", 7))
+
 
 
 def rules(spark, rows, shape):
@@ -56,14 +55,14 @@ def rule_override_by_column(spark, d):
     return table(spark, d, "part").select("p_partkey", op.override(F.lit("other"), [(F.col(c) == v, F.lit(to)) for c, v, to in steps]).alias("sub"))
 
 
-_LIMITS_SQL = "(VALUES " + ", ".join(f"('{k}', {v}, '{g}', {n})" for k, v, g, n in LIMITS) + ") t(category, max_items, gender, line)"
-
-
-@query(f"""WITH l AS (SELECT * FROM {_LIMITS_SQL}), g AS (SELECT * FROM (VALUES ('men'), ('women'), ('')) t(audience)),
+@query("""WITH l AS (SELECT p_type AS category, max(p_size) AS max_items, CASE p_partkey % 5 WHEN 0 THEN 'men' WHEN 1 THEN 'women' ELSE '' END AS gender, min(p_partkey) AS line FROM part GROUP BY ALL),
+g AS (SELECT * FROM (VALUES ('men'), ('women'), ('')) t(audience)),
 r AS (SELECT audience, l.*, row_number() OVER (PARTITION BY audience, category ORDER BY gender <> '' DESC, line DESC) AS turn FROM l JOIN g ON gender IN ('', audience))
 SELECT audience, category, max_items, gender FROM r WHERE turn = 1""")
 def rule_override_gender(spark, d):
-    limits = spark.createDataFrame(list(LIMITS), "category string, max_items int, gender string, line int")
+    """The largest size of each type as a limit, told for all and for men and women apart, of which the latter win."""
+    gender = F.when(F.col("p_partkey") % 5 == 0, "men").when(F.col("p_partkey") % 5 == 1, "women").otherwise("")
+    limits = table(spark, d, "part").groupBy(F.col("p_type").alias("category"), gender.alias("gender")).agg(F.max("p_size").alias("max_items"), F.min("p_partkey").alias("line"))
     parts = [op.gendered(limits, ["category"], g, "line").select(F.lit(g).alias("audience"), "category", "max_items", "gender") for g in ("men", "women", "")]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
@@ -157,5 +156,7 @@ def one_distinct_or_unknown(spark, d):
 
 @query(f"""WITH {ITEMS_SQL} SELECT item_id, row_number() OVER (PARTITION BY category, coalesce(colour, '') ORDER BY item_id) > 1 AS is_copy, count(*) OVER (PARTITION BY category, coalesce(colour, '')) AS copies FROM items""")
 def duplicate_copies(spark, d):
-    key = Window.partitionBy("category", F.coalesce("colour", F.lit("")))
-    return items(spark, d).select("item_id", (F.row_number().over(key.orderBy("item_id")) > 1).alias("is_copy"), F.count(F.lit(1)).over(key).alias("copies"))
+    """A copy is a row that isn't its group's least: an aggregate of each group, joined back, so no group is ordered."""
+    rows = items(spark, d).select("item_id", "category", F.coalesce("colour", F.lit("")).alias("colour"))
+    groups = rows.groupBy("category", "colour").agg(F.min("item_id").alias("first"), F.count(F.lit(1)).alias("copies"))
+    return rows.join(groups, ["category", "colour"]).select("item_id", (F.col("item_id") > F.col("first")).alias("is_copy"), "copies")

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import texts as fn
 from weftline.functions.exprs import fnv1a32, set_key
+from weftline.operators import quiz
 from weftline.plans.registry import query
 from weftline.session import table
 
@@ -94,6 +95,42 @@ def quiz_scoring(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", fails.alias("fails"))
 
 
+@query("""WITH c AS (SELECT conv_id, turn, coalesce(text, '') AS text, conv_id % 5 AS kind, turn % 3 = 0 AS handed FROM conversations WHERE role = 'assistant')
+SELECT conv_id, turn, coalesce(CASE WHEN conv_id % 7 = 6 THEN 'http 500' ELSE nullif(concat_ws('|', CASE WHEN trim(text) = '' THEN 'empty answer' END, CASE WHEN turn % 4 = 1 THEN 'invented piece numbers [' || (conv_id + 1000000) || ']' END,
+  CASE WHEN kind = 0 AND turn % 2 = 0 THEN 'expected no tool, called [search]' END, CASE WHEN kind = 1 AND turn % 2 = 0 THEN 'called forbidden tool search' END,
+  CASE WHEN kind = 2 AND regexp_matches(text, '(?is)\\bthat\\b') THEN 'answer matches forbidden pattern \\bthat\\b' END, CASE WHEN kind = 3 AND handed THEN 'handed over, expected no handoff' END,
+  CASE WHEN kind = 4 AND len(regexp_extract_all(text, '[?]')) > 0 THEN len(regexp_extract_all(text, '[?]')) || ' question marks, at most 0' END), '') END, '') AS fails FROM c""")
+def quiz_checks(spark, d):
+    """Assistant turns as answers, scored by what the case of their conversation asks for."""
+    talk = table(spark, d, "conversations")
+    kind = F.col("conv_id") % 5
+    checks = {
+        "tools_any": F.lit(None), "no_tools": F.when(kind == 0, True), "forbid_tools": F.when(kind == 1, F.array(F.lit("search"))), "min_pieces": F.lit(None), "max_pieces": F.lit(None), "forbid_pieces": F.lit(None),
+        "reply_lang": F.lit(None), "forbid_patterns": F.when(kind == 2, F.array(F.lit(r"\bthat\b"))), "handoff": F.when(kind == 3, False), "max_questions": F.when(kind == 4, 0),
+    }
+    types = dict(c.split(" ", 1) for c in quiz.CHECKS.split(", "))
+    cases = talk.select("conv_id").distinct().select(F.col("conv_id").cast("string").alias("id"), F.lit("wear 7").alias("message"), F.struct(*[c.cast(types[n]).alias(n) for n, c in checks.items()]).alias("checks"))
+    answers = talk.filter("role = 'assistant'").select(
+        F.col("conv_id").cast("string").alias("id"), "conv_id", "turn", F.when(F.col("conv_id") % 7 == 6, 500).otherwise(200).alias("status"), F.col("text").alias("answer"),
+        F.when(F.col("turn") % 2 == 0, F.array(F.lit("search"))).alias("tools"), (F.col("turn") % 3 == 0).alias("handoff"),
+        F.when(F.col("turn") % 4 == 1, F.array((F.col("conv_id") + 1000000).cast("int"))).alias("unknown_refs"), F.lit(None).cast("array<map<string,string>>").alias("pieces"),
+    )
+    return quiz.scored(answers, cases).select("conv_id", "turn", F.array_join("fails", "|").alias("fails"))
+
+
+@query(r"""WITH c AS (SELECT conv_id, turn, coalesce(text, '') || ' {' || turn || '} or {' || (conv_id % 9 + 20) || '} , {' || (conv_id % 3 + 40) || '}.' AS text, conv_id % 9 + 20 AS b, conv_id % 3 + 40 AS e FROM conversations),
+k AS (SELECT *, turn % 2 = 0 AS known, conv_id % 3 = 1 AS typed FROM c),
+r AS (SELECT *, replace(replace(replace(text, '{' || turn || '}', CASE WHEN known THEN '<' || turn || '>' ELSE '' END), '{' || b || '}', ''), '{' || e || '}', CASE WHEN typed THEN e::VARCHAR ELSE '' END) AS t FROM k)
+SELECT conv_id, turn, sha256(regexp_replace(regexp_replace(regexp_replace(replace(t, '<' || turn || '>', '{' || turn || '}'), '[ \t]{2,}', ' ', 'g'), '\s+([.,;:!?])', '\1', 'g'), '^\s+|\s+$', '', 'g')) AS text, CASE WHEN known THEN [turn::BIGINT] ELSE []::BIGINT[] END AS used,
+  list_distinct(list_concat(CASE WHEN NOT known THEN [turn::BIGINT] ELSE []::BIGINT[] END, [b::BIGINT])) <> [] AS dropped, CASE WHEN typed THEN [e::BIGINT] ELSE []::BIGINT[] END AS echoed FROM r""")
+def placeholder_texts(spark, d):
+    """Turns that name three pieces: one that may be known, one that nobody knows, and one whose number the user may have typed."""
+    text = F.concat(F.coalesce("text", F.lit("")), F.lit(" {"), F.col("turn").cast("string"), F.lit("} or {"), (F.col("conv_id") % 9 + 20).cast("string"), F.lit("} , {"), (F.col("conv_id") % 3 + 40).cast("string"), F.lit("}."))
+    known = F.when(F.col("turn") % 2 == 0, F.array(F.col("turn").cast("int")))
+    told = table(spark, d, "conversations").select("conv_id", "turn", fn.resolve_placeholders(text, known, F.lit("not 41")).alias("t"))
+    return told.select("conv_id", "turn", F.sha2(F.col("t.text").cast("binary"), 256).alias("text"), F.col("t.used").alias("used"), (F.size("t.unknown") > 0).alias("dropped"), F.col("t.echoed").alias("echoed"))
+
+
 @query("SELECT conv_id, turn, dense_rank() OVER (PARTITION BY conv_id ORDER BY first) AS ref FROM (SELECT conv_id, turn, min(turn) OVER (PARTITION BY conv_id, role) AS first FROM conversations)")
 def reference_ledger(spark, d):
     """Numbers dealt to what a conversation names, in the order in which it is first named."""

@@ -95,11 +95,11 @@ def vector_checks(spark, d):
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id, catalogue ORDER BY score DESC, item_id) AS place FROM s WHERE catalogue <> 'dataset' OR score < 0.99) SELECT * FROM r WHERE place <= 2""")
 def similar_by_catalogue(spark, d):
     """The two best of each catalogue, the data set's own picture aside."""
-    kind = F.when(F.col("item_id") % 3 == 0, "shop").when(F.col("item_id") % 3 == 1, "dataset").otherwise("wardrobe")
-    pairs = queries_of(spark, d).join(vectors(spark, d).withColumn("catalogue", kind), "category").filter("query_id <> item_id")
-    scored = pairs.withColumn("score", F.round(dot(F.col("q"), F.col("embedding")), 6)).filter("catalogue <> 'dataset' or score < 0.99")
-    place = F.row_number().over(Window.partitionBy("query_id", "catalogue").orderBy(F.desc("score"), "item_id"))
-    return scored.withColumn("place", place).filter("place <= 2").select("query_id", "item_id", "catalogue", "score", "place")
+    parts = []
+    for number, catalogue in enumerate(("shop", "dataset", "wardrobe")):
+        own = vectors(spark, d).filter(F.col("item_id") % 3 == number)
+        parts.append(op.top_k(queries_of(spark, d), own, 2, ["category"], below=0.99 if catalogue == "dataset" else None).withColumn("catalogue", F.lit(catalogue)))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("query_id", "item_id", "catalogue", "score", "place")
 
 
 @query(f"""WITH s AS (SELECT a.vec_id AS query_id, b.vec_id AS item_id, round({_DOT}, 6) AS score FROM ({_Q}) a JOIN embeddings b ON a.vec_id <> b.vec_id AND a.vec_id // 3 <> b.vec_id // 3),

@@ -1,47 +1,45 @@
-"""Connectors as a Python data source: spark.read.format("weftline_listings") reads raw answers that a fetcher has landed."""
+"""Connectors: raw answers that a fetcher has landed on any file system, read by Spark and flattened by their kind."""
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
-from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-
-KINDS = ("shopify", "woocommerce", "snapshot")
-
-
-class Landed(DataSource):
-    """Raw answers, one JSON document a line, in files named by the option paths (comma-separated): a partition a file."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "weftline_listings"
-
-    def schema(self) -> str:
-        return "source_id string, kind string, line long, json string"
-
-    def reader(self, schema) -> DataSourceReader:
-        kind = self.options.get("kind", "snapshot")
-        if kind not in KINDS:
-            raise ValueError(f"kind must be one of {KINDS}, not {kind!r}")
-        return _Reader(self.options.get("source_id", ""), kind, [p for p in self.options.get("paths", "").split(",") if p])
-
-
-class _Reader(DataSourceReader):
-    def __init__(self, source_id: str, kind: str, paths: list[str]):
-        self.source_id, self.kind, self.paths = source_id, kind, paths
-
-    def partitions(self) -> list[InputPartition]:
-        return [InputPartition(p) for p in self.paths]
-
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        with open(partition.value, encoding="utf-8") as lines:
-            for number, line in enumerate(lines):
-                if line.strip():
-                    json.loads(line)  # a broken answer fails here, with its place, and not as nulls later
-                    yield self.source_id, self.kind, number, line.strip()
-
-
-def register(spark: SparkSession) -> None:
-    spark.dataSource.register(Landed)
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from weftline.sources import files, shops
+
+#: Raw answers are one JSON document a line, read in byte ranges wherever they lie. A flattener takes them (column json) and the source's settings.
+Flattener = Callable[[DataFrame, dict], DataFrame]
+
+KINDS: dict[str, Flattener] = {
+    "shopify": lambda answers, o: shops.shopify_listings(answers, o["base_url"], o.get("brand", "")),
+    "woocommerce": lambda answers, o: shops.woocommerce_listings(answers, o.get("brand", ""), currency=o.get("currency", "TND")),
+    "item_api": lambda answers, o: shops.api_items(answers, o["base_url"], o.get("brand", "")),
+    "category_tree": lambda answers, o: shops.category_leaves(answers.withColumn("source", F.lit(o.get("brand", ""))), "source"),
+    "product_pages": lambda answers, o: shops.product_pages(answers.select(F.from_json("json", "url string, html string").alias("p")).select("p.*")),
+    "sitemap": lambda answers, o: shops.sitemap_urls(answers.select(F.get_json_object("json", "$.xml").alias("xml")), keep=o.get("keep")),
+    "snapshot": lambda answers, o: answers.select(F.from_json("json", o["schema"]).alias("p")).select("p.*"),
+}
+#: Kinds whose files are tables already.
+TABLES: dict[str, Callable[[SparkSession, list[str], dict], DataFrame]] = {
+    "scraped_csv": lambda spark, paths, o: shops.scraped_listings(files.read_text_csv(spark, paths, o["columns"])),
+}
+
+
+def landed(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(path, json) of all lines that aren't blank; a line that is no JSON stops the run, with its file and its beginning."""
+    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("path"), F.trim("value").alias("value")).filter("value <> ''")
+    broken = F.raise_error(F.concat(F.lit("no JSON in "), "path", F.lit(": "), F.substring("value", 1, 60)))
+    return lines.select("path", F.when(F.try_parse_json("value").isNull(), broken).otherwise(F.col("value")).alias("json"))
+
+
+def fetch(spark: SparkSession, source_id: str, kind: str, paths: list[str], **settings) -> DataFrame:
+    """What a source's landed answers say, in its kind's own columns, with source_id first. An unknown kind is an error."""
+    if kind in TABLES:
+        told = TABLES[kind](spark, paths, settings)
+    elif kind in KINDS:
+        told = KINDS[kind](landed(spark, paths), settings)
+    else:
+        raise ValueError(f"kind must be one of {sorted([*KINDS, *TABLES])}, not {kind!r}")
+    return told.select(F.lit(source_id).alias("source_id"), "*")

@@ -68,3 +68,11 @@ def widest_vector(df: DataFrame, prefix: str = "e") -> DataFrame:
     own = sorted((c for c in df.columns if c.startswith(prefix) and c[len(prefix) :].isdigit()), key=lambda c: int(c[len(prefix) :]))
     vector = F.array(*[F.col(c).try_cast("float") for c in own])
     return df.withColumn("embedding", F.when(F.forall(vector, lambda x: x.isNotNull()), vector)).drop(*own)
+
+
+def read_cases(spark: SparkSession, path: str, schema: str, split: str = "all") -> DataFrame:
+    """Labelled cases, one JSON document a line, of one split (a case without one is "dev") or of all; two cases of one id stop the run."""
+    cases = spark.read.schema(schema).json(path, mode="FAILFAST").withColumn("split", F.coalesce("split", F.lit("dev")))
+    if twice := [r["id"] for r in cases.groupBy("id").count().filter("count > 1 or id is null").orderBy("id").limit(20).collect()]:
+        raise ValueError(f"{path}: cases of one id, or of none: {twice}")
+    return cases if split == "all" else cases.filter(F.col("split") == split)

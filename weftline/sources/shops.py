@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.functions.texts import section_gender
+from weftline.functions.texts import dinars, section_gender
 
 _PRODUCT = (
     "id long, title string, handle string, options array<struct<name:string,position:int>>, images array<struct<src:string,variant_ids:array<bigint>>>, "
@@ -62,6 +62,44 @@ def woocommerce_listings(answers: DataFrame, brand: str, column: str = "json", c
     )
 
 
+_ITEM = (
+    "ref string, title string, image string, price string, priceDiscounted string, color struct<name:string>, section struct<seoName:string>, "
+    "sizes map<string,array<struct<stock:int>>>"
+)
+# Sections of the item API and whom they are for.
+SECTION_GENDERS = {"femme": "women", "homme": "men"}
+
+
+def page_parts(url: Column) -> Column:
+    """(reference, section, group, sub_group) of a product page's address, .../catalogue/<section>/<group>/<sub-group>/<reference>-article-<name>;
+    levels that it lacks are null, and so is all of another page."""
+    parts = F.transform(F.filter(F.split(F.parse_url(url, F.lit("PATH")), "/"), lambda p: p != ""), lambda p: F.url_decode(F.replace(p, F.lit("+"), F.lit("%2B"))))
+    at = F.array_position(parts, "catalogue").cast("int")
+    last = F.element_at(parts, -1)
+    levels = F.slice(parts, at + 1, F.greatest(F.size(parts) - at - 1, F.lit(0)))
+    fits = (F.size(parts) > 0) & (at > 0) & last.contains("-article-")
+    told = F.struct(F.substring_index(last, "-article-", 1).alias("reference"), *[F.get(levels, F.lit(i)).alias(n) for i, n in enumerate(("section", "group", "sub_group"))])
+    return F.when(fits, told)
+
+
+def api_items(answers: DataFrame, base_url: str, brand: str, column: str = "json") -> DataFrame:
+    """A product of a shop's item API a row, its answer under item and its page's address under url: today's price, colour, sizes with and in stock.
+
+    The discounted price counts if there is one; a price in another currency stops the run. Without sizes nothing is known of the stock.
+    """
+    p = answers.select(F.get_json_object(column, "$.url").alias("url"), F.from_json(F.get_json_object(column, "$.item"), _ITEM).alias("i")).filter("i is not null").select("url", "i.*")
+    sizes = F.coalesce("sizes", F.create_map().cast("map<string,array<struct<stock:int>>>"))
+    there = F.map_keys(F.map_filter(sizes, lambda _, vs: F.exists(vs, lambda v: v["stock"] > 0)))
+    some = F.size(sizes) > 0
+    price = F.coalesce(F.nullif("priceDiscounted", F.lit("")), F.col("price"))
+    genders = F.create_map(*[F.lit(x) for pair in SECTION_GENDERS.items() for x in pair])
+    return p.select(
+        F.coalesce("ref", F.lit("")).alias("external_id"), "url", F.coalesce("title", F.lit("")).alias("title"), F.lit(brand).alias("brand"), F.coalesce("color.name", F.lit("")).alias("shop_colour"),
+        F.coalesce(genders[F.lower("section.seoName")], F.lit("")).alias("gender"), dinars(price).alias("price_tnd"), F.map_keys(sizes).alias("sizes"), there.alias("sizes_in_stock"),
+        F.when(some, F.size(there) > 0).alias("in_stock"), F.concat(F.lit(base_url + "api/image/get/product/"), "image").alias("image_url"), F.when(some, "colour").otherwise("product").alias("availability_level"),
+    )
+
+
 def sitemap_urls(maps: DataFrame, column: str = "xml", keep: str | None = None) -> DataFrame:
     """Distinct addresses of sitemaps, whatever their name space, with whether the map is an index of maps."""
     body = F.regexp_replace(column, r"<!\[CDATA\[(.*?)\]\]>", "$1")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import csv
+import time
+import uuid
 from collections.abc import Callable, Iterator, Mapping
 from pathlib import Path
 
@@ -10,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from weftline.functions.texts import cell
+
 
 def checked_overwrite(rows: DataFrame, violations: DataFrame, path: str) -> None:
     """Write rows only if violations (check_name, violations) finds nothing; what was there stays otherwise."""
@@ -36,6 +40,72 @@ def swap_in(rows: DataFrame, path: str) -> None:
     fs.delete(last, True)
 
 
+#: The file that names the current version of a published table, and how many versions stay beside it.
+POINTER, VERSIONS = "CURRENT", 2
+
+
+def publish(rows: DataFrame, path: str, keep: int = VERSIONS) -> str:
+    """Write rows as a new version under path and let the pointer name it; give the version's path.
+
+    The pointer is one small file that is written beside and renamed over the old one, which is one step: a reader that resolves it sees the old
+    version or the new, never none. A write that fails leaves the pointer as it was. All but the `keep` newest versions are removed, so a reader has
+    a run's time to finish.
+    """
+    spark = rows.sparkSession
+    version = f"v-{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+    rows.write.parquet(f"{path}/{version}")
+    point(spark, path, version)
+    fs, (root,) = _paths(spark, path)
+    held = sorted(s.getPath().getName() for s in fs.listStatus(root) if s.getPath().getName().startswith("v-"))
+    for old in held[:-keep] if keep else []:
+        if old != version:
+            fs.delete(_paths(spark, f"{path}/{old}")[1][0], True)
+    return f"{path}/{version}"
+
+
+def point(spark: SparkSession, path: str, version: str) -> None:
+    """Let the pointer of a published table name a version that is there."""
+    hadoop, (target, made) = spark._jvm.org.apache.hadoop.fs, _paths(spark, f"{path}/{POINTER}", f"{path}/{POINTER}.{uuid.uuid4().hex}")[1]
+    fs = target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    out = fs.create(made, True)
+    out.write(bytearray(version.encode()))
+    out.close()
+    kind = getattr(hadoop, "Options$Rename")
+    how = spark.sparkContext._gateway.new_array(kind, 1)
+    how[0] = kind.OVERWRITE
+    hadoop.FileContext.getFileContext(target.toUri(), spark._jsparkSession.sessionState().newHadoopConf()).rename(made, target, how)
+
+
+def published(spark: SparkSession, path: str) -> str:
+    """The path of a published table's current version."""
+    lines = spark.read.text(f"{path}/{POINTER}").collect()  # one line
+    if len(lines) != 1:
+        raise ValueError(f"{path} has no pointer of one line")
+    return f"{path}/{lines[0]['value']}"
+
+
+def pipe_table(rows: DataFrame, most: int = 1000) -> list[str]:
+    """rows as the lines of a pipe table, in their order; a report shows some dozens, and over `most` are refused."""
+    shown = rows.select(F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(cell(F.col(f"`{c}`").cast("string")), F.lit("")) for c in rows.columns]), F.lit(" |")).alias("line")).limit(most + 1).collect()
+    if len(shown) > most:
+        raise ValueError(f"a table of over {most} rows is no report")
+    head = [f"| {' | '.join(rows.columns)} |", f"| {' | '.join(['---'] * len(rows.columns))} |"]
+    return [*head, *(r["line"] for r in shown)] if shown else ["None."]
+
+
+def write_report(title: str, sections: Mapping[str, DataFrame], rows: DataFrame, path: str) -> None:
+    """rows as JSON lines under path/rows, and path/report.md with a pipe table for each section, on any file system."""
+    spark = rows.sparkSession
+    rows.write.mode("overwrite").json(f"{path}/rows")
+    text = [f"# {title}", ""]
+    for name, table in sections.items():
+        text += [f"## {name}", "", *pipe_table(table), ""]
+    fs, (target,) = _paths(spark, f"{path}/report.md")
+    out = fs.create(target, True)
+    out.write(bytearray("\n".join(text).encode()))
+    out.close()
+
+
 def append_log(rows: DataFrame, path: str, at: str) -> None:
     """Append to a log that is kept by day."""
     rows.withColumn("day", F.to_date(at)).write.mode("append").partitionBy("day").parquet(path)
