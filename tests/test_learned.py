@@ -45,8 +45,8 @@ def priced():
     x = rng.normal(size=(240, 6))
     x[:, 5] = 1.0  # no deviation
     logged = x @ np.array([0.3, -0.2, 0.1, 0, 0.4, 0]) + rng.normal(scale=0.3, size=240)
-    channel = np.where(rng.random(240) < 0.4, "friperie", "classified")
-    price = np.round(np.exp(3 + logged + (channel == "classified") * 0.7), 2)
+    channel = np.where(rng.random(240) < 0.4, "second hand", "ads")
+    price = np.round(np.exp(3 + logged + (channel == "ads") * 0.7), 2)
     category = rng.choice(["a", "b", "rare"], p=[0.6, 0.37, 0.03], size=240)
     return x, price, channel, category, rng.integers(0, 5, 240)
 
@@ -85,7 +85,7 @@ def test_served_errors_are_the_plain_loop(spark, priced):
     for i, (pct, served, error) in want.items():
         assert got[i]["pct"] == pytest.approx(pct) and got[i]["served"] == served and got[i]["error"] == pytest.approx(error)
     factors = {r["channel"]: (r["n"], r["factor"]) for r in price_model.typical_errors(told, "channel").collect()}
-    for c in ("friperie", "classified", "All"):
+    for c in ("second hand", "ads", "All"):
         of = [want[i][2] for i in want if c in ("All", channel[i])]
         assert factors[c] == (len(of), pytest.approx(np.exp(np.mean(of))))
 

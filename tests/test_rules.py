@@ -293,3 +293,20 @@ def test_concepts_in_common_or_in_contrast(spark):
     assert got == {(1, 2): ([0, 1], None), (1, 3): ([], (0, 5)), (1, 4): ([], None)}
     with pytest.raises(ValueError, match="broadcast"):
         vectors.concept_overlap(pairs, items, concepts, base, most=5)
+
+
+# ---- many sets at once
+def test_batched_scores_are_the_expressions(spark):
+    rng = random.Random(12)
+    pick = lambda values: rng.choice([None, *values])
+    rows = [
+        item(o, o * 10 + i, rng.choice([*outfits.SLOTS]), pick(outfits._SUBS), pick(outfits.GROUPS), pick(outfits._PATTERNS), rng.choice([None, 0.2, 0.9]))
+        for o in range(150) for i in range(rng.randint(1, 7))
+    ]
+    sets = outfits.as_sets(spark.createDataFrame(rows, ITEM), "outfit_id").withColumn("style", F.when(F.col("outfit_id") % 3 > 0, F.col("outfit_id") / 200))
+    told = sets.select(outfits.set_score(F.col("items"), F.col("style")).alias("a"), outfits.scored(F.col("items"), F.col("style")).alias("b"), outfits.set_score(F.col("items")).alias("c"), outfits.scored(F.col("items")).alias("d")).collect()
+    assert all((r["a"], r["c"]) == (r["b"], r["d"]) for r in told)
+    trials = sets.withColumns({"held": F.slice("items", 1, 2), "more": F.when(F.col("outfit_id") % 5 > 0, F.slice("items", 3, 9))})
+    want = F.transform("more", lambda o: outfits.set_score(F.concat("held", F.array(o))))
+    for r in trials.select(want.alias("w"), outfits.trial_scores(F.col("held"), F.col("more")).alias("g")).collect():
+        assert r["w"] == r["g"]

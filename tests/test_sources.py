@@ -90,7 +90,7 @@ def test_product_pages_and_rates(spark):
 
 
 ITEM_API = {"ref": "0049876", "title": "Robe", "image": "a.jpg", "price": "59.900 TND", "priceDiscounted": "29,90 TND", "color": {"name": "noir"}, "section": {"seoName": "Femme"}, "sizes": {"S": [{"stock": 0}], "M": [{"stock": 2}]}}
-PAGE = "https://ha.example.tn/catalogue/femme/robes/robe-longue/0049876-article-robe"
+PAGE = "https://shop.example.tn/catalogue/femme/robes/robe-longue/0049876-article-robe"
 
 
 def test_connectors_read_what_only_spark_can_open(spark, tmp_path):
@@ -98,11 +98,11 @@ def test_connectors_read_what_only_spark_can_open(spark, tmp_path):
     spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.store.link./in", f"file://{tmp_path}/in")
     bare = {"ref": "7", "title": "Sac", "image": "b.jpg", "price": None, "sizes": {}}
     (tmp_path / "in/items.jsonl").write_text("\n\n".join(json.dumps(x) for x in ({"url": PAGE, "item": ITEM_API}, {"url": PAGE, "item": bare}, {"url": PAGE, "item": None})))
-    got = {r["external_id"]: r for r in connectors.fetch(spark, "s1", "item_api", ["viewfs://store/in/items.jsonl"], base_url="https://ha.example.tn/", brand="HA").collect()}
+    got = {r["external_id"]: r for r in connectors.fetch(spark, "s1", "item_api", ["viewfs://store/in/items.jsonl"], base_url="https://shop.example.tn/", brand="Own").collect()}
     assert set(got) == {"0049876", "7"} and got["7"]["in_stock"] is None and got["7"]["availability_level"] == "product" and got["7"]["price_tnd"] is None
     r = got["0049876"]
     assert (r["source_id"], r["price_tnd"], r["gender"], r["shop_colour"], r["sizes_in_stock"], r["in_stock"]) == ("s1", 29.9, "women", "noir", ["M"], True)
-    assert sorted(r["sizes"]) == ["M", "S"] and r["image_url"] == "https://ha.example.tn/api/image/get/product/a.jpg"
+    assert sorted(r["sizes"]) == ["M", "S"] and r["image_url"] == "https://shop.example.tn/api/image/get/product/a.jpg"
 
 
 def test_connectors_dispatch_by_kind(spark, tmp_path):
@@ -121,6 +121,6 @@ def test_connectors_dispatch_by_kind(spark, tmp_path):
 
 
 def test_page_parts(spark):
-    rows = spark.createDataFrame([(PAGE,), ("https://ha.example.tn/catalogue/femme/12-article-x",), ("https://ha.example.tn/en/catalogue/a%20b/c%2Bd/e/1-article-y?z=1",), ("https://ha.example.tn/about",), ("https://ha.example.tn/1-article-x",)], "url string")
+    rows = spark.createDataFrame([(PAGE,), ("https://shop.example.tn/catalogue/femme/12-article-x",), ("https://shop.example.tn/en/catalogue/a%20b/c%2Bd/e/1-article-y?z=1",), ("https://shop.example.tn/about",), ("https://shop.example.tn/1-article-x",)], "url string")
     got = [r["p"] and tuple(r["p"]) for r in rows.select(shops.page_parts(F.col("url")).alias("p")).collect()]
     assert got == [("0049876", "femme", "robes", "robe-longue"), ("12", "femme", None, None), ("1", "a b", "c+d", "e"), None, None]

@@ -34,7 +34,7 @@ def complete_with(outfits: DataFrame, pool: DataFrame, key: str, owner: str, k:
     trial = F.concat("items", F.array("_new"))
     tried = outfits.join(options, F.col(owner) == F.col("_owner")).filter(~F.exists("items", lambda i: i["id"] == F.col("_new.id")))
     fit = tried.withColumn("_trial", trial).filter(F.size(sets.clash_reasons(F.col("_trial"))) == 0)
-    scored = fit.select(key, F.col("_new.id").alias("candidate"), sets.set_score(F.col("_trial")).alias("score"))
+    scored = fit.select(key, F.col("_new.id").alias("candidate"), sets.scored(F.col("_trial")).alias("score"))
     return scored.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "candidate"))).filter(F.col("place") <= k)
 
 
@@ -53,14 +53,14 @@ def buy_outfits(wardrobe: DataFrame, candidates: DataFrame, owner: str) -> DataF
     down = held.join(mine.filter("_slot = 'upper'"), owner).filter("_s = 'lower'").select(owner, "_must", F.array("_must", "_own").alias("items"))
     alone = mine.filter("_slot = 'full'").select(owner, "_must", F.array("_must").alias("items"))
     place = F.row_number().over(Window.partitionBy(owner).orderBy(F.desc("score"), key_of(F.col("items"))))
-    main = up.unionByName(down).unionByName(alone).withColumn("score", sets.set_score(F.col("items"))).withColumn("place", place).filter(F.col("place") <= sets.TOP_CORES)
+    main = up.unionByName(down).unionByName(alone).withColumn("score", sets.scored(F.col("items"))).withColumn("place", place).filter(F.col("place") <= sets.TOP_CORES)
     extra = sets.top_cores(wardrobe, owner, swimwear=None).join(mine.filter("_slot not in ('upper', 'lower', 'full')").select(owner, "_must"), owner)
     done = sets.complete(main.unionByName(extra.select(*main.columns)), wardrobe, owner, must="_must")
     same = wardrobe.groupBy(owner, F.col("category").alias("_c")).agg(F.array_sort(F.collect_list(sets.as_items())).alias("_rivals"))
     done = done.join(same, [F.col(f"_must.category") == F.col("_c"), done[owner] == same[owner]], "left").drop(same[owner])
     bare = F.filter("items", lambda i: i["id"] != F.col("_must.id"))
-    tried = F.transform(F.coalesce("_rivals", F.array().cast(done.schema["items"].dataType)), lambda o: F.struct(sets.set_score(F.concat(bare, F.array(o))).alias("score"), (-o["id"]).alias("last")))
-    rival = F.when(F.col("score") >= sets.GOOD_OUTFIT - 20, F.array_max(tried))
+    done = done.withColumn("_bare", bare).withColumn("_tried", sets.tried(F.col("_bare"), F.col("_rivals")))
+    rival = F.when(F.col("score") >= sets.GOOD_OUTFIT - 20, F.array_max("_tried"))
     return done.withColumn("_rival", rival).select(
         owner, F.col("_must.id").alias("candidate"), "items", "score", (-F.col("_rival.last")).alias("owned_id"), F.coalesce("_rival.score", F.lit(0.0)).alias("owned_score"),
         F.exists("items", lambda i: i["id"] == F.col("_must.id")).alias("stands"),

@@ -8,9 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType
+from pyspark.sql.types import ArrayType, DoubleType
 
 from weftline.functions.exprs import dot, looked_up, rescaled, set_key
 
@@ -223,18 +225,18 @@ def swaps(sets: DataFrame, pool: DataFrame, key: str, owner: str) -> DataFrame:
 
     A swap never clashes and isn't in the set already; of equal ones the least id wins; null and 0 if none gains.
     """
-    based = sets.withColumn("_base", set_score(F.col("items"))).withColumn("item", F.explode("items"))
+    based = sets.withColumn("_base", scored(F.col("items"))).withColumn("item", F.explode("items"))
     options = pool.select(F.col(owner).alias("_owner"), as_items().alias("_new"))
     trial = F.concat(F.filter("items", lambda i: i["id"] != F.col("item.id")), F.array("_new"))
-    tried = (
+    trials = (
         based.join(options, (F.col(owner) == F.col("_owner")) & (F.col("item.category") == F.col("_new.category")))
         .filter(~F.exists("items", lambda i: i["id"] == F.col("_new.id")))
         .withColumn("_trial", trial)
         .filter(F.size(clash_reasons(F.col("_trial"))) == 0)
-        .withColumn("_gain", F.round(set_score(F.col("_trial")) - F.col("_base"), 1))
+        .withColumn("_gain", F.round(scored(F.col("_trial")) - F.col("_base"), 1))
         .filter("_gain > 0")
     )
-    best = tried.groupBy(key, F.col("item.id").alias("item_id")).agg(F.max(F.struct("_gain", (-F.col("_new.id")).alias("_last"))).alias("_b"))
+    best = trials.groupBy(key, F.col("item.id").alias("item_id")).agg(F.max(F.struct("_gain", (-F.col("_new.id")).alias("_last"))).alias("_b"))
     return based.select(key, F.col("item.id").alias("item_id")).join(best, [key, "item_id"], "left").select(
         key, "item_id", (-F.col("_b._last")).alias("best_swap"), F.coalesce("_b._gain", F.lit(0.0)).alias("gain")
     )
@@ -250,9 +252,9 @@ def top_cores(wardrobe: DataFrame, owner: str, most: int = TOP_CORES, swimwear:
     pairs = of("upper", "_u").join(of("lower", "_l"), owner).select(owner, F.array("_u", "_l").alias("items"))
     fulls = of("full", "_f").filter(F.lit(swimwear is None) | ((F.col("_f.category") == "swimwear") == F.lit(bool(swimwear)))).select(owner, F.array("_f").alias("items"))
     cores = fulls if swimwear else pairs.unionByName(fulls)
-    scored = cores.withColumn("score", set_score(F.col("items")))
+    ranked = cores.withColumn("score", scored(F.col("items")))
     place = F.row_number().over(Window.partitionBy(owner).orderBy(F.desc("score"), set_key(F.transform("items", lambda i: i["id"].cast("string")))))
-    return scored.withColumn("place", place).filter(F.col("place") <= most)
+    return ranked.withColumn("place", place).filter(F.col("place") <= most)
 
 
 def spread(rows: DataFrame, key: str) -> DataFrame:
@@ -272,8 +274,7 @@ def complete(cores: DataFrame, wardrobe: DataFrame, owner: str, order: Iterable[
         if must:
             own = F.coalesce(F.col(f"{must}.category") == category, F.lit(False))
             options, forced = F.when(own, F.array(must)).otherwise(options), forced | own
-        tried = F.transform(options, lambda o: F.struct(set_score(F.concat("items", F.array(o))).alias("score"), (-o["id"]).alias("last"), o.alias("item")))
-        out = out.withColumn("_best", F.array_max(tried))
+        out = out.withColumn("_options", options).withColumn("_best", F.array_max(tried(F.col("items"), F.col("_options")))).drop("_options")
         rises = F.coalesce(forced | (F.col("_best.score") > F.col("score")), F.lit(False)) & F.col("_best").isNotNull()
         if category == "shoes":
             rises &= ~F.exists("items", lambda i: i["category"] == "swimwear")
@@ -336,3 +337,119 @@ def weakest(swaps_of: DataFrame, key: str, least_gain: float | None = 0.0) -> Da
     first = F.min_by(F.struct("item_id", "best_swap", "gain"), F.struct(-F.col("gain"), F.col("item_id")))
     over = swaps_of if least_gain is None else swaps_of.filter(F.col("gain") > least_gain)
     return over.groupBy(key).agg(first.alias("_w")).select(key, "_w.*")
+
+
+# ---- scores of many sets at once
+_CODES = ("c", "k", "p", "u")
+_SLOT_NAMES = tuple(dict.fromkeys(SLOTS.values()))
+_SLOT_OF = np.array([_SLOT_NAMES.index(SLOTS[c]) for c in _CATEGORIES])
+_LIMITS = np.array([MOST_ITEMS.get(c, 1) for c in _CATEGORIES])
+_BOLD = np.array([GROUPS[c] not in ("neutral", "metal") for c in _COLOURS])
+
+
+def _table(names: tuple[str, ...], score: Callable[[str, str], float]) -> np.ndarray:
+    return np.array([[score(a, b) for b in names] for a in names], dtype=np.float64)
+
+
+_TABLES = {
+    "k": _table(_COLOURS, _colour_pair), "p": _table(_PATTERNS, lambda a, b: _either(PATTERN_PAIRS, a, b)), "u": _table(_SUBS, lambda a, b: _either(SUB_PAIRS, a, b)),
+}
+
+
+def _pair_scores(of: np.ndarray, codes: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(set, score) of all pairs of known codes of a set; of numbers the sets in order."""
+    known = codes >= 0
+    of, codes = of[known], codes[known]
+    ends = np.searchsorted(of, of, side="right")
+    after = ends - 1 - np.arange(len(of))
+    x = np.repeat(np.arange(len(of)), after)
+    y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(after) - after, after)
+    return of[x], table[codes[x], codes[y]]
+
+
+def _least(n: int, of: np.ndarray, values: np.ndarray, none: float) -> np.ndarray:
+    out = np.full(n, none)
+    np.fmin.at(out, of, values)
+    return out
+
+
+def _scores_of(n: int, of: np.ndarray, codes: dict[str, np.ndarray], style: np.ndarray | None = None) -> np.ndarray:
+    """set_score() of n sets, given as codes of items and the number of the set that each is in, in order; style is nan where unknown."""
+    count = lambda which: np.bincount(of[which], minlength=n)
+    pairs, scores = _pair_scores(of, codes["k"], _TABLES["k"])
+    known = codes["k"] >= 0
+    bold = known & _BOLD[np.maximum(codes["k"], 0)]
+    different = np.unique(of[bold] * len(_COLOURS) + codes["k"][bold]) // len(_COLOURS)
+    excess = np.maximum(np.bincount(different, minlength=n) - MOST_BOLD, 0) * BOLD_PENALTY
+    n_known = count(known)
+    n_pairs = np.maximum(n_known * (n_known - 1) // 2, 1)
+    colour = np.where(n_known >= 2, np.maximum(np.bincount(pairs, scores, n) / n_pairs - excess, 0.0), np.nan)
+    pairs, scores = _pair_scores(of, codes["p"], _TABLES["p"])
+    pattern = np.where(count(codes["p"] >= 0) > 0, _least(n, pairs, scores, 1.0), np.nan)
+    has = np.zeros((n, len(_SLOT_NAMES)), dtype=bool)
+    placed = codes["c"] >= 0
+    slot = _SLOT_OF[codes["c"][placed]]
+    has[of[placed], slot] = True
+    full, upper, lower, feet = (has[:, _SLOT_NAMES.index(s)] for s in ("full", "upper", "lower", "feet"))
+    dry = np.zeros(n, dtype=bool)
+    dry[of[placed][(slot == _SLOT_NAMES.index("full")) & (codes["c"][placed] != _CATEGORIES.index("swimwear"))]] = True
+    core = full | (upper & lower)
+    worth = np.where(core & (feet | (full & ~dry)), 1.0, np.where(core, NO_SHOES, INCOMPLETE)) * np.where(full & lower, OVER_LIMIT, 1.0)
+    cats, times = np.unique(of[placed] * len(_CATEGORIES) + codes["c"][placed], return_counts=True)
+    over = np.bincount(cats // len(_CATEGORIES), np.maximum(times - _LIMITS[cats % len(_CATEGORIES)], 0), n)
+    pairs, scores = _pair_scores(of, codes["u"], _TABLES["u"])
+    structure = worth * OVER_LIMIT**over * _least(n, pairs, scores, 1.0)
+    parts = {"style": style, "colour": colour, "pattern": pattern, "structure": structure}
+    weight, points = np.zeros(n), np.zeros(n)
+    for name, values in parts.items():
+        if values is not None:
+            there = ~np.isnan(values)
+            weight[there] += WEIGHTS[name]
+            points[there] += WEIGHTS[name] * values[there]
+    tenths = np.round(1000 * points / weight, 8)
+    return np.rint(tenths) / 10
+
+
+def _coded(column: pa.Array) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """How many items each row has, and their codes one after another, -1 for unknown."""
+    sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    fields = column.flatten().flatten()
+    return sizes, {c: f.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64) for c, f in zip(_CODES, fields, strict=True)}
+
+
+@F.arrow_udf(DoubleType())
+def _row_scores(items: pa.Array, style: pa.Array) -> pa.Array:
+    sizes, codes = _coded(items)
+    return pa.array(_scores_of(len(sizes), np.repeat(np.arange(len(sizes)), sizes), codes, style.cast(pa.float64()).fill_null(np.nan).to_numpy(zero_copy_only=False)), pa.float64())
+
+
+@F.arrow_udf(ArrayType(DoubleType()))
+def _trial_scores(items: pa.Array, options: pa.Array) -> pa.Array:
+    (own, held), (more, new) = _coded(items), _coded(options)
+    row = np.repeat(np.arange(len(own)), more)  # of each trial
+    each = own[row]
+    at = np.repeat((np.cumsum(own) - own)[row], each) + np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+    of = np.concatenate([np.repeat(np.arange(len(row)), each), np.arange(len(row))])
+    order = np.argsort(of, kind="stable")
+    scores = _scores_of(len(row), of[order], {c: np.concatenate([held[c][at], new[c]])[order] for c in _CODES})
+    ends = pa.array(np.concatenate([[0], np.cumsum(more)]), pa.int32())
+    return pa.ListArray.from_arrays(ends, pa.array(scores, pa.float64()), mask=options.is_null())
+
+
+def _codes(items: Column) -> Column:
+    return F.transform(items, lambda i: F.struct(*[i[c].alias(c) for c in _CODES]))
+
+
+def scored(items: Column, style: Column | None = None) -> Column:
+    """set_score(), told for a batch of rows at once; it can't stand in a lambda."""
+    return _row_scores(_codes(items), F.lit(None).cast("double") if style is None else style)
+
+
+def trial_scores(items: Column, options: Column) -> Column:
+    """For each option the score of the items with it, an array beside options; null for null options."""
+    return _trial_scores(_codes(items), _codes(options))
+
+
+def tried(items: Column, options: Column) -> Column:
+    """(score, last, item) of each option, so that the greatest is the best, and of equal ones that of the least id."""
+    return F.zip_with(options, trial_scores(items, options), lambda o, s: F.struct(s.alias("score"), (-o["id"]).alias("last"), o.alias("item")))

@@ -57,7 +57,7 @@ def verdict_assess(spark, d):
 @query()
 def pick_three(spark, d):
     """A draw by hash within a fold; tests state its rules."""
-    scored = _orders(spark, d).withColumn("score", sets.set_score(F.col("items"))).withColumn("outfit_key", op.key_of(F.col("items")))
+    scored = _orders(spark, d).withColumn("score", sets.scored(F.col("items"))).withColumn("outfit_key", op.key_of(F.col("items")))
     best = scored.dropDuplicates(["owner", "outfit_key"])
     band = F.ntile(3).over(Window.partitionBy("owner").orderBy(F.desc("score"), "outfit_key"))
     label = F.when(band == 1, "safe").when(band == 2, "bolder").otherwise("experimental")

@@ -85,7 +85,7 @@ def pair_style(spark, d):
 def outfit_score(spark, d):
     rows = styled(spark, d)
     sets = op.as_sets(rows, "outfit_id").join(op.coherence(rows, "outfit_id", "embedding", 64), "outfit_id", "left")
-    return sets.select("outfit_id", op.set_score(F.col("items"), F.col("style")).alias("score"))
+    return sets.select("outfit_id", op.scored(F.col("items"), F.col("style")).alias("score"))
 
 
 _TASTE_SQL = """own AS (SELECT owner, e.embedding FROM wardrobe w, n JOIN embeddings e ON e.vec_id = w.item_id % n.top), dims AS (SELECT owner, i, avg(embedding[i]::DOUBLE) AS x, count(*) AS n FROM own, range(1, 65) t(i) GROUP BY ALL),
@@ -209,7 +209,7 @@ def contributions(spark, d):
     """Tenths of points that each part gives, rounded so that they sum to the score."""
     sets = op.as_sets(wears(spark, d), "outfit_id")
     named = (("colour", op.colour_part), ("pattern", op.pattern_part), ("structure", op.structure_part))
-    out = sets.select("outfit_id", *[f(F.col("items")).alias(n) for n, f in named], op.set_score(F.col("items")).alias("score"))
+    out = sets.select("outfit_id", *[f(F.col("items")).alias(n) for n, f in named], op.scored(F.col("items")).alias("score"))
     weight = F.when(F.col("colour").isNull(), 0).otherwise(30) + F.when(F.col("pattern").isNull(), 0).otherwise(15) + 20
     points = [F.round(F.coalesce(F.col(c) * w / weight, F.lit(0.0)) / 100, 6) for c, w in (("colour", 300000), ("pattern", 150000), ("structure", 200000))]
     whole = largest_remainder(F.array(*points), F.round(F.col("score") * 10))
@@ -238,7 +238,7 @@ SELECT owner, outfit_id, CASE ntile(3) OVER (PARTITION BY owner ORDER BY score D
 def label_thirds(spark, d):
     """An owner's outfits by score in three even bands."""
     owners = table(spark, d, "orders").select(F.col("o_orderkey").alias("outfit_id"), F.col("o_custkey").alias("owner"))
-    scored = op.as_sets(wears(spark, d), "outfit_id").select("outfit_id", op.set_score(F.col("items")).alias("score")).join(owners, "outfit_id")
+    scored = op.as_sets(wears(spark, d), "outfit_id").select("outfit_id", op.scored(F.col("items")).alias("score")).join(owners, "outfit_id")
     band = F.ntile(3).over(Window.partitionBy("owner").orderBy(F.desc("score"), "outfit_id"))
     return scored.withColumn("band", band).select("owner", "outfit_id", F.when(F.col("band") == 1, "safe").when(F.col("band") == 2, "bolder").otherwise("experimental").alias("label"))
 
@@ -249,7 +249,7 @@ SELECT outfit_key, score, row_number() OVER (ORDER BY score - 5 * worn DESC, out
 def wear_penalty_top(spark, d):
     """Each set of items once at its best score; the fifty best when lately worn items cost five points each."""
     sets = op.as_sets(wears(spark, d), "outfit_id")
-    keyed = sets.select(set_key(F.transform("items", lambda i: i["id"].cast("string"))).alias("outfit_key"), op.set_score(F.col("items")).alias("score"), F.size(F.filter("items", lambda i: i["id"] % 7 == 0)).alias("worn"))
+    keyed = sets.select(set_key(F.transform("items", lambda i: i["id"].cast("string"))).alias("outfit_key"), op.scored(F.col("items")).alias("score"), F.size(F.filter("items", lambda i: i["id"] % 7 == 0)).alias("worn"))
     best = keyed.groupBy("outfit_key").agg(F.max("score").alias("score"), F.max("worn").alias("worn"))
     top = best.orderBy(F.desc(F.col("score") - 5 * F.col("worn")), "outfit_key").limit(50)
     return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc(F.col("score") - 5 * F.col("worn")), "outfit_key"))).drop("worn")
