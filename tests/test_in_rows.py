@@ -1,10 +1,12 @@
 """Outfits told within an owner's row: the same as by joins, and no shuffle but the one by owner."""
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
 from weftline.operators import outfits
+from weftline.plans.registry import QUERIES
 from weftline.plans.bind import CATEGORIES, COLOURS, PATTERNS, SUB_CATEGORIES
 
 OWNED = "owner long, item_id long, category string, sub_category string, colour string, pattern string, pattern_conf double"
@@ -33,3 +35,9 @@ def test_fit_scores_leave_out_what_clashes(spark):
     want = F.transform("b", lambda o: F.when(fits(o), outfits.set_score(F.concat("a", F.array(o)))))
     for r in sets.select(want.alias("want"), outfits.fit_scores(F.col("a"), F.col("b")).alias("got")).collect():
         assert r["want"] == r["got"]
+
+
+def test_vectors_meet_outfits_where_they_are_summed(spark):
+    plan = QUERIES["pair_style"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    moves = re.findall(r"Exchange hashpartitioning\(outfit_id#\d+L?, \d+\), (\w+)", plan)
+    assert moves == ["REPARTITION_BY_NUM"]
