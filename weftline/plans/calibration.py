@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from weftline.functions.exprs import split_of
+from weftline.functions.exprs import signed_round, split_of
 from weftline.operators import boosting, calibration, colours
 from weftline.operators import vectors as vec
 from weftline.operators.timeline import as_of
@@ -105,7 +105,7 @@ def colour_features(spark, d):
     pictures = table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("item_id")).agg(F.collect_list(pixel).alias("pixels"))
     told = colours.colour_features(pictures, "pixels")
     counted = F.transform("cells", lambda c: F.concat_ws(":", c["cell"].cast("string"), F.round(c["share"] * F.col("n_pixels")).cast("long").cast("string")))
-    rounded = [F.transform(c, lambda x: F.round(x, 4)).alias(c) for c in ("percentiles", "means", "deviations")]
+    rounded = [F.transform(c, lambda x: signed_round(x, 4)).alias(c) for c in ("percentiles", "means", "deviations")]
     return told.select("item_id", "n_pixels", F.array_join(counted, "|").alias("cells"), *rounded)
 
 
