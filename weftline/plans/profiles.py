@@ -46,7 +46,7 @@ def outfit_size_histogram(spark, d):
 @query(f"WITH {WEARS_SQL}, o AS (SELECT outfit_id, bool_or(category = 'top') AND bool_or(category = 'bottom') OR bool_or(category = 'dress') AS complete, count(*) > count(DISTINCT category) AS repeats FROM wears GROUP BY 1) SELECT complete, repeats, count(*) AS outfits FROM o GROUP BY ALL")
 def repeat_category_share(spark, d):
     has = lambda c: F.bool_or(F.col("category") == c)
-    seen = wears(spark, d).groupBy("outfit_id").agg(((has("top") & has("bottom")) | has("dress")).alias("complete"), (F.count(F.lit(1)) > F.countDistinct("category")).alias("repeats"))
+    seen = wears(spark, d).groupBy("outfit_id").agg(((has("top") & has("bottom")) | has("dress")).alias("complete"), (F.count(F.lit(1)) > F.size(F.collect_set("category"))).alias("repeats"))
     return seen.groupBy("complete", "repeats").agg(F.count(F.lit(1)).alias("outfits"))
 
 
