@@ -1,10 +1,16 @@
 """Results to the last bit, and work that grows no faster than its input."""
 
 import os
+import random
 
 import duckdb
+import numpy as np
 from pyspark.sql import functions as F
 
+from weftline import session
+from weftline.functions.exprs import largest_remainder, largest_remainders
+from weftline.operators import insights, outfits
+from weftline.plans.bind import CATEGORIES, COLOURS, PATTERNS, SUB_CATEGORIES, wears
 from weftline.plans.registry import ORACLE, QUERIES
 
 SMALL = "/root/testdata/sf0.01"
@@ -24,3 +30,79 @@ def test_colour_features_keep_the_sign_of_zero(spark, tmp_path):
     got = plain([list(r) for r in QUERIES["colour_features"](spark, str(tmp_path)).collect()])
     assert got == plain([list(r) for r in _sql("colour_features", str(tmp_path)).fetchall()])
     assert "-0.0" in got[0]
+
+
+def _wears(spark, n=400):
+    rng = random.Random(7)
+    maybe = lambda names: rng.choice([*names, None])
+    kinds = [(i, rng.choice((*CATEGORIES, "hat")), maybe(SUB_CATEGORIES), maybe(COLOURS), maybe(PATTERNS), rng.random()) for i in range(200)]
+    rows = [(k, *kinds[i]) for k in range(n) for i in rng.sample(range(200), rng.choice((1, 2, 4, 7, 30)))]
+    return spark.createDataFrame(rows, "owner long, item_id long, category string, sub_category string, colour string, pattern string, pattern_conf double")
+
+
+def test_batched_parts_are_the_expressions(spark):
+    sets = outfits.as_sets(_wears(spark), "owner")
+    items = F.col("items")
+    told = sets.select(outfits.parts_of(items).alias("p"), *[f(items).alias(n) for n, f in (("c", outfits.colour_part), ("q", outfits.pattern_part), ("s", outfits.structure_part), ("x", outfits.set_score))]).collect()
+    for r in told:
+        assert tuple(r["p"]) == (r["c"], r["q"], r["s"], r["x"])
+    assert {None} < {r["c"] for r in told} and {None} < {r["q"] for r in told}
+
+
+def _built_plainly(chosen, held):
+    """insights.build() of one owner by the expressions' own scores, told in plain Python over outfits._scores_of for one set at a time."""
+    def score(items):
+        codes = {c: np.array([[i[c] if i[c] is not None else -1 for i in items]]) for c in ("c", "k", "p", "u")}
+        return float(outfits._scores_of(codes)[0])
+
+    def clash(items):
+        subs, cats = [i["sub_category"] for i in items if i["sub_category"]], [i["category"] for i in items]
+        return len(set(subs)) < len(subs) or any(cats.count(c) > outfits.MOST_ITEMS.get(c, 1) for c in cats)
+
+    def options(items):
+        fits = [o for o in held if o["id"] not in {i["id"] for i in items} and not clash([*items, o])]
+        return sorted(((-score([*items, o]), o["id"], o) for o in fits), key=lambda x: x[:2])
+
+    def complete(items):
+        slots = {i["slot"] for i in items}
+        return ("full" in slots or {"upper", "lower"} <= slots) and ("feet" in slots or any(i["category"] == "swimwear" for i in items))
+
+    out = []
+    for low, first, item in options(chosen)[: insights.FIRST_ADDITIONS]:
+        items = [*chosen, item]
+        for _ in range(insights.MOST_ADDITIONS - 1):
+            more = [] if complete(items) else options(items)
+            if not more:
+                break
+            low, _, item = more[0]
+            items.append(item)
+        out.append((first, tuple(i["id"] for i in items), -low))
+    return sorted(out)
+
+
+def test_outfits_are_built_within_an_owners_row(spark):
+    owned = _wears(spark, 60)
+    chosen = owned.groupBy("owner").agg(F.array(F.min_by(outfits.as_items(), F.col("item_id"))).alias("items"))
+    built = insights.build(chosen, owned, "owner")
+    got = {}
+    for r in built.collect():
+        got.setdefault(r["owner"], []).append((r["first"], tuple(i["id"] for i in r["items"]), r["score"]))
+    held = {r["owner"]: r["items"] for r in outfits.as_sets(owned, "owner").collect()}
+    want = {o: _built_plainly(i[:1], i) for o, i in held.items()}
+    assert {o: sorted(v) for o, v in got.items()} == {o: v for o, v in want.items() if v}
+
+
+def test_largest_remainders_of_columns(spark):
+    rng = random.Random(1)
+    rows = [[rng.choice((rng.random() * 9, 1.5, 2.25, 3.0)) for _ in range(3)] for _ in range(300)]
+    df = spark.createDataFrame([(*r, float(round(sum(r)))) for r in rows], "a double, b double, c double, t double")
+    told = df.select(F.array(*largest_remainders([F.col(c) for c in "abc"], F.col("t"))).alias("x"), largest_remainder(F.array("a", "b", "c"), F.col("t")).alias("y")).collect()
+    assert all(r["x"] == r["y"] for r in told)
+
+
+def test_outfits_are_dealt_by_outfit_over_tasks_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(session, "ROWS_A_TASK", 5000)
+    assert wears(spark, SMALL).rdd.getNumPartitions() == -(-spark.read.parquet(f"{SMALL}/lineitem.parquet").count() // 5000)
+    for name in ("repeat_category_share", "contributions"):
+        plan = QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(outfit_id" in plan and plan.count("hashpartitioning(outfit_id") == 1
