@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from weftline import session
 from weftline.functions.exprs import largest_remainder, largest_remainders
-from weftline.operators import insights, outfits
+from weftline.operators import advice, insights, learned, outfits
 from weftline.plans.bind import CATEGORIES, COLOURS, PATTERNS, SUB_CATEGORIES, wears
 from weftline.plans.registry import ORACLE, QUERIES
 
@@ -106,3 +106,45 @@ def test_outfits_are_dealt_by_outfit_over_tasks_by_their_number(spark, monkeypat
     for name in ("repeat_category_share", "contributions"):
         plan = QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
         assert "hashpartitioning(outfit_id" in plan and plan.count("hashpartitioning(outfit_id") == 1
+
+
+def test_a_swapped_sets_style_is_told_by_sums(spark):
+    rng = np.random.default_rng(5)
+    looks = {v: rng.normal(size=4) / 2 for v in range(20)}
+    owned = _wears(spark, 40).withColumnRenamed("owner", "k")
+    pool = owned.drop("k").dropDuplicates(["item_id"])
+    held = {}
+    for r in owned.select("k", "item_id").collect():
+        held.setdefault(r["k"], []).append(r["item_id"])
+    known = [r["item_id"] for r in pool.collect()]
+    pairs = [(k, ids[0], next(i for i in known if i not in ids)) for k, ids in held.items()]
+    tests = spark.createDataFrame(pairs, "k long, true_id long, fake_id long")
+    table = spark.createDataFrame([(v, [float(x) for x in x4]) for v, x4 in looks.items()], "look long, embedding array<double>")
+    named = lambda df: df.withColumn("look", F.when(F.col("item_id") % 23 < 20, F.col("item_id") % 23))
+    late = learned.part_differences(tests, named(owned), named(pool), "k", "embedding", 4, table).collect()
+    early = lambda df: named(df).join(table, "look", "left").drop("look")
+    got = {r["k"]: r["differences"] for r in late}
+    for r in learned.part_differences(tests, early(owned), early(pool), "k", "embedding", 4).collect():
+        assert np.allclose(r["differences"], got[r["k"]], atol=1e-12)
+    whole = owned.withColumn("_real", F.lit(1)).join(tests, "k").cache()
+    kept = whole.filter("item_id <> true_id").select(*owned.columns)
+    fakes = tests.select("k", F.col("fake_id").alias("item_id")).join(pool, "item_id").select(*owned.columns)
+    sides = []
+    for rows in (owned, kept.unionByName(fakes)):
+        sets = outfits.as_sets(rows, "k").join(outfits.coherence(early(rows), "k", "embedding", 4), "k", "left")
+        told = sets.select("k", "style", outfits.colour_part(F.col("items")), outfits.pattern_part(F.col("items")), outfits.structure_part(F.col("items"))).collect()
+        sides.append({r[0]: np.array([0.5 if x is None else x for x in r[1:]]) for r in told})
+    assert len(got) == len(held)
+    for k in held:
+        assert np.allclose(got[k], sides[0][k] - sides[1][k], atol=1e-9)
+    plan = learned.part_differences(tests, named(owned), named(pool), "k", "embedding", 4, F.broadcast(table))._jdf.queryExecution().executedPlan().toString()
+    assert all("embedding" not in line for line in plan.splitlines() if "Exchange hashpartitioning" in line) and plan.count("Union") == 0
+
+
+def test_swap_tests_meet_rows_of_their_ring(spark):
+    pool = spark.createDataFrame([(i, "a") for i in range(200)], "item_id long, category string")
+    members = spark.createDataFrame([(k, i, "a") for k in range(30) for i in range(k, k + 4)], "k long, item_id long, category string")
+    told = advice.swap_tests(members, "k", pool, "s")
+    assert told.count() == 30
+    plan = told._jdf.queryExecution().optimizedPlan().toString()
+    assert "_ring" in plan and "Window" not in plan.split("_held")[0]

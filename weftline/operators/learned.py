@@ -70,20 +70,29 @@ def worn_hints(photos: DataFrame, features: str, looks_new: str, by: list[str] =
     return percentiles(scored, "score", list(by)).withColumn("worn_hint", F.col("pct") < share)
 
 
-def part_differences(tests: DataFrame, members: DataFrame, pool: DataFrame, key: str, vector: str, size: int) -> DataFrame:
+def part_differences(tests: DataFrame, members: DataFrame, pool: DataFrame, key: str, vector: str, size: int, looks: DataFrame | None = None) -> DataFrame:
     """(key, differences): for each test (key, true_id, fake_id) what the true set's parts have over those of the set with the fake in, in order of
-    outfits.WEIGHTS; a part that can't be computed counts as UNKNOWN_PART. members are (key, item), pool the items that stand in."""
-    item = [c for c in pool.columns]
-    true_sets = members.join(tests.select(key), key, "left_semi").select(key, *item)
-    kept = true_sets.join(tests.select(key, F.col("true_id").alias("item_id")), [key, "item_id"], "left_anti")
-    fakes = tests.select(key, F.col("fake_id").alias("item_id")).join(pool, "item_id").select(key, *item)
-    both = true_sets.withColumn("_real", F.lit(1)).unionByName(kept.unionByName(fakes).withColumn("_real", F.lit(0)))
-    styles = outfits.coherence(both.withColumn("_k", F.struct(key, "_real")), "_k", vector, size).select("_k.*", "style")
-    items = outfits.as_sets(both, key, "_real").join(styles, [key, "_real"], "left")
-    parts = {"style": F.col("style"), "colour": outfits.colour_part(F.col("items")), "pattern": outfits.pattern_part(F.col("items")), "structure": outfits.structure_part(F.col("items"))}
-    scored = items.select(key, "_real", F.array(*[F.coalesce(parts[p], F.lit(UNKNOWN_PART)) for p in outfits.WEIGHTS]).alias("_p"))
-    sides = scored.groupBy(key).agg(*[F.max(F.when(F.col("_real") == r, F.col("_p"))).alias(f"_{r}") for r in (0, 1)])
-    return sides.select(key, F.zip_with("_1", "_0", lambda a, b: a - b).alias("differences")).filter("differences is not null")
+    outfits.WEIGHTS; a part that can't be computed counts as UNKNOWN_PART. members are (key, item), pool the items that stand in; both name their
+    vector by a column `look` and looks has (look, vector), or, without looks, both have the vector itself.
+
+    A set's vectors are summed once: the set with the fake in has the same sum but for two of them, so no set is built twice.
+    """
+    name = vector if looks is None else "look"
+    item = outfits.as_items()
+    fakes = tests.select(key, "true_id", "fake_id").join(pool.select(F.col("item_id").alias("fake_id"), item.alias("_fake"), F.col(name).alias("_new")), "fake_id").drop("fake_id")
+    rows = members.join(fakes, key).select(key, item.alias("_i"), "true_id", "_fake", "_new", F.when(F.col("item_id") == F.col("true_id"), F.col(name)).alias("_old"))
+    one = [F.first(c, ignorenulls=True).alias(c) for c in ("true_id", "_fake", "_new", "_old")]
+    sets = rows.groupBy(key).agg(F.array_sort(F.collect_list("_i")).alias("_real"), *one)
+    looked = members if looks is None else members.select(key, name).join(looks.select(name, vector), name)
+    sets = sets.join(outfits._vector_sums(looked, key, vector, size), key, "left")
+    for side in () if looks is None else ("_old", "_new"):
+        sets = sets.join(looks.select(F.col(name).alias(side), F.col(vector).alias(f"{side}v")), side, "left").drop(side).withColumnRenamed(f"{side}v", side)
+    swapped = F.array_sort(F.concat(F.filter("_real", lambda i: i["id"] != F.col("true_id")), F.array("_fake")))
+    styles = (outfits._coherence(), outfits.swapped_coherence(F.col("_old"), F.col("_new"), size))
+    told = sets.select(key, F.col("_real"), swapped.alias("_swapped"), *[s.alias(f"_style{i}") for i, s in enumerate(styles)])
+    parts = [F.struct(F.col(f"_style{i}").alias("style"), outfits.parts_of(F.col(c)).alias("of")) for i, c in enumerate(("_real", "_swapped"))]
+    of = lambda side, part: F.coalesce(side["style"] if part == "style" else side["of"][part], F.lit(UNKNOWN_PART))
+    return told.select(key, *[p.alias(f"_p{i}") for i, p in enumerate(parts)]).select(key, F.array(*[of(F.col("_p0"), p) - of(F.col("_p1"), p) for p in outfits.WEIGHTS]).alias("differences"))
 
 
 def part_weights(differences: DataFrame, column: str = "differences") -> dict[str, float]:

@@ -7,10 +7,10 @@ from weftline.operators import fits, learned, price_model
 from weftline.operators import advice as tests_of
 from weftline.plans.advice import grouped_folds
 from weftline.plans.bind import items, vectors, wears
-from weftline.plans.outfits import styled
 from weftline.plans.prices import _banded
 from weftline.plans.registry import query
 from weftline.session import table
+from weftline.session_dirs import ensure_checkpoint_dir
 
 
 def _priced(spark, d):
@@ -69,9 +69,12 @@ def worn_hint_probe(spark, d):
 @query()
 def learned_weights(spark, d):
     """What the parts of true outfits weigh against those of outfits with one item swapped."""
-    pool = items(spark, d)
-    top = vectors(spark, d).agg((F.max("item_id") + 1).alias("top"))
-    looks = pool.join(F.broadcast(top)).withColumn("vec", F.pmod("item_id", "top")).join(vectors(spark, d).select(F.col("item_id").alias("vec"), "embedding"), "vec", "left").drop("vec", "top")
-    tests = tests_of.swap_tests(wears(spark, d), "outfit_id", pool, "s1")
-    found = learned.part_weights(learned.part_differences(tests, styled(spark, d).drop("vec", "top"), looks, "outfit_id", "embedding", 64))
+    ensure_checkpoint_dir(spark)
+    looks = vectors(spark, d).select(F.col("item_id").alias("look"), "embedding")
+    top = F.broadcast(looks.agg((F.max("look") + 1).alias("top")))  # one number
+    named = lambda rows: rows.join(top).withColumn("look", F.pmod("item_id", "top")).drop("top")
+    members, pool = wears(spark, d), items(spark, d)
+    tests = tests_of.swap_tests(members, "outfit_id", pool, "s1").drop("wrong").checkpoint()  # three numbers an outfit
+    differences = learned.part_differences(tests, named(members), named(pool), "outfit_id", "embedding", 64, looks)
+    found = learned.part_weights(differences)
     return spark.createDataFrame(list(found.items()), "part string, weight double")  # four rows
