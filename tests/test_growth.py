@@ -148,3 +148,14 @@ def test_swap_tests_meet_rows_of_their_ring(spark):
     assert told.count() == 30
     plan = told._jdf.queryExecution().optimizedPlan().toString()
     assert "_ring" in plan and "Window" not in plan.split("_held")[0]
+
+
+def test_splits_shuffle_whole_rows_twice_and_checks_pass_once(spark, monkeypatch):
+    monkeypatch.setattr(session, "ROWS_A_TASK", 5000)
+    n = -(-spark.read.parquet(f"{SMALL}/lineitem.parquet").count() // 5000)
+    plan = QUERIES["split_pictures"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert all(f", {n}" in line for line in plan.splitlines() if "RepartitionByExpression" in line) and "RepartitionByExpression" in plan
+    checks = QUERIES["split_checks"](spark, SMALL)
+    assert checks._jdf.queryExecution().optimizedPlan().toString().count("Window") <= 2 * plan.count("Window")
+    assert "Union" not in checks._jdf.queryExecution().optimizedPlan().toString().split("Window")[0]
+    assert sorted(map(tuple, checks.collect())) == sorted(_sql("split_checks", SMALL).fetchall())

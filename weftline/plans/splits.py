@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from weftline.operators import splits as op
 from weftline.plans.bind import LINES_SQL, item_lines
 from weftline.plans.registry import query
+from weftline.session import table, tasks
 
 _PCT = "(('0x' || substr(md5('split-v1:' || {k}), 1, 8))::BIGINT % 100)"
 _SPLIT = "CASE WHEN " + _PCT + " < 80 THEN 'train' WHEN " + _PCT + " < 90 THEN 'val' ELSE 'test' END"
@@ -19,7 +20,7 @@ rows AS (SELECT o.*, CASE WHEN local THEN 'test' ELSE CASE r WHEN 2 THEN 'test'
 
 
 def split_rows(spark, d):
-    return op.assign_splits(item_lines(spark, d), "outfit_id", "picture", ["row_id"], F.col("local"), F.col("is_file"))
+    return op.assign_splits(item_lines(spark, d), "outfit_id", "picture", ["row_id"], F.col("local"), F.col("is_file"), tasks(table(spark, d, "lineitem")))
 
 
 @query(SPLIT_SQL + "SELECT source, count(*) FILTER (split = 'train') AS train, count(*) FILTER (split = 'val') AS val, count(*) FILTER (split = 'test') AS test, count(*) AS total FROM rows GROUP BY source")
@@ -49,7 +50,7 @@ UNION ALL SELECT 'unknown_category', count(*) FROM (SELECT DISTINCT status FROM
 UNION ALL SELECT 'local_outside_test', count(*) FROM rows WHERE local AND split <> 'test' UNION ALL SELECT 'local_outfit_outside_test', count(*) FROM rows WHERE local AND outfit_split <> 'test'"""
 )
 def split_checks(spark, d):
-    return op.split_violations(split_rows(spark, d), "outfit_id", "picture", "row_id", "status", ["F", "O"], F.col("local"))
+    return op.split_violations(split_rows(spark, d), "outfit_id", "picture", "row_id", "status", ["F", "O"], F.col("local"), tasks(table(spark, d, "lineitem")))
 
 
 @query(SPLIT_SQL + "SELECT source, split, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY source), 6) AS share FROM rows GROUP BY source, split")
