@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from weftline import session
+from weftline.functions import texts
 from weftline.functions.exprs import largest_remainder, largest_remainders
 from weftline.operators import advice, insights, learned, outfits
 from weftline.plans.bind import CATEGORIES, COLOURS, PATTERNS, SUB_CATEGORIES, wears
@@ -159,3 +160,20 @@ def test_splits_shuffle_whole_rows_twice_and_checks_pass_once(spark, monkeypatch
     assert checks._jdf.queryExecution().optimizedPlan().toString().count("Window") <= 2 * plan.count("Window")
     assert "Union" not in checks._jdf.queryExecution().optimizedPlan().toString().split("Window")[0]
     assert sorted(map(tuple, checks.collect())) == sorted(_sql("split_checks", SMALL).fetchall())
+
+
+def test_conditions_are_graded_as_without_their_plain_parts(spark):
+    said = [
+        "defauts", "taches", "troue", "dechires", "decolore", "delave", "abimes", "reprise", "egratinure", "rayures", "sans aucun defaut", "pas de petites taches", "0 rayure, porte", "avec etiquette", "avec l'etiquettes", "jamais mises",
+        "never worn", "with tags", "sous emballage", "dans sa boite", "dans son emballage", "avec son packaging", "comme neuves", "presque neufs", "quasi neuve", "tres bonne etat", "excellent etat", "etat impeccable", "porte une seule fois", "mis deux fois",
+        "utilises 2 fois", "tres peu porte", "trop peux utilise", "peu utilise", "a peine porte", "portes 2 ou 3", "utilise deux ou trois", "etat neuf", "neufs", "brand new", "jdida", "جديد", "bon etat", "bonne etat", "ndhifa", "نظيف",
+        "porte", "utilisees", "porte-cles", "porte monnaie use", "usees", "use", "mest3mel", "msta3mel", "مستعمل", "used", "usage", "house", "because", "porte a la main", "", None,
+    ]
+    rows = spark.createDataFrame([(t,) for t in [*said, *[f"{a} {b}" for a in said[:-1] for b in said[:-1]]]], "text string").union(spark.read.parquet(f"{SMALL}/documents.parquet").select("text").limit(300))
+    folded = rows.select(texts.fold(F.col("text")).alias("t"))
+    told = F.regexp_replace(F.regexp_replace("t", texts.DENIED, " "), texts.NOT_WORN, " ")
+    plain = F.lit("no mention")
+    for name, pattern in reversed(texts.CONDITIONS):
+        plain = F.when(told.rlike(pattern), name).otherwise(plain)
+    got = folded.select("t", texts.graded(texts.undenied(F.col("t"))).alias("a"), plain.alias("b")).collect()
+    assert [r for r in got if r["a"] != r["b"]] == [] and {r["a"] for r in got} == {"no mention", *texts.CONDITION_PARTS}

@@ -41,6 +41,16 @@ CONDITIONS = (
     ("good", r"(\bbon(ne)? etat\b|\bndhif(a)?\b|نظيف)"),
     ("used", r"((?<![a-z-])(porte|utilise)(e|es|s)?(?![-a-z])(?! a la main| a l'epaule| a l epaule)|\buse(e|es|s)?\b|\bmest3mel\b|\bmsta3mel\b|مستعمل|\bused\b|\busage\b)"),
 )
+#: Of each of these patterns, plain parts of which every match holds one.
+DENIED_PARTS = ("defaut", "tache", "trou", "rayure", "egratinure")
+CONDITION_PARTS = {
+    "defect": ("defaut", "tache", "trou", "dechire", "decolore", "delave", "abime", "reprise", "egratinure", "rayure"),
+    "new_tags": ("etiquette", "jamais ", "never worn", "with tags", "emballage", "boite", "packaging"),
+    "like_new": ("neuf", "neuve", " etat", "impeccable", " fois", "peu porte", "peu utilise", "peux porte", "peux utilise", "a peine ", " ou "),
+    "new": ("neuf", "neuve", "brand new", "jdid", "جديد"),
+    "good": (" etat", "ndhif", "نظيف"),
+    "used": ("porte", "utilise", "use", "mest3mel", "msta3mel", "مستعمل", "usage"),
+}
 
 #: Words of section names.
 GENDER_WORDS = {
@@ -122,14 +132,31 @@ def claims_original(folded: Column) -> Column:
     return folded.rlike(ORIGINAL)
 
 
-def condition(folded: Column) -> Column:
-    told = F.regexp_replace(F.regexp_replace(folded, DENIED, " "), NOT_WORN, " ")
+def _names_one(text: Column, parts: tuple[str, ...]) -> Column:
+    out = text.contains(parts[0])
+    for p in parts[1:]:
+        out |= text.contains(p)
+    return out
+
+
+def undenied(folded: Column) -> Column:
+    """A folded text without what denies a fault and without names of things that are no worn clothes."""
+    told = F.when(_names_one(folded, DENIED_PARTS), F.regexp_replace(folded, DENIED, " ")).otherwise(folded)
+    return F.when(folded.contains("porte"), F.regexp_replace(told, NOT_WORN, " ")).otherwise(told)
+
+
+def graded(told: Column) -> Column:
+    """The condition that a text of undenied() tells. A pattern is only searched for where one of its parts stands."""
     out = F.lit("no mention")
     for name, pattern in reversed(CONDITIONS):
-        out = F.when(told.rlike(pattern), name).otherwise(out)
+        out = F.when(_names_one(told, CONDITION_PARTS[name]) & told.rlike(pattern), name).otherwise(out)
     return out
 
 
+def condition(folded: Column) -> Column:
+    return graded(undenied(folded))
+
+
 def dinars(text: Column, strict: bool = True) -> Column:
     """The number in a price like 1.299,99 TND, 59.900 TND or 59.9 DT: with a comma, dots part thousands, else the dot is the decimal point.
 
