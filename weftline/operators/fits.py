@@ -113,16 +113,20 @@ class Logits:
     classes: list[str]
 
 
-def logistic(rows: DataFrame, features: str, target: str, penalty: float = 1.0, intercept: bool = True, balanced: bool = False, rounds: int = 50) -> Logits:
+def logistic(rows: DataFrame, features: str, target: str, penalty: float = 1.0, intercept: bool = True, balanced: bool = False, rounds: int = 50, mirrored: bool = False) -> Logits:
     """A yes-or-no model by Newton's steps on summed gradients and Hessians: the least of the sum of log losses and penalty / 2 times the
-    squared weights, the intercept free. balanced gives both answers the same weight. Rows that lack a column don't count."""
+    squared weights, the intercept free. balanced gives both answers the same weight. Rows that lack a column don't count.
+
+    mirrored: each row, all of which say yes, counts a second time as its negative that says no; without an intercept that has the same loss, so no such row is made."""
+    if mirrored and intercept:
+        raise ValueError("mirrored rows leave nothing for an intercept")
     data = _ready(rows, features, target).select(F.col(features).cast("array<double>").alias("x"), F.col(target).cast("double").alias("y")).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         counts = {r["y"]: r["n"] for r in data.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
-        if set(counts) != {0.0, 1.0}:
+        if set(counts) != ({1.0} if mirrored else {0.0, 1.0}):
             raise ValueError(f"the target must have both answers and no third: {sorted(counts)}")
         width = len(data.select("x").first()["x"])
-        share = {y: sum(counts.values()) / (2 * n) if balanced else 1.0 for y, n in counts.items()}
+        share = {0.0: 0.0, 1.0: 2.0} if mirrored else {y: sum(counts.values()) / (2 * n) if balanced else 1.0 for y, n in counts.items()}
         beta = np.zeros(width + intercept)
         ridge_of = np.full(len(beta), penalty)
         if intercept:

@@ -99,7 +99,6 @@ def part_weights(differences: DataFrame, column: str = "differences") -> dict[st
     """The weights that tell true sets from fakes best: a model without intercept on the differences and their negatives, its weights
     cut at 0, scaled to sum to 1 and rounded to cents; all 0 where none is above 0."""
     told = differences.select(F.col(column).alias("x"), F.lit(1.0).alias("y"))
-    turned = differences.select(F.transform(column, lambda v: -v).alias("x"), F.lit(0.0).alias("y"))
-    found = np.clip(fits.logistic(told.unionByName(turned), "x", "y", intercept=False).weights[0], 0, None)
+    found = np.clip(fits.logistic(told, "x", "y", intercept=False, mirrored=True).weights[0], 0, None)
     total = found.sum()
     return {p: round(float(w / total), 2) if total else 0.0 for p, w in zip(outfits.WEIGHTS, found, strict=True)}

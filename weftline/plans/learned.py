@@ -3,10 +3,10 @@
 from pyspark.sql import functions as F
 
 from weftline.functions import texts
-from weftline.operators import fits, learned, price_model
+from weftline.operators import fits, learned, parts, price_model
 from weftline.operators import advice as tests_of
 from weftline.plans.advice import grouped_folds
-from weftline.plans.bind import items, vectors, wears
+from weftline.plans.bind import items, vector_looks, vectors, wears
 from weftline.plans.prices import _banded
 from weftline.plans.registry import query
 from weftline.session import table
@@ -70,11 +70,11 @@ def worn_hint_probe(spark, d):
 def learned_weights(spark, d):
     """What the parts of true outfits weigh against those of outfits with one item swapped."""
     ensure_checkpoint_dir(spark)
-    looks = vectors(spark, d).select(F.col("item_id").alias("look"), "embedding")
-    top = F.broadcast(looks.agg((F.max("look") + 1).alias("top")))  # one number
-    named = lambda rows: rows.join(top).withColumn("look", F.pmod("item_id", "top")).drop("top")
     members, pool = wears(spark, d), items(spark, d)
     tests = tests_of.swap_tests(members, "outfit_id", pool, "s1").drop("wrong").checkpoint()  # three numbers an outfit
-    differences = learned.part_differences(tests, named(members), named(pool), "outfit_id", "embedding", 64, looks)
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("outfit_id"), F.col("l_partkey").alias("item_id"))
+    rows = parts.with_tests(lines, tests, "outfit_id").join(pool.select("item_id", parts.packed().alias("code")), "item_id")
+    looks, top = vector_looks(spark, d)
+    differences = parts.differences(rows, "outfit_id", lines.count(), looks, learned.UNKNOWN_PART, top)
     found = learned.part_weights(differences)
     return spark.createDataFrame(list(found.items()), "part string, weight double")  # four rows
