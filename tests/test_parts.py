@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tests.test_operators import ITEM
 from weftline.operators import fits, insights, learned, outfits, parts
+from weftline.plans import bind
 from weftline.plans.registry import QUERIES
 
 SMALL = "/root/testdata/sf0.001"
@@ -127,3 +128,11 @@ def test_intruders_try_the_whole_catalogue(spark, dealt):
         assert set(got) == {t[0] for t in tests} and any(min(g)[0] < 0 for g in gains.values())
         for k, _, fake in tests:
             assert (got[k]["weakest"], got[k]["fake_id"], got[k]["hit"], got[k]["chance"]) == (min(gains[k])[1], fake, min(gains[k])[1] == fake, 1 / len(gains[k]))
+
+
+def test_worn_items_are_told_apart_without_a_sort(spark):
+    rows, kinds = bind.worn(spark, SMALL)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
+    named = [(r["outfit_id"], r["item_id"], bind.CATEGORIES[r["category"]]) for r in rows.collect()]
+    assert sorted(named) == sorted(map(tuple, bind.wears(spark, SMALL).select("outfit_id", "item_id", "category").collect())) and kinds.columns == ["item_id", "category"]

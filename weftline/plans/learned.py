@@ -6,7 +6,7 @@ from weftline.functions import texts
 from weftline.operators import fits, learned, parts, price_model
 from weftline.operators import advice as tests_of
 from weftline.plans.advice import grouped_folds
-from weftline.plans.bind import items, vector_looks, vectors, wears
+from weftline.plans.bind import items, vector_looks, vectors, worn
 from weftline.plans.prices import _banded
 from weftline.plans.registry import query
 from weftline.session import table
@@ -70,8 +70,8 @@ def worn_hint_probe(spark, d):
 def learned_weights(spark, d):
     """What the parts of true outfits weigh against those of outfits with one item swapped."""
     ensure_checkpoint_dir(spark)
-    members, pool = wears(spark, d), items(spark, d)
-    tests = tests_of.swap_tests(members, "outfit_id", pool, "s1").drop("wrong").checkpoint()  # three numbers an outfit
+    pool, (members, kinds) = items(spark, d), worn(spark, d)
+    tests = tests_of.swap_tests(members, "outfit_id", kinds, "s1").drop("wrong").checkpoint()  # three numbers an outfit
     lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("outfit_id"), F.col("l_partkey").alias("item_id"))
     rows = parts.with_tests(lines, tests, "outfit_id").join(pool.select("item_id", parts.packed().alias("code")), "item_id")
     looks, top = vector_looks(spark, d)
